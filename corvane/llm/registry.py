@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, chat, mixing, quality
+from corvane.llm import bpe, bwt_dedup, chat, html_text, line_dedup, mixing, multi_index, quality, unit_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_chat_format": chat.op2_chat_format,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_multi_index": multi_index.op4_multi_index,
+    "op5_unit_dedup": unit_dedup.op5_unit_dedup,
     "op6_bpe": bpe.op6_bpe,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_bwt_dedup": bwt_dedup.op8_bwt_dedup,
+    "op9_html_text": html_text.op9_html_text,
 }
-ORACLE: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_chat_format": chat.ORACLE}
+ORACLE: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_chat_format": chat.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
