@@ -26,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(lower, "a")
         small = joined.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(lower.select("a", F.col("least").alias("b")))
         links = stored(small.where("a <> b").distinct())
-        state = links.agg(F.count(F.lit(1)), F.sum("b"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        state = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("b")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before or not state[0]:
             break
         before = state
