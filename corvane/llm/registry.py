@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, bwt_dedup, chat, html_text, line_dedup, mixing, multi_index, quality, unit_dedup
+from corvane.llm import bpe, bwt_dedup, chat, html_text, jaccard, line_dedup, mixing, multi_index, quality, unit_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -18,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_bwt_dedup": bwt_dedup.op8_bwt_dedup,
     "op9_html_text": html_text.op9_html_text,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 ORACLE: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_chat_format": chat.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
