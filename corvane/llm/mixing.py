@@ -77,9 +77,9 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
 
 def mix_sources(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: each row of docs as often as its rate says, with the columns of docs."""
-    columns = docs.columns
-    planned = plan_mix(docs, **settings)
-    return planned.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("__row"))
+    planned = plan_mix(rows, **settings).where("copies > 0")
+    return planned.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
