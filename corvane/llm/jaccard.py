@@ -1,10 +1,11 @@
 """N-gram Jaccard join: groups of documents whose word shingles overlap enough.
 
 1. Documents with equal shingle sets are one class, told by a 128-bit digest.
-2. Two classes that link share one of the first shingles of each in any common order, as many as
-   may be missed and one more. The order puts frequent shingles last. Classes that share such a
-   shingle are tied to the smallest of them - in the task first, then between tasks - so a shingle
-   costs a row per task, never pairs. What hangs together this way is a neighbourhood.
+2. Two classes that link differ in at most k shingles, a number that their size bounds. Shingles are
+   dealt to more than k segments by ranges of their hashes, so some segments of both are the same.
+   Classes that share a segment are tied to the smallest of them - in the task first, then between
+   tasks - so a segment costs a row per task, never pairs. What hangs together is a neighbourhood.
+   Shingles that very many documents share are left out of the segments, where enough others are left.
 3. Inside a neighbourhood a T-occurrence search finds the links: the short inverted lists of a
    query are merged by a heap, the long ones probed by binary search (DivideSkip), and what reaches
    the required overlap is a link. Classes that already hang together aren't compared again.
@@ -14,9 +15,11 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,9 @@ from corvane.llm.graph import components
 
 #: Classes of a neighbourhood searched in one task; classes dealt to one task where neighbourhoods are small.
 BLOCK, TOGETHER = 4000, 2000
-#: Shingles so frequent among the first ones are put last; at most so many (more would only be slower).
-FREQUENT, FREQUENT_KEPT = 64, 100_000
+#: Shingles that at least so many classes share are left out of segments; at most so many of them, the
+#: most frequent (any choice finds all links; it only keeps neighbourhoods small), seen so often in one task.
+FREQUENT, FREQUENT_KEPT, SEEN_IN_TASK = 64, 100_000, 3
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -70,9 +74,55 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def n_first(size: int, percent: int) -> int:
-    """How many first shingles of a set of this size any partner must share one of."""
-    return size - -(-percent * size // 100) + 1
+class Sizes:
+    """Classes of set sizes: sets that link are in the same or in neighbouring ones."""
+
+    def __init__(self, percent: int):
+        self.percent, self.begins = percent, [1]
+
+    def of(self, size: int) -> int:
+        while self.begins[-1] <= size:
+            last = self.begins[-1]
+            self.begins.append(max(last + 1, -(-100 * last // self.percent)))
+        return bisect.bisect_right(self.begins, size) - 1
+
+    def apart(self, kind: int) -> int:
+        """Most shingles in which two sets that link differ, if the larger is of this class."""
+        self.of(self.begins[min(kind, len(self.begins) - 1)])
+        while len(self.begins) < kind + 2:
+            self.of(self.begins[-1])
+        return (100 - self.percent) * 2 * (self.begins[kind + 1] - 1) // (100 + self.percent)
+
+
+@cache
+def _ranges(m: int) -> np.ndarray:
+    return np.array([(i << 64) // m for i in range(1, m)], np.uint64)
+
+
+def segments(s: np.ndarray, rare: np.ndarray, kinds: Sizes) -> np.ndarray:
+    """Hashes of the segments that a set shares one of with every set it links with.
+
+    Of m segments at most k differ. Empty ones say little: as long as fewer than m - k are empty, one of the
+    others must be shared. Else the segments of all shingles, frequent ones too, are taken also, then the empty ones.
+    """
+    out = []
+    kind = kinds.of(len(s))
+    for c in (kind, kind + 1):
+        k = kinds.apart(c)
+        if not k and c == kind:
+            continue  # only equal sets link
+        m = k + 3 + k // 16
+        for space, x in enumerate((rare, s, s)):
+            at = np.searchsorted(x, _ranges(m))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(x))))
+            cut = np.concatenate(([0], at, [len(x)]))
+            found = mix((sums[cut[1:]] - sums[cut[:-1]]) ^ mix(np.arange(m, dtype=np.uint64) + np.uint64((c << 34) + (min(space, 1) << 32) + 1)))
+            full = cut[1:] > cut[:-1]
+            empty = m - int(full.sum())
+            out.append(found[~full] if space == 2 else found[full])
+            if empty < m - k:
+                break
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def overlap_needed(a: int, b: int, percent: int) -> int:
@@ -155,7 +205,7 @@ LINK = "a long, b long"
 
 
 def _ties(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of (shingles, classes) pairs: the smallest class of each shingle, and the ties (class, smallest) of the others."""
+    """Of (segments, classes) pairs: the smallest class of each segment, and the ties (class, smallest) of the others."""
     got = list(batches)
     if not got:
         return np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)
@@ -179,19 +229,21 @@ def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     ids = docs.schema["doc_id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts = []
+        sets, seen = [], set()
         for batch in batches:
             ns, keys, checks = [], [], []
             for s in shingle_sets(batch.column(2), size):
                 a, b = digest(s)
                 ns.append(len(s)), keys.append(a), checks.append(b)
-                if len(s):
-                    firsts.append(s[: n_first(len(s), percent)])
+                if len(s) and a not in seen:
+                    seen.add(a)
+                    sets.append(s)
             zero = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), zero, zero], names)
-        if firsts:
-            t, n = np.unique(np.concatenate(firsts), return_counts=True)
-            t, n = t[n > 1].view(np.int64), n[n > 1]
+        if sets:
+            t, n = np.unique(np.concatenate(sets), return_counts=True)
+            t, n = t[n >= SEEN_IN_TASK].view(np.int64), n[n >= SEEN_IN_TASK]
+            sets.clear()
             for i in range(0, len(t), 50_000):
                 m = len(t[i : i + 50_000])
                 none = pa.nulls(m, pa.int64())
@@ -203,29 +255,26 @@ def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     members = measured.where("shingle is null").select("doc_id", "version", "n", "key", "check")
     often = measured.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
     often = often.orderBy(F.col("times").desc(), "shingle").limit(FREQUENT_KEPT).collect()
-    frequent = np.array([r[0] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    frequent, place = frequent[order], (len(often) - np.arange(len(often)))[order]  # the most frequent come last
+    frequent = np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64))
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def first_shingles():
+        kinds = Sizes(percent)
+
+        def all_segments():
             for batch in batches:
                 t, c = [], []
                 for s in shingle_sets(batch.column(0), size):
-                    if len(s) < 2 and percent > 50:
-                        continue  # one shingle is shared wholly or not at all
-                    k = n_first(len(s), percent)
+                    if not len(s):
+                        continue
+                    rare = s
                     if len(frequent):
-                        i = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                        rank = np.where(frequent[i] == s, place[i], 0)
-                        first = s[np.lexsort((s, rank))[:k]] if rank.any() else s[:k]
-                    else:
-                        first = s[:k]
-                    t.append(first), c.append(np.full(len(first), digest(s)[0], np.int64))
+                        rare = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
+                    found = segments(s, rare, kinds)
+                    t.append(found.view(np.int64)), c.append(np.full(len(found), digest(s)[0], np.int64))
                 if t:
                     yield np.concatenate(t), np.concatenate(c)
 
-        least, ties = _ties(first_shingles())
+        least, ties = _ties(all_segments())
         bucket = (mix(least[0].view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts
         by = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by], np.arange(parts + 1))
@@ -280,7 +329,7 @@ def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFra
     docs = docs.select("doc_id", "text")
     members, ties = classes(docs, size, percent)
     near = stored(components(ties).withColumnRenamed("node", "key").withColumnRenamed("component", "area"))
-    reps = members.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "version")).alias("rep"))
+    reps = members.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("rep"))
     wanted = near.join(reps, "key").select("key", "area", F.col("rep.doc_id").alias("__id"), F.col("rep.version").alias("__v"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
