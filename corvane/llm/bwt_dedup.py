@@ -108,7 +108,10 @@ def firsts(r: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]
     twice = twice[np.lexsort((twice["at"], twice["version"], twice["doc"], twice["context"], twice["anchor"]))]
     new = np.ones(len(twice), bool)
     new[1:] = (twice["context"][1:] != twice["context"][:-1]) | (twice["anchor"][1:] != twice["anchor"][:-1])
-    return np.concatenate((alone, twice[new])), spans_of(twice[~new], length)
+    first = twice[new]
+    own = first[np.cumsum(new) - 1]
+    later = (twice["doc"] != own["doc"]) | (twice["version"] != own["version"]) | (twice["at"] != own["at"])  # not the same text seen again
+    return np.concatenate((alone, first)), spans_of(twice[later], length)
 
 
 def spans_of(r: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -138,58 +141,67 @@ def joined(s: np.ndarray) -> np.ndarray:
 def shard_transform(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order and Burrows-Wheeler transform of sorted strings that each end in 0, by prefix doubling over rotations."""
     n = len(symbols)
-    own = np.repeat(np.arange(len(starts)), sizes)
-    at = np.arange(n) - starts[own]
-    rank = symbols.astype(np.int64)
-    step, most = 1, int(sizes.max())
+    own = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
+    begin, size = starts[own], sizes[own]
+    at = np.arange(n) - begin
+    rank, step, most = symbols.astype(np.int64), 1, int(sizes.max())
+    bits = 8 * symbols.itemsize
+    while bits * step < 32:  # the first doublings need no sort: several symbols fit in a key
+        rank = (rank << (bits * step)) | rank[begin + (at + step) % size]
+        step *= 2
+    order = np.argsort(rank)
     while True:
-        ahead = starts[own] + (at + step) % sizes[own]
-        key = rank * (n + 1) + rank[ahead]
-        order = np.argsort(key, kind="stable")
-        k = key[order]
+        k = rank[order]
         new = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        step *= 2
-        if step > most or new[-1] == n - 1:
+        if step >= most or new[-1] == n - 1:
             break
+        dense = np.empty(n, np.int64)
+        dense[order] = new
+        rank = dense * (n + 1) + dense[begin + (at + step) % size]
+        order = np.argsort(rank)
+        step *= 2
     # equal rotations of equal strings keep the strings' order
-    order = np.argsort(rank, kind="stable")
-    return order, symbols[starts[own[order]] + (at[order] - 1) % sizes[own[order]]]
+    order = order[np.argsort(new * n + order)]
+    return order, symbols[begin[order] + (at[order] - 1) % size[order]]
 
 
-def merge_transforms(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shard of each place of the merged order, and its block of equal prefixes of `rounds` symbols.
+def merge_transforms(transforms: list[np.ndarray], tracked: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tracked places of the shards (rows, one shard after the other) are `rounds` symbols
+    before, in merged order, and their blocks of equal prefixes.
 
-    Each round reads the symbols before the suffixes in the present interleave and deals the places
-    by them, stably: the interleave is then right for one symbol more. Places share a block as long
-    as their symbols and the blocks they came from are the same.
+    The places start in any interleave. Each round reads the symbols before them and deals them by
+    symbol, stably, while each moves to the row of the longer suffix in its own shard: the interleave is
+    then right for one symbol more. Places share a block as long as their symbols and the blocks they
+    came from are the same; one that is alone in its block is alone for good, and isn't followed further.
     """
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    block = np.zeros(len(shard), np.int32)
-    symbols = np.empty(len(shard), transforms[0].dtype)
-    for _ in range(rounds):
-        for s, t in enumerate(transforms):
-            symbols[shard == s] = t
-        order = np.argsort(symbols, kind="stable")
-        shard, came, said = shard[order], block[order], symbols[order]
-        new = np.empty(len(block), bool)
-        new[0] = False
-        np.not_equal(said[1:], said[:-1], out=new[1:])
-        new[1:] |= came[1:] != came[:-1]
+    before = []
+    for t in transforms:
+        row = np.empty(len(t), np.int32)
+        row[np.argsort(t, kind="stable")] = np.arange(len(t), dtype=np.int32)
+        before.append(row + sum(map(len, before)))
+    symbol, before = np.concatenate(transforms), np.concatenate(before)
+    place, block = tracked.astype(np.int32), np.zeros(len(tracked), np.int32)
+    for r in range(rounds):
+        said = symbol[place]
+        order = np.argsort(said, kind="stable")
+        place, came, said = before[place[order]], block[order], said[order]
+        new = np.zeros(len(block), bool)
+        new[1:] = (said[1:] != said[:-1]) | (came[1:] != came[:-1])
         block = np.cumsum(new, dtype=np.int32)
-        if block[-1] == len(block) - 1:
-            break
-    return shard, block
+        if r % 4 == 3 and len(block):
+            new[0] = True
+            alone = new & np.append(new[1:], True)
+            place, block = place[~alone], block[~alone]
+    return place, block
 
 
 def repeated_starts(contexts: list[bytes], length: int = LENGTH, shards: int = SHARDS) -> list[np.ndarray]:
     """For contexts in rank order, the starts of windows that an earlier context has too."""
     used = np.zeros(257, bool)
     for c in contexts:
-        used[np.frombuffer(c, np.uint8) + 1] = True
+        used[np.frombuffer(c, np.uint8) + np.int16(1)] = True
     code = np.cumsum(used).astype(np.uint8 if used.sum() < 256 else np.uint16)
-    transforms, places = [], []
+    transforms, owners, offsets = [], [], []
     for s in range(min(shards, len(contexts))):
         mine = sorted(range(s, len(contexts), shards), key=contexts.__getitem__)
         sizes = np.array([len(contexts[i]) + 1 for i in mine])
@@ -199,14 +211,15 @@ def repeated_starts(contexts: list[bytes], length: int = LENGTH, shards: int = S
         order, transform = shard_transform(symbols, starts, sizes)
         owner = np.repeat(np.arange(len(mine)), sizes)[order]
         transforms.append(transform)
-        places.append((np.array(mine)[owner], order - starts[owner]))
-    shard, block = merge_transforms(transforms, length)
-    context, offset = np.empty(len(shard), np.int64), np.empty(len(shard), np.int64)
-    for s, (c, o) in enumerate(places):
-        context[shard == s], offset[shard == s] = c, o
-    whole = offset + length <= np.array([len(c) for c in contexts])[context]
-    context, offset, block = context[whole], offset[whole], block[whole]
+        owners.append(np.array(mine)[owner])
+        offsets.append(order - starts[owner])
     out = [np.zeros(0, np.int64)] * len(contexts)
+    if not transforms:
+        return out
+    owner, offset = np.concatenate(owners), np.concatenate(offsets)
+    # the ends of whole windows: `length` symbols before them the windows start
+    place, block = merge_transforms(transforms, np.flatnonzero(offset >= length), length)
+    context, offset = owner[place], offset[place]
     if len(block):
         first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
         earliest = np.repeat(np.minimum.reduceat(context, first), np.diff(np.append(first, len(block))))
@@ -324,7 +337,7 @@ def _compared(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
             yield _batch(out, cut_schema)
 
     def compare(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc", "ascending"), ("version", "ascending"), ("at", "ascending")])
+        t = t.group_by(["doc", "version", "at", "start", "context"]).aggregate([]).sort_by([("doc", "ascending"), ("version", "ascending"), ("at", "ascending")])
         found = repeated_starts(t.column("context").to_pylist(), length)
         row = np.repeat(np.arange(len(found)), [len(f) for f in found])
         offset = np.concatenate(found) if found else np.zeros(0, np.int64)
