@@ -106,3 +106,68 @@ def wiki_links(markdown: Column) -> Column:
     opened, closed = F.regexp_count(markdown, F.lit(r"\[\[")), F.regexp_count(markdown, F.lit(r"\]\]"))
     found = F.regexp_extract_all(markdown, F.lit(r"\[\[([^\[\]]*)\]\]"), F.lit(1))
     return F.when((opened == closed) & (F.size(found) == opened), found)
+
+
+TRANSFERS = "struct<jsonrpc:string,id:int,error:string,result:struct<transfers:array<struct<`from`:string,hash:string,blockNum:string>>,pageKey:string>>"
+SIGNATURES = "struct<result:array<struct<signature:string,slot:bigint,confirmationStatus:string>>>"
+#: Finality by what a history entry is said to be.
+COMMITMENTS = {"finalized": "finalized", "confirmed": "confirmed", "processed": "pending"}
+
+
+def history_pages(pages: DataFrame) -> DataFrame:
+    """Transactions of archived history pages (page_id, chain_scope, handle, body), EVM and Solana.
+
+    A page is valid if it is strict JSON with at most 100 transfers, all from the handle in any case, or at
+    most 1000 signatures, and all its ids are well formed; an invalid page gives one row without a
+    transaction. next_cursor is the page key, or the last signature of a full page.
+    """
+    body = F.when(strict_json(F.col("body")), F.col("body"))
+    envelope = F.from_json(body, TRANSFERS)
+    evm, sol = envelope["result"], F.from_json(body, SIGNATURES)["result"]
+    answered = (envelope["jsonrpc"] == "2.0") & (envelope["id"] == 1) & F.get_json_object(body, "$.error").isNull()
+    commitment = F.create_map(*[F.lit(x) for pair in COMMITMENTS.items() for x in pair])
+    is_sol = F.col("chain_scope") == "solana"
+    moves = F.transform(evm["transfers"], lambda t: F.struct(t["hash"].alias("transaction_id"), F.conv(F.substring(t["blockNum"], 3, 16), 16, 10).cast("decimal(20,0)").alias("height"), F.lit("finalized").alias("finality")))
+    signed = F.transform(sol, lambda x: F.struct(x["signature"].alias("transaction_id"), x["slot"].cast("decimal(20,0)").alias("height"), F.coalesce(commitment[x["confirmationStatus"]], F.lit("pending")).alias("finality")))
+    evm_fits = (F.size(evm["transfers"]) <= 100) & F.forall(
+        evm["transfers"], lambda t: (F.lower(t["from"]) == F.lower(F.col("handle"))) & t["hash"].rlike(GRAMMARS["evm_hash"]) & t["blockNum"].rlike(GRAMMARS["quantity"])
+    )
+    sol_fits = (F.size(sol) <= 1000) & F.forall(sol, lambda x: x["signature"].rlike(GRAMMARS["solana_signature"]) & (x["slot"] >= 0) & (x["confirmationStatus"].isNull() | x["confirmationStatus"].isin(*COMMITMENTS)))
+    valid = F.coalesce(answered & F.when(is_sol, sol_fits).otherwise(evm_fits), F.lit(False))
+    cursor = F.when(is_sol, F.when(F.size(sol) == 1000, F.element_at(sol, -1)["signature"])).otherwise(evm["pageKey"])
+    rows = pages.select("page_id", "chain_scope", "handle", valid.alias("valid"), F.when(valid, cursor).alias("next_cursor"), F.when(valid, F.when(is_sol, signed).otherwise(moves)).alias("found"))
+    return rows.select("page_id", "chain_scope", "handle", "valid", "next_cursor", F.explode_outer("found").alias("t")).select("page_id", "chain_scope", "handle", "valid", "next_cursor", "t.transaction_id", "t.height", "t.finality")
+
+
+def manifests(spark, path: str, schema: str) -> DataFrame:
+    """Manifest files named by their SHA-256, parsed strictly; reason tells what is wrong with one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    text = F.col("content").cast("string")
+    names = F.from_json(F.lit("{}"), schema)
+    allowed = spark.range(0).select(names.alias("m")).schema["m"].dataType.fieldNames()
+    unknown = F.array_except(F.json_object_keys(text), F.array(*[F.lit(n) for n in allowed]))
+    reason = (
+        F.when(F.regexp_extract("path", r"([0-9a-f]{64})(?:\.json)?$", 1) != F.sha2("content", 256), "digest")
+        .when(F.col("length") > 8 * 1024 * 1024, "size")
+        .when(~strict_json(text), "json")
+        .when(F.size(unknown) > 0, "unknown_field")
+    )
+    return files.select("path", reason.alias("reason"), F.when(reason.isNull(), F.from_json(text, schema)).alias("manifest"))
+
+
+def projection_violations(pages: DataFrame, snapshots: DataFrame, private: list[str]) -> DataFrame:
+    """Pages (page_path, snapshot_id, markdown, citations, links) that may not be published, with the reasons.
+
+    Citations must be in the snapshot (snapshot_id, provenance_ids), links must be those of the text and name
+    the page, and no private fragment (a short list) may stand in the text, plain or escaped as in JSON.
+    """
+    rows = pages.join(snapshots, "snapshot_id", "left")
+    shown = wiki_links(F.col("markdown"))
+    cited = F.size(F.array_except("citations", F.coalesce("provenance_ids", F.array().cast("array<string>")))) > 0
+    linked = ~F.coalesce(F.array_sort(F.array_distinct(shown)) == F.array_sort(F.array_distinct("links")), F.lit(False)) | ~F.array_contains("links", F.col("page_path"))
+    leaks = F.lit(False)
+    for p in private:
+        leaks |= F.contains("markdown", F.lit(p)) | F.contains("markdown", F.substring(F.to_json(F.array(F.lit(p))), 3, len(p) + 1000).substr(F.lit(1), F.length(F.to_json(F.array(F.lit(p)))) - 4))
+    path = ~F.col("page_path").rlike(r"^[a-z0-9][a-z0-9/_-]*$") | F.contains("page_path", F.lit("//"))
+    reasons = F.filter(F.array(F.when(cited, "citation"), F.when(linked, "links"), F.when(leaks, "private"), F.when(path, "path")), lambda r: r.isNotNull())
+    return rows.select("page_path", reasons.alias("reasons")).where(F.size("reasons") > 0)

@@ -484,3 +484,55 @@ def replay_contradictions(s, d):
     part = driver_table(s, d, "part").select(F.col("p_partkey").alias("requirement_id"), "p_size")
     changed = part.withColumn("p_size", F.when(F.col("requirement_id") % 10 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
     return latest.contradictions(changed, part, ["requirement_id"])
+
+
+@query("SELECT l_orderkey AS height, l_partkey AS attempt, l_linenumber AS chain, 200 + l_suppkey % 5 AS status, 'body-' || l_suppkey AS body FROM lineitem")
+def rpc_envelopes(s, d):
+    number = lambda c, n: F.unhex(F.lpad(F.hex(c), 2 * n, "0"))
+    body = F.encode(F.concat(F.lit("body-"), "l_suppkey"), "UTF-8")
+    raw = F.concat(F.encode(F.lit("TEST"), "UTF-8"), number(F.col("l_linenumber"), 5), number(F.col("l_orderkey"), 8), number(200 + F.col("l_suppkey") % 5, 2), number(F.col("l_partkey"), 4), number(F.lit(0), 9), number(F.octet_length(body), 4), body)
+    e = driver_table(s, d, "lineitem").select(evidence.rpc_envelope(raw).alias("e"))
+    return e.select(F.col("e.height").cast("long").alias("height"), "e.attempt", F.col("e.chain").cast("int").alias("chain"), F.col("e.status").cast("long").alias("status"), F.col("e.body").cast("string").alias("body"))
+
+
+@query("""SELECT 'doc-' || (p_partkey % 40) AS evidence_id, 'https://r' || p_partkey AS resource, CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) AS amount_atomic,
+  CASE WHEN p_size % 7 = 0 THEN 'unsupported_scheme' WHEN p_partkey % 11 = 0 THEN 'invalid_token_metadata' END AS reason FROM part""")
+def catalog_offers(s, d):
+    from corvane.operators import adapters
+
+    scheme = F.when(F.col("p_size") % 7 == 0, "upto").otherwise("exact")
+    asset = F.when(F.col("p_partkey") % 11 == 0, adapters.NAMED_ASSET.upper().replace("0X", "0x")).otherwise("0xother")
+    offer = F.struct(scheme.alias("scheme"), F.lit(adapters.NAMED_NETWORK).alias("network"), F.floor("p_retailprice").cast("string").alias("amount"), asset.alias("asset"), F.lit("0xpay").alias("payTo"))
+    item = F.struct(F.concat(F.lit("https://r"), "p_partkey").alias("resource"), F.lit(2).alias("x402Version"), F.array(offer).alias("accepts"))
+    docs = driver_table(s, d, "part").groupBy(F.concat(F.lit("doc-"), F.col("p_partkey") % 40).alias("evidence_id")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("content"))
+    return adapters.catalog(docs).select("evidence_id", "resource", "amount_atomic", "reason")
+
+
+@query("""SELECT 'doc-' || s_nationkey AS evidence_id, 'https://api.example/s/' || s_suppkey AS resource, CAST(s_suppkey AS VARCHAR) AS amount_atomic FROM supplier""")
+def openapi_offers(s, d):
+    from corvane.operators import adapters
+
+    offer = F.struct(F.lit("exact").alias("scheme"), F.lit("base").alias("network"), F.col("s_suppkey").cast("string").alias("amount"), F.lit("USDC").alias("asset"), F.lit("0xpay").alias("payTo"))
+    extension = F.create_map(F.lit("x-x402"), F.struct(F.lit(2).alias("x402Version"), F.array(offer).alias("accepts")))
+    entry = F.struct(F.concat(F.lit("/s/"), "s_suppkey").alias("key"), F.create_map(F.lit("get"), extension).alias("value"))
+    docs = driver_table(s, d, "supplier").groupBy(F.concat(F.lit("doc-"), "s_nationkey").alias("evidence_id")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("paths"))).alias("content"))
+    return adapters.accepted(adapters.openapi(docs.withColumn("endpoint", F.lit("https://api.example/")))).select("evidence_id", "resource", "amount_atomic")
+
+
+@query("""SELECT o_custkey AS page_id, 'base' AS chain_scope, '0xAB' || o_custkey AS handle, count(*) OVER (PARTITION BY o_custkey) > 0 AS valid, CAST(o_custkey AS VARCHAR) AS next_cursor, '0x' || sha256(CAST(o_orderkey AS VARCHAR)) AS transaction_id, o_orderkey AS height
+FROM orders WHERE o_custkey % 3 <> 0 UNION ALL SELECT DISTINCT o_custkey, 'base', '0xAB' || o_custkey, false, NULL, NULL, NULL::BIGINT FROM orders WHERE o_custkey % 3 = 0""")
+def history_decode(s, d):
+    sender = F.when(F.col("o_custkey") % 3 == 0, F.lit("0xother")).otherwise(F.concat(F.lit("0xab"), "o_custkey"))
+    move = F.struct(sender.alias("from"), F.concat(F.lit("0x"), F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("hash"), F.concat(F.lit("0x"), F.lower(F.hex("o_orderkey"))).alias("blockNum"))
+    pages = driver_table(s, d, "orders").groupBy("o_custkey").agg(F.collect_list(move).alias("transfers"))
+    body = F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.lit(1).alias("id"), F.struct(F.col("transfers"), F.col("o_custkey").cast("string").alias("pageKey")).alias("result")))
+    rows = evidence.history_pages(pages.select(F.col("o_custkey").alias("page_id"), F.lit("base").alias("chain_scope"), F.concat(F.lit("0xAB"), "o_custkey").alias("handle"), body.alias("body")))
+    return rows.withColumn("height", F.col("height").cast("long")).drop("finality")
+
+
+@query("""SELECT o_orderkey AS job_id, CASE WHEN expired AND attempts >= 5 THEN 'dead_letter' WHEN expired THEN 'queued' ELSE 'leased' END AS next_status,
+  CASE WHEN expired AND attempts < 5 THEN TIMESTAMP '1997-01-01 00:00:00' + to_seconds(attempts * 30) ELSE o_orderdate END AS next_scheduled_for
+FROM (SELECT *, o_custkey % 7 AS attempts, o_orderdate <= TIMESTAMP '1997-01-01 00:00:00' AS expired FROM orders)""")
+def job_transitions(s, d):
+    jobs = driver_table(s, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.lit("leased").alias("status"), F.col("o_orderdate").alias("lease_expires_at"), F.col("o_orderdate").alias("scheduled_for"), (F.col("o_custkey") % 7).alias("attempts"))
+    return recovery.next_job_state(jobs, AS_OF).select("job_id", "next_status", "next_scheduled_for")
