@@ -6,6 +6,8 @@
 2. Runs with equal context (the bytes of all their windows) are settled by hash: all but the
    earliest are removed. This is done in each task first, so that a hot passage leaves one record
    per task.
+   An anchor with very many contexts - at the edge of a passage that a great share of all documents
+   has - is split: there each window is a run of its own, with its own hash as anchor.
 3. The earliest run of each context, where an anchor has several contexts, is compared by its
    bytes: shards of contexts get a Burrows-Wheeler transform each, and the transforms are merged by
    iterative interleave refinement. After `length` rounds the interleave is sorted by as many bytes,
@@ -28,13 +30,19 @@ from corvane.llm.base import Prefixes, mix, stored, table, utf8
 LENGTH, GRAM = 100, 32
 #: Bytes handled at once (positions take the low 20 bits of a key), contexts compared together, shards of them.
 CHUNK, TOGETHER, SHARDS = 1 << 19, 3000, 2
+#: Contexts from which an anchor is split, counted in tasks where it has so many; at most so many anchors
+#: (the most frequent; which are split changes only how the work is dealt).
+SPLIT, SEEN_IN_TASK, SPLIT_KEPT = 2000, 4, 100_000
 RECORD = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("version", "<u4"), ("at", "<u4"), ("before", "u1"), ("last", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("version", "<u4"), ("start", "<u4"), ("end", "<u4")])
 LOW = np.uint64((1 << 20) - 1)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchor position, first and last window start, anchor hash and context hash of each run of windows."""
+def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, split: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, ...]:
+    """Anchor position, first and last window start, anchor hash and context hash of each run of windows.
+
+    Windows of anchors in split (sorted hashes) are runs of their own, anchored by themselves.
+    """
     n = len(data)
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     if n < length:
@@ -61,10 +69,19 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     last = np.append(first[1:], len(starts)) - 1
     at, p0, p1 = anchor[first], starts[first], starts[last]
     context = mix(prefixes.of(p0, p1 + length) ^ (((at - p0) << 8) | (at - p1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return at, p0, p1, hashes[at], context
-
-
-def records_of(docs: list[int], texts: list[bytes], length: int = LENGTH) -> np.ndarray:
+    anchor = hashes[at]
+    if len(split):
+        hot = split[np.minimum(np.searchsorted(split, anchor), len(split) - 1)] == anchor
+        if hot.any():
+            n = (p1 - p0 + 1)[hot]
+            each = np.repeat(p0[hot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            own = mix(prefixes.of(each, each + length) + np.uint64(0x51ED270B0A1F39C1))
+            at, p0, p1 = (np.concatenate((x[~hot], each)) for x in (at, p0, p1))
+            anchor, context = np.concatenate((anchor[~hot], own)), np.concatenate((context[~hot], own))
+    return at, p0, p1, anchor, context
+
+
+def records_of(docs: list[int], texts: list[bytes], length: int = LENGTH, split: np.ndarray = np.zeros(0, np.uint64)) -> np.ndarray:
     """Records of all runs of texts; long texts are handled in overlapping chunks."""
     out, chunk, owner, base, size = [], [], [], [], 0
     versions = [zlib.crc32(t) for t in texts]
@@ -73,7 +90,7 @@ def records_of(docs: list[int], texts: list[bytes], length: int = LENGTH) -> np.
         nonlocal size
         if chunk:
             offsets = np.concatenate(([0], np.cumsum([len(c) for c in chunk])))
-            at, p0, p1, anchor, context = runs(np.frombuffer(b"".join(chunk), np.uint8), offsets, length)
+            at, p0, p1, anchor, context = runs(np.frombuffer(b"".join(chunk), np.uint8), offsets, length, split=split)
             row = np.searchsorted(offsets, p0, "right") - 1
             r = np.empty(len(at), RECORD)
             r["anchor"], r["context"] = anchor, context
@@ -248,6 +265,34 @@ DEALT = pa.schema([("bucket", pa.int32()), ("spans", pa.bool_()), ("data", pa.bi
 FOUND = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("anchor", pa.int64()), ("at", pa.int64())])
 
 
+def frequent_anchors(rows: DataFrame, length: int = LENGTH) -> np.ndarray:
+    """Hashes of the anchors that have very many contexts in the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = []
+        for batch in batches:
+            for s in range(0, batch.num_rows, 1000):
+                part = batch.slice(s, 1000)
+                r = records_of([0] * part.num_rows, [t or b"" for t in part.column(0).to_pylist()], length)
+                kept.append(_pairs(r["anchor"], r["context"]))
+        if kept:
+            a, c = (np.concatenate(x) for x in zip(*kept, strict=True))
+            a, _ = _pairs(a, c)
+            a, n = np.unique(a, return_counts=True)
+            a, n = a[n >= SEEN_IN_TASK], n[n >= SEEN_IN_TASK]
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], ["anchor", "n"])
+
+    counted = rows.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= SPLIT)
+    found = [r[0] for r in counted.orderBy(F.desc("n"), "anchor").limit(SPLIT_KEPT).collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs; b is a hash that hardly two values of a share."""
+    _, at = np.unique(b, return_index=True)
+    return a[at], b[at]
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, version (CRC-32 of the bytes), start and end of bytes covered by strings that start earlier.
 
@@ -262,7 +307,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, 1000):
                 part = batch.slice(s, 1000)
-                kept.append(records_of(part.column(0).to_pylist(), [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()], length))
+                kept.append(records_of(part.column(0).to_pylist(), [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()], length, split))
         own, spans = firsts(np.concatenate(kept), length) if kept else (np.zeros(0, RECORD), np.zeros(0, SPAN))
         del kept
         rows = [(b, False, d) for b, d in _deal(own, parts)]
@@ -305,6 +350,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     kind = "doc long, version long, start long, end long, anchor long, at long"
     rows = docs.select(_key(F.col("doc_id")).alias("doc"), F.col("text").cast("binary").alias("text"))
+    split = frequent_anchors(rows, length)
     dealt = rows.mapInArrow(deal, "bucket int, spans boolean, data binary")
     found = stored(dealt.repartition(parts, "bucket").mapInArrow(settle, kind))
     return found.where("anchor is null").select("doc", "version", "start", "end").unionByName(_compared(rows, found.where("anchor is not null"), length))

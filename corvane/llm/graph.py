@@ -11,25 +11,23 @@ from corvane.llm.base import stored
 def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node it reaches) of each node of links (columns a, b: long).
 
-    Alternates large stars (neighbours above a node move to its smallest neighbour) and small stars
-    (those below it) until no link changes; a few rounds, in the logarithm of the longest chain. Each
-    round aggregates and joins by node and is written to shared storage, so a node with very many
-    links costs aggregated rows and a join that Spark can split. Loops and repeated links are let be.
+    In each round every node and its neighbours move to the smallest of them, so what is within two
+    links of a component's smallest node comes to hang on it; rounds grow with the logarithm of the
+    longest chain. A round aggregates and joins by node and is written to shared storage, so a node
+    with very many links costs aggregated rows and a join that Spark can split. Loops and repeated
+    links are let be.
     """
     links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("least"))
-        joined = large.join(lower, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(lower.select("a", F.col("least").alias("b")))
-        links = stored(small.where("a <> b").distinct())
+        moved = both.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
+        links = stored(moved.where("a <> b").distinct())
         state = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("b")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before or not state[0]:
             break
         before = state
-    mapped = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    roots = links.select(F.col("b").alias("node")).distinct()
-    return mapped.unionByName(roots.join(mapped, "node", "left_anti").select("node", F.col("node").alias("component")))
+    # each node but the smallest now has one link, to the smallest
+    roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

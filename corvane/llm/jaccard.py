@@ -9,8 +9,8 @@
 3. Inside a neighbourhood a T-occurrence search finds the links: the short inverted lists of a
    query are merged by a heap, the long ones probed by binary search (DivideSkip), and what reaches
    the required overlap is a link. Classes that already hang together aren't compared again.
-   Large neighbourhoods are dealt to blocks, each with the same hub; only classes that don't come to
-   hang together with the hub are then searched for in the other blocks.
+   Large neighbourhoods are dealt to blocks by size, each with the same hub; only classes that don't
+   come to hang together with the hub are then searched for in the blocks of sizes they can link with.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.base import Prefixes, mix, slices, stored, table, utf8, words
+from corvane.llm.base import Prefixes, mix, sized, slices, stored, table, utf8, words
 from corvane.llm.graph import components
 
 #: Classes of a neighbourhood searched in one task; classes dealt to one task where neighbourhoods are small.
-BLOCK, TOGETHER = 4000, 2000
+BLOCK, TOGETHER = 2000, 300
+#: Cuts from which the blocks' borders in a large neighbourhood are taken.
+CUTS = 4096
 #: Shingles that at least so many classes share are left out of segments; at most so many of them, the
 #: most frequent (any choice finds all links; it only keeps neighbourhoods small), seen so often in one task.
 FREQUENT, FREQUENT_KEPT, SEEN_IN_TASK = 64, 100_000, 3
@@ -221,6 +223,26 @@ def _ties(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     return np.stack((t[first], c[first])), ties
 
 
+def _pack(least: np.ndarray) -> bytes:
+    """Segments and classes of one bucket: each class once, then 48 bits of each of its segments.
+
+    The bucket takes other bits; equal 48 bits of different segments would only add a neighbour.
+    """
+    order = np.argsort(least[1], kind="stable")
+    segment, of = least[0][order].view(np.uint64), least[1][order]
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    n = np.diff(np.append(first, len(of)))
+    high, low = (segment >> np.uint64(16)).astype("<u4"), segment.astype("<u2")
+    return np.array([len(first), len(of)], "<i8").tobytes() + of[first].tobytes() + n.astype("<i4").tobytes() + high.tobytes() + low.tobytes()
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k, m = np.frombuffer(raw, "<i8", 2).tolist()
+    of, n = np.frombuffer(raw, "<i8", k, 16), np.frombuffer(raw, "<i4", k, 16 + 8 * k)
+    high, low = np.frombuffer(raw, "<u4", m, 16 + 12 * k), np.frombuffer(raw, "<u2", m, 16 + 12 * k + 4 * m)
+    return (high.astype(np.int64) << 16) | low, np.repeat(of, n)
+
+
 def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, version, n, key) of each row, and (key, rep, tied) ties between classes with their neighbourhoods."""
     spark = docs.sparkSession
@@ -275,10 +297,10 @@ def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
                     yield np.concatenate(t), np.concatenate(c)
 
         least, ties = _ties(all_segments())
-        bucket = (mix(least[0].view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts
+        bucket = (least[0].view(np.uint64) >> np.uint64(48)).astype(np.int64) * 65_537 % 2_147_483_647 % parts
         by = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by], np.arange(parts + 1))
-        out = [(int(b), least[:, by[cuts[b] : cuts[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(cuts))]
+        out = [(int(b), _pack(least[:, by[cuts[b] : cuts[b + 1]]])) for b in np.flatnonzero(np.diff(cuts))]
         step = max(1, -(-ties.shape[1] // parts))
         out += [(-1 - i, ties[:, i * step : (i + 1) * step].tobytes()) for i in range(-(-ties.shape[1] // step))]
         for i in range(0, len(out), 64):
@@ -289,9 +311,8 @@ def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
         done, open_ = [], []
         for batch in batches:
             for b, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(d, np.int64).reshape(2, -1)
-                (done if b < 0 else open_).append(x)
-        _, ties = _ties((x[0], x[1]) for x in open_)
+                done.append(np.frombuffer(d, np.int64).reshape(2, -1)) if b < 0 else open_.append(_unpack(d))
+        _, ties = _ties(iter(open_))
         ties = np.unique(np.concatenate([*done, ties], axis=1), axis=1) if done or ties.size else ties
         for i in range(0, ties.shape[1], 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(ties[0, i : i + 50_000]), pa.array(ties[1, i : i + 50_000])], ["a", "b"])
@@ -311,6 +332,7 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
     """Links found in each group (columns g1, g2) of rows (key, label, asks, shingles)."""
 
     def run(t: pa.Table) -> pa.Table:
+        t = t.group_by(["key", "asks", "label", "shingles"]).aggregate([])  # rows that repeat
         keys, labels = t.column("key").to_numpy(), t.column("label").to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in t.column("shingles").to_pylist()]
         _, small = np.unique(labels, return_inverse=True)
@@ -329,28 +351,38 @@ def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFra
     docs = docs.select("doc_id", "text")
     members, ties = classes(docs, size, percent)
     near = stored(components(ties).withColumnRenamed("node", "key").withColumnRenamed("component", "area"))
-    reps = members.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("rep"))
-    wanted = near.join(reps, "key").select("key", "area", F.col("rep.doc_id").alias("__id"), F.col("rep.version").alias("__v"))
+    reps = members.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("rep"), F.max("n").alias("n"))
+    # sizes with a hash behind the point: blocks of a large neighbourhood are ranges of them, alike in number
+    sized_keys = near.join(reps, "key").withColumn("spot", F.col("n") + F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / (1 << 20))
+    areas = sized_keys.groupBy("area").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("in_area"), F.percentile_approx("spot", F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), 20_000).alias("cuts"))
+    step = F.ceil(F.lit(CUTS) * BLOCK / F.col("in_area"))  # so many of the cuts make a block of about BLOCK
+    areas = areas.select("area", "hub", F.when(F.col("in_area") <= BLOCK, F.array().cast("array<double>")).otherwise(F.filter("cuts", lambda x, i: (i + 1) % step == 0)).alias("cuts"))
+    below = lambda x: F.size(F.filter("cuts", lambda c: c <= x)).cast("long")
+    first, last = below(F.floor(F.col("n") * percent / 100)), below(F.ceil(F.col("n") * 100 / percent) + 1)
+    wanted = sized_keys.join(areas, "area").select(
+        "key", "area", "hub", below(F.col("spot")).alias("block"), first.alias("first"), last.alias("last"), F.size("cuts").alias("cut"), F.col("rep.doc_id").alias("__id"), F.col("rep.version").alias("__v")
+    )
+    wanted = stored(wanted)
+    n_wanted = wanted.count()
+
+    place = ["key", "area", "hub", "block", "first", "last", "cut"]
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [s.tobytes() for s in shingle_sets(part.column(2), size)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["key", "area", "shingles"])
-
-    asked = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__v"))).select("key", "area", "text")
-    sets = stored(asked.mapInArrow(shingle, "key long, area long, shingles binary").dropDuplicates(["key"]))
-    areas = sets.groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("hub")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    buckets = max(1, -(-sets.count() // TOGETHER))
-    placed = stored(sets.join(areas.select("area", "hub", "blocks"), "area"))
-    single = F.col("blocks") == 1
-    in_block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("long")
+                sets = [s.tobytes() for s in shingle_sets(part.column(7), size)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:7], pa.array(sets, pa.binary())], [*place, "shingles"])
+
+    asked = docs.join(sized(wanted, n_wanted), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__v"))).select(*place, "text")
+    placed = stored(asked.mapInArrow(shingle, "key long, area long, hub long, block long, first long, last long, cut int, shingles binary"))
+    buckets = max(1, -(-n_wanted // TOGETHER))
+    single = F.col("cut") == 0
     row = [F.col("key").alias("label"), F.lit(True).alias("asks"), "shingles"]
     small = placed.where(single).select(F.lit(0).cast("long").alias("g1"), F.pmod(F.xxhash64("area"), F.lit(buckets)).alias("g2"), "key", *row)
-    large = placed.where(~single & (F.col("key") != F.col("hub"))).select(F.col("area").alias("g1"), in_block.alias("g2"), "key", *row)
+    large = placed.where(~single & (F.col("key") != F.col("hub"))).select(F.col("area").alias("g1"), F.col("block").alias("g2"), "key", *row)
     hubs = placed.where(~single & (F.col("key") == F.col("hub"))).select(
-        F.col("area").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("g2"), "key", *row
+        F.col("area").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut").cast("long"))).alias("g2"), "key", *row
     )
     links = stored(_search(small.unionByName(large).unionByName(hubs), percent))
     groups = components(links)
@@ -358,8 +390,8 @@ def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFra
     if not split.isEmpty():
         labelled = split.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key"))
         of_hub = labelled.where("key = hub").select("area", F.col("label").alias("hub_label"))
-        labelled = stored(labelled.join(of_hub, "area").withColumn("block", in_block))
-        left = labelled.where("label <> hub_label").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+        labelled = stored(labelled.join(of_hub, "area"))
+        left = labelled.where("label <> hub_label").withColumn("block", F.explode(F.sequence("first", "last")))  # where partners' sizes lie
         cols = [F.col("area").alias("g1"), F.col("block").alias("g2"), "key", "label"]
         in_blocks = labelled.select(*cols, F.lit(False).alias("asks"), "shingles").unionByName(left.select(*cols, F.lit(True).alias("asks"), "shingles"))
         links = stored(links.unionByName(_search(in_blocks, percent)))
@@ -374,13 +406,18 @@ def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFra
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The document with the smallest doc_id of each group, with all its columns; repeated rows stay once."""
-    groups = jaccard_groups(docs, size, percent)
+    groups = stored(jaccard_groups(docs, size, percent))
     # rows without an id are groups of their own
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null:"), F.col("version").cast("string")))
-    kept = groups.groupBy(group.alias("__group")).agg(F.min(F.struct("doc_id", "version")).alias("__kept")).select("__kept.*").toDF("__id", "__v").distinct()
-    rows = docs.withColumn("__text_v", F.xxhash64("text"))
-    found = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_v") == F.col("__v")), "left_semi")
-    return found.dropDuplicates(["doc_id", "__text_v"]).select(*docs.columns)
+    rows = groups.select("doc_id", "version", group.alias("group"))
+    kept = rows.groupBy("group").agg(F.min_by(F.struct("doc_id", "version"), F.struct(F.col("doc_id").isNull(), "doc_id", "version")).alias("kept"))
+    gone = stored(rows.join(kept, "group").where(F.struct("doc_id", "version") != F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("version").alias("__v")).distinct())
+    mine = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__v"))
+    found = docs.join(sized(gone, gone.count()), mine, "left_anti")
+    if rows.groupBy("doc_id", "version").count().where("count > 1").isEmpty():
+        return found
+    packed = found.select("doc_id", F.xxhash64("text").alias("__v"), F.struct(*docs.columns).alias("__row"))
+    return packed.dropDuplicates(["doc_id", "__v"]).select("__row.*")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -90,8 +90,10 @@ def brute_spans(docs, length):
     return out
 
 
-def test_repeats_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("split", [2000, 4])
+def test_repeats_equal_brute_force(spark, monkeypatch, split):
     monkeypatch.setattr(bwt_dedup, "TOGETHER", 20)
+    monkeypatch.setattr(bwt_dedup, "SPLIT", split)
     monkeypatch.setattr(bwt_dedup, "CHUNK", 700)
     rng = random.Random(6)
     texts = [(r[1] or "").encode() for r in sample_docs(5, 40)]
