@@ -18,8 +18,9 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from corvane.llm.graph import components
 BLOCK, TOGETHER = 2000, 300
 #: Cuts from which the blocks' borders in a large neighbourhood are taken.
 CUTS = 4096
+#: Pieces, a power of two, in which the segments of a task are tied.
+PIECES = 8
 #: Shingles that at least so many classes share are left out of segments; at most so many of them, the
 #: most frequent (any choice finds all links; it only keeps neighbourhoods small), seen so often in one task.
 FREQUENT, FREQUENT_KEPT, SEEN_IN_TASK = 64, 100_000, 3
@@ -206,21 +209,29 @@ def t_occurrence(sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray, p
 LINK = "a long, b long"
 
 
-def _ties(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of (segments, classes) pairs: the smallest class of each segment, and the ties (class, smallest) of the others."""
-    got = list(batches)
-    if not got:
-        return np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)
-    t, c = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
-    order = np.lexsort((c, t))
-    t, c = t[order], c[order]
-    new = np.ones(len(t), bool)
-    new[1:] = t[1:] != t[:-1]
-    first = np.flatnonzero(new)
-    least = np.repeat(c[first], np.diff(np.append(first, len(t))))
-    apart = c != least
-    ties = np.unique(np.stack((c[apart], least[apart])), axis=1) if apart.any() else np.zeros((2, 0), np.int64)
-    return np.stack((t[first], c[first])), ties
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    """The distinct columns of a two-row array, sorted."""
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+    return pairs[:, np.concatenate(([True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)))] if pairs.shape[1] else pairs
+
+
+def _ties(got: Sequence, read: Callable[[Any], tuple[np.ndarray, np.ndarray]] = lambda x: x) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of (segments, classes) pairs: the smallest class of each segment, and the ties (class, smallest) of the others.
+
+    One piece of the segments after the other, by their low bits, so that only a piece is sorted and
+    unpacked at once.
+    """
+    for piece in range(PIECES if got else 0):
+        picked = [(t[mine], c[mine]) for t, c in map(read, got) for mine in (t & (PIECES - 1) == piece,)]
+        t, c = (np.concatenate(x) for x in zip(*picked, strict=True))
+        del picked
+        order = np.argsort(t)
+        t, c = t[order], c[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(t), 1), bool), t[1:] != t[:-1])))
+        least = np.minimum.reduceat(c, first) if len(first) else c
+        own = np.repeat(least, np.diff(np.append(first, len(t))))
+        apart = c != own
+        yield np.stack((t[first], least)), _distinct(np.stack((c[apart], own[apart])))
 
 
 def _pack(least: np.ndarray) -> bytes:
@@ -296,7 +307,11 @@ def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
                 if t:
                     yield np.concatenate(t), np.concatenate(c)
 
-        least, ties = _ties(all_segments())
+        found = list(_ties(list(all_segments())))
+        if not found:
+            return
+        least, ties = np.concatenate([x[0] for x in found], axis=1), _distinct(np.concatenate([x[1] for x in found], axis=1))
+        del found
         bucket = (least[0].view(np.uint64) >> np.uint64(48)).astype(np.int64) * 65_537 % 2_147_483_647 % parts
         by = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by], np.arange(parts + 1))
@@ -311,9 +326,9 @@ def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
         done, open_ = [], []
         for batch in batches:
             for b, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                done.append(np.frombuffer(d, np.int64).reshape(2, -1)) if b < 0 else open_.append(_unpack(d))
-        _, ties = _ties(iter(open_))
-        ties = np.unique(np.concatenate([*done, ties], axis=1), axis=1) if done or ties.size else ties
+                done.append(np.frombuffer(d, np.int64).reshape(2, -1)) if b < 0 else open_.append(d)
+        done += [ties for _, ties in _ties(open_, _unpack)]
+        ties = _distinct(np.concatenate(done, axis=1)) if done else np.zeros((2, 0), np.int64)
         for i in range(0, ties.shape[1], 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(ties[0, i : i + 50_000]), pa.array(ties[1, i : i + 50_000])], ["a", "b"])
 
