@@ -34,6 +34,8 @@ from corvane.llm.graph import components
 BLOCK, TOGETHER = 2000, 300
 #: Cuts from which the blocks' borders in a large neighbourhood are taken.
 CUTS = 4096
+#: Entries of inverted lists read and merged at once.
+MERGED = 1 << 18
 #: Pieces, a power of two, in which the segments of a task are tied.
 PIECES = 8
 #: Shingles that at least so many classes share are left out of segments; at most so many of them, the
@@ -135,25 +137,35 @@ def overlap_needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def t_occurrence(sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def _read_lists(posting: np.ndarray, begin: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted entries of the lists, and the number of the list of each; MERGED or so are read at once."""
+    docs, of = [], []
+    chunk = np.cumsum(size) // MERGED
+    for i in np.split(np.arange(len(size)), np.flatnonzero(np.diff(chunk)) + 1):
+        n = size[i]
+        found = posting[np.repeat(begin[i] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        hit = wanted[found]
+        docs.append(found[hit])
+        of.append(np.repeat(i.astype(np.int32), n)[hit])
+    return np.concatenate(docs), np.concatenate(of)
+
+
+def t_occurrence(tokens: np.ndarray, sizes: np.ndarray, labels: np.ndarray, asks: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links between sets, enough of them to join what hangs together.
 
-    labels: what hangs together already (such sets aren't compared); asks: which sets are queries.
+    tokens: the sets one after the other, of sizes tokens each. labels: what hangs together already (such sets aren't compared); asks: which sets are queries.
     """
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    tokens = np.concatenate(sets) if n else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(tokens, kind="stable")
-    t = tokens[order]
-    new = np.ones(len(t), bool)
-    new[1:] = t[1:] != t[:-1]
-    token_id = np.empty(len(t), np.int64)
-    token_id[order] = np.cumsum(new) - 1
+    n = len(sizes)
+    order = np.argsort(tokens, kind="stable").astype(np.int32)
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[order[1:]] != tokens[order[:-1]]
+    token_id = np.empty(len(tokens), np.int32)
+    token_id[order] = np.cumsum(new, dtype=np.int32) - 1
     begin = np.flatnonzero(new)
-    lengths = np.diff(np.append(begin, len(t)))
-    posting = owner[order]  # lists one after the other, each in the order of the sets
-    codes = np.cumsum(new).astype(np.int64) * n - n + posting
+    lengths = np.diff(np.append(begin, len(tokens)))
+    posting = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]  # lists one after the other, each in the order of the sets
+    del order
+    codes = np.cumsum(new) * n - n + posting
     at = np.cumsum(sizes) - sizes
     labels = labels.copy()
     members: dict[int, list[int]] = {}
@@ -173,23 +185,24 @@ def t_occurrence(sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray, p
         mine = mine[np.argsort(lengths[mine], kind="stable")]
         n_long = min(least - 1, int(least / (0.01 * math.log2(max(2, int(lengths[mine[-1]]))) + 1)))
         short, long = mine[: len(mine) - n_long], mine[len(mine) - n_long :]
-        size = lengths[short]
-        flat = np.repeat(begin[short] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        docs = posting[flat]
-        other = (labels[docs] != labels[q]) & ~asked[docs] & (sizes[docs] * 100 >= percent * sizes[q]) & (sizes[docs] * percent <= 100 * sizes[q])
-        if not other.any():
+        wanted = (labels != labels[q]) & ~asked & (sizes * 100 >= percent * sizes[q]) & (sizes * percent <= 100 * sizes[q])
+        if not wanted.any():
             continue
-        parts = np.split(docs[other], np.flatnonzero(np.diff(np.repeat(np.arange(len(short)), size)[other])) + 1)
-        enough, run, last = least - n_long, 0, -1
-        found: list[tuple[int, int]] = []
-        for d in heapq.merge(*[p.tolist() for p in parts]):
-            if d != last:
-                if run >= enough:
-                    found.append((last, run))
-                last, run = d, 0
-            run += 1
-        if run >= enough:
-            found.append((last, run))
+        docs, of = _read_lists(posting, begin[short], lengths[short], wanted)
+        enough, found = least - n_long, []
+        window = np.cumsum(np.bincount(docs, minlength=n)) // MERGED  # sets merged at once
+        for w in range(int(window[-1]) + 1) if len(docs) else ():
+            mine_now = window[docs] == w
+            d_now, l_now = docs[mine_now], of[mine_now]
+            run, last = 0, -1
+            for d in heapq.merge(*[p.tolist() for p in np.split(d_now, np.flatnonzero(np.diff(l_now)) + 1)]):
+                if d != last:
+                    if run >= enough:
+                        found.append((last, run))
+                    last, run = d, 0
+                run += 1
+            if run >= enough:
+                found.append((last, run))
         for d, seen in found:
             if labels[d] == labels[q]:
                 continue
@@ -347,11 +360,17 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
     """Links found in each group (columns g1, g2) of rows (key, label, asks, shingles)."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.group_by(["key", "asks", "label", "shingles"]).aggregate([])  # rows that repeat
         keys, labels = t.column("key").to_numpy(), t.column("label").to_numpy()
-        sets = [np.frombuffer(b, np.uint64) for b in t.column("shingles").to_pylist()]
+        asks = t.column("asks").to_numpy(zero_copy_only=False)
+        _, once = np.unique(np.stack((keys, asks)), axis=1, return_index=True)
+        if len(once) < len(keys):  # rows that repeat
+            t, keys, labels, asks = t.take(once), keys[once], labels[once], asks[once]
+        data = t.column("shingles").cast(pa.large_binary()).combine_chunks()
+        data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+        ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] // 8
+        tokens = np.frombuffer(data.buffers()[2], np.uint64, int(ends[-1]))[int(ends[0]) :]
         _, small = np.unique(labels, return_inverse=True)
-        links = t_occurrence(sets, small, t.column("asks").to_numpy(zero_copy_only=False), percent)
+        links = t_occurrence(tokens, np.diff(ends), small, asks, percent)
         return pa.table({"a": pa.array([int(keys[a]) for a, _ in links], pa.int64()), "b": pa.array([int(keys[b]) for _, b in links], pa.int64())})
 
     return rows.groupBy("g1", "g2").applyInArrow(run, LINK)
