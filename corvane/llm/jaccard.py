@@ -206,7 +206,7 @@ def t_occurrence(tokens: np.ndarray, sizes: np.ndarray, labels: np.ndarray, asks
         for d, seen in found:
             if labels[d] == labels[q]:
                 continue
-            probe = long * n + d
+            probe = long.astype(np.int64) * n + d  # in 32 bits, as token_id is, it would wrap
             hits = np.searchsorted(codes, probe)
             both = seen + int((codes[np.minimum(hits, len(codes) - 1)] == probe).sum())
             if both >= overlap_needed(int(sizes[q]), int(sizes[d]), percent):

@@ -146,3 +146,19 @@ def test_jaccard_odd_rows(spark):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in join.jaccard_groups(df).collect())
     assert got == sorted([("1", 2, "1"), ("1", 2, "1"), ("2", 0, "2"), ("3", 0, "3"), ("4", 1, "4"), ("5", 1, "4"), ("None", 2, "9"), ("9", 2, "9")])
     assert join.jaccard_groups(df.limit(0)).count() == 0 and join.one_of_each(df.limit(0)).count() == 0
+
+
+def test_search_of_many_sets_and_shingles():
+    """Sets times distinct shingles above 2^31; the links of the large sets as plain sets give them."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 400_000, dtype=np.uint64))
+    more = np.unique(rng.integers(0, 1 << 63, 40_000, dtype=np.uint64))
+    near, far = np.union1d(base[12_000:], more[:12_000]), np.union1d(base[:-30_000], more[12_000:])
+    tiny = [np.array([x], np.uint64) for x in range(7_000)]
+    sets = [base, near, far, *tiny]
+    assert len(sets) * len(np.unique(np.concatenate(sets))) > 1 << 31
+    asks = np.arange(len(sets)) < 3
+    found = join.t_occurrence(np.concatenate(sets), np.array([len(s) for s in sets]), np.arange(len(sets)), asks, 90)
+    plain = [set(s.tolist()) for s in sets[:3]]
+    want = {(a, b) for a in range(3) for b in range(a + 1, 3) if 100 * len(plain[a] & plain[b]) >= 90 * len(plain[a] | plain[b])}
+    assert {tuple(sorted(x)) for x in found} == want == {(0, 1)}
