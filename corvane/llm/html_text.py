@@ -23,6 +23,7 @@ DROPPED = frozenset("nav footer aside form menu dialog search fieldset head titl
 RAW = frozenset("script style noscript template iframe svg math canvas object audio video select textarea button title xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset(["br", "hr"])
+HEAD = frozenset("base link meta head".split())
 PARAGRAPHS = frozenset("p pre td blockquote dd div section article main li body".split())
 ENDS_P = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "li", "dt", "dd", "summary"} | {"li", "hr"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -40,13 +41,15 @@ _NAMED = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 
 
 class Element:
-    __slots__ = ("name", "parent", "parts", "children", "score", "chars", "link_chars", "bonus", "at")
+    __slots__ = ("name", "parent", "parts", "children", "score", "chars", "link_chars", "bonus", "at", "inline", "skip")
 
     def __init__(self, name: str, parent: Element | None, bonus: float, at: int):
         self.name, self.parent, self.bonus, self.at = name, parent, bonus, at
         self.parts: list = []  # own text and child elements, in order
         self.children: list[Element] = []
         self.score, self.chars, self.link_chars = 0.0, 0, 0
+        self.inline: dict[str, int] = {}  # inline elements open in it
+        self.skip: Element | None = parent and parent.skip  # the outermost dropped element it is or stands in
 
 
 def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, float]:
@@ -73,16 +76,20 @@ def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, float]:
 
 
 def parse(html: str) -> Element:
-    """The tree of block elements; inline elements only mark text as link text."""
+    """The tree of block elements; inline elements only mark text as link text.
+
+    Dropped elements stay out of their parent, but end like any other: by their end tag, that of an
+    element around them, or a start tag that implies it.
+    """
     root = at = Element("#root", None, 1.0, 0)
-    pos, count, skip = 0, 1, None  # skip: the dropped element being passed over, and its depth
-    depth, in_link = 0, False
+    pos, count = 0, 1
+    in_link = False
     low = None
     end, tags_end = len(html), html.rfind(">") + 1
     while pos < end:
         m = _TAG.search(html, pos, tags_end)
         text = html[pos : m.start() if m else end]
-        if text and skip is None:
+        if text and at.skip is None:
             at.parts.append((text, in_link))
         if not m:
             break
@@ -90,25 +97,28 @@ def parse(html: str) -> Element:
         if m[2] is None:
             continue
         name = m[2].lower()
+        top = at.skip
         if m[1]:
-            if skip is not None:
-                if name == skip:
-                    depth -= 1
-                    if not depth:
-                        skip = None
-                elif name in ("body", "html"):
-                    skip = None
-                continue
-            if name == "a":
-                in_link = False
+            if name in ("body", "html"):
+                at = top.parent if top else at
             elif name in BLOCKS:
                 x = at
                 while x is not root and x.name != name:
                     x = x.parent
-                if x is not root and name not in ("body", "html"):
-                    at, in_link = x.parent, False
+                if x is not root:
+                    at, in_link = x.parent, in_link and x.skip is not None
+            elif at.inline.get(name):
+                at.inline[name] -= 1
+            elif top and top.name not in BLOCKS and (name == top.name or top.parent.inline.get(name)):
+                at = top.parent
+                if name != top.name:
+                    at.inline[name] -= 1
+                    in_link = in_link and name != "a"
+            if name == "a" and top is None:
+                in_link = False
             continue
-        if name in RAW and not m[3].rstrip().endswith("/"):
+        closed = m[3].rstrip().endswith("/")
+        if name in RAW and not closed:
             low = low if low is not None else html.lower()
             stop = low.find(f"</{name}", pos)
             if stop < 0:
@@ -119,23 +129,19 @@ def parse(html: str) -> Element:
             close = html.find(">", stop)
             pos = close + 1 if close >= 0 else end
             continue
-        if skip is not None:
-            if name == skip and not m[3].rstrip().endswith("/"):
-                depth += 1
-            elif skip == "head" and name == "body":
-                skip = None
-            if skip is not None:
-                continue
-        if name in VOID:
-            if name in SPACED:
+        if at.name == "head" and name not in HEAD:
+            at = at.parent
+        if name in VOID and not (name == "hr" and at.skip):
+            if name in SPACED and at.skip is None:
                 at.parts.append((" ", False))
             continue
-        if name == "a":
-            in_link = True
-            continue
-        if name not in BLOCKS:
-            if m[3] and _HIDDEN.search(m[3]):
-                skip, depth = name, 1
+        if name not in BLOCKS and name not in VOID:
+            if at.skip is None and name != "a" and m[3] and _HIDDEN.search(m[3]):
+                at = Element(name, at, 1.0, 0)
+                at.skip = at
+            elif not (at.skip and closed):
+                at.inline[name] = at.inline.get(name, 0) + 1
+                in_link = in_link or name == "a" and at.skip is None
             continue
         if name in ENDS_P:
             x = at
@@ -146,22 +152,34 @@ def parse(html: str) -> Element:
         if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             like = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",)}.get(name, ("td", "th"))
             x = at
-            while x is not root and x.name not in (*like, "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "div", "article", "section", "body") and not (name in ("td", "th") and x.name == "tr"):
+            while (
+                x is not root
+                and x.name not in (*like, "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "div", "article", "section", "body")
+                and not (name in ("td", "th") and x.name == "tr")
+                and not (name in ("li", "dt", "dd") and (x.name in DROPPED or x.name == "header"))
+            ):
                 x = x.parent
             if x.name in like:
                 at = x.parent
+        if name in VOID:
+            if at.skip is None:
+                at.parts.append((" ", False))
+            continue
+        if at.skip:
+            if not closed:
+                at = Element(name, at, 1.0, 0)
+            continue
         x, in_article = at, False
         while x is not root and not in_article:
             in_article, x = x.name in ("article", "main"), x.parent
         dropped, bonus = _kind(name, m[3], in_article)
+        e = Element(name, at, bonus, count)
         if dropped:
+            e.skip = e
             if name != "head":
-                skip, depth = name, 1
                 at.parts.append((" ", False))
-                continue
-            skip, depth = "head", 1
+            at = e
             continue
-        e = Element(name, at, bonus, count)
         count += 1
         at.parts.append(e)
         at.children.append(e)

@@ -112,6 +112,32 @@ def test_html_main_text(wrap):
     assert html_text.main_text(PAGE % (wrap % ARTICLE)) == TEXT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><p class='notice'>Gone <b>here</b><p>%s</p></article>",
+        "<article><p class='notice'>Gone<div><p>%s</div></article>",
+        "<article><p class='notice'>Gone<hr>%s</article>",
+        "<article><ul><li class='share'>Gone<li>%s</ul></article>",
+        "<article><ul><li class='share'>Gone <a href='x'>too</ul><p>%s</article>",
+        "<article><dl><dt class='share'>Gone<dd>%s</dl></article>",
+        "<article><table><tr><td class='ad'>Gone<td>%s<tr class='ad'><td>Gone</table></article>",
+        "<article><table><tr class='ad'><td>Gone<tr><td>%s</table></article>",
+        "<div><aside><div>Gone</aside><p>%s</div>",
+        "<div><div><nav><ul><li>Gone</div><p>%s</div>",
+        "<article><p><b><span hidden>Gone</b>%s</article>",
+        "<article><p><span hidden>Gone <span>and</span> gone <b>too</b></span>%s</article>",
+        "<article><p><span hidden>Gone<p>%s</article>",
+        "<ul><li><nav><li>Gone</li>Gone</nav>%s</ul>",
+        "<html><head><meta name='x'><p>%s",
+        "<article><div class='ad'><p>Gone<p>Gone<div>Gone</div>Gone</div><p>%s</article>",
+    ],
+)
+def test_html_dropped_elements_end(page):
+    text = "Rails were laid in spring, and the line was opened, late, by autumn."
+    assert html_text.main_text(page % text) == text
+
+
 def test_html_odd_pages(spark):
     rows = [None, "", "no tags, just text", "<p>x", "<script>never closed", "<<<<" * 5000, "<a <a " * 20_000, "<p a='" * 2000, "<div>" * 20_000 + "deep, text", "<nav>only menu</nav>", "<p>" + "word, " * 100_000, "&nbsp;&#x41;&bogus;"]
     df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(rows)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
