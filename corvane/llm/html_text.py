@@ -34,10 +34,12 @@ _UNWANTED = re.compile(
     r"signup|login|share|sharing|social|related|recommend\w*|trending|widget|skip-?link|hidden|legal|copyright)(?:$|[\s_-])"
 )
 _WANTED = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|post|story|text|blog)(?:$|[\s_-])")
-_HIDDEN = re.compile(r"""\shidden(?=[\s=/]|$)|\baria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: What a name says isn't there, or is there besides the content.
+_BESIDES = re.compile(r"(?<=[\s_-])(?:no|has|with)[_-]\S*")
 #: Quotes count only after "="; nothing is tried twice, so any text takes linear time.
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+')?)*+)>|<[!?/][^>]*+>""", re.S)
-_NAMED = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))?)?""")
 
 
 class Element:
@@ -52,27 +54,41 @@ class Element:
         self.skip: Element | None = parent and parent.skip  # the outermost dropped element it is or stands in
 
 
-def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, float]:
-    """Whether an element is dropped, and the factor on its points."""
+def _attributes(text: str) -> dict[str, str]:
+    """Values by lower-case name; of a name that repeats the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
+
+
+def _kind(name: str, text: str, in_article: bool) -> tuple[bool, float]:
+    """Whether an element is dropped, and the factor on its points.
+
+    An unwanted word drops it only if no other of its names is one of content; parts of one name, as in
+    comment-body, don't speak for it. Names like no-sidebar say nothing.
+    """
     if name in DROPPED or name == "header" and not in_article:
         return True, 1.0
-    if not attributes.strip(" \n\t/"):
+    if not text.strip(" \n\t/"):
         return False, 1.5 if name in ("article", "main") else 1.0
-    if _HIDDEN.search(attributes):
+    attributes = _attributes(text)
+    if _hidden(attributes):
         return True, 1.0
-    words, role = "", ""
-    for m in _NAMED.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
-            role = value
-        else:
-            words += " " + re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower()
+    role = attributes.get("role", "").strip().lower()
     if role in ROLES:
         return True, 1.0
-    wanted = name in ("article", "main") or role in ("main", "article") or bool(_WANTED.search(words))
-    if name not in ("html", "body", "article", "main") and _UNWANTED.search(words) and not (wanted and name in ("article", "main")):
+    names = " ".join(attributes.get(k, "") for k in ("class", "id", "itemprop"))
+    words = _BESIDES.sub("", " " + re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower())
+    unwanted = bool(_UNWANTED.search(words))
+    wanted = name in ("article", "main") or role in ("main", "article") or any(_WANTED.search(w) and not _UNWANTED.search(w) for w in words.split())
+    if unwanted and not wanted and name not in ("html", "body"):
         return True, 1.0
-    return False, 1.5 if wanted else 1.0
+    return False, 1.5 if wanted or _WANTED.search(words) else 1.0
 
 
 def parse(html: str) -> Element:
@@ -136,7 +152,7 @@ def parse(html: str) -> Element:
                 at.parts.append((" ", False))
             continue
         if name not in BLOCKS and name not in VOID:
-            if at.skip is None and name != "a" and m[3] and _HIDDEN.search(m[3]):
+            if at.skip is None and name != "a" and m[3] and _hidden(_attributes(m[3])):
                 at = Element(name, at, 1.0, 0)
                 at.skip = at
             elif not (at.skip and closed):

@@ -138,6 +138,31 @@ def test_html_dropped_elements_end(page):
     assert html_text.main_text(page % text) == text
 
 
+@pytest.mark.parametrize(
+    "start",
+    [
+        '<article aria-label="The hidden cost of rails">',
+        '<article data-note="display: none" title=\'aria-hidden=true\'>',
+        '<div title="class=sidebar id=\'ad\'" data-class="ad" data-role="menu">',
+        '<div class="content no-sidebar">',
+        '<div class="post has-comments">',
+        '<div class="page-with-sidebar" id="noShare">',
+        '<section class="sidebar-left" id="main">',
+        '<div role="main" class="notice">',
+    ],
+)
+def test_html_attributes_that_drop_nothing(start):
+    text = "Rails were laid in spring, and the line was opened, late, by autumn."
+    end = "</" + start[1:].split()[0] + ">"
+    assert html_text.main_text(f"<body>{start}<p>{text}<b title='the hidden one'> Whole.</b></p>{end}</body>") == text + " Whole."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "a=b hidden c", "aria-hidden=true", "style='color:red; display : none'", "class='comment-body'", "class='post-share'", "id=adBox", "class=sidebar", "role=menu"])
+def test_html_attributes_that_drop(attributes):
+    text = "Rails were laid in spring, and the line was opened, late, by autumn."
+    assert html_text.main_text(f"<article><p>{text}</p><div {attributes}><p>Gone, gone.</p></div></article>") == text
+
+
 def test_html_odd_pages(spark):
     rows = [None, "", "no tags, just text", "<p>x", "<script>never closed", "<<<<" * 5000, "<a <a " * 20_000, "<p a='" * 2000, "<div>" * 20_000 + "deep, text", "<nav>only menu</nav>", "<p>" + "word, " * 100_000, "&nbsp;&#x41;&bogus;"]
     df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(rows)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
