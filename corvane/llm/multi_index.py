@@ -69,16 +69,15 @@ def traverse(first: np.ndarray, second: np.ndarray, cells: int) -> list[int]:
 def cells_for(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float, recall: float, seed: int = 11) -> int:
     """Cells a query must visit so that the share `recall` of partners is met.
 
-    Partners are drawn around sampled vectors in random directions, at cosines from the threshold to
-    1: at least as far as real ones; the rank of their cell among the query's cells is what counts.
+    Partners are drawn around sampled vectors in random directions, at the threshold cosine: at least
+    as far as real ones; the rank of their cell among the query's cells is what counts.
     """
     rng = np.random.default_rng(seed)
     x = sample[rng.choice(len(sample), min(PROBES, len(sample)), replace=False)]
     u = rng.standard_normal(x.shape)
     u -= (u * x).sum(1)[:, None] * x
     u /= np.maximum(np.linalg.norm(u, axis=1), 1e-30)[:, None]
-    c = rng.uniform(cosine, 1, len(x))[:, None]
-    y = c * x + np.sqrt(1 - c * c) * u
+    y = cosine * x + np.sqrt(1 - cosine * cosine) * u
     dx, dy = half_distances(x, books), half_distances(y, books)
     rows = np.arange(len(x))
     reached = dx[0][rows, dy[0].argmin(1)] + dx[1][rows, dy[1].argmin(1)]
@@ -120,7 +119,7 @@ def usable(column: str) -> F.Column:
 def near_links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.99, id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (id, k1, k2), groups of equal vectors (k1, k2, rep, copies, n_near) and links between reps (a, b).
 
-    n_near is the number of vectors in other groups that were found at the cosine or above. links
+    n_near is the number of vectors in other groups that were found at the cosine or above, from either end. links
     hold a spanning forest of each compared block, which reaches what all its links reach.
     Null and zero vectors and those with null or non-finite components are in no group. Vectors are
     compared with those of their own length.
@@ -132,7 +131,7 @@ def near_links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.99, id
     groups = stored(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
     members = keyed.select("id", "k1", "k2")
     counts, links = None, None
-    for (width,) in groups.select(F.size("v")).distinct().limit(64).collect():  # lengths of vectors: one as a rule
+    for (width,) in groups.select(F.size("v")).distinct().collect():  # lengths of vectors: one as a rule
         near, edges = _search(spark, groups.where(F.size("v") == width), width, cosine, recall)
         counts, links = (near, edges) if counts is None else (counts.unionByName(near), links.unionByName(edges))
     if counts is None:
@@ -165,8 +164,8 @@ def _search(spark, groups: DataFrame, width: int, cosine: float, recall: float)
 
     placed = stored(groups.select("rep", "v", "copies").mapInArrow(place, f"rep long, copies long, v {kind}, own int, seen array<int>"))
     salt = F.xxhash64("rep")
-    as_member = placed.select(F.col("own").alias("cell"), F.lit(False).alias("asks"), "rep", "copies", "v")
-    as_query = placed.select(F.explode("seen").alias("cell"), F.lit(True).alias("asks"), "rep", "copies", "v")
+    as_member = placed.select(F.col("own").alias("cell"), F.lit(False).alias("asks"), "rep", "copies", "v", "own", "seen")
+    as_query = placed.select(F.explode("seen").alias("cell"), F.lit(True).alias("asks"), "rep", "copies", "v", "own", F.array().cast("array<int>").alias("seen"))
     # at most LARGEST^2 rows: into how many blocks the members and the queries of a cell are dealt
     cells = as_member.select("cell", "asks").unionByName(as_query.select("cell", "asks")).groupBy("cell").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("m"))
     blocks = F.broadcast(stored(cells.where("m > 0").select("cell", *[F.ceil(F.greatest(F.col(c), F.lit(1)) / BLOCK).cast("int").alias(c) for c in ("q", "m")])))
@@ -179,6 +178,9 @@ def _search(spark, groups: DataFrame, width: int, cosine: float, recall: float)
         asks = t.column("asks").to_numpy(zero_copy_only=False)
         ids, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
         qi, mi = np.flatnonzero(asks), np.flatnonzero(~asks)
+        own, seen = t.column("own").to_numpy().astype(np.int64), t.column("seen").combine_chunks()
+        lengths = pc.list_value_length(seen).to_numpy(zero_copy_only=False)
+        visited = np.sort(np.repeat(np.arange(len(ids)), lengths) * (k * k) + pc.list_flatten(seen).to_numpy(zero_copy_only=False))
         n = np.zeros(len(ids), np.int64)
         a, b = [], []
         for s in range(0, len(qi), 512):
@@ -188,6 +190,10 @@ def _search(spark, groups: DataFrame, width: int, cosine: float, recall: float)
             other = ids[hit_q] != ids[hit_m]
             hit_q, hit_m = hit_q[other], hit_m[other]
             np.add.at(n, hit_q, copies[hit_m])
+            back = hit_m * (k * k) + own[hit_q]  # where the member asks too, it counts the pair itself
+            at = np.searchsorted(visited, back)
+            once = visited[np.minimum(at, len(visited) - 1)] != back
+            np.add.at(n, hit_m[once], copies[hit_q[once]])
             a.append(hit_q)
             b.append(hit_m)
         a, b = np.concatenate(a or [qi[:0]]), np.concatenate(b or [qi[:0]])

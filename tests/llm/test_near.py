@@ -68,6 +68,50 @@ def test_index_recall_is_high(spark):
     assert got.where("n_links >= 1 AND component_id = vec_id - 1500").count() >= 0.95 * 500
 
 
+def test_links_count_at_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "cells_for", lambda *_: 2)
+    monkeypatch.setattr(multi_index, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    x = [unit(b) for b in rng.standard_normal((1000, 32))]
+    for i in range(1000):
+        u = rng.standard_normal(32)
+        u = unit(u - (u @ x[i]) * x[i])
+        x.append(0.92 * x[i] + np.sqrt(1 - 0.92**2) * u)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in multi_index.dedup_vectors(df).collect()}
+    met = [got[i][1] == got[i + 1000][1] for i in range(1000)]
+    assert 0 < sum(met) < 1000
+    assert all(got[i][0] == got[i + 1000][0] == int(m) for i, m in enumerate(met))
+
+
+def test_partners_at_the_threshold_are_met():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((2000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    books = (multi_index.fit_codebook(x[:, :16], 8), multi_index.fit_codebook(x[:, 16:], 8))
+    visits = multi_index.cells_for(x, books, 0.9, 0.99)
+    u = rng.standard_normal(x.shape)
+    u -= (u * x).sum(1)[:, None] * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * u / np.linalg.norm(u, axis=1)[:, None]
+    dx, dy = multi_index.half_distances(x, books), multi_index.half_distances(y, books)
+    own = dy[0].argmin(1) * 8 + dy[1].argmin(1)
+    met = [c in multi_index.traverse(a, b, visits) for a, b, c in zip(*dx, own.tolist(), strict=True)]
+    assert np.mean(met) >= 0.98
+
+
+def test_vectors_of_all_lengths_are_compared(spark, monkeypatch):
+    seen = []
+
+    def search(spark, groups, width, *_):
+        seen.append(width)
+        return spark.createDataFrame([], "rep long, n long"), spark.createDataFrame([], "a long, b long")
+
+    monkeypatch.setattr(multi_index, "_search", search)
+    df = spark.createDataFrame([(i, [1.0] * (i + 1)) for i in range(70)], "vec_id long, embedding array<double>")
+    multi_index.near_links(df)
+    assert sorted(seen) == list(range(1, 71))
+
+
 def test_traversal_is_in_order_of_distance():
     rng = np.random.default_rng(5)
     a, b = rng.random(9), rng.random(9)
