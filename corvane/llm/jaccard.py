@@ -1,6 +1,6 @@
 """N-gram Jaccard join: groups of documents whose word shingles overlap enough.
 
-1. Documents with equal shingle sets are one class, told by a 128-bit digest.
+1. Documents with equal shingle sets are one class, told by a 64-bit digest.
 2. Two classes that link differ in at most k shingles, a number that their size bounds. Shingles are
    dealt to more than k segments by ranges of their hashes, so some segments of both are the same.
    Classes that share a segment are tied to the smallest of them - in the task first, then between
