@@ -75,21 +75,35 @@ def create_only(objects: DataFrame, existing: DataFrame | None = None) -> DataFr
     return once if existing is None else once.join(existing.select("digest"), "digest", "left_anti")
 
 
+def _inner_word(fragment: str) -> Column:
+    """The longest word that isn't a fragment's first or last; null if there is none."""
+    words = F.regexp_extract_all(fragment, F.lit(WORD), F.lit(0))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+
 def fragments_in(texts: DataFrame, fragments: DataFrame) -> DataFrame:
     """(doc_id, fragment_id) of texts that contain a fragment.
 
     Texts and fragments meet by one word of the fragment that stands whole in it, the longest, so only
     texts with that word are scanned for it; nothing is compared with everything. Fragments without an
-    inner word aren't found by a word and must be given to fragments_by_scan.
+    inner word aren't found by a word and must be given to fragments_by_scan or wordless_in.
     """
-    inner = F.slice(F.regexp_extract_all("fragment", F.lit(WORD), F.lit(0)), 2, F.greatest(F.size(F.regexp_extract_all("fragment", F.lit(WORD), F.lit(0))) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = fragments.select("fragment_id", "fragment", longest.alias("word")).where("word IS NOT NULL")
+    keyed = fragments.select("fragment_id", "fragment", _inner_word("fragment").alias("word")).where("word IS NOT NULL")
     words = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word"))
     pairs = words.join(keyed, "word").select("doc_id", "fragment_id", "fragment").distinct()
     return pairs.join(texts, "doc_id").where(F.contains("text", "fragment")).select("doc_id", "fragment_id")
 
 
+def wordless_in(texts: DataFrame, fragments: DataFrame) -> DataFrame:
+    """The same for the fragments without an inner word, each tested on each text; broadcast if they are few."""
+    rest = fragments.select("fragment_id", "fragment").where(_inner_word("fragment").isNull() & F.col("fragment").isNotNull())
+    n = rest.count()
+    if not n:
+        return texts.select("doc_id").crossJoin(rest.select("fragment_id")).limit(0)
+    return texts.join(F.broadcast(rest) if n <= 10_000 else rest, F.contains("text", "fragment")).select("doc_id", "fragment_id")
+
+
 def fragments_by_scan(texts: DataFrame, fragments: list[tuple[int, str]]) -> DataFrame:
     """The same for a short list of fragments given by the caller, tested on each text."""
     found = F.filter(F.array(*[F.when(F.contains("text", F.lit(f)), F.lit(i)) for i, f in fragments]), lambda x: x.isNotNull())

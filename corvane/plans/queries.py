@@ -408,7 +408,8 @@ def evidence_dedup(s, d):
 
 @query("SELECT doc_id, item_id AS fragment_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def private_fragment_scan(s, d):
-    return evidence.fragments_in(driver_table(s, d, "documents").select("doc_id", "text"), driver_table(s, d, "benchmark").select(F.col("item_id").alias("fragment_id"), F.col("text").alias("fragment")))
+    texts, fragments = driver_table(s, d, "documents").select("doc_id", "text"), driver_table(s, d, "benchmark").select(F.col("item_id").alias("fragment_id"), F.col("text").alias("fragment"))
+    return evidence.fragments_in(texts, fragments).unionByName(evidence.wordless_in(texts, fragments))
 
 
 @query("""SELECT page_id, target, count(*) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) GROUP BY ALL""")

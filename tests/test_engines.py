@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import amounts, codec
 from corvane.operators import adapters, attribution, catalog, classification, evidence, finality, latest, reducer
+from corvane.plans import queries
 from corvane.streaming.finality import fold
 
 
@@ -193,6 +194,15 @@ def test_evidence_helpers(spark, tmp_path):
     assert [tuple(r) for r in evidence.fragments_by_scan(texts, [(7, "secret w"), (8, "zzz")]).collect()] == [(1, 7)]
 
 
+def test_fragments_without_an_inner_word_are_found(spark, tmp_path):
+    texts = [(1, "a secret word here"), (2, "nothing"), (3, None), (4, "the secret worded")]
+    items = [(1, "secret"), (2, "cret wor"), (3, None), (4, "a secret word"), (5, "zz"), (6, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in queries.private_fragment_scan(spark, str(tmp_path)).collect())
+    assert got == sorted((d, i) for d, t in texts for i, f in items if t is not None and f is not None and f in t)
+
+
 def test_pages_and_versions(spark):
     df = spark.createDataFrame([(f"a{i:02d}",) for i in range(40)], "id string")
     first = [r.id for r in latest.page(df, ["id"]).collect()]
