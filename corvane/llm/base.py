@@ -22,20 +22,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under the shared one named by the cluster; a temporary one only where none is set."""
+    """A fresh folder under the shared one that the session names; only a local master may do without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "/tmp/checkpoints/corvane"
     return f"{root.rstrip('/')}/corvane-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes df to shared storage and reads it back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
+    path = path or shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one computation in a shared folder of its own, which are deleted once spent.
+
+    What is returned beyond the with block must not read them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.count = spark, shared_dir(spark), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        return stored(df, f"{self.root}/{self.count}")
+
+    def mark(self) -> int:
+        return self.count
+
+    def spent(self, after: int, upto: int) -> None:
+        """Deletes the tables stored after one mark, up to another."""
+        for k in range(after + 1, upto + 1):
+            self._delete(f"{self.root}/{k}")
+
+
 def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcast if its counted rows are within limit; else it joins by shuffle."""
     return F.broadcast(df) if rows <= limit else df

@@ -1,45 +1,46 @@
 """N-gram Jaccard join: groups of documents whose word shingles overlap enough.
 
-1. Documents with equal shingle sets are one class, told by a 64-bit digest.
-2. Two classes that link differ in at most k shingles, a number that their size bounds. Shingles are
-   dealt to more than k segments by ranges of their hashes, so some segments of both are the same.
-   Classes that share a segment are tied to the smallest of them - in the task first, then between
-   tasks - so a segment costs a row per task, never pairs. What hangs together is a neighbourhood.
-   Shingles that very many documents share are left out of the segments, where enough others are left.
+1. Documents with equal shingle sets are one class, told by a 128-bit digest.
+2. Shingles are put in one order, rarest first, by the number of classes that have them. Of two sets
+   that link, each has one of the other's shingles among its first n - ceil(t n) + 1: its prefix. A
+   shingle that one class alone has ties nothing, so only classes whose other shingles reach into the
+   prefix go on - as a rule those that are copied nearly whole. Classes that share a shingle of their
+   prefixes are tied to the smallest of them - in the task first, then between tasks - so a shingle
+   costs a row per task, never pairs. What hangs together is a neighbourhood.
+   Shingles of very many classes are counted beforehand and aren't shuffled; they come last in order.
 3. Inside a neighbourhood a T-occurrence search finds the links: the short inverted lists of a
    query are merged by a heap, the long ones probed by binary search (DivideSkip), and what reaches
    the required overlap is a link. Classes that already hang together aren't compared again.
-   Large neighbourhoods are dealt to blocks by size, each with the same hub; only classes that don't
-   come to hang together with the hub are then searched for in the blocks of sizes they can link with.
+   Large neighbourhoods are dealt to blocks by size and a salt, each with a hub of its sizes; only classes
+   outside the neighbourhood's main group are then searched for in the blocks of sizes they can link with.
 """
 
 from __future__ import annotations
 
-import bisect
 import heapq
 import math
-from collections.abc import Callable, Iterator, Sequence
-from functools import cache
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.base import Prefixes, mix, sized, slices, stored, table, utf8, words
+from corvane.llm.base import Prefixes, Scratch, mix, sized, slices, stored, table, utf8, words
 from corvane.llm.graph import components
 
-#: Classes of a neighbourhood searched in one task; classes dealt to one task where neighbourhoods are small.
-BLOCK, TOGETHER = 2000, 300
-#: Cuts from which the blocks' borders in a large neighbourhood are taken.
-CUTS = 4096
+#: Classes and shingles of a neighbourhood searched in one task; classes dealt to one task where neighbourhoods are small.
+BLOCK, BLOCK_SHINGLES, TOGETHER = 2000, 1 << 20, 300
 #: Entries of inverted lists read and merged at once.
 MERGED = 1 << 18
-#: Pieces, a power of two, in which the segments of a task are tied.
+#: Pieces, a power of two, in which the ties of a task are made.
 PIECES = 8
-#: Shingles that at least so many classes share are left out of segments; at most so many of them, the
-#: most frequent (any choice finds all links; it only keeps neighbourhoods small), seen so often in one task.
+#: Shingles of classes handled in one task, and dealt out or counted at once.
+IN_TASK, AT_ONCE = 1 << 21, 1 << 22
+#: Shingles of at least so many classes aren't shuffled; at most so many of them, the most frequent (any choice
+#: finds all links; it only keeps lists short), seen so often in one task.
 FREQUENT, FREQUENT_KEPT, SEEN_IN_TASK = 64, 100_000, 3
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -73,63 +74,22 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    """Two independent sums over a set."""
+def digest(s: np.ndarray) -> bytes:
+    """16 bytes: two independent sums over a set."""
     with np.errstate(over="ignore"):
         a = mix(s ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64) + np.uint64(len(s))
         b = mix(s * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1)).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+    return a.astype(">u8").tobytes() + b.astype(">u8").tobytes()
 
 
-class Sizes:
-    """Classes of set sizes: sets that link are in the same or in neighbouring ones."""
+def route(node: bytes) -> int:
+    """The first 64 bits of a class's digest, by which it is routed to its neighbourhood."""
+    return int.from_bytes(node[:8], "big", signed=True)
 
-    def __init__(self, percent: int):
-        self.percent, self.begins = percent, [1]
 
-    def of(self, size: int) -> int:
-        while self.begins[-1] <= size:
-            last = self.begins[-1]
-            self.begins.append(max(last + 1, -(-100 * last // self.percent)))
-        return bisect.bisect_right(self.begins, size) - 1
-
-    def apart(self, kind: int) -> int:
-        """Most shingles in which two sets that link differ, if the larger is of this class."""
-        self.of(self.begins[min(kind, len(self.begins) - 1)])
-        while len(self.begins) < kind + 2:
-            self.of(self.begins[-1])
-        return (100 - self.percent) * 2 * (self.begins[kind + 1] - 1) // (100 + self.percent)
-
-
-@cache
-def _ranges(m: int) -> np.ndarray:
-    return np.array([(i << 64) // m for i in range(1, m)], np.uint64)
-
-
-def segments(s: np.ndarray, rare: np.ndarray, kinds: Sizes) -> np.ndarray:
-    """Hashes of the segments that a set shares one of with every set it links with.
-
-    Of m segments at most k differ. Empty ones say little: as long as fewer than m - k are empty, one of the
-    others must be shared. Else the segments of all shingles, frequent ones too, are taken also, then the empty ones.
-    """
-    out = []
-    kind = kinds.of(len(s))
-    for c in (kind, kind + 1):
-        k = kinds.apart(c)
-        if not k and c == kind:
-            continue  # only equal sets link
-        m = k + 3 + k // 16
-        for space, x in enumerate((rare, s, s)):
-            at = np.searchsorted(x, _ranges(m))
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(x))))
-            cut = np.concatenate(([0], at, [len(x)]))
-            found = mix((sums[cut[1:]] - sums[cut[:-1]]) ^ mix(np.arange(m, dtype=np.uint64) + np.uint64((c << 34) + (min(space, 1) << 32) + 1)))
-            full = cut[1:] > cut[:-1]
-            empty = m - int(full.sum())
-            out.append(found[~full] if space == 2 else found[full])
-            if empty < m - k:
-                break
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def least_overlap(n, percent: int):
+    """Least intersection of a set of size n with any set it links with."""
+    return -(-percent * n // 100)
 
 
 def overlap_needed(a: int, b: int, percent: int) -> int:
@@ -190,6 +150,8 @@ def t_occurrence(tokens: np.ndarray, sizes: np.ndarray, labels: np.ndarray, asks
             continue
         docs, of = _read_lists(posting, begin[short], lengths[short], wanted)
         enough, found = least - n_long, []
+        often = np.bincount(docs, minlength=n) >= enough  # sets in fewer short lists needn't enter the heap
+        docs, of = docs[often[docs]], of[often[docs]]
         window = np.cumsum(np.bincount(docs, minlength=n)) // MERGED  # sets merged at once
         for w in range(int(window[-1]) + 1) if len(docs) else ():
             mine_now = window[docs] == w
@@ -219,9 +181,6 @@ def t_occurrence(tokens: np.ndarray, sizes: np.ndarray, labels: np.ndarray, asks
     return links
 
 
-LINK = "a long, b long"
-
-
 def _distinct(pairs: np.ndarray) -> np.ndarray:
     """The distinct columns of a two-row array, sorted."""
     pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
@@ -247,107 +206,233 @@ def _ties(got: Sequence, read: Callable[[Any], tuple[np.ndarray, np.ndarray]] =
         yield np.stack((t[first], least)), _distinct(np.stack((c[apart], own[apart])))
 
 
-def _pack(least: np.ndarray) -> bytes:
-    """Segments and classes of one bucket: each class once, then 48 bits of each of its segments.
-
-    The bucket takes other bits; equal 48 bits of different segments would only add a neighbour.
-    """
-    order = np.argsort(least[1], kind="stable")
-    segment, of = least[0][order].view(np.uint64), least[1][order]
-    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+def _pack(values: np.ndarray, of: np.ndarray, more: np.ndarray | None = None) -> bytes:
+    """Values by the class they belong to, each class once; more: a 32-bit number for each value."""
+    order = np.argsort(of, kind="stable")
+    values, of = values[order], of[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(of), 1), bool), of[1:] != of[:-1])))
     n = np.diff(np.append(first, len(of)))
-    high, low = (segment >> np.uint64(16)).astype("<u4"), segment.astype("<u2")
-    return np.array([len(first), len(of)], "<i8").tobytes() + of[first].tobytes() + n.astype("<i4").tobytes() + high.tobytes() + low.tobytes()
+    head = np.array([len(first), len(of)], "<i8").tobytes() + of[first].tobytes() + n.astype("<i4").tobytes() + values.tobytes()
+    return head if more is None else head + more[order].astype("<u4").tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     k, m = np.frombuffer(raw, "<i8", 2).tolist()
     of, n = np.frombuffer(raw, "<i8", k, 16), np.frombuffer(raw, "<i4", k, 16 + 8 * k)
-    high, low = np.frombuffer(raw, "<u4", m, 16 + 12 * k), np.frombuffer(raw, "<u2", m, 16 + 12 * k + 4 * m)
-    return (high.astype(np.int64) << 16) | low, np.repeat(of, n)
+    return np.frombuffer(raw, "<i8", m, 16 + 12 * k), np.repeat(of, n)
 
 
-def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, version, n, key) of each row, and (key, rep, tied) ties between classes with their neighbourhoods."""
-    spark = docs.sparkSession
+def _more(raw: bytes) -> np.ndarray:
+    k, m = np.frombuffer(raw, "<i8", 2).tolist()
+    return np.frombuffer(raw, "<u4", m, 16 + 12 * k + 8 * m)
+
+
+def _bucket(values: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(values.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def _cut(bucket: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that isn't empty and where its rows are."""
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[by], np.arange(parts + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield b, by[cuts[b] : cuts[b + 1]]
+
+
+#: What a packed row holds: shingles to be counted, what is known of classes, shares of prefixes, finished ties.
+SHINGLES, CLASSES, PREFIXES, TIES = range(4)
+PACKED = "bucket int, kind int, data binary"
+
+
+def _rows(found: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for row in found:
+        held.append(row)
+        size += len(row[2])
+        if size > 1 << 23 or len(held) == 2000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "data"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "data"])
+
+
+def _tied(t: np.ndarray, c: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """Ties of a task: finished ones, and the smallest class of each shingle for the shingle's bucket."""
+    found = list(_ties([(t, c)]))
+    least, ties = np.concatenate([x[0] for x in found], axis=1), _distinct(np.concatenate([x[1] for x in found], axis=1))
+    for b, at in _cut(_bucket(least[0], parts), parts):
+        yield b, PREFIXES, _pack(least[0][at], least[1][at])
+    if ties.shape[1]:
+        for b, at in _cut(_bucket(ties[0], parts), parts):
+            yield b, TIES, ties[:, at].tobytes()
+
+
+def measured_classes(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, version, n, node) of each row, and (shingle, times) of shingles that many classes of a task have."""
     kind = docs.schema["doc_id"].dataType
     rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    ids = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "version", "n", "node", "shingle", "times"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, seen = [], set()
+        sets: list[np.ndarray] = []
+        seen: set[bytes] = set()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            if sets:
+                t, n = np.unique(np.concatenate(sets), return_counts=True)
+                t, n = t[n >= SEEN_IN_TASK].view(np.int64), n[n >= SEEN_IN_TASK]
+                sets.clear(), seen.clear()
+                for i in range(0, len(t), 50_000):
+                    m = len(t[i : i + 50_000])
+                    none = pa.nulls(m, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, _arrow(kind)), none, none, pa.nulls(m, pa.binary()), pa.array(t[i : i + m]), pa.array(n[i : i + m])], names)
+
+        held = 0
         for batch in batches:
-            ns, keys, checks = [], [], []
+            ns, nodes = [], []
             for s in shingle_sets(batch.column(2), size):
-                a, b = digest(s)
-                ns.append(len(s)), keys.append(a), checks.append(b)
-                if len(s) and a not in seen:
-                    seen.add(a)
+                node = digest(s)
+                ns.append(len(s)), nodes.append(node)
+                if len(s) and node not in seen:
+                    seen.add(node)
                     sets.append(s)
+                    held += len(s)
             zero = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), zero, zero], names)
-        if sets:
-            t, n = np.unique(np.concatenate(sets), return_counts=True)
-            t, n = t[n >= SEEN_IN_TASK].view(np.int64), n[n >= SEEN_IN_TASK]
-            sets.clear()
-            for i in range(0, len(t), 50_000):
-                m = len(t[i : i + 50_000])
-                none = pa.nulls(m, pa.int64())
-                id_none = pa.nulls(m, _arrow(kind))
-                yield pa.RecordBatch.from_arrays([id_none, none, none, none, none, pa.array(t[i : i + m]), pa.array(n[i : i + m])], names)
-
-    names = ["doc_id", "version", "n", "key", "check", "shingle", "times"]
-    measured = stored(rows.mapInArrow(measure, f"doc_id {ids}, version long, n long, key long, check long, shingle long, times long"))
-    members = measured.where("shingle is null").select("doc_id", "version", "n", "key", "check")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.binary()), zero, zero], names)
+            if held > AT_ONCE:
+                held = 0
+                yield from counted()
+        yield from counted()
+
+    return rows.mapInArrow(measure, f"doc_id {kind.simpleString()}, version long, n long, node binary, shingle long, times long")
+
+
+def frequent_shingles(measured: DataFrame) -> np.ndarray:
+    """The most frequent shingles, the most frequent last."""
     often = measured.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
-    often = often.orderBy(F.col("times").desc(), "shingle").limit(FREQUENT_KEPT).collect()
-    frequent = np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64))
-
-    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = Sizes(percent)
-
-        def all_segments():
-            for batch in batches:
-                t, c = [], []
-                for s in shingle_sets(batch.column(0), size):
-                    if not len(s):
-                        continue
-                    rare = s
-                    if len(frequent):
-                        rare = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
-                    found = segments(s, rare, kinds)
-                    t.append(found.view(np.int64)), c.append(np.full(len(found), digest(s)[0], np.int64))
-                if t:
-                    yield np.concatenate(t), np.concatenate(c)
-
-        found = list(_ties(list(all_segments())))
-        if not found:
+    kept = often.orderBy(F.col("times").desc(), "shingle").limit(FREQUENT_KEPT).select("shingle").collect()
+    return np.array([r[0] for r in reversed(kept)], np.int64)
+
+
+def ties(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, parts: int) -> DataFrame:
+    """(a, b) ties between routes of classes that share a shingle of their prefixes."""
+    by_value = np.argsort(frequent)
+    sorted_frequent = frequent[by_value]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingles of classes to the shingles' buckets, sizes to the classes', prefixes of frequent ones tied."""
+        seen: set[int] = set()
+        rare: list[np.ndarray] = []
+        common: list[tuple[np.ndarray, int]] = []
+        known: list[tuple[int, int, int, int]] = []
+
+        def out() -> Iterator[tuple[int, int, bytes]]:
+            if known:
+                info = np.array(known, np.int64)
+                t, c = np.concatenate(rare), np.repeat(info[:, 0], info[:, 3])
+                for b, at in _cut(_bucket(t, parts), parts):
+                    yield b, SHINGLES, _pack(t[at], c[at])
+                for b, at in _cut(_bucket(info[:, 0], parts), parts):
+                    yield b, CLASSES, info[at, :3].tobytes()
+            if common:
+                t = np.concatenate([x for x, _ in common])
+                yield from _tied(t, np.repeat(np.array([r for _, r in common], np.int64), [len(x) for x, _ in common]), parts)
+            rare.clear(), common.clear(), known.clear()
+
+        held = 0
+        for batch in batches:
+            for s in shingle_sets(batch.column(0), size):
+                if not len(s):
+                    continue
+                r = route(digest(s))
+                if r in seen:
+                    continue
+                seen.add(r)
+                s = s.view(np.int64)
+                often = np.zeros(len(s), bool)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(sorted_frequent, s), len(frequent) - 1)
+                    often = sorted_frequent[at] == s
+                    n_common = int(often.sum())
+                    if n_common >= (least := least_overlap(len(s), percent)):
+                        rank = by_value[at[often]]
+                        common.append((s[often][np.argsort(rank)[: n_common - least + 1]], r))
+                rare.append(s[~often])
+                known.append((r, len(s), int(often.sum()), len(rare[-1])))
+                held += len(s)
+                if held > AT_ONCE:
+                    held = 0
+                    yield from _rows(out())
+        yield from _rows(out())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingles of two classes or more, with the number of classes, to the classes' buckets."""
+        got = []
+        for batch in batches:
+            rest = pc.not_equal(batch.column(1), SHINGLES)
+            if (passed := batch.filter(rest)).num_rows:
+                yield passed
+            got += map(_unpack, batch.filter(pc.invert(rest)).column(2).to_pylist())
+        if not got:
+            return
+        t, c = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        order = np.lexsort((c, t))
+        t, c = t[order], c[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])  # the same class from several tasks
+        t, c = t[new], c[new]
+        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        n = np.diff(np.append(first, len(t)))
+        times = np.repeat(n, n)
+        t, c, times = t[times > 1], c[times > 1], times[times > 1]
+        yield from _rows((b, SHINGLES, _pack(t[at], c[at], np.minimum(times[at], 2**32 - 1))) for b, at in _cut(_bucket(c, parts), parts))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each class whose shingles reach into its prefix, the prefix's shared shingles, tied."""
+        got, more, known = [], [], []
+        for batch in batches:
+            kinds = batch.column(1).to_numpy()
+            rest = pa.array((kinds != SHINGLES) & (kinds != CLASSES))
+            if (passed := batch.filter(rest)).num_rows:
+                yield passed
+            for kind, raw in zip(kinds.tolist(), batch.column(2).to_pylist(), strict=True):
+                if kind == SHINGLES:
+                    got.append(_unpack(raw)), more.append(_more(raw))
+                elif kind == CLASSES:
+                    known.append(np.frombuffer(raw, np.int64).reshape(-1, 3))
+        if not got or not known:
             return
-        least, ties = np.concatenate([x[0] for x in found], axis=1), _distinct(np.concatenate([x[1] for x in found], axis=1))
-        del found
-        bucket = (least[0].view(np.uint64) >> np.uint64(48)).astype(np.int64) * 65_537 % 2_147_483_647 % parts
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(parts + 1))
-        out = [(int(b), _pack(least[:, by[cuts[b] : cuts[b + 1]]])) for b in np.flatnonzero(np.diff(cuts))]
-        step = max(1, -(-ties.shape[1] // parts))
-        out += [(-1 - i, ties[:, i * step : (i + 1) * step].tobytes()) for i in range(-(-ties.shape[1] // step))]
-        for i in range(0, len(out), 64):
-            b, d = zip(*out[i : i + 64], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(d, pa.binary())], ["bucket", "data"])
+        t, c = (np.concatenate(x) for x in zip(*got, strict=True))
+        times = np.concatenate(more)
+        info = np.concatenate(known)
+        order = np.lexsort((t, times, c))
+        t, c = t[order], c[order]
+        of, first, n = np.unique(c, return_index=True, return_counts=True)
+        # sets that share a route, if ever, go by the smaller size and by the larger number of frequent shingles
+        info = info[np.isin(info[:, 0], of)]
+        info = info[np.lexsort((info[:, 1], info[:, 0]))]
+        begin = np.searchsorted(info[:, 0], of)
+        common = np.maximum.reduceat(info[:, 2], begin)
+        taken = np.clip(n + common - least_overlap(info[begin, 1], percent) + 1, 0, n)
+        inside = np.arange(len(t)) - np.repeat(first, n) < np.repeat(taken, n)
+        if inside.any():
+            yield from _rows(_tied(t[inside], c[inside], parts))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, open_ = [], []
         for batch in batches:
-            for b, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                done.append(np.frombuffer(d, np.int64).reshape(2, -1)) if b < 0 else open_.append(d)
+            for kind, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                done.append(np.frombuffer(raw, np.int64).reshape(2, -1)) if kind == TIES else open_.append(raw)
         done += [ties for _, ties in _ties(open_, _unpack)]
-        ties = _distinct(np.concatenate(done, axis=1)) if done else np.zeros((2, 0), np.int64)
-        for i in range(0, ties.shape[1], 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ties[0, i : i + 50_000]), pa.array(ties[1, i : i + 50_000])], ["a", "b"])
+        found = _distinct(np.concatenate(done, axis=1)) if done else np.zeros((2, 0), np.int64)
+        for i in range(0, found.shape[1], 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(found[0, i : i + 50_000]), pa.array(found[1, i : i + 50_000])], ["a", "b"])
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ties = docs.select("text").mapInArrow(tie, "bucket int, data binary").repartition(parts, "bucket").mapInArrow(settle, LINK)
-    return members, ties
+    dealt = docs.select("text").mapInArrow(deal, PACKED).repartition(parts, "bucket")
+    counted = dealt.mapInArrow(count, PACKED).repartition(parts, "bucket")
+    return counted.mapInArrow(narrow, PACKED).repartition(parts, "bucket").mapInArrow(settle, "a long, b long")
 
 
 def _arrow(kind) -> pa.DataType:
@@ -356,26 +441,86 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+LINK = "a binary, b binary"
+
+
 def _search(rows: DataFrame, percent: int) -> DataFrame:
-    """Links found in each group (columns g1, g2) of rows (key, label, asks, shingles)."""
+    """Links found in each group (columns g1, g2) of rows (node, label, asks, shingles)."""
 
     def run(t: pa.Table) -> pa.Table:
-        keys, labels = t.column("key").to_numpy(), t.column("label").to_numpy()
         asks = t.column("asks").to_numpy(zero_copy_only=False)
-        _, once = np.unique(np.stack((keys, asks)), axis=1, return_index=True)
-        if len(once) < len(keys):  # rows that repeat
-            t, keys, labels, asks = t.take(once), keys[once], labels[once], asks[once]
+        nodes = np.array(t.column("node").to_pylist(), dtype=object)
+        labels = np.array(t.column("label").to_pylist(), dtype=object)
+        kept: dict[bytes, int] = {}
+        for i, node in enumerate(nodes):  # a class that asks stands for itself
+            if node not in kept or asks[i] and not asks[kept[node]]:
+                kept[node] = i
+        if len(kept) < len(nodes):
+            once = np.array(sorted(kept.values()))
+            t, nodes, labels, asks = t.take(once), nodes[once], labels[once], asks[once]
         data = t.column("shingles").cast(pa.large_binary()).combine_chunks()
         data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
         ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] // 8
         tokens = np.frombuffer(data.buffers()[2], np.uint64, int(ends[-1]))[int(ends[0]) :]
-        _, small = np.unique(labels, return_inverse=True)
+        number: dict[bytes, int] = {}
+        small = np.array([number.setdefault(x, len(number)) for x in labels], np.int64)
         links = t_occurrence(tokens, np.diff(ends), small, asks, percent)
-        return pa.table({"a": pa.array([int(keys[a]) for a, _ in links], pa.int64()), "b": pa.array([int(keys[b]) for _, b in links], pa.int64())})
+        return pa.table({"a": pa.array([nodes[a] for a, _ in links], pa.binary()), "b": pa.array([nodes[b] for _, b in links], pa.binary())})
 
     return rows.groupBy("g1", "g2").applyInArrow(run, LINK)
 
 
+def _placed(docs: DataFrame, wanted: DataFrame, n_wanted: int, size: int) -> DataFrame:
+    """wanted (node, area, kind, rep) with the shingles of each class, read from its representative's text."""
+    place = ["node", "area", "kind"]
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [s.tobytes() for s in shingle_sets(part.column(3), size)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], [*place, "shingles"])
+
+    chosen = wanted.select(*place, F.col("rep.doc_id").alias("__id"), F.col("rep.version").alias("__v"))
+    asked = docs.join(sized(chosen, n_wanted), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__v"))).select(*place, "text")
+    return asked.mapInArrow(shingle, "node binary, area long, kind int, shingles binary")
+
+
+def _links(placed: DataFrame, large: DataFrame, n_large: int, buckets: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) inside the neighbourhoods of placed, enough of them to join what hangs together."""
+    row = [F.col("node").alias("label"), F.lit(True).alias("asks"), "shingles"]
+    few = F.pmod(F.xxhash64("area"), F.lit(buckets)).alias("g2")
+    if not n_large:
+        return scratch.stored(_search(placed.select(F.lit(0).cast("long").alias("g1"), few, "node", *row), percent))
+    sides = sized(large.select(F.col("area").alias("large_area")).distinct(), n_large)
+    joined = placed.join(sides, F.col("area") == F.col("large_area"), "left")
+    small = joined.where("large_area is null").select(F.lit(0).cast("long").alias("g1"), few, "node", *row)
+    # a salt of each block: blocks are alike in classes and in shingles
+    blocks = sized(large.select(F.col("area").alias("large_area"), F.col("kind").alias("large_kind"), "salts", "hub"), n_large)
+    salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+    group = [F.col("area").alias("g1"), F.xxhash64("kind", "salt").alias("g2"), "node"]
+    inside = placed.join(blocks, (F.col("area") == F.col("large_area")) & (F.col("kind") == F.col("large_kind")))
+    hubs = inside.where("node = hub").select("node", "area", "shingles", F.col("kind").alias("from_kind"))
+    # the hub of a kind stands in all blocks of its own and of the next kind
+    hub_in = hubs.join(blocks, (F.col("area") == F.col("large_area")) & (F.col("large_kind") - F.col("from_kind")).between(0, 1))
+    hub_in = hub_in.select("node", "area", "shingles", F.col("large_kind").alias("kind"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    in_blocks = inside.withColumn("salt", salt)
+    first = scratch.stored(_search(small.unionByName(in_blocks.select(*group, *row)).unionByName(hub_in.select(*group, *row)), percent))
+    groups = components(first, scratch.stored)
+    named = inside.join(groups.withColumnRenamed("node", "key"), F.col("node") == F.col("key"), "left")
+    labelled = scratch.stored(named.select("node", "area", "kind", "shingles", "salts", F.coalesce("component", "node").alias("label")))
+    main = labelled.groupBy("area", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("area").agg(F.max_by("label", F.struct("n", "label")).alias("main")).withColumnRenamed("area", "main_area")
+    outside = labelled.join(sized(main, n_large), F.col("area") == F.col("main_area")).where("label <> main").select("node", "area", "shingles", "label", F.col("kind").alias("own_kind"))
+    # who isn't in the main group asks in every block of sizes it can link with
+    asked = outside.join(blocks, (F.col("area") == F.col("large_area")) & F.abs(F.col("large_kind") - F.col("own_kind")).between(0, 1))
+    asked = asked.select("node", "area", "shingles", "label", F.col("large_kind").alias("kind"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    asking = asked.select(*group, "label", F.lit(True).alias("asks"), "shingles")
+    members = labelled.withColumn("salt", salt).select(*group, "label", F.lit(False).alias("asks"), "shingles")
+    wanted = asking.select("g1", "g2").distinct()
+    second = _search(members.join(wanted, ["g1", "g2"], "left_semi").unionByName(asking), percent)
+    return scratch.stored(first.unionByName(second))
+
+
 def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, version (hash of the text), n_shingles and component_id of each row of docs (doc_id, text).
 
@@ -383,64 +528,41 @@ def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFra
     blank texts link with nothing. Rows may repeat; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    members, ties = classes(docs, size, percent)
-    near = stored(components(ties).withColumnRenamed("node", "key").withColumnRenamed("component", "area"))
-    reps = members.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("rep"), F.max("n").alias("n"))
-    # sizes with a hash behind the point: blocks of a large neighbourhood are ranges of them, alike in number
-    sized_keys = near.join(reps, "key").withColumn("spot", F.col("n") + F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / (1 << 20))
-    areas = sized_keys.groupBy("area").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("in_area"), F.percentile_approx("spot", F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), 20_000).alias("cuts"))
-    step = F.ceil(F.lit(CUTS) * BLOCK / F.col("in_area"))  # so many of the cuts make a block of about BLOCK
-    areas = areas.select("area", "hub", F.when(F.col("in_area") <= BLOCK, F.array().cast("array<double>")).otherwise(F.filter("cuts", lambda x, i: (i + 1) % step == 0)).alias("cuts"))
-    below = lambda x: F.size(F.filter("cuts", lambda c: c <= x)).cast("long")
-    first, last = below(F.floor(F.col("n") * percent / 100)), below(F.ceil(F.col("n") * 100 / percent) + 1)
-    wanted = sized_keys.join(areas, "area").select(
-        "key", "area", "hub", below(F.col("spot")).alias("block"), first.alias("first"), last.alias("last"), F.size("cuts").alias("cut"), F.col("rep.doc_id").alias("__id"), F.col("rep.version").alias("__v")
-    )
-    wanted = stored(wanted)
-    n_wanted = wanted.count()
-
-    place = ["key", "area", "hub", "block", "first", "last", "cut"]
-
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [s.tobytes() for s in shingle_sets(part.column(7), size)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:7], pa.array(sets, pa.binary())], [*place, "shingles"])
-
-    asked = docs.join(sized(wanted, n_wanted), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__v"))).select(*place, "text")
-    placed = stored(asked.mapInArrow(shingle, "key long, area long, hub long, block long, first long, last long, cut int, shingles binary"))
-    buckets = max(1, -(-n_wanted // TOGETHER))
-    single = F.col("cut") == 0
-    row = [F.col("key").alias("label"), F.lit(True).alias("asks"), "shingles"]
-    small = placed.where(single).select(F.lit(0).cast("long").alias("g1"), F.pmod(F.xxhash64("area"), F.lit(buckets)).alias("g2"), "key", *row)
-    large = placed.where(~single & (F.col("key") != F.col("hub"))).select(F.col("area").alias("g1"), F.col("block").alias("g2"), "key", *row)
-    hubs = placed.where(~single & (F.col("key") == F.col("hub"))).select(
-        F.col("area").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut").cast("long"))).alias("g2"), "key", *row
-    )
-    links = stored(_search(small.unionByName(large).unionByName(hubs), percent))
-    groups = components(links)
-    split = placed.where(~single)
-    if not split.isEmpty():
-        labelled = split.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key"))
-        of_hub = labelled.where("key = hub").select("area", F.col("label").alias("hub_label"))
-        labelled = stored(labelled.join(of_hub, "area"))
-        left = labelled.where("label <> hub_label").withColumn("block", F.explode(F.sequence("first", "last")))  # where partners' sizes lie
-        cols = [F.col("area").alias("g1"), F.col("block").alias("g2"), "key", "label"]
-        in_blocks = labelled.select(*cols, F.lit(False).alias("asks"), "shingles").unionByName(left.select(*cols, F.lit(True).alias("asks"), "shingles"))
-        links = stored(links.unionByName(_search(in_blocks, percent)))
-        groups = components(links)
-    roots = reps.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("component"), F.col("rep.doc_id").alias("id"))
-    least = roots.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = roots.join(least, "component").select("key", "component_id")
-    known = members.where("n > 0").join(named, "key").select("doc_id", "version", F.col("n").alias("n_shingles"), "component_id")
-    blank = members.where("n = 0").select("doc_id", "version", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return known.unionByName(blank)
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        measured = scratch.stored(measured_classes(docs, size))
+        members = measured.where("shingle is null").select("doc_id", "version", "n", "node")
+        frequent = frequent_shingles(measured)
+        shingles = members.agg(F.sum("n")).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // IN_TASK), 1)
+        near = scratch.stored(components(ties(docs, size, percent, frequent, parts), scratch.stored).select(F.col("node").alias("key"), F.col("component").alias("area")))
+        reps = members.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("rep"), F.max("n").cast("long").alias("n"))
+        reps = scratch.stored(reps)
+        key = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
+        # sizes that can link are of the same or of neighbouring kinds
+        kind = F.floor(F.log(F.col("n")) / F.lit(math.log(100.1 / percent))).cast("int")
+        wanted = scratch.stored(reps.withColumn("key", key).join(near, "key").select("node", "area", "n", kind.alias("kind"), "rep"))
+        n_wanted, n_shingles = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        buckets = max(1, -(-n_wanted // TOGETHER), -(-n_shingles // BLOCK_SHINGLES))
+        by_area = wanted.groupBy("area").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles")).where((F.col("classes") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES))
+        by_area = scratch.stored(by_area.select(F.col("area").alias("large_area")))
+        n_areas = by_area.count()
+        inside = wanted.join(sized(by_area, n_areas), F.col("area") == F.col("large_area"))
+        salts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
+        large = scratch.stored(inside.groupBy("area", "kind").agg(salts.alias("salts"), F.min("node").alias("hub")))
+        placed = scratch.stored(_placed(docs, wanted, n_wanted, size))
+        groups = components(_links(placed, large, large.count(), buckets, percent, scratch), scratch.stored)
+        roots = reps.join(groups.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", F.coalesce("component", "node").alias("component"), F.col("rep.doc_id").alias("id"))
+        least = roots.groupBy("component").agg(F.min("id").alias("component_id"))
+        named = roots.join(least, "component").select("node", "component_id")
+        known = members.where("n > 0").join(named, "node").select("doc_id", "version", F.col("n").alias("n_shingles"), "component_id")
+        blank = members.where("n = 0").select("doc_id", "version", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return stored(known.unionByName(blank))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The document with the smallest doc_id of each group, with all its columns; repeated rows stay once."""
-    groups = stored(jaccard_groups(docs, size, percent))
+    groups = jaccard_groups(docs, size, percent)
     # rows without an id are groups of their own
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null:"), F.col("version").cast("string")))
     rows = groups.select("doc_id", "version", group.alias("group"))
