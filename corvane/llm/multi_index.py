@@ -21,7 +21,7 @@ from corvane.llm.base import stored, table
 from corvane.llm.graph import components
 
 #: Vectors the codebooks are fitted on at most; largest codebook (the grid has its square); probes that set the number of cells.
-SAMPLE, LARGEST, PROBES = 16_384, 256, 768
+SAMPLE, LARGEST, PROBES = 16_384, 1024, 768
 #: Members or queries of a cell compared in one task.
 BLOCK = 4096
 
@@ -85,6 +85,12 @@ def cells_for(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine:
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))])
 
 
+def _directions(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; first by their largest component, so that no square leaves the range of doubles."""
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Lists of one length as the rows of a matrix, scaled to length 1 in double precision."""
     if isinstance(column, pa.ChunkedArray):
@@ -92,7 +98,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if not len(column):
         return np.zeros((0, 0))
     x = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    return x / np.linalg.norm(x, axis=1)[:, None]
+    return _directions(x)
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -117,7 +123,9 @@ def usable(column: str) -> F.Column:
 
 
 def near_links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.99, id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (id, k1, k2), groups of equal vectors (k1, k2, rep, copies, n_near) and links between reps (a, b).
+    """Members (id, node), groups of equal vectors (node, least id, copies, n_near) and links between nodes (a, b).
+
+    A node is 128 bits of the vector's hash, so ids may be null or repeat.
 
     n_near is the number of vectors in other groups that were found at the cosine or above, from either end. links
     hold a spanning forest of each compared block, which reaches what all its links reach.
@@ -127,24 +135,24 @@ def near_links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.99, id
     spark = vectors.sparkSession
     valid = vectors.select(F.col(id).alias("id"), F.col(embedding).alias("v")).where(usable("v"))
     v = F.col("v")
-    keyed = valid.select("id", F.xxhash64(v).alias("k1"), F.xxhash64(F.lit(3), v).alias("k2"), "v")
-    groups = stored(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
-    members = keyed.select("id", "k1", "k2")
+    half = lambda h: F.unhex(F.lpad(F.hex(h), 16, "0"))
+    keyed = valid.select("id", F.concat(half(F.xxhash64(v)), half(F.xxhash64(F.lit(3), v))).alias("node"), "v")
+    groups = stored(keyed.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
+    members = keyed.select("id", "node")
     counts, links = None, None
     for (width,) in groups.select(F.size("v")).distinct().collect():  # lengths of vectors: one as a rule
         near, edges = _search(spark, groups.where(F.size("v") == width), width, cosine, recall)
         counts, links = (near, edges) if counts is None else (counts.unionByName(near), links.unionByName(edges))
     if counts is None:
-        counts, links = spark.createDataFrame([], "rep long, n long"), spark.createDataFrame([], "a long, b long")
-    counts = counts.groupBy("rep").agg(F.sum("n").alias("n_near"))
-    done = groups.drop("v").join(counts, "rep", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+        counts, links = spark.createDataFrame([], "node binary, n long"), spark.createDataFrame([], "a binary, b binary")
+    counts = counts.groupBy("node").agg(F.sum("n").alias("n_near"))
+    done = groups.drop("v").join(counts, "node", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
     return members, done, links
 
 
 def _search(spark, groups: DataFrame, width: int, cosine: float, recall: float) -> tuple[DataFrame, DataFrame]:
     rows = groups.count()
-    taken = np.array([r[0] for r in groups.orderBy("k1", "k2").limit(SAMPLE).select("v").collect()], dtype=np.float64)
-    taken /= np.linalg.norm(taken, axis=1)[:, None]
+    taken = _directions(np.array([r[0] for r in groups.orderBy("node").limit(SAMPLE).select("v").collect()], dtype=np.float64))
     k = int(np.clip(round(rows**0.5 / 10), 1, min(LARGEST, len(taken))))
     h = width // 2
     books = (fit_codebook(taken[:, :h], k), fit_codebook(taken[:, h:], k))
@@ -160,12 +168,12 @@ def _search(spark, groups: DataFrame, width: int, cosine: float, recall: float)
             near = half_distances(x, books)
             own = near[0].argmin(1) * k + near[1].argmin(1)
             seen = [traverse(a, b, visits) for a, b in zip(*near, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), pa.array(own.astype(np.int32)), pa.array(seen, pa.list_(pa.int32()))], ["rep", "copies", "v", "own", "seen"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), pa.array(own.astype(np.int32)), pa.array(seen, pa.list_(pa.int32()))], ["node", "copies", "v", "own", "seen"])
 
-    placed = stored(groups.select("rep", "v", "copies").mapInArrow(place, f"rep long, copies long, v {kind}, own int, seen array<int>"))
-    salt = F.xxhash64("rep")
-    as_member = placed.select(F.col("own").alias("cell"), F.lit(False).alias("asks"), "rep", "copies", "v", "own", "seen")
-    as_query = placed.select(F.explode("seen").alias("cell"), F.lit(True).alias("asks"), "rep", "copies", "v", "own", F.array().cast("array<int>").alias("seen"))
+    placed = stored(groups.select("node", "v", "copies").mapInArrow(place, f"node binary, copies long, v {kind}, own int, seen array<int>"))
+    salt = F.xxhash64("node")
+    as_member = placed.select(F.col("own").alias("cell"), F.lit(False).alias("asks"), "node", "copies", "v", "own", "seen")
+    as_query = placed.select(F.explode("seen").alias("cell"), F.lit(True).alias("asks"), "node", "copies", "v", "own", F.array().cast("array<int>").alias("seen"))
     # at most LARGEST^2 rows: into how many blocks the members and the queries of a cell are dealt
     cells = as_member.select("cell", "asks").unionByName(as_query.select("cell", "asks")).groupBy("cell").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("m"))
     blocks = F.broadcast(stored(cells.where("m > 0").select("cell", *[F.ceil(F.greatest(F.col(c), F.lit(1)) / BLOCK).cast("int").alias(c) for c in ("q", "m")])))
@@ -176,7 +184,9 @@ def _search(spark, groups: DataFrame, width: int, cosine: float, recall: float)
     def compare(t: pa.Table) -> pa.Table:
         x = _matrix(t.column("v"))
         asks = t.column("asks").to_numpy(zero_copy_only=False)
-        ids, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
+        nodes, copies = t.column("node").to_pylist(), t.column("copies").to_numpy()
+        number: dict[bytes, int] = {}
+        ids = np.array([number.setdefault(x, len(number)) for x in nodes])
         qi, mi = np.flatnonzero(asks), np.flatnonzero(~asks)
         own, seen = t.column("own").to_numpy().astype(np.int64), t.column("seen").combine_chunks()
         lengths = pc.list_value_length(seen).to_numpy(zero_copy_only=False)
@@ -200,31 +210,31 @@ def _search(spark, groups: DataFrame, width: int, cosine: float, recall: float)
         used = np.unique(np.concatenate((a, b)))
         label = used[forest(np.searchsorted(used, a), np.searchsorted(used, b), len(used))] if len(used) else used
         asked = np.flatnonzero(n)
-        rep = np.concatenate((ids[asked], ids[used]))
+        rows = np.concatenate((asked, used)).astype(np.int64)
         near = np.concatenate((n[asked], np.zeros(len(used), np.int64)))
-        root = np.concatenate((ids[asked], ids[label]))
-        return pa.table({"rep": rep, "n": near, "root": root})
+        root = np.concatenate((asked, label)).astype(np.int64)
+        return pa.table({"node": pa.array([nodes[i] for i in rows], pa.binary()), "n": near, "root": pa.array([nodes[i] for i in root], pa.binary())})
 
-    found = stored(dealt.groupBy("cell", "mb", "qb").applyInArrow(compare, "rep long, n long, root long"))
-    return found.where("n > 0").select("rep", "n"), found.where("n = 0 and rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    found = stored(dealt.groupBy("cell", "mb", "qb").applyInArrow(compare, "node binary, n long, root binary"))
+    return found.where("n > 0").select("node", "n"), found.where("n = 0 and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def dedup_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.99, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors.
 
-    Rows that share a vec_id count as vectors of their own; a vector that links with nothing is its
-    own component; an empty table gives an empty result; a null id stays null and unlinked to others' components.
+    Rows that share a vec_id count as vectors of their own; a vector that links with nothing is its own
+    component; an empty table gives an empty result. component_id is the smallest id of those reached, null where
+    none has an id; kept says that vec_id is the component's, which for a null id means that none there has one.
     """
     members, groups, links = near_links(vectors, cosine, recall, id, embedding)
-    roots = components(links)
-    known = (
-        groups.join(roots, groups["rep"] == roots["node"], "left")
-        .select("k1", "k2", (F.col("n_near") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    found = members.join(known, ["k1", "k2"]).select("id", "n_links", "component_id")
+    roots = components(links).withColumnRenamed("node", "linked")
+    named = groups.join(roots, F.col("node") == F.col("linked"), "left").select("node", "least", (F.col("n_near") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = named.join(least, "component").select("node", "n_links", "component_id")
+    found = members.join(known, "node").select("id", "n_links", "component_id")
     alone = vectors.where(~usable(embedding)).select(F.col(id).alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(id).alias("component_id"))
     every = found.unionByName(alone)
-    return every.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return every.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op4_multi_index(spark, sf_dir: str) -> DataFrame:
