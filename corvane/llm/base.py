@@ -75,6 +75,29 @@ def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Bits of a sieve at most; a bitmap of Spark has so many.
+SIEVE_BITS, BITMAP_BITS = 1 << 27, 8 * 4096
+
+
+def sieved(df: DataFrame, column: str, ids: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose id may be among `ids` (one column, `rows` of them), and rows whose id surely isn't.
+
+    A bitmap of hashed ids is broadcast: 16 bits for each id, at most 16 MB in all, beyond which it only lets
+    more through. Rows that pass still need their join; the others are spared the shuffle. Null ids pass.
+    """
+    bits = max(BITMAP_BITS, min(SIEVE_BITS, 1 << (16 * max(1, rows) - 1).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    number = lambda c: F.floor(at(c) / F.lit(BITMAP_BITS)).cast("long")
+    name = ids.columns[0]
+    maps = ids.select(number(F.col(name)).alias("__map"), F.pmod(at(F.col(name)), F.lit(BITMAP_BITS)).alias("__bit"))
+    maps = stored(maps.groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__bits")))  # bits / 32768 rows of 4 KB
+    place = F.pmod(at(F.col(column)), F.lit(BITMAP_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), place % 8)) != 0, F.lit(False)) | F.col(column).isNull()
+    joined = df.withColumn("__map", number(F.col(column))).join(F.broadcast(maps), "__map", "left")
+    return joined.where(hit).select(*df.columns), joined.where(~hit).select(*df.columns)
+
+
 def n_words(text) -> F.Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

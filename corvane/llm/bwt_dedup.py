@@ -3,48 +3,53 @@
 1. Each window of `length` bytes has an anchor: the leftmost of its byte grams with the smallest
    hash. Equal windows have equal anchors at equal offsets, so the windows of a text fall into
    runs, one for each anchor, and only runs of equal anchors can share windows.
-2. Runs with equal context (the bytes of all their windows) are settled by hash: all but the
-   earliest are removed. This is done in each task first, so that a hot passage leaves one record
-   per task.
+2. Runs with equal context (the bytes of all their windows, told by 128 bits of two independent
+   hashes) are one string with copies: all but the earliest are removed. This is done in each task
+   first, so that a hot passage leaves one record per task and copies aren't merged as strings.
    An anchor with very many contexts - at the edge of a passage that a great share of all documents
    has - is split: there each window is a run of its own, with its own hash as anchor.
 3. The earliest run of each context, where an anchor has several contexts, is compared by its
-   bytes: shards of contexts get a Burrows-Wheeler transform each, and the transforms are merged by
-   iterative interleave refinement. After `length` rounds the interleave is sorted by as many bytes,
-   and blocks of equal prefixes are the repeated intervals; no suffix of the union is sorted again.
+   bytes: each shard of contexts gets a Burrows-Wheeler transform in a task of its own, and another
+   task merges the transforms of a bucket's shards by iterative interleave refinement. After `length`
+   rounds the interleave is sorted by as many bytes, and blocks of equal prefixes are the repeated
+   intervals; no suffix of the union is sorted again. `repeated_intervals` goes on with the rounds and
+   gives the common length of each.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.base import Prefixes, mix, stored, table, utf8
+from corvane.llm.base import Prefixes, Scratch, mix, sieved, stored, table
 
 LENGTH, GRAM = 100, 32
-#: Bytes handled at once (positions take the low 20 bits of a key), contexts compared together, shards of them.
-CHUNK, TOGETHER, SHARDS = 1 << 19, 3000, 2
+#: Bytes handled at once (positions take the low 20 bits of a key), contexts and their bytes merged together, shards of them.
+CHUNK, TOGETHER, TOGETHER_BYTES, SHARDS = 1 << 19, 3000, 1 << 20, 4
+#: Records held at once in a task; bytes of texts whose records make a task.
+HELD, IN_TASK = 1 << 20, 16 << 20
 #: Contexts from which an anchor is split, counted in tasks where it has so many; at most so many anchors
 #: (the most frequent; which are split changes only how the work is dealt).
 SPLIT, SEEN_IN_TASK, SPLIT_KEPT = 2000, 4, 100_000
-RECORD = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("version", "<u4"), ("at", "<u4"), ("before", "u1"), ("last", "u1")])
+RECORD = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("version", "<u4"), ("at", "<u4"), ("before", "u1"), ("last", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("version", "<u4"), ("start", "<u4"), ("end", "<u4")])
 LOW = np.uint64((1 << 20) - 1)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, split: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, ...]:
-    """Anchor position, first and last window start, anchor hash and context hash of each run of windows.
+    """Anchor position, first and last window start, anchor hash and two context hashes of each run of windows.
 
     Windows of anchors in split (sorted hashes) are runs of their own, anchored by themselves.
     """
     n = len(data)
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
     if n < length:
         return none
     prefixes = Prefixes(data)
@@ -68,7 +73,9 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     at, p0, p1 = anchor[first], starts[first], starts[last]
-    context = mix(prefixes.of(p0, p1 + length) ^ (((at - p0) << 8) | (at - p1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    place = (((at - p0) << 8) | (at - p1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    context = mix(prefixes.of(p0, p1 + length) ^ place)
+    check = mix(_sums(data, p0, p1 + length) ^ place)
     anchor = hashes[at]
     if len(split):
         hot = split[np.minimum(np.searchsorted(split, anchor), len(split) - 1)] == anchor
@@ -78,7 +85,38 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
             own = mix(prefixes.of(each, each + length) + np.uint64(0x51ED270B0A1F39C1))
             at, p0, p1 = (np.concatenate((x[~hot], each)) for x in (at, p0, p1))
             anchor, context = np.concatenate((anchor[~hot], own)), np.concatenate((context[~hot], own))
-    return at, p0, p1, anchor, context
+            check = np.concatenate((check[~hot], mix(_sums(data, each, each + length))))
+    return at, p0, p1, anchor, context, check
+
+
+#: Weights of a second, unrelated hash: an odd number for each byte value, and a base of its own.
+_WEIGHTS = mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)) | np.uint64(1)
+_STEP = 0xB5297A4D3F84D5B5
+
+
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The second hash of byte ranges, by prefix sums as the first one."""
+    up, down = _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_WEIGHTS[data] * up[: len(data)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    n = CHUNK + (1 << 12)
+    out = []
+    for base in (_STEP, pow(_STEP, -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _tables()
+    assert n < len(up), "a chunk is at most CHUNK bytes and a window"
+    return up, down
 
 
 def records_of(docs: list[int], texts: list[bytes], length: int = LENGTH, split: np.ndarray = np.zeros(0, np.uint64)) -> np.ndarray:
@@ -90,10 +128,10 @@ def records_of(docs: list[int], texts: list[bytes], length: int = LENGTH, split:
         nonlocal size
         if chunk:
             offsets = np.concatenate(([0], np.cumsum([len(c) for c in chunk])))
-            at, p0, p1, anchor, context = runs(np.frombuffer(b"".join(chunk), np.uint8), offsets, length, split=split)
+            at, p0, p1, anchor, context, check = runs(np.frombuffer(b"".join(chunk), np.uint8), offsets, length, split=split)
             row = np.searchsorted(offsets, p0, "right") - 1
             r = np.empty(len(at), RECORD)
-            r["anchor"], r["context"] = anchor, context
+            r["anchor"], r["context"], r["check"] = anchor, context, check
             r["doc"], r["version"] = np.array([docs[i] for i in owner])[row], np.array([versions[i] for i in owner])[row]
             r["at"] = at - offsets[row] + np.array(base)[row]
             r["before"], r["last"] = at - p0, at - p1
@@ -122,9 +160,11 @@ def firsts(r: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]
     again[1:] = c[1:] == c[:-1]
     again[:-1] |= again[1:]
     alone, twice = r[order[~again]], r[order[again]]
-    twice = twice[np.lexsort((twice["at"], twice["version"], twice["doc"], twice["context"], twice["anchor"]))]
-    new = np.ones(len(twice), bool)
-    new[1:] = (twice["context"][1:] != twice["context"][:-1]) | (twice["anchor"][1:] != twice["anchor"][:-1])
+    twice = twice[np.lexsort((twice["at"], twice["version"], twice["doc"], twice["check"], twice["context"], twice["anchor"]))]
+    new = np.zeros(len(twice), bool)
+    new[:1] = True
+    for c in ("context", "check", "anchor"):
+        new[1:] |= twice[c][1:] != twice[c][:-1]
     first = twice[new]
     own = first[np.cumsum(new) - 1]
     later = (twice["doc"] != own["doc"]) | (twice["version"] != own["version"]) | (twice["at"] != own["at"])  # not the same text seen again
@@ -182,14 +222,15 @@ def shard_transform(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray)
     return order, symbols[begin[order] + (at[order] - 1) % size[order]]
 
 
-def merge_transforms(transforms: list[np.ndarray], tracked: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the tracked places of the shards (rows, one shard after the other) are `rounds` symbols
-    before, in merged order, and their blocks of equal prefixes.
+def refine(transforms: list[np.ndarray], tracked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """After each round: where the tracked places of the shards (rows, one shard after the other) are, one symbol
+    further to the front than before, in merged order; their blocks of equal prefixes; and which tracked ones they are.
 
     The places start in any interleave. Each round reads the symbols before them and deals them by
     symbol, stably, while each moves to the row of the longer suffix in its own shard: the interleave is
     then right for one symbol more. Places share a block as long as their symbols and the blocks they
-    came from are the same; one that is alone in its block is alone for good, and isn't followed further.
+    came from are the same; one that is alone in its block is alone for good, and isn't followed further,
+    nor is one at the front of its string.
     """
     before = []
     for t in transforms:
@@ -197,56 +238,87 @@ def merge_transforms(transforms: list[np.ndarray], tracked: np.ndarray, rounds:
         row[np.argsort(t, kind="stable")] = np.arange(len(t), dtype=np.int32)
         before.append(row + sum(map(len, before)))
     symbol, before = np.concatenate(transforms), np.concatenate(before)
-    place, block = tracked.astype(np.int32), np.zeros(len(tracked), np.int32)
-    for r in range(rounds):
+    place, block, which = tracked.astype(np.int32), np.zeros(len(tracked), np.int32), np.arange(len(tracked), dtype=np.int32)
+    r = 0
+    while len(place):
         said = symbol[place]
         order = np.argsort(said, kind="stable")
-        place, came, said = before[place[order]], block[order], said[order]
-        new = np.zeros(len(block), bool)
+        order = order[np.searchsorted(said[order], 1) :]  # 0: the front of a string
+        place, came, which, said = before[place[order]], block[order], which[order], said[order]
+        new = np.zeros(len(place), bool)
+        new[:1] = True
         new[1:] = (said[1:] != said[:-1]) | (came[1:] != came[:-1])
         block = np.cumsum(new, dtype=np.int32)
-        if r % 4 == 3 and len(block):
-            new[0] = True
+        if r % 4 == 3:
             alone = new & np.append(new[1:], True)
-            place, block = place[~alone], block[~alone]
+            place, block, which = place[~alone], block[~alone], which[~alone]
+        yield place, block, which
+        r += 1
+
+
+def merge_transforms(transforms: list[np.ndarray], tracked: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tracked places are after so many rounds, and their blocks."""
+    place = block = np.zeros(0, np.int32)
+    for place, block, _ in islice(refine(transforms, tracked), rounds):
+        pass
     return place, block
 
 
-def repeated_starts(contexts: list[bytes], length: int = LENGTH, shards: int = SHARDS) -> list[np.ndarray]:
-    """For contexts in rank order, the starts of windows that an earlier context has too."""
-    used = np.zeros(257, bool)
-    for c in contexts:
-        used[np.frombuffer(c, np.uint8) + np.int16(1)] = True
-    code = np.cumsum(used).astype(np.uint8 if used.sum() < 256 else np.uint16)
-    transforms, owners, offsets = [], [], []
-    for s in range(min(shards, len(contexts))):
-        mine = sorted(range(s, len(contexts), shards), key=contexts.__getitem__)
-        sizes = np.array([len(contexts[i]) + 1 for i in mine])
-        starts = np.cumsum(sizes) - sizes
-        symbols = code[np.frombuffer(b"\0".join([contexts[i] for i in mine]) + b"\0", np.uint8).astype(np.int16) + 1]
-        symbols[starts + sizes - 1] = 0
-        order, transform = shard_transform(symbols, starts, sizes)
-        owner = np.repeat(np.arange(len(mine)), sizes)[order]
-        transforms.append(transform)
-        owners.append(np.array(mine)[owner])
-        offsets.append(order - starts[owner])
-    out = [np.zeros(0, np.int64)] * len(contexts)
-    if not transforms:
-        return out
-    owner, offset = np.concatenate(owners), np.concatenate(offsets)
+def transform_of(contexts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transform of a shard of contexts, and the context and offset of each of its rows.
+
+    Symbols are byte values plus one, two bytes each; 0 ends a context.
+    """
+    mine = sorted(range(len(contexts)), key=contexts.__getitem__)
+    sizes = np.array([len(contexts[i]) + 1 for i in mine])
+    starts = np.cumsum(sizes) - sizes
+    symbols = np.frombuffer(b"\0".join([contexts[i] for i in mine]) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
+    symbols[starts + sizes - 1] = 0
+    order, transform = shard_transform(symbols, starts, sizes)
+    owner = np.repeat(np.arange(len(mine)), sizes)[order]
+    return transform.astype("<u2").tobytes(), np.array(mine, np.int32)[owner], (order - starts[owner]).astype(np.int32)
+
+
+def repeated_starts(shards: list[tuple[bytes, np.ndarray, np.ndarray]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that an earlier context has too, as context and start, from the shards' transforms.
+
+    Contexts of all shards are numbered by rank: the earlier one has the smaller number.
+    """
+    if not shards:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    transforms = [np.frombuffer(t, "<u2") for t, _, _ in shards]
+    owner, offset = np.concatenate([o for _, o, _ in shards]), np.concatenate([x for _, _, x in shards])
     # the ends of whole windows: `length` symbols before them the windows start
     place, block = merge_transforms(transforms, np.flatnonzero(offset >= length), length)
-    context, offset = owner[place], offset[place]
-    if len(block):
-        first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        earliest = np.repeat(np.minimum.reduceat(context, first), np.diff(np.append(first, len(block))))
-        later = context > earliest
-        c, o = context[later], offset[later]
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(len(contexts) + 1))
-        for i in np.flatnonzero(np.diff(cuts)):
-            out[i] = np.sort(o[order[cuts[i] : cuts[i + 1]]])
-    return out
+    context, offset = owner[place].astype(np.int64), offset[place].astype(np.int64)
+    if not len(block):
+        return context, offset
+    first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    earliest = np.repeat(np.minimum.reduceat(context, first), np.diff(np.append(first, len(block))))
+    later = context > earliest
+    return context[later], offset[later]
+
+
+def repeated_intervals(contexts: list[bytes], length: int = LENGTH, shards: int = SHARDS) -> list[tuple[int, int, int]]:
+    """Strings of at least `length` bytes that end where a window of another context, or another one of the same, ends too.
+
+    (context, start, common length): the longest string that ends there and occurs twice or more. Rounds of the merge
+    go on until every place is alone, so the common lengths follow from how long a place had company.
+    """
+    parts = [list(range(s, len(contexts), shards)) for s in range(min(shards, len(contexts)))]
+    made = [transform_of([contexts[i] for i in mine]) for mine in parts]
+    if not made:
+        return []
+    owner = np.concatenate([np.array(mine)[o] for mine, (_, o, _) in zip(parts, made, strict=True)])
+    offset = np.concatenate([x for _, _, x in made])
+    ends = np.flatnonzero(offset >= length)
+    common = np.zeros(len(ends), np.int64)
+    for n, (_, block, which) in enumerate(refine([np.frombuffer(t, "<u2") for t, _, _ in made], ends), 1):
+        same = block[1:] == block[:-1]
+        company = np.append(same, False) | np.insert(same, 0, False) if len(block) else same
+        common[which[company]] = n
+    found = np.flatnonzero(common >= length)
+    return sorted(zip(owner[ends[found]].tolist(), (offset[ends[found]] - common[found]).tolist(), common[found].tolist(), strict=True))
 
 
 def _deal(r: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
@@ -269,18 +341,24 @@ def frequent_anchors(rows: DataFrame, length: int = LENGTH) -> np.ndarray:
     """Hashes of the anchors that have very many contexts in the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = []
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def counted() -> pa.RecordBatch:
+            a, c = (np.concatenate(x) for x in zip(*kept, strict=True))
+            kept.clear()
+            a, n = np.unique(_pairs(a, c)[0], return_counts=True)
+            a, n = a[n >= SEEN_IN_TASK], n[n >= SEEN_IN_TASK]
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], ["anchor", "n"])
+
         for batch in batches:
             for s in range(0, batch.num_rows, 1000):
                 part = batch.slice(s, 1000)
                 r = records_of([0] * part.num_rows, [t or b"" for t in part.column(0).to_pylist()], length)
                 kept.append(_pairs(r["anchor"], r["context"]))
+                if sum(len(a) for a, _ in kept) > 2 * HELD:
+                    yield counted()
         if kept:
-            a, c = (np.concatenate(x) for x in zip(*kept, strict=True))
-            a, _ = _pairs(a, c)
-            a, n = np.unique(a, return_counts=True)
-            a, n = a[n >= SEEN_IN_TASK], n[n >= SEEN_IN_TASK]
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], ["anchor", "n"])
+            yield counted()
 
     counted = rows.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= SPLIT)
     found = [r[0] for r in counted.orderBy(F.desc("n"), "anchor").limit(SPLIT_KEPT).collect()]
@@ -300,21 +378,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text; those that share doc_id only rank by version. Spans may touch or overlap.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // IN_TASK), 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if not kept:
+                return
+            own, spans = firsts(np.concatenate(kept), length)
+            kept.clear()
+            rows = [(b, False, d) for b, d in _deal(own, parts)]
+            step = max(1, -(-len(spans) // parts))
+            rows += [(i, True, spans[i * step : (i + 1) * step].tobytes()) for i in range(-(-len(spans) // step))]
+            for s in range(0, len(rows), 64):
+                yield _batch(rows[s : s + 64], DEALT)
+
         for batch in batches:
             for s in range(0, batch.num_rows, 1000):
                 part = batch.slice(s, 1000)
                 kept.append(records_of(part.column(0).to_pylist(), [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()], length, split))
-        own, spans = firsts(np.concatenate(kept), length) if kept else (np.zeros(0, RECORD), np.zeros(0, SPAN))
-        del kept
-        rows = [(b, False, d) for b, d in _deal(own, parts)]
-        step = max(1, -(-len(spans) // parts))
-        rows += [(i, True, spans[i * step : (i + 1) * step].tobytes()) for i in range(-(-len(spans) // step))]
-        for s in range(0, len(rows), 64):
-            yield _batch(rows[s : s + 64], DEALT)
+                if sum(map(len, kept)) > HELD:
+                    yield from out()
+        yield from out()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, known = [], []
@@ -360,12 +447,17 @@ def _key(doc_id) -> F.Column:
     return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
 
 
+SHARD = "bucket int, shard int, doc array<long>, version array<long>, at array<long>, start array<long>, transform binary, owner binary, offset binary"
+
+
 def _compared(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """Spans found by comparing the bytes of the asked contexts."""
-    groups = max(1, -(-asked.count() // TOGETHER))
+    """Spans found by comparing the bytes of the asked contexts: transforms by shard, merged by bucket."""
+    n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()
+    groups = max(1, -(-n // TOGETHER), -(-size // TOGETHER_BYTES))
     by_text = asked.groupBy("doc").agg(F.collect_list(F.struct("version", "start", "end", "anchor", "at")).alias("asked"))
-    with_text = rows.join(by_text, "doc").select("doc", "text", "asked")
-    cut_schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("version", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("context", pa.binary())])
+    texts, _ = sieved(rows, "doc", by_text.select("doc"), asked.select("doc").distinct().count())
+    with_text = texts.join(by_text, "doc").select("doc", "text", "asked")
+    cut_schema = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("doc", pa.int64()), ("version", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("context", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,34 +468,47 @@ def _compared(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                 for a in asks:
                     if a["version"] == version:
                         bucket = ((a["anchor"] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 20) % groups
-                        out.append((bucket, d, version, a["at"], a["start"], t[a["start"] : a["end"]]))
+                        out.append((bucket, ((d * 31 + a["at"]) & 0xFFFFFFFF) % SHARDS, d, version, a["at"], a["start"], t[a["start"] : a["end"]]))
                 if len(out) > 5000:
                     yield _batch(out, cut_schema)
                     out = []
             yield _batch(out, cut_schema)
 
-    def compare(t: pa.Table) -> pa.Table:
+    def transform(key: tuple, t: pa.Table) -> pa.Table:
         t = t.group_by(["doc", "version", "at", "start", "context"]).aggregate([]).sort_by([("doc", "ascending"), ("version", "ascending"), ("at", "ascending")])
-        found = repeated_starts(t.column("context").to_pylist(), length)
-        row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        offset = np.concatenate(found) if found else np.zeros(0, np.int64)
+        said, owner, offset = transform_of(t.column("context").to_pylist())
+        lists = {c: pa.array([t.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("doc", "version", "at", "start")}
+        head = {"bucket": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32())}
+        return pa.table(head | lists | {"transform": pa.array([said], pa.binary()), "owner": pa.array([owner.tobytes()], pa.binary()), "offset": pa.array([offset.tobytes()], pa.binary())})
+
+    def merge(t: pa.Table) -> pa.Table:
+        own = [np.array([x for one in t.column(c).to_pylist() for x in one], np.int64) for c in ("doc", "version", "at", "start")]
+        rank = np.empty(len(own[0]), np.int64)
+        order = np.lexsort((own[2], own[1], own[0]))
+        rank[order] = np.arange(len(order))
+        first, shards = 0, []
+        for docs, said, owner, offset in zip(*(t.column(c).to_pylist() for c in ("doc", "transform", "owner", "offset")), strict=True):
+            shards.append((said, rank[first + np.frombuffer(owner, np.int32)], np.frombuffer(offset, np.int32)))
+            first += len(docs)
+        context, offset = repeated_starts(shards, length)
+        row = order[context]
         s = np.empty(len(row), SPAN)
-        for c in ("doc", "version"):
-            s[c] = t.column(c).to_numpy()[row]
-        s["start"] = t.column("start").to_numpy()[row] + offset
+        s["doc"], s["version"], s["start"] = own[0][row], own[1][row], own[3][row] + offset
         s["end"] = s["start"] + np.uint32(length)
         s = joined(s)
         return pa.table({c: pa.array(s[c].astype(np.int64)) for c in ("doc", "version", "start", "end")})
 
-    contexts = with_text.mapInArrow(cut, "bucket int, doc long, version long, at long, start long, context binary")
-    return contexts.groupBy("bucket").applyInArrow(compare, "doc long, version long, start long, end long")
+    contexts = with_text.mapInArrow(cut, "bucket int, shard int, doc long, version long, at long, start long, context binary")
+    shards = contexts.groupBy("bucket", "shard").applyInArrow(transform, SHARD)
+    return shards.groupBy("bucket").applyInArrow(merge, "doc long, version long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed byte runs: start, end) and kept (binary: the other bytes) of each row."""
-    spans = repeated_spans(docs.select("doc_id", "text"), length)
+    spans = stored(repeated_spans(docs.select("doc_id", "text"), length))
     by_text = spans.groupBy("doc").agg(F.collect_list(F.struct("version", "start", "end")).alias("spans"))
     rows = docs.select(_key(F.col("doc_id")).alias("doc"), "doc_id", F.col("text").cast("binary").alias("text"))
+    touched, whole = sieved(rows, "doc", by_text.select("doc"), spans.select("doc").distinct().count())
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,8 +536,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(runs_, struct), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    joined_rows = rows.join(by_text, "doc", "left").select("doc_id", "text", "spans")
-    return joined_rows.mapInArrow(apply, f"doc_id {id_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    done = touched.join(by_text, "doc", "left").select("doc_id", "text", "spans").mapInArrow(apply, f"doc_id {id_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    text = F.coalesce("text", F.lit(b""))
+    none = F.array().cast(done.schema["spans"].dataType)
+    return done.unionByName(whole.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("spans"), text.alias("kept")))
 
 
 def op8_bwt_dedup(spark, sf_dir: str) -> DataFrame:
