@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": html_text.op9_html_text,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
-ORACLE: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_chat_format": chat.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_chat_format": chat.ORACLE, "op5_unit_dedup": unit_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}

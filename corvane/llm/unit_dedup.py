@@ -16,40 +16,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.base import table
+from corvane.llm.base import WORD, stored, table
 
-#: Fewest words of a line, and of a sentence inside a line, for it to count as a unit.
-LINE_WORDS, SENTENCE_WORDS = 5, 8
+#: Fewest words of a line, and of a sentence inside a longer line, for it to count as a unit. Shorter ones are as a
+#: rule stock phrases, which clean documents share too.
+LINE_WORDS, SENTENCE_WORDS = 16, 12
 UNITS = "doc_id {id}, unit int, line int, whole_line boolean, start int, length int, digest binary"
-_sentence_end = re.compile(r"(?<=[.!?])[ \t]+").finditer
+#: A sentence ends in . ! or ?, closing quotes and brackets, and blanks; the last one with the line.
+SENTENCE = r"""(?:.*?[.!?]["'”’»)\]]*[ \t]+)|.+$"""
+_sentences, _words = re.compile(SENTENCE).findall, re.compile(WORD).findall
 
 
 def normalise(unit: str) -> str:
     """Lower case, one space between words."""
-    return " ".join(unit.lower().split())
+    return " ".join(_words(unit.lower()))
 
 
 def units_of(text: str, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> Iterator[tuple[int, int, bool, int, int, bytes]]:
-    """Unit number, line number, whether it is a whole line, start and length in code points, digest."""
+    """Unit number, line number, whether it is a whole line, start and length in code points, MD5 of the normalised unit."""
     at, unit = 0, 0
+    digest = lambda words: hashlib.md5(" ".join(words).encode(), usedforsecurity=False).digest()
     for k, line in enumerate(text.split("\n")):
-        words = line.lower().split()
+        words = _words(line.lower())
         if len(words) >= line_words:
-            yield unit, k, True, at, len(line), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+            yield unit, k, True, at, len(line), digest(words)
             unit += 1
-            cuts = [(m.start(), m.end()) for m in _sentence_end(line)] if len(words) >= sentence_words else []
-            if cuts:
-                begins = 0
-                for stop, then in [*cuts, (len(line), len(line))]:
-                    said = line[begins:stop].lower().split()
-                    if len(said) >= sentence_words:
-                        yield unit, k, False, at + begins, stop - begins, hashlib.blake2b(" ".join(said).encode(), digest_size=16).digest()
-                        unit += 1
-                    begins = then
+        if len(words) > sentence_words:
+            begins = at
+            for piece in _sentences(line):
+                said = _words(piece.lower())
+                if sentence_words <= len(said) < len(words):
+                    yield unit, k, False, begins, len(piece.rstrip(" \t")), digest(said)
+                    unit += 1
+                begins += len(piece)
         at += len(line) + 1
 
 
 def text_units(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+    """The units of each row of docs (doc_id, text): columns as in UNITS, start and length in code points.
+
+    Null, empty and blank texts have none; repeated rows have theirs each time; columns besides doc_id and text are let
+    be; an empty table gives an empty result.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = UNITS.format(id=kind)
 
@@ -77,7 +85,7 @@ def repeated_units(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words
     equal units share a rank, and none is removed for the other. Null, empty and blank texts have no units.
     A repeated line comes once, without its sentences.
     """
-    units = text_units(docs, line_words, sentence_words)
+    units = stored(text_units(docs, line_words, sentence_words))  # digests, not texts: extracted once, read twice
     firsts = (
         units.groupBy("digest")
         .agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -94,9 +102,14 @@ def repeated_units(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words
 
 
 def without_units(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """docs with the repeated units cut out of text; the columns stay as they are."""
+    """docs with the repeated units cut out of text; the columns stay as they are, whatever their names.
+
+    Null texts stay null; rows that repeat are all cut; rows without a repeated unit are as before. Rows that share a
+    doc_id are taken to share their text.
+    """
     spans = repeated.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id")
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    joined = rows.join(spans, rows["doc_id"].eqNullSafe(F.col("__id")), "left")
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -113,8 +126,27 @@ def without_units(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    return joined.withColumn("text", cut("text", "__spans")).select(*docs.columns)
+    texts = joined.select(cut("text", "__spans").alias("__text"), "__row")
+    return texts.select(*[F.col("__text").alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def op5_unit_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Sentences are found by the same pattern; offsets are running sums of lengths.
+ORACLE = rf"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(ls) AS said, unnest(range(len(ls))) AS line FROM cut),
+placed AS (SELECT *, (sum(length(said) + 1) OVER (PARTITION BY doc_id ORDER BY line))::BIGINT - length(said) - 1 AS begins, len(regexp_extract_all(said, '{WORD}')) AS n FROM lines),
+pieces AS (SELECT doc_id, line, begins, n, regexp_extract_all(said, '{SENTENCE.replace("'", "''")}') AS ps FROM placed WHERE n > {SENTENCE_WORDS}),
+parts AS (SELECT doc_id, line, begins, n, unnest(ps) AS said, unnest(range(len(ps))) AS j FROM pieces),
+sentences AS (SELECT *, begins + (sum(length(said)) OVER (PARTITION BY doc_id, line ORDER BY j))::BIGINT - length(said) AS start, len(regexp_extract_all(said, '{WORD}')) AS m FROM parts),
+found AS (SELECT doc_id, line, true AS whole_line, begins AS start, said, length(said) AS length FROM placed WHERE n >= {LINE_WORDS}
+  UNION ALL SELECT doc_id, line, false, start, said, length(rtrim(said, ' ' || chr(9))) FROM sentences WHERE m >= {SENTENCE_WORDS} AND m < n),
+units AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line, whole_line DESC, start) - 1)::INTEGER AS unit, line::INTEGER AS line, whole_line, start::INTEGER AS start, length::INTEGER AS length,
+  upper(md5(array_to_string(regexp_extract_all(lower(said), '{WORD}'), ' '))) AS digest FROM found),
+firsts AS (SELECT digest, min((doc_id, unit)) AS first FROM units GROUP BY digest HAVING count(*) > 1),
+later AS (SELECT u.*, first[1] AS first_doc_id, first[2]::INTEGER AS first_unit FROM units u JOIN firsts f ON u.digest = f.digest WHERE (u.doc_id, u.unit) <> first)
+SELECT * FROM later l WHERE whole_line OR NOT EXISTS (SELECT 1 FROM later w WHERE w.doc_id = l.doc_id AND w.line = l.line AND w.whole_line)
+"""
