@@ -77,28 +77,49 @@ LAYOUTS: dict[tuple[str, ...], Callable[[Get], Column]] = {
     ("instruction", "output"): _pair("instruction", "output"),
     ("instruction", "input", "output"): _pair("instruction", "output", "input"),
 }
-MAPPINGS = {fingerprint(list(paths)): build for paths, build in LAYOUTS.items()}
-TURN_ROWS = fingerprint(["conv_id", "turn", "role", "text"])
+#: Maps records and the name of their key column to key and turns.
+Mapping = Callable[[DataFrame, str], DataFrame]
+
+
+def _of_record(build: Callable[[Get], Column]) -> Mapping:
+    return lambda records, key: records.select(key, build(F.col).cast(TURNS).alias("turns"))
+
+
+def _turn_rows(records: DataFrame, key: str) -> DataFrame:
+    """Rows by turn, grouped in the order of turn, then role, then text (nulls first)."""
+    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    grouped = records.groupBy(F.col("conv_id").alias(key)).agg(F.sort_array(F.collect_list(said)).alias("rows"))
+    return grouped.select(key, F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
+
+
+TURN_ROWS = ("conv_id", "turn", "role", "text")
+DECLARED: dict[tuple[str, ...], Mapping] = {TURN_ROWS: _turn_rows} | {paths: _of_record(build) for paths, build in LAYOUTS.items()}
+#: The mapping of each layout by the hash of its nested field paths.
+MAPPINGS: dict[str, Mapping] = {fingerprint(list(paths)): mapping for paths, mapping in DECLARED.items()}
+#: The fields at the top of each layout, the most first: a record is looked at through them, so that others are let be.
+VIEWS = sorted({tuple(dict.fromkeys(p.partition("[")[0] for p in paths)) for paths in DECLARED}, key=lambda v: (-len(v), v))
+
+
+def select_mapping(schema: T.StructType) -> Mapping:
+    """The mapping whose fingerprint is the hash of the record's nested field paths, seen through the widest view that has one.
+
+    ValueError names the paths of a record that no mapping is known for.
+    """
+    for view in VIEWS:
+        seen = T.StructType([f for f in schema.fields if f.name in view])
+        if (found := MAPPINGS.get(fingerprint(field_paths(seen)))) is not None:
+            return found
+    raise ValueError(f"no mapping for the fields {sorted(field_paths(schema))}")
 
 
 def canonical_turns(records: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Columns key and turns, whatever layout the records have.
+    """Columns key and turns, whatever layout the records have: the hash of their nested field paths selects the mapping.
 
-    The fingerprint of all columns but the key selects the mapping; rows by turn are grouped first,
-    in the order of turn, then role, then text (nulls first). ValueError names the paths of an
-    unknown layout. Null roles and texts are empty; an empty table gives an empty result.
+    Columns besides a known layout are let be. Rows by turn are grouped, in the order of turn, then role, then text
+    (nulls first). ValueError names the paths of an unknown layout. Null roles and texts are empty; an empty table
+    gives an empty result.
     """
-    if {"conv_id", "turn", "role", "text"} <= set(records.columns):
-        kept = records.select("conv_id", "turn", "role", "text")
-        if fingerprint(field_paths(kept.schema)) == TURN_ROWS:
-            said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-            grouped = kept.groupBy(F.col("conv_id").alias(key)).agg(F.sort_array(F.collect_list(said)).alias("rows"))
-            return grouped.select(key, F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
-    paths = field_paths(records.drop(key).schema)
-    for known in sorted(LAYOUTS, key=len, reverse=True):  # extra columns beside a known layout are let be
-        if set(known) <= set(paths):
-            return records.select(key, MAPPINGS[fingerprint(list(known))](F.col).cast(TURNS).alias("turns"))
-    raise ValueError(f"no mapping for the fields {sorted(paths)}")
+    return select_mapping(records.schema)(records, key)
 
 
 def canonical_turns_json(records: DataFrame, key: str = "conv_id", json: str = "record") -> DataFrame:
