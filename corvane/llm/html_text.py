@@ -237,8 +237,19 @@ def _weigh(root: Element) -> list[Element]:
     return order
 
 
+def _is_menu(e: Element) -> bool:
+    """A block of three short links or more. Long links, as those of a list of references, are text."""
+    return e.name in ("ul", "ol", "div", "section", "table", "dl") and e.link_chars > 0.6 * e.chars and len(e.children) >= 3 and e.chars < 30 * len(e.children)
+
+
 def _collect(e: Element, out: list[str]) -> None:
-    """Texts of e in page order: blocks are parted by white space, inline pieces aren't."""
+    """Texts of e in page order: blocks are parted by white space, inline pieces aren't.
+
+    Inside an article element nothing more is dropped; elsewhere blocks of short links are menus.
+    """
+    x, in_article = e, False
+    while x is not None and not in_article:
+        in_article, x = x.name == "article", x.parent
     stack: list = [e]
     while stack:
         x = stack.pop()
@@ -247,8 +258,8 @@ def _collect(e: Element, out: list[str]) -> None:
         elif type(x) is tuple:
             out.append(unescape(x[0]) if "&" in x[0] else x[0])
         else:
-            if x is not e and x.name in ("ul", "ol", "div", "section", "table", "dl") and x.link_chars > 0.6 * x.chars and len(x.children) >= 3:
-                continue  # a menu
+            if x is not e and not in_article and _is_menu(x):
+                continue
             stack.append(" ")
             stack.extend(reversed(x.parts))
             stack.append(" ")
@@ -263,14 +274,11 @@ def main_text(html: str | None) -> str:
     if best.score <= 0 and not best.chars:
         return ""
     x = best
-    while x is not None:  # an article is whole
-        if x.name in ("article", "main"):
-            best = x
-            if x.name == "article":
-                break
+    while x is not None and x.name != "article":
         x = x.parent
+    best = x or best  # an article is whole; any other element around the best one must earn its place by score
     chosen = [best]
-    if best.parent is not None and best.name not in ("article", "main", "body", "html"):
+    if best.parent is not None and best.name not in ("article", "body", "html"):
         for s in best.parent.children:
             density = s.link_chars / max(1, s.chars)
             if s is not best and (s.score >= max(5.0, 0.2 * best.score) or s.name in ("p", "h1", "h2", "h3", "pre", "blockquote") and s.chars and density < 0.25):
