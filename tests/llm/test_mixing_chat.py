@@ -95,3 +95,16 @@ def test_planted_conversation(spark, sf_dir):
     said = chat.PLANTED[0][3]
     assert row.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert (row.n_turns, row.loss_chars) == (2, len(said))
+
+
+def test_fingerprints_select_the_mapping(spark, sf_dir, monkeypatch):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    mark = chat.fingerprint(list(chat.TURN_ROWS))
+    assert chat.select_mapping(rows.schema) is chat.MAPPINGS[mark]
+    clashing = rows.withColumns({"prompt": F.lit(1), "n_turns": F.lit("x")})
+    assert chat.select_mapping(clashing.schema) is chat.MAPPINGS[mark]
+    other = spark.createDataFrame([(1, "q", "a", 3)], "conv_id long, question string, answer string, score int")
+    assert [tuple(t) for t in chat.canonical_turns(other).first().turns] == [("user", "q"), ("assistant", "a")]
+    monkeypatch.delitem(chat.MAPPINGS, mark)
+    with pytest.raises(ValueError, match="conv_id"):
+        chat.canonical_turns(rows)

@@ -54,6 +54,19 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert multi_index.dedup_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_without_ids_and_of_any_scale(spark):
+    rows = [(None, [1.0, 2.0]), (None, [1.0, 2.0]), (None, [1.0, 2.1]), (7, [3.0, -1.0]), (3, [3.0, -1.1]), (1, [1e200, -1e200]), (2, [1e200, -1.1e200]), (8, [1e-200, 0.0]), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in multi_index.dedup_vectors(df, recall=1.0).collect())
+    want = [(0, 0, 0, True), (0, 2, 0, True), (0, 2, 0, True), (0, 2, 0, True)]
+    v = {r[0]: np.array(r[1]) / np.linalg.norm(np.array(r[1]) / max(map(abs, r[1]))) / max(map(abs, r[1])) for r in rows if r[0]}
+    linked = {a: {b for b in v if a != b and v[a] @ v[b] >= 0.9} for a in v}
+    reach = {a: {a} for a in v}
+    for _ in v:
+        reach = {a: {c for b in reach[a] for c in {b} | linked[b]} for a in v}
+    assert got == sorted(want + [(a, len(linked[a]), min(reach[a]), a == min(reach[a])) for a in v])
+
+
 def test_index_recall_is_high(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((1500, 64))
@@ -104,7 +117,7 @@ def test_vectors_of_all_lengths_are_compared(spark, monkeypatch):
 
     def search(spark, groups, width, *_):
         seen.append(width)
-        return spark.createDataFrame([], "rep long, n long"), spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "node binary, n long"), spark.createDataFrame([], "a binary, b binary")
 
     monkeypatch.setattr(multi_index, "_search", search)
     df = spark.createDataFrame([(i, [1.0] * (i + 1)) for i in range(70)], "vec_id long, embedding array<double>")
@@ -153,6 +166,27 @@ def test_repeats_equal_brute_force(spark, monkeypatch, split):
     assert got == brute_spans(docs, 100) | {i: (0, 0, 0, hashlib.sha256(b"").hexdigest()) for i in (500, 501)}
 
 
+def test_repeated_intervals_equal_brute_force():
+    rng = random.Random(4)
+    base = bytes(rng.choices(b"abc", k=60))
+    contexts = [bytes(rng.choices(b"abc", k=rng.randint(0, 9))) + base[rng.randint(0, 9) : rng.randint(30, 60)] + bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(14)] + [b"", base, base]
+    want = []
+    for i, c in enumerate(contexts):
+        for end in range(12, len(c) + 1):
+            n = max((k for j, d in enumerate(contexts) for e in range(len(d) + 1) if (j, e) != (i, end) for k in [next((k for k in range(min(end, e)) if c[end - 1 - k] != d[e - 1 - k]), min(end, e))]), default=0)
+            if n >= 12:
+                want.append((i, end - n, n))
+    assert bwt_dedup.repeated_intervals(contexts, 12, 3) == sorted(want) and want
+    assert bwt_dedup.repeated_intervals([], 12) == []
+
+
+def test_equal_hashes_of_other_bytes_are_told_apart():
+    r = np.zeros(3, bwt_dedup.RECORD)
+    r["doc"], r["check"], r["before"] = [1, 2, 3], [5, 6, 5], 3
+    own, spans = bwt_dedup.firsts(r)
+    assert sorted(own["doc"].tolist()) == [1, 2] and spans["doc"].tolist() == [3]
+
+
 def test_repeats_of_repeated_rows(spark):
     t, u = "".join(chr(97 + i * i % 23) for i in range(300)), "z" * 50 + "".join(chr(97 + i * i % 19) for i in range(200))
     df = spark.createDataFrame([(1, t), (1, t), (None, u), (2, u), (3, t[:99])], "doc_id long, text string")

@@ -1,5 +1,6 @@
 import hashlib
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -71,10 +72,10 @@ def test_units_keep_the_earliest(spark):
     said = "one two three four five six seven eight nine."
     rows = [(2, f"intro words that nobody else has here ok. {said}\nsome other line of text"), (1, said.upper() + "\n\nshort"), (3, f"some  OTHER line of text\nshort\n{said} {said}"), (4, None), (5, ""), (6, " \n "), (3, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("unit", F.lit("clash"))
-    got = {(r.doc_id, r.start, r.length, r.first_doc_id) for r in unit_dedup.repeated_units(df).collect()}
+    got = {(r.doc_id, r.start, r.length, r.first_doc_id) for r in unit_dedup.repeated_units(df, 5, 8).collect()}
     at = rows[0][1].index(said)
     assert got == {(2, at, len(said), 1), (3, 0, 24, 2), (3, 31, len(said), 1), (3, 32 + len(said), len(said), 1)}
-    cut = {r.doc_id: r.text for r in unit_dedup.without_units(df.where("text <> 'x'"), unit_dedup.repeated_units(df.where("text <> 'x'"))).collect()}
+    cut = {r.doc_id: r.text for r in unit_dedup.without_units(df.where("text <> 'x'"), unit_dedup.repeated_units(df.where("text <> 'x'"), 5, 8)).collect()}
     assert cut[1] == rows[1][1] and cut[3] == "\nshort\n "
     assert unit_dedup.repeated_units(df.limit(0)).count() == 0
 
@@ -163,6 +164,34 @@ def test_html_attributes_that_drop(attributes):
     assert html_text.main_text(f"<article><p>{text}</p><div {attributes}><p>Gone, gone.</p></div></article>") == text
 
 
+def test_html_lists_of_links_in_an_article_are_text():
+    items = "".join(f"<li><a href='{i}'>Report {i}</a></li>" for i in range(5))
+    assert html_text.main_text(f"<article><p>Rails were laid, late, by autumn.</p><ul>{items}</ul></article>").endswith("Report 0 Report 1 Report 2 Report 3 Report 4")
+    long = "".join(f"<li><a href='{i}'>A. Writer, The history of the northern railways, volume {i}, 1901</a></li>" for i in range(4))
+    body = "<p>" + "Rails were laid, and the line was opened, late, by autumn. " * 6 + "</p>"
+    assert "volume 3" in html_text.main_text(f"<div class='content'>{body}<ul>{long}</ul></div>")
+    assert "Report" not in html_text.main_text(f"<div class='content'>{body}<ul>{items}</ul></div>")
+
+
+def test_html_main_does_not_overrule_the_score():
+    text = "<p>" + "Rails were laid, and the line was opened, late, by autumn. " * 6 + "</p>"
+    box = "<div class='b7'><a href='x'>Weather today</a> <a href='y'>Match results</a> now</div>"
+    got = html_text.main_text(f"<main><div class='a1'>{text}</div>{box}</main>")
+    assert got.startswith("Rails") and "Weather" not in got
+
+
+def test_html_sample_pages_without_article_tags(spark, sf_dir):
+    """Recall and precision in words of the sample pages' articles when their tag is a plain div."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    found = wanted = both = 0
+    for p in pages:
+        want = html_text.main_text(p.html).split()
+        got = html_text.main_text(p.html.replace("<article", "<div").replace("</article", "</div")).split()
+        common = sum((Counter(want) & Counter(got)).values())
+        found, wanted, both = found + len(got), wanted + len(want), both + common
+    assert both >= 0.95 * wanted and both >= 0.95 * found, (both / wanted, both / found)
+
+
 def test_html_odd_pages(spark):
     rows = [None, "", "no tags, just text", "<p>x", "<script>never closed", "<<<<" * 5000, "<a <a " * 20_000, "<p a='" * 2000, "<div>" * 20_000 + "deep, text", "<nav>only menu</nav>", "<p>" + "word, " * 100_000, "&nbsp;&#x41;&bogus;"]
     df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(rows)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
