@@ -45,13 +45,24 @@ def _offers(docs: DataFrame, kind: str, json: Column, resource: Column) -> DataF
     return _judged(rows)
 
 
+def split_http(content: Column) -> Column:
+    """head and body of a raw response, parted at its first blank line (CRLF, else LF); null without one."""
+    text = content.cast("string")
+    cut = lambda mark: F.struct(F.substring_index(text, mark, 1).alias("head"), F.substr(text, F.instr(text, mark) + len(mark)).alias("body"))
+    return F.when(F.instr(text, "\r\n\r\n") > 0, cut("\r\n\r\n")).when(F.instr(text, "\n\n") > 0, cut("\n\n"))
+
+
 def runtime(docs: DataFrame) -> DataFrame:
-    """Raw 402 responses (evidence_id, endpoint, content): the header's document counts before the body's."""
-    text = F.col("content").cast("string")
-    head, body = F.split_part(text, F.lit("\r\n\r\n"), F.lit(1)), F.split_part(text, F.lit("\r\n\r\n"), F.lit(2))
-    header = F.regexp_extract(head, r"(?im)^payment-required:[ \t]*(\S+)[ \t]*$", 1)
-    json = F.when(header != "", F.try_to_binary(header, F.lit("base64")).cast("string")).otherwise(body)
-    is_402 = head.rlike(r"^HTTP/\S+ 402\b")
+    """Raw 402 responses (evidence_id, endpoint, content): the header's document counts before the body's.
+
+    Status lines of HTTP/1.0 and 1.1 with code and reason count; two payment headers with a value make a response malformed.
+    """
+    parts = split_http(F.col("content"))
+    lines = F.split(parts["head"], r"\r?\n")
+    rest = F.filter(F.slice(lines, 2, F.size(lines)), lambda x: F.lower(F.substring_index(x, ":", 1)).eqNullSafe(F.lit("payment-required")) & F.contains(x, F.lit(":")))
+    values = F.filter(F.transform(rest, lambda x: F.trim(F.substr(x, F.instr(x, ":") + 1))), lambda v: v != "")
+    json = F.when(F.size(values) == 1, F.try_to_binary(values[0], F.lit("base64")).cast("string")).when(F.size(values) == 0, parts["body"])
+    is_402 = F.get(lines, F.lit(0)).rlike(r"^HTTP/1\.[01] 402 ")
     return _offers(docs, "runtime", F.when(is_402, json), F.col("endpoint"))
 
 

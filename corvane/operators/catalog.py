@@ -38,7 +38,8 @@ def promotable(candidates: DataFrame, signals: DataFrame, endpoints: DataFrame,
     return candidates.join(targets, "endpoint_uri", "left_semi").join(enough, "candidate_id").select("candidate_id", "kinds", "sources")
 
 
-def cluster_membership(log: DataFrame, version: int) -> DataFrame:
-    """Members of each cluster at a version: handles whose last action up to it is add."""
-    last = log.where(F.col("version") <= version).groupBy("cluster_id", "buyer_handle_id").agg(F.max_by("action", "version").alias("action"))
+def cluster_membership(log: DataFrame, version: int | None = None) -> DataFrame:
+    """Members of each cluster at a version (None: the newest): handles whose last action up to it is add."""
+    log = log if version is None else log.where(F.col("version") <= version)
+    last = log.groupBy("cluster_id", "buyer_handle_id").agg(F.max_by("action", "version").alias("action"))
     return last.where("action = 'add'").select("cluster_id", "buyer_handle_id")

@@ -30,29 +30,88 @@ def unsigned(raw: Column, start: int, length: int) -> Column:
     return F.conv(F.hex(F.substring(raw, start, length)), 16, 10).cast("decimal(20,0)")
 
 
+#: First bytes of an archived response, codes of chains, largest body.
+RPC_MAGIC, RPC_CHAINS, RPC_BODY = b"AEMRPC1\0", {1: "ethereum", 2: "base", 3: "solana", 4: "tempo"}, 8 * 1024 * 1024
+
+
 def rpc_envelope(raw: Column) -> Column:
-    """Fields of an archived response: 4 bytes of magic, chain, height, status, attempt, retry-after and body."""
-    size = unsigned(raw, 33, 4)
-    fits = (F.octet_length(raw) >= 36) & (F.octet_length(raw) == size + 36)
+    """Fields of an archived response; null unless magic, chain, retry marker and length are right.
+
+    8 bytes of magic, chain (1), height (8), status (2), attempt (4), retry marker (1), retry-after (8), body length (4), body.
+    """
+    size, chain, marker = unsigned(raw, 33, 4), unsigned(raw, 9, 1).cast("int"), unsigned(raw, 24, 1)
+    fits = (F.octet_length(raw) >= 36) & (F.substring(raw, 1, 8) == F.lit(RPC_MAGIC)) & chain.isin(*RPC_CHAINS) & marker.isin(0, 1)
+    names = F.create_map(*[F.lit(x) for pair in RPC_CHAINS.items() for x in pair])
     return F.when(
-        fits,
+        fits & (size <= RPC_BODY) & (F.octet_length(raw) == size + 36),
         F.struct(
-            F.hex(F.substring(raw, 1, 4)).alias("magic"),
-            unsigned(raw, 5, 5).cast("long").alias("chain"),
+            names[chain].alias("chain"),
             unsigned(raw, 10, 8).alias("height"),
             unsigned(raw, 18, 2).cast("int").alias("status"),
             unsigned(raw, 20, 4).cast("long").alias("attempt"),
-            (unsigned(raw, 24, 1) == 1).alias("has_retry_after"),
-            unsigned(raw, 25, 8).alias("retry_after_ms"),
+            F.when(marker == 1, unsigned(raw, 25, 8)).alias("retry_after_ms"),
             F.substring(raw, 37, 2**31 - 37).alias("body"),
         ),
     )
 
 
-def decode_height(body: Column) -> Column:
-    """Block height of an EVM JSON-RPC response; null unless it is a canonical hex quantity."""
-    h = F.get_json_object(body, "$.result.number")
-    return F.when(strict_json(body) & h.rlike(GRAMMARS["quantity"]), F.conv(F.substring(h, 3, 16), 16, 10).cast("decimal(20,0)"))
+def quantity(hexadecimal: Column) -> Column:
+    """Value of a canonical 0x quantity of at most 64 bits; null for any other text."""
+    fits = hexadecimal.rlike(GRAMMARS["quantity"]) & (F.length(hexadecimal) <= 18)
+    return F.when(fits, F.conv(F.substring(hexadecimal, 3, 16), 16, 10).cast("decimal(20,0)"))
+
+
+#: Error codes by which a chain says that a slot holds no block.
+SKIPPED = [-32007, -32009]
+
+
+def _kind(value: Column, path: str) -> Column:
+    """Type of what stands at a path of a JSON value: null where there is nothing, VOID for a JSON null."""
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
+def decode_height(body: Column, chain: Column, requested: Column) -> Column:
+    """What a JSON-RPC block response says: struct of height (null: no such block) and problem (null: none).
+
+    EVM blocks carry their number as a canonical quantity; a Solana block has the requested slot if its fields are
+    well formed and its parent is before it.
+    """
+    return F.transform(F.array(F.try_parse_json(body)), lambda v: _block_said(v, chain, requested))[0]  # parsed once
+
+
+def _block_said(v: Column, chain: Column, requested: Column) -> Column:
+    text = lambda path: F.try_variant_get(v, path, "string")
+    number = lambda path: F.when(_kind(v, path) == "BIGINT", F.try_variant_get(v, path, "decimal(20,0)"))
+    result, error = _kind(v, "$.result"), _kind(v, "$.error")
+    solana = chain == "solana"
+    height = quantity(F.when(_kind(v, "$.result.number") == "STRING", text("$.result.number")))
+    hashes = F.lit(True)
+    for name in ("blockhash", "previousBlockhash"):
+        hashes &= (_kind(v, f"$.result.{name}") == "STRING") & (text(f"$.result.{name}") != "")
+    parent = number("$.result.parentSlot")
+    block = _kind(v, "$.result.blockHeight")
+    fits = ((block == "VOID") | (number("$.result.blockHeight") >= 0)) & (parent >= 0) & ((requested == 0) | (parent < requested)) & hashes & _kind(v, "$.result.transactions").startswith("ARRAY")
+    skipped = solana & number("$.error.code").isin(*SKIPPED)
+    problem = (
+        F.when(v.isNull(), "json")
+        .when(~F.coalesce((_kind(v, "$.jsonrpc") == "STRING") & (text("$.jsonrpc") == "2.0"), F.lit(False)), "json-rpc version")
+        .when(~F.coalesce(number("$.id") == 1, F.lit(False)), "json-rpc id")
+        .when(result.isNotNull() & error.isNotNull(), "result and error")
+        .when(error.isNotNull(), F.when(~F.coalesce(skipped, F.lit(False)), "provider error"))
+        .when(result.isNull(), "result")
+        .when(result == "VOID", None)
+        .when(solana, F.when(~F.coalesce(fits, F.lit(False)), "solana block"))
+        .when(height.isNull(), "number")
+    )
+    known = problem.isNull() & error.isNull() & (result != "VOID")
+    return F.struct(F.when(known, F.when(solana, requested.cast("decimal(20,0)")).otherwise(height)).alias("height"), problem.alias("problem"))
+
+
+def archived_success(raw: Column, chain: Column, height: Column) -> Column:
+    """Whether an archived response is a 2xx answer of this chain that holds the block of this height."""
+    e = rpc_envelope(raw)
+    said = decode_height(e["body"].cast("string"), chain, height)
+    return F.coalesce((e["chain"] == chain) & (e["height"] == height) & e["status"].between(200, 299) & said["problem"].isNull() & (said["height"] == height), F.lit(False))
 
 
 def strict_json(text: Column) -> Column:
@@ -141,10 +200,10 @@ def history_pages(pages: DataFrame) -> DataFrame:
     answered = (envelope["jsonrpc"] == "2.0") & (envelope["id"] == 1) & F.get_json_object(body, "$.error").isNull()
     commitment = F.create_map(*[F.lit(x) for pair in COMMITMENTS.items() for x in pair])
     is_sol = F.col("chain_scope") == "solana"
-    moves = F.transform(evm["transfers"], lambda t: F.struct(t["hash"].alias("transaction_id"), F.conv(F.substring(t["blockNum"], 3, 16), 16, 10).cast("decimal(20,0)").alias("height"), F.lit("finalized").alias("finality")))
+    moves = F.transform(evm["transfers"], lambda t: F.struct(t["hash"].alias("transaction_id"), quantity(t["blockNum"]).alias("height"), F.lit("finalized").alias("finality")))
     signed = F.transform(sol, lambda x: F.struct(x["signature"].alias("transaction_id"), x["slot"].cast("decimal(20,0)").alias("height"), F.coalesce(commitment[x["confirmationStatus"]], F.lit("pending")).alias("finality")))
     evm_fits = (F.size(evm["transfers"]) <= 100) & F.forall(
-        evm["transfers"], lambda t: (F.lower(t["from"]) == F.lower(F.col("handle"))) & t["hash"].rlike(GRAMMARS["evm_hash"]) & t["blockNum"].rlike(GRAMMARS["quantity"])
+        evm["transfers"], lambda t: (F.lower(t["from"]) == F.lower(F.col("handle"))) & t["hash"].rlike(GRAMMARS["evm_hash"]) & quantity(t["blockNum"]).isNotNull()
     )
     sol_fits = (F.size(sol) <= 1000) & F.forall(sol, lambda x: x["signature"].rlike(GRAMMARS["solana_signature"]) & (x["slot"] >= 0) & (x["confirmationStatus"].isNull() | x["confirmationStatus"].isin(*COMMITMENTS)))
     valid = F.coalesce(answered & F.when(is_sol, sol_fits).otherwise(evm_fits), F.lit(False))
@@ -185,3 +244,31 @@ def projection_violations(pages: DataFrame, snapshots: DataFrame, private: list[
     path = ~F.col("page_path").rlike(r"^[a-z0-9][a-z0-9/_-]*$") | F.contains("page_path", F.lit("//"))
     reasons = F.filter(F.array(F.when(cited, "citation"), F.when(linked, "links"), F.when(leaks, "private"), F.when(path, "path")), lambda r: r.isNotNull())
     return rows.select("page_path", reasons.alias("reasons")).where(F.size("reasons") > 0)
+
+
+#: Marks around the generated part of a page.
+BEGIN, END = "<!-- BEGIN GENERATED: agent-economy-projection -->", "<!-- END GENERATED: agent-economy-projection -->"
+
+
+def merge_generated(existing: Column, generated: Column) -> Column:
+    """A page with its generated part replaced, or added at its end; null where marks repeat, are out of order or generated."""
+    count = lambda text, mark: (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)
+    at, to = F.instr(existing, BEGIN), F.instr(existing, END)
+    section = F.concat(F.lit(BEGIN + "\n"), F.rtrim(generated, F.lit(" \n\t\r")), F.lit("\n" + END))
+    gap = F.when((existing == "") | existing.endswith("\n\n"), "").when(existing.endswith("\n"), "\n").otherwise("\n\n")
+    whole = F.concat(F.substr(existing, F.lit(1), at - 1), section, F.substr(existing, to + len(END)))
+    fits = (count(existing, BEGIN) <= 1) & (count(existing, END) <= 1) & (F.instr(generated, BEGIN) == 0) & (F.instr(generated, END) == 0)
+    return F.when(fits & (at == 0) & (to == 0), F.concat(existing, gap, section, F.lit("\n"))).when(fits & (at > 0) & (to > at), whole)
+
+
+def manifest_hash(evidence: DataFrame, observations: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash of each batch's canonical JSON: evidence by height and id, observations by height, protocol and id.
+
+    Fields are in alphabetic order. A batch is bounded (a crawl's heights), so its lists are one row each.
+    """
+    items = lambda df, order, names, name: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*sorted(names)).alias("item")))), lambda x: x["item"]).alias(name))
+    e = items(evidence, ["height", "evidence_id"], ["byte_length", "evidence_id", "height", "media_type", "sha256", "storage_uri"], "evidence")
+    o = items(observations, ["height", "protocol", "observation_id"], ["evidence_id", "height", "observation_hash", "observation_id", "parser_version", "protocol"], "observations")
+    rows = e.join(o, keys, "left").withColumn("observations", F.coalesce("observations", F.array().cast(o.schema["observations"].dataType)))
+    shown = F.struct(*sorted([*keys, "evidence", "observations"]))
+    return rows.select(*keys, F.sha2(F.to_json(shown, {"ignoreNullFields": "false"}), 256).alias("output_sha256"))

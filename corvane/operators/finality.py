@@ -56,51 +56,43 @@ def inclusion() -> Column:
     return F.concat(F.lit(bytes([0])), count(F.col("block_number")), field(F.col("block_hash")))
 
 
-def timelines(evidence: DataFrame, confirmations: int, subject: list[str] = SUBJECT) -> DataFrame:
-    """Each subject's evidence folded in one total order, whatever order it came in.
+def _by_inclusion(evidence: DataFrame, confirmations: int, subject: list[str]) -> DataFrame:
+    """Each inclusion (block) of a subject, its evidence folded in one total order: state, first time, accepted, rejected.
 
-    Each inclusion (block) has its own state; evidence that may not follow it is a conflict. The
-    current status is that of the inclusion that was asserted first last. A subject's evidence is a few
-    rows, so its list is folded in one expression.
+    A status that may not follow the inclusion's is rejected. Rows that repeat count once.
     """
     status = evm_status(confirmations)
     rank = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), status)
-    item = F.struct(
-        F.col("asserted_at").alias("asserted_at"),
-        rank.alias("rank"),
-        inclusion().alias("inclusion"),
-        "canonical_block_hash",
-        "latest_block",
-        "finalized_block",
-        "reverted",
-        "evidence_id",
-        status.alias("status"),
-    )
-    grouped = evidence.groupBy(*subject).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    when = evidence.schema["asserted_at"].dataType.simpleString()
-    start = F.struct(
-        F.expr(f"CAST(array() AS array<struct<inclusion:binary,status:string,first:{when}>>)").alias("states"),
-        F.lit(None).cast(f"struct<first:{when},inclusion:binary>").alias("active"),
-        F.lit(None).cast("string").alias("current"),
-        F.lit(0).alias("accepted"),
-        F.lit(0).alias("conflicts"),
-    )
+    names = [c for c in ("source_id", "provenance_id", "evidence_id") if c in evidence.columns]
+    item = F.struct("asserted_at", rank.alias("rank"), "canonical_block_hash", "latest_block", "finalized_block", "reverted", *names, status.alias("status"))
+    grouped = evidence.groupBy(*subject, inclusion().alias("inclusion")).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    rejected = F.array().cast("array<struct<evidence_id:string,status:string,current_status:string>>")
+    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("accepted"), rejected.alias("rejected"))
 
     def step(acc: Column, x: Column) -> Column:
-        mine = F.get(F.filter(acc["states"], lambda s: s["inclusion"] == x["inclusion"]), F.lit(0))
-        accepted = mine.isNull() | may_change(mine["status"], x["status"])
-        first = F.coalesce(mine["first"], x["asserted_at"])
-        state = F.struct(x["inclusion"].alias("inclusion"), x["status"].alias("status"), first.alias("first"))
-        others = F.filter(acc["states"], lambda s: s["inclusion"] != x["inclusion"])
-        here = F.struct(first.alias("first"), x["inclusion"].alias("inclusion"))
-        moves = accepted & (acc["active"].isNull() | (acc["active"]["inclusion"] == x["inclusion"]) | (acc["active"] < here))
+        fits = acc["status"].isNull() | may_change(acc["status"], x["status"])
+        lost = F.struct(x["evidence_id"].alias("evidence_id"), x["status"].alias("status"), acc["status"].alias("current_status"))
         return F.struct(
-            F.when(accepted, F.concat(others, F.array(state))).otherwise(acc["states"]).alias("states"),
-            F.when(moves, here).otherwise(acc["active"]).alias("active"),
-            F.when(moves, x["status"]).otherwise(acc["current"]).alias("current"),
-            (acc["accepted"] + accepted.cast("int")).alias("accepted"),
-            (acc["conflicts"] + (~accepted).cast("int")).alias("conflicts"),
+            F.when(fits, x["status"]).otherwise(acc["status"]).alias("status"),
+            (acc["accepted"] + fits.cast("int")).alias("accepted"),
+            F.when(fits, acc["rejected"]).otherwise(F.concat(acc["rejected"], F.array(lost))).alias("rejected"),
         )
 
-    folded = grouped.withColumn("f", F.aggregate("items", start, step))
-    return folded.select(*subject, F.col("f.current").alias("current_status"), F.col("f.accepted").cast("long").alias("n_updates"), F.col("f.conflicts").cast("long").alias("n_conflicts"))
+    folded = grouped.select(*subject, "inclusion", F.col("items")[0]["asserted_at"].alias("first"), F.aggregate("items", start, step).alias("f"))
+    return folded.select(*subject, "inclusion", "first", "f.*")
+
+
+def timelines(evidence: DataFrame, confirmations: int, subject: list[str] = SUBJECT) -> DataFrame:
+    """Current status of each subject, with accepted updates and conflicts, whatever order its evidence came in.
+
+    The current status is that of the inclusion that was asserted first last, so inclusions are folded on
+    their own and a subject is an aggregate of them.
+    """
+    return _by_inclusion(evidence, confirmations, subject).groupBy(*subject).agg(
+        F.max_by("status", F.struct("first", "inclusion")).alias("current_status"), F.sum("accepted").alias("n_updates"), F.sum(F.size("rejected")).cast("long").alias("n_conflicts")
+    )
+
+
+def conflicts(evidence: DataFrame, confirmations: int, subject: list[str] = SUBJECT) -> DataFrame:
+    """Rejected evidence with its status, and the status that it can't follow."""
+    return _by_inclusion(evidence, confirmations, subject).where(F.size("rejected") > 0).select(*subject, F.inline("rejected"))

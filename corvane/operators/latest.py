@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +15,21 @@ def pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFra
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+EVENT_KEYS = ["namespace_id", "protocol", "chain_scope", "canonical_event_id"]
+#: Most rows of a table that is broadcast after they were counted.
+BROADCAST_ROWS = 10_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks df for broadcast if it has at most `limit` rows (no more are counted); else it joins by shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def current_event_finality(updates: DataFrame) -> DataFrame:
-    """The update with the highest sequence of each event."""
-    return pick(updates, ["namespace_id", "protocol", "chain_scope", "canonical_event_id"], [F.col("finality_sequence").desc()])
+    """The update with the highest sequence of each event: an aggregate, so only one row per event and task is shuffled."""
+    rest = [c for c in updates.columns if c not in EVENT_KEYS]
+    best = updates.groupBy(*EVENT_KEYS).agg(F.max_by(F.struct(*rest), "finality_sequence").alias("__u"))
+    return best.select(*EVENT_KEYS, "__u.*").select(*updates.columns)
 
 
 def joined_set(column: str) -> Column:
@@ -70,7 +83,59 @@ def contradictions(incoming: DataFrame, existing: DataFrame, keys: Sequence[str]
     return a.join(b, list(keys)).where(~F.col("__new").eqNullSafe(F.col("__old"))).select(*keys)
 
 
-def non_contiguous(versions: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """Versions that don't follow the one before by 1, or don't start at 1."""
-    w = Window.partitionBy(*keys).orderBy(version)
+def non_contiguous(versions: DataFrame, keys: Sequence[str], version: str, then: Sequence[str] = ()) -> DataFrame:
+    """Versions that don't follow the one before by 1, or don't start at 1; equal ones are in the order of `then`."""
+    w = Window.partitionBy(*keys).orderBy(version, *then)
     return versions.withColumn("__b", F.coalesce(F.lag(version).over(w), F.lit(0))).where(F.col(version) != F.col("__b") + 1).drop("__b")
+
+
+def cursor_of(*parts: Column) -> Column:
+    """A cursor after a row: its key as hex of a JSON array of texts."""
+    return F.lower(F.hex(F.to_json(F.array(*[p.cast("string") for p in parts]))))
+
+
+def encode_cursor(parts: Sequence[str]) -> str:
+    return json.dumps(list(parts), separators=(",", ":"), ensure_ascii=False).encode().hex()
+
+
+def decode_cursor(cursor: str, n: int) -> list[str]:
+    """The n texts of a cursor; ValueError for anything else."""
+    try:
+        parts = json.loads(bytes.fromhex(cursor))
+    except ValueError as e:
+        raise ValueError("cursor is malformed") from e
+    if not isinstance(parts, list) or len(parts) != n or not all(isinstance(p, str) for p in parts):
+        raise ValueError("cursor is malformed")
+    return parts
+
+
+def etag(*columns: str) -> Column:
+    """Hash of a row's JSON, nulls shown."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def claim_order(jobs: DataFrame, at, limit: int = 1) -> DataFrame:
+    """The queued jobs that may start at a time, in the order in which workers take them."""
+    due = jobs.where((F.col("status") == "queued") & (F.col("scheduled_for") <= F.lit(at).cast("timestamp_ntz")))
+    return due.orderBy("scheduled_for", "created_at", "job_id").limit(limit)
+
+
+def assertion_sequences(incoming: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str], sequence: str) -> DataFrame:
+    """incoming numbered by key in an order, on from the highest number that is there."""
+    last = existing.groupBy(*keys).agg(F.max(sequence).alias("__last"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return incoming.join(last, list(keys), "left").withColumn(sequence, (F.coalesce("__last", F.lit(0)) + number).cast("long")).drop("__last")
+
+
+def stale(observed: Column, as_of, minutes: int = 5) -> Column:
+    """Whether the newest evidence is older than some minutes at a time; without evidence it is."""
+    return F.coalesce(observed < F.lit(as_of).cast("timestamp_ntz") - F.make_interval(mins=F.lit(minutes)), F.lit(True))
+
+
+def metric(*columns: str) -> Column:
+    """The first of the columns, as text, that has a value; an empty text is none."""
+    return F.coalesce(*[F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) for c in columns])
+
+
+def percent(share: Column) -> Column:
+    return F.concat(F.format_string("%.2f", share * 100), F.lit("%"))

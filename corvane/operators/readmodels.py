@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.amounts import exact_sum
-from corvane.operators.latest import current_event_finality, joined_set, pick
-
-EVENT_KEYS = ["namespace_id", "protocol", "chain_scope", "canonical_event_id"]
+from corvane.operators.latest import EVENT_KEYS, current_event_finality, joined_set, pick, small
 
 
 def finalized(settlements: DataFrame, updates: DataFrame) -> DataFrame:
@@ -36,14 +34,19 @@ def sources(observations: DataFrame) -> DataFrame:
     return observations.groupBy(*keys).agg(F.count(F.lit(1)).alias("observation_count"), F.max("observed_at").alias("observed_at"), joined_set("provenance_id").alias("provenance_ids"))
 
 
-def discovery(observations: DataFrame, supporting: DataFrame, registry: DataFrame, lineage: int = 100) -> DataFrame:
-    """Supported observations of registered sources: their number and the newest `lineage` as evidence."""
+def discovery(observations: DataFrame, supporting: DataFrame | None, registry: DataFrame, lineage: int = 100) -> DataFrame:
+    """Supported observations of registered sources: their number and the newest `lineage` as evidence.
+
+    observation_id is a key of observations; supporting None means that they are supported already.
+    """
     keys = ["namespace_id", "source_id", "chain_scope", "protocol", "parser_version"]
     links = ["namespace_id", "canonical_event_id", "observation_id"]
-    accepted = observations.join(F.broadcast(registry), ["source_id", "parser_version"]).join(supporting.select(*links), links, "left_semi")
-    accepted = accepted.select(*keys, "observation_id", "observed_at", "evidence_id", "provenance_id").distinct()
-    totals = accepted.groupBy(*keys).agg(F.count(F.lit(1)).alias("observation_count"))
-    newest = accepted.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("observed_at"), F.desc("observation_id")))).where(F.col("n") <= lineage)
+    registered = observations.join(small(registry), ["source_id", "parser_version"])
+    if supporting is not None:
+        registered = registered.join(supporting.select(*links), links, "left_semi")
+    totals = registered.groupBy(*keys).agg(F.count(F.lit(1)).alias("observation_count"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("observed_at"), F.desc("observation_id"))
+    newest = registered.select(*keys, "observation_id", "observed_at", "evidence_id", "provenance_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= lineage)
     shown = newest.groupBy(*keys).agg(F.max("observed_at").alias("observed_at"), joined_set("evidence_id").alias("evidence_ids"), joined_set("provenance_id").alias("provenance_ids"))
     return totals.join(shown, keys).withColumn("lineage_truncated", F.col("observation_count") > lineage)
 
@@ -60,26 +63,114 @@ def readiness(metrics: DataFrame) -> DataFrame:
     return m.select("namespace_id", "measured_on", "latency_days", "scale_days", ready.alias("ready"))
 
 
-def facts(buyers: DataFrame, services: DataFrame, settlements: DataFrame) -> DataFrame:
-    """Buyers, services and settlements as (id, kind, label)."""
-    s = settlements.select(F.concat_ws(":", "chain_scope", "settlement_id").alias("id"), F.lit("settlement").alias("kind"), F.concat("protocol", F.lit(" settlement on "), "chain_scope").alias("label"))
-    b = buyers.select(F.col("buyer_handle_id").alias("id"), F.lit("buyer").alias("kind"), "label")
-    v = services.select(F.col("service_id").alias("id"), F.lit("service").alias("kind"), F.col("display_name").alias("label"))
-    return b.unionByName(v).unionByName(s)
+SHOWN = {"ignoreNullFields": "false"}
+FACT = ["namespace_id", "id", "kind", "label", "value", "observed_at", "provenance_ids"]
 
 
-def graph_edges(candidates: DataFrame, settlements: DataFrame) -> DataFrame:
-    """Edges between buyers and services; the predicate says how sure it is, where both ends are known."""
-    rows = candidates.join(settlements.select("settlement_id", "buyer_handle_id", "settled_at"), "settlement_id")
-    known = F.col("buyer_handle_id").isNotNull() & F.col("service_id").isNotNull()
-    predicate = F.when(known, F.when(F.col("level").isin("verified", "strong"), F.lit("paid_for")).otherwise(F.lit("candidate_for")))
-    return rows.select(F.concat_ws(":", "settlement_id", "candidate_id").alias("id"), "settlement_id", "buyer_handle_id", "service_id", "level", predicate.alias("predicate"), "settled_at")
+def scoped(df: DataFrame, namespace: str) -> DataFrame:
+    return df.where(F.col("namespace_id") == namespace)
+
+
+def facts(buyers: DataFrame, services: DataFrame, settlements: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Buyers, services and settlements as FACT: value is JSON, observed_at the time of their provenance."""
+    value = lambda *columns: F.to_json(F.struct(*columns), SHOWN).alias("value")
+    settled = F.date_format("settled_at", "yyyy-MM-dd HH:mm:ss").alias("settled_at")
+    b = buyers.select("namespace_id", F.col("buyer_handle_id").alias("id"), F.lit("buyer").alias("kind"), F.col("buyer_handle_id").alias("label"), value("handle_kind", "chain_scope"), "provenance_id")
+    v = services.select("namespace_id", F.col("service_id").alias("id"), F.lit("service").alias("kind"), F.col("display_name").alias("label"), value("trust_state"), "provenance_id")
+    s = settlements.select(
+        "namespace_id", F.concat("chain_scope", F.lit(":"), "settlement_id").alias("id"), F.lit("settlement").alias("kind"), F.concat("protocol", F.lit(" settlement on "), "chain_scope").alias("label"),
+        value("protocol", "chain_scope", "settlement_id", "buyer_handle_id", "asset", "amount_atomic", settled), "provenance_id",
+    )
+    seen = provenance.select("namespace_id", "provenance_id", "observed_at")
+    rows = b.unionByName(v).unionByName(s).join(small(seen), ["namespace_id", "provenance_id"])
+    return rows.withColumn("provenance_ids", F.array("provenance_id")).select(*FACT)
 
 
-def graph_nodes(edges: DataFrame, services: DataFrame, buyer: str, limit: int) -> DataFrame:
-    """The distinct services among the first edges of a buyer."""
-    mine = edges.where(F.col("buyer_handle_id") == buyer).orderBy("settlement_id", "id").limit(limit)
-    return services.join(mine.select("service_id"), "service_id", "left_semi").select(F.col("service_id").alias("id"), F.lit("service").alias("kind"), F.col("display_name").alias("label"))
+def latest_sealed(runs: DataFrame, seals: DataFrame) -> DataFrame:
+    """The newest sealed attribution run of each settlement, as an aggregate."""
+    key = ["namespace_id", "chain_scope", "settlement_id"]
+    sealed = runs.join(seals.select(*key, "attribution_version"), [*key, "attribution_version"], "left_semi")
+    best = sealed.groupBy(*key).agg(F.max(F.struct("attribution_version", "match_method", "level")).alias("r"))
+    return best.select(*key, "r.*")
+
+
+def graph_edges(latest: DataFrame, candidates: DataFrame, settlements: DataFrame, requirements: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Edges of the newest sealed runs between buyers and services, as facts with typed ends.
+
+    Both ends' provenance counts. Where both ends are known, source, target, direction and a predicate that says
+    how sure the edge is are in its value.
+    """
+    key = ["namespace_id", "chain_scope", "settlement_id"]
+    paid = settlements.select(*key, "buyer_handle_id", F.col("provenance_id").alias("settlement_provenance"))
+    asked = requirements.select("requirement_id", F.col("provenance_id").alias("requirement_provenance"))
+    seen = lambda name: small(provenance.select("namespace_id", F.col("provenance_id").alias(f"{name}_provenance"), F.col("observed_at").alias(f"{name}_at")))
+    rows = latest.join(candidates, [*key, "attribution_version"]).join(paid, key).join(asked, "requirement_id")
+    rows = rows.join(seen("settlement"), ["namespace_id", "settlement_provenance"]).join(seen("requirement"), ["namespace_id", "requirement_provenance"])
+    known = F.col("buyer_handle_id").isNotNull() & F.col("service_id").isNotNull()
+    end = lambda kind, column: F.when(known, F.struct(F.lit(kind).alias("kind"), F.col(column).alias("id")))
+    predicate = F.when(known, F.when(F.col("level").isin("verified", "strong"), F.lit("paid_for")).otherwise(F.lit("candidate_for")))
+    return rows.select(
+        "namespace_id",
+        F.concat_ws(":", "chain_scope", "settlement_id", F.col("attribution_version").cast("string"), "candidate_id").alias("id"),
+        F.lit("attribution").alias("kind"),
+        F.col("match_method").alias("label"),
+        "chain_scope", "settlement_id", "attribution_version", "candidate_id", "buyer_handle_id", "service_id", "endpoint_id", "payment_option_id", "confidence_bps", "level",
+        end("buyer", "buyer_handle_id").alias("source"), end("service", "service_id").alias("target"),
+        predicate.alias("predicate"), F.when(known, F.lit("outbound")).alias("direction"),
+        F.greatest("settlement_at", "requirement_at").alias("observed_at"),
+        F.array("settlement_provenance", "requirement_provenance").alias("provenance_ids"),
+    )
+
+
+EDGE_ORDER = ["chain_scope", "settlement_id", "attribution_version", "candidate_id"]
+
+
+def neighbourhood(edges: DataFrame, found: DataFrame, kind: str, root: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The first edges of a buyer or service and the distinct facts at their other ends; empty without a fact for the root."""
+    if kind not in ("buyer", "service"):
+        raise ValueError("kind must be buyer or service")
+    mine, other, other_kind = ("buyer_handle_id", "service_id", "service") if kind == "buyer" else ("service_id", "buyer_handle_id", "buyer")
+    there = found.where((F.col("kind") == kind) & (F.col("id") == root)).select(F.col("namespace_id").alias("root_namespace")).distinct()
+    of_root = edges.where(F.col(mine) == root).join(F.broadcast(there), F.col("namespace_id") == F.col("root_namespace"), "left_semi")
+    first = of_root.orderBy(*EDGE_ORDER).limit(limit)
+    ends = first.select("namespace_id", F.col(other).alias("id"))
+    return first, found.where(F.col("kind") == other_kind).join(ends, ["namespace_id", "id"], "left_semi")
+
+
+def dossier(buyer: str, found: DataFrame, claims: DataFrame, timeline: DataFrame, edges: DataFrame, limit: int = 25) -> DataFrame:
+    """All that is shown of a buyer as one table: section, position, id and label of each item.
+
+    Sections are the buyer's fact, classifications, newest finalized payments, first edges and the services there.
+    """
+    by = lambda section, rows, order, label: rows.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"), "id", F.col(label).alias("label"))
+    first, nodes = neighbourhood(edges, found, "buyer", buyer, limit)
+    newest = timeline.where(F.col("buyer_handle_id") == buyer).orderBy(F.desc("settled_at"), F.desc("id")).limit(limit)
+    said = claims.where(F.col("subject_id") == buyer).select(F.concat("label_id", F.lit("@"), "label_version").alias("id"), "status")
+    parts = [
+        by("buyer", found.where((F.col("kind") == "buyer") & (F.col("id") == buyer)), ["id"], "label"),
+        by("classification", said, ["id"], "status"),
+        by("timeline", newest, [F.desc("settled_at"), F.desc("id")], "amount_atomic"),
+        by("edge", first, EDGE_ORDER, "predicate"),
+        by("node", nodes, ["id"], "label"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def provenance_record(provenance: DataFrame, evidence: DataFrame, namespace: str, provenance_id: str) -> DataFrame:
+    """One provenance record with the digest of its evidence."""
+    one = provenance.where((F.col("namespace_id") == namespace) & (F.col("provenance_id") == provenance_id))
+    return one.join(evidence.select("namespace_id", "evidence_id", F.col("sha256").alias("evidence_sha256")), ["namespace_id", "evidence_id"])
+
+
+def evidence_with_provenance(bound: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Of each claim and role (claim_id, evidence_role, evidence_id): JSON of its evidence, each with its provenance ids."""
+    ids = provenance.groupBy("evidence_id").agg(F.array_sort(F.collect_set("provenance_id")).alias("provenance_ids"))
+    rows = bound.select("claim_id", "evidence_role", "evidence_id").distinct().join(ids, "evidence_id", "left")
+    item = F.struct("evidence_id", F.coalesce("provenance_ids", F.array().cast("array<string>")).alias("provenance_ids"))
+    return rows.groupBy("claim_id", "evidence_role").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("evidence"))
 
 
 def claims_with_evidence(claims: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.amounts import exact_sum
+from corvane.functions.amounts import exact_sum, fits_u128
 from corvane.functions.codec import sha256
 
 #: Order of chains.
@@ -45,3 +45,31 @@ def next_job_state(jobs: DataFrame, now, max_attempts: int = 5) -> DataFrame:
     state = F.when(expired & (F.col("attempts") >= max_attempts), "dead_letter").when(expired, "queued").otherwise(F.col("status"))
     retry = F.when(expired & (F.col("attempts") < max_attempts), at + F.make_interval(secs=F.col("attempts") * 30)).otherwise(F.col("scheduled_for"))
     return jobs.withColumn("next_status", state).withColumn("next_scheduled_for", retry)
+
+
+#: The pairs of chain and protocol that a recovered dossier must cover.
+REQUIRED = sorted(f"{c}:{p}" for c in CHAINS for p in ("mpp", "x402"))
+
+
+def incomplete(found: DataFrame) -> DataFrame:
+    """Dossiers that don't cover exactly the required pairs."""
+    return found.where(~F.col("coverage").eqNullSafe(F.lit(",".join(REQUIRED))))
+
+
+def replay(entries: DataFrame) -> DataFrame:
+    """Dossier of each buyer from manifest entries (FIXTURES 2): payments, sum, coverage, digest in order of object, generation and id.
+
+    An entry's payload is its settlement as JSON. reason is set where an entry can't be read, is of another buyer, or
+    a settlement comes twice. A buyer's manifest is bounded, so it is one row.
+    """
+    said = F.from_json(F.unbase64("payload_base64").cast("string"), "struct<buyer_handle_id:string,settlement_id:string,protocol:string,amount_atomic:string>")
+    e = entries.withColumn("s", said)
+    good = F.coalesce((F.col("s.buyer_handle_id") == F.col("buyer_handle_id")) & fits_u128(F.col("s.amount_atomic")) & F.col("s.settlement_id").isNotNull() & F.col("chain").isin(*CHAINS), F.lit(False))
+    item = F.struct("object_name", "generation", "observation_id", F.sha2(F.unbase64("payload_base64"), 256).alias("content"))
+    rows = e.withColumn("good", good).groupBy("buyer_handle_id").agg(
+        F.count(F.lit(1)).alias("n_entries"), F.countDistinct("chain", "s.settlement_id").alias("n_payments"), exact_sum(F.when(F.col("good"), F.col("s.amount_atomic"))).alias("total_atomic"),
+        F.array_join(F.array_sort(F.collect_set(F.concat("chain", F.lit(":"), "s.protocol"))), ",").alias("coverage"), F.bool_and("good").alias("good"), F.array_sort(F.collect_list(item)).alias("items"),
+    )
+    text = F.array_join(F.transform("items", lambda x: F.concat_ws("\n", x["object_name"], x["generation"].cast("string"), x["observation_id"], x["content"])), "\n")
+    reason = F.when(~F.col("good"), "payload").when(F.col("n_payments") < F.col("n_entries"), "duplicate").when(F.col("coverage") != ",".join(REQUIRED), "coverage")
+    return rows.select("buyer_handle_id", "n_payments", "total_atomic", "coverage", reason.alias("reason"), F.sha2(F.concat_ws("\n", "buyer_handle_id", text), 256).alias("digest"))

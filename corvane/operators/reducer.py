@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.codec import field, fields, sha256
+from corvane.functions.codec import field, fields, optional, sha256
 
 EVENT = ["namespace_id", "canonical_event_id"]
 
@@ -17,13 +17,24 @@ def payload_fingerprint_x402() -> F.Column:
     return sha256(F.concat(fields(F.lit("x402"), F.col("asset"), F.col("amount_atomic")), wrapped, fields(F.col("scheme"), F.col("network"), F.col("pay_to"), F.col("resource"))))
 
 
+def payload_fingerprint_mpp() -> F.Column:
+    return sha256(fields(F.lit("mpp"), F.col("intent"), F.col("amount_atomic")))
+
+
+def payload_fingerprint_mpp_discovery() -> F.Column:
+    """Hash of a discovered offer (columns of adapters.mpp_offers): optional fields are marked as there or not."""
+    said = fields(F.lit("mpp-discovery"), *[F.col(c) for c in ("openapi_version", "service_title", "api_version", "intent", "method")])
+    return sha256(F.concat(said, *[optional(F.col(c)) for c in ("amount", "currency", "description")], field(F.col("raw"))))
+
+
 def fingerprint(payload: str = "payload") -> F.Column:
     return sha256(field(F.col(payload)))
 
 
 def cohorts(observations: DataFrame, payload: str = "payload") -> DataFrame:
-    """Size of each group of observations of an event that say the same."""
-    return observations.groupBy(*EVENT, fingerprint(payload).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n_observations"))
+    """Size of each group of observations of an event that say the same; what they say is hashed once for the group."""
+    sizes = observations.groupBy(*EVENT, payload).agg(F.count(F.lit(1)).alias("n_observations"))
+    return sizes.select(*EVENT, fingerprint(payload).alias("fingerprint"), "n_observations")
 
 
 def winners(observations: DataFrame, payload: str = "payload") -> DataFrame:
@@ -33,12 +44,24 @@ def winners(observations: DataFrame, payload: str = "payload") -> DataFrame:
     return best.select(*EVENT, F.col("w.fingerprint").alias("winner"), (-F.col("w.less")).alias("n_supporting"), "n_cohorts")
 
 
+def roles(observations: DataFrame, payload: str = "payload") -> DataFrame:
+    """All columns of observations with fingerprint and support_role.
+
+    Cohorts are ranked by themselves - there are few in an event - and observations look their cohort up.
+    """
+    sizes = observations.groupBy(*EVENT, payload).agg(F.count(F.lit(1)).alias("n")).withColumn("fingerprint", fingerprint(payload))
+    best = F.row_number().over(Window.partitionBy(*EVENT).orderBy(F.desc("n"), "fingerprint")) == 1
+    own = [F.col(c).alias(f"__{c}") for c in (*EVENT, payload)]
+    ranked = sizes.select(*own, "fingerprint", F.when(best, "supporting").otherwise("conflicting").alias("support_role"))
+    same = F.col(payload).eqNullSafe(F.col(f"__{payload}"))
+    for c in EVENT:
+        same &= F.col(c) == F.col(f"__{c}")
+    return observations.join(ranked, same).select(*observations.columns, "fingerprint", "support_role")
+
+
 def links(observations: DataFrame, payload: str = "payload") -> DataFrame:
     """The role of each observation in its event."""
-    rows = observations.select(*EVENT, "observation_id", fingerprint(payload).alias("fingerprint"))
-    joined = rows.join(winners(observations, payload), EVENT)
-    role = F.when(F.col("fingerprint") == F.col("winner"), "supporting").otherwise("conflicting")
-    return joined.select(*EVENT, "observation_id", "fingerprint", role.alias("support_role"))
+    return roles(observations.select(*EVENT, "observation_id", payload), payload).drop(payload)
 
 
 def conflicts(observations: DataFrame, payload: str = "payload") -> DataFrame:

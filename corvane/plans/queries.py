@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import amounts, codec
 from corvane.operators import attribution, catalog, classification, evidence, finality, latest, readmodels, recovery, reducer
-from corvane.sources.projection import domain, driver_table, finality_updates, label_definitions, provenance, sql
+from corvane.sources.projection import LABELS, domain, driver_table, finality_updates, label_definitions, provenance, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,8 +77,8 @@ SELECT namespace_id, source_id, chain_scope, protocol, parser_version, max(obser
 FROM ranked WHERE n <= 100 GROUP BY ALL"""))
 def discovery_lineage(s, d):
     registry = s.createDataFrame([("source-1", "adapter@1"), ("source-2", "adapter@0"), ("source-3", "adapter@1")], "source_id string, parser_version string")
-    observed = domain(s, d, "observations")
-    return readmodels.discovery(observed, reducer.links(observed).where("support_role = 'supporting'"), registry)
+    supported = reducer.roles(domain(s, d, "observations")).where("support_role = 'supporting'")
+    return readmodels.discovery(supported, None, registry)
 
 
 @query(sql("finality_updates", LATEST + "SELECT * FROM current_finality"))
@@ -135,27 +135,39 @@ def two_signal_promotion(s, d):
     return catalog.promotable(*[domain(s, d, t) for t in ("candidates", "signals", "endpoints", "services")], AS_OF)
 
 
-FACTS = sql("buyers services settlements", """SELECT buyer_handle_id AS id, 'buyer' AS kind, label FROM buyers UNION ALL SELECT service_id, 'service', display_name FROM services
-UNION ALL SELECT chain_scope || ':' || settlement_id, 'settlement', protocol || ' settlement on ' || chain_scope FROM settlements""")
+FACTS = sql("buyers services settlements provenance", """, raw AS (SELECT namespace_id, buyer_handle_id AS id, 'buyer' AS kind, buyer_handle_id AS label, to_json({'handle_kind': handle_kind, 'chain_scope': chain_scope})::VARCHAR AS value, provenance_id FROM buyers
+UNION ALL SELECT namespace_id, service_id, 'service', display_name, to_json({'trust_state': trust_state})::VARCHAR, provenance_id FROM services
+UNION ALL SELECT namespace_id, chain_scope || ':' || settlement_id, 'settlement', protocol || ' settlement on ' || chain_scope, to_json({'protocol': protocol, 'chain_scope': chain_scope, 'settlement_id': settlement_id, 'buyer_handle_id': buyer_handle_id,
+  'asset': asset, 'amount_atomic': amount_atomic, 'settled_at': strftime(settled_at, '%Y-%m-%d %H:%M:%S')})::VARCHAR, provenance_id FROM settlements)
+SELECT r.namespace_id, id, kind, label, value, observed_at, r.provenance_id AS provenance_ids FROM raw r JOIN provenance p ON r.namespace_id = p.namespace_id AND r.provenance_id = p.provenance_id""")
 
 
 def _facts(s, d):
-    return readmodels.facts(domain(s, d, "buyers"), domain(s, d, "services"), domain(s, d, "settlements"))
+    return readmodels.facts(domain(s, d, "buyers"), domain(s, d, "services"), domain(s, d, "settlements"), provenance(s, d))
+
+
+def _joined(rows):
+    return rows.withColumn("provenance_ids", F.array_join("provenance_ids", ","))
 
 
 @query(FACTS)
 def facts_union(s, d):
-    return _facts(s, d)
+    return _joined(_facts(s, d))
 
 
-@query(f"SELECT * FROM ({FACTS}) WHERE kind = 'buyer' AND id > 'buyer-3' ORDER BY id LIMIT 26")
+@query(f"SELECT * FROM ({FACTS}) WHERE namespace_id = 'ns-1' AND kind = 'buyer' AND id > 'buyer-3' ORDER BY id LIMIT 26")
 def facts_page_keyset(s, d):
-    return latest.page(_facts(s, d).where("kind = 'buyer'"), ["id"], ["buyer-3"])
+    return _joined(latest.page(readmodels.scoped(_facts(s, d), "ns-1").where("kind = 'buyer'"), ["id"], ["buyer-3"]))
 
 
-@query(f"SELECT * FROM ({FACTS}) WHERE kind IN ('buyer', 'service') AND (id ILIKE '%a%1%' OR label ILIKE '%a%1%') ORDER BY kind, id LIMIT 101")
+@query(f"SELECT * FROM ({FACTS}) WHERE namespace_id = 'ns-1' AND kind IN ('buyer', 'service') AND (id ILIKE '%a%1%' OR label ILIKE '%a%1%') ORDER BY kind, id LIMIT 101")
 def search_ilike(s, d):
-    return latest.page(latest.search(_facts(s, d), "a%1"), ["kind", "id"], None, 100)
+    return _joined(latest.page(latest.search(readmodels.scoped(_facts(s, d), "ns-1"), "a%1"), ["kind", "id"], None, 100))
+
+
+@query(f"SELECT id, sha256(to_json({{'id': id, 'kind': kind, 'label': label, 'value': value}})::VARCHAR) AS etag FROM ({FACTS}) WHERE kind = 'service'")
+def fact_etags(s, d):
+    return _facts(s, d).where("kind = 'service'").select("id", latest.etag("id", "kind", "label", "value").alias("etag"))
 
 
 @query(sql("settlements finality_updates", LATEST + """SELECT s.settlement_id, s.settled_at, s.amount_atomic FROM settlements s JOIN current_finality f ON s.namespace_id = f.namespace_id AND s.protocol = f.protocol
@@ -202,23 +214,54 @@ def attribution_seal_violations(s, d):
     return attribution.seal_violations(runs, attribution.candidates(a, r).where("NOT requirement_id LIKE '%7'"))
 
 
-EDGES = CANDIDATES + """, edges AS (SELECT c.settlement_id || ':' || c.candidate_id AS id, c.settlement_id, s.buyer_handle_id, c.service_id, c.level,
-  CASE WHEN s.buyer_handle_id IS NOT NULL AND c.service_id IS NOT NULL THEN CASE WHEN level IN ('verified', 'strong') THEN 'paid_for' ELSE 'candidate_for' END END AS predicate, s.settled_at
-  FROM cand c JOIN order_settlements s ON c.settlement_id = s.settlement_id)
+EDGES = CANDIDATES + """, found AS (SELECT settlement_id, count(*) AS n, min(level) AS level FROM cand GROUP BY settlement_id),
+runs AS (SELECT s.namespace_id, s.chain_scope, s.settlement_id, v AS attribution_version, coalesce(f.level, 'unknown') AS level, CASE f.level WHEN 'verified' THEN 'explicit_requirement' WHEN 'strong' THEN 'unique_exact' WHEN 'weak' THEN 'shared_exact' ELSE 'none' END AS match_method
+  FROM order_settlements s LEFT JOIN found f ON s.settlement_id = f.settlement_id CROSS JOIN (VALUES (1), (2)) t(v)),
+latest AS (SELECT DISTINCT ON (namespace_id, chain_scope, settlement_id) * FROM runs WHERE attribution_version = 1 OR NOT ends_with(settlement_id, '3') ORDER BY namespace_id, chain_scope, settlement_id, attribution_version DESC),
+edges AS (SELECT s.namespace_id, concat_ws(':', s.chain_scope, c.settlement_id, l.attribution_version, c.candidate_id) AS id, 'attribution' AS kind, l.match_method AS label, s.chain_scope, c.settlement_id, l.attribution_version, c.candidate_id, s.buyer_handle_id, c.service_id,
+    c.endpoint_id, c.payment_option_id, c.confidence_bps, l.level, CASE WHEN l.level IN ('verified', 'strong') THEN 'paid_for' ELSE 'candidate_for' END AS predicate, 'outbound' AS direction,
+    'buyer:' || s.buyer_handle_id AS source, 'service:' || c.service_id AS target, greatest(p.observed_at, q.observed_at) AS observed_at, s.provenance_id || ',' || r.provenance_id AS provenance_ids
+  FROM latest l JOIN cand c ON c.settlement_id = l.settlement_id JOIN order_settlements s ON s.settlement_id = l.settlement_id JOIN requirements r ON r.requirement_id = c.requirement_id
+  JOIN provenance p ON p.namespace_id = s.namespace_id AND p.provenance_id = s.provenance_id JOIN provenance q ON q.namespace_id = s.namespace_id AND q.provenance_id = r.provenance_id)
 """
+_GRAPH = "order_settlements requirements provenance"
+
+
+def _edges(s, d):
+    """Two attribution runs of each settlement, of which the second isn't always sealed."""
+    a, r = domain(s, d, "order_settlements"), domain(s, d, "requirements")
+    versions = F.explode(F.array(F.lit(1), F.lit(2))).alias("attribution_version")
+    key = a.select("namespace_id", "chain_scope", "settlement_id")
+    runs = key.join(attribution.levels(a, r), "settlement_id").select("*", F.col("method").alias("match_method"), versions)
+    seals = runs.where("attribution_version = 1 OR NOT endswith(settlement_id, '3')")
+    found = attribution.candidates(a, r).join(key, "settlement_id").select("*", versions).drop("level")
+    return readmodels.graph_edges(readmodels.latest_sealed(runs, seals), found, a, r, provenance(s, d))
+
+
+def _flat(edges):
+    end = lambda c: F.concat_ws(":", f"{c}.kind", f"{c}.id")
+    return _joined(edges).withColumns({"source": end("source"), "target": end("target")})
 
 
-@query(sql("order_settlements requirements", EDGES + "SELECT * FROM edges"))
+@query(sql(_GRAPH, EDGES + "SELECT * FROM edges"))
 def graph_edges(s, d):
-    a = domain(s, d, "order_settlements")
-    return readmodels.graph_edges(attribution.candidates(a, domain(s, d, "requirements")), a)
+    return _flat(_edges(s, d))
 
 
-@query(sql("order_settlements requirements services", EDGES + """SELECT service_id AS id, 'service' AS kind, display_name AS label FROM services
-WHERE service_id IN (SELECT service_id FROM (SELECT * FROM edges WHERE buyer_handle_id = 'buyer-7' ORDER BY settlement_id, id LIMIT 25))"""))
+@query(sql(_GRAPH + " services", EDGES + """SELECT service_id AS id, 'service' AS kind, display_name AS label FROM services v
+WHERE (namespace_id, service_id) IN (SELECT (namespace_id, service_id) FROM (SELECT * FROM edges WHERE buyer_handle_id = 'buyer-7' ORDER BY chain_scope, settlement_id, attribution_version, candidate_id LIMIT 25))"""))
 def graph_nodes(s, d):
+    return readmodels.neighbourhood(_edges(s, d), _facts(s, d), "buyer", "buyer-7", 25)[1].select("id", "kind", "label")
+
+
+@query(sql("order_settlements requirements", CANDIDATES + """, found AS (SELECT settlement_id, count(*) AS n, min(level) AS level FROM cand GROUP BY settlement_id)
+SELECT DISTINCT ON (s.namespace_id, s.chain_scope, s.settlement_id) s.namespace_id, s.chain_scope, s.settlement_id, v AS attribution_version, CASE f.level WHEN 'verified' THEN 'explicit_requirement' WHEN 'strong' THEN 'unique_exact' WHEN 'weak' THEN 'shared_exact' ELSE 'none' END AS match_method,
+  coalesce(f.level, 'unknown') AS level FROM order_settlements s LEFT JOIN found f ON s.settlement_id = f.settlement_id CROSS JOIN (VALUES (1), (2)) t(v) WHERE v = 1 OR NOT ends_with(s.settlement_id, '3') ORDER BY s.namespace_id, s.chain_scope, s.settlement_id, v DESC"""))
+def attribution_latest_sealed(s, d):
     a = domain(s, d, "order_settlements")
-    return readmodels.graph_nodes(readmodels.graph_edges(attribution.candidates(a, domain(s, d, "requirements")), a), domain(s, d, "services"), "buyer-7", 25)
+    runs = a.select("namespace_id", "chain_scope", "settlement_id").join(attribution.levels(a, domain(s, d, "requirements")), "settlement_id")
+    runs = runs.select("*", F.col("method").alias("match_method"), F.explode(F.array(F.lit(1), F.lit(2))).alias("attribution_version"))
+    return readmodels.latest_sealed(runs, runs.where("attribution_version = 1 OR NOT endswith(settlement_id, '3')"))
 
 
 @query(sql("observations", COHORTS + "SELECT * FROM cohorts"))
@@ -251,14 +294,27 @@ def finality_evm_status(s, d):
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n_evidence"), F.countDistinct("canonical_event_id").alias("n_events"))
 
 
-@query(None)  # a fold over ordered evidence: tested against a Python version
+FOLD = sql("evm_evidence", f""", judged AS (SELECT DISTINCT *, {STATUS} AS status FROM evm_evidence),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY canonical_event_id, block_number, block_hash ORDER BY asserted_at, list_position(['observed', 'confirmed', 'finalized', 'orphaned', 'reverted'], status),
+  canonical_block_hash, latest_block, finalized_block, reverted, source_id, provenance_id, evidence_id) AS i FROM judged),
+folded AS (SELECT canonical_event_id, block_number, block_hash, i, evidence_id, status AS said, status, NULL::VARCHAR AS current_status, asserted_at AS first FROM numbered WHERE i = 1
+  UNION ALL SELECT n.canonical_event_id, n.block_number, n.block_hash, n.i, n.evidence_id, n.status,
+    CASE WHEN f.status = n.status OR f.status IN ('observed', 'orphaned') OR (f.status IN ('confirmed', 'finalized') AND n.status IN ('orphaned', 'reverted')) OR (f.status = 'confirmed' AND n.status = 'finalized') THEN n.status ELSE f.status END,
+    f.status, f.first FROM folded f JOIN numbered n ON n.canonical_event_id = f.canonical_event_id AND n.block_number = f.block_number AND n.block_hash = f.block_hash AND n.i = f.i + 1),
+ends AS (SELECT DISTINCT ON (canonical_event_id, block_number, block_hash) * FROM folded ORDER BY canonical_event_id, block_number, block_hash, i DESC)
+""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(FOLD + """SELECT e.canonical_event_id, current_status, n_updates, n_conflicts FROM
+  (SELECT DISTINCT ON (canonical_event_id) canonical_event_id, status AS current_status FROM ends ORDER BY canonical_event_id, first DESC, block_number DESC, length(block_hash) DESC, block_hash DESC) e
+JOIN (SELECT canonical_event_id, count(*) FILTER (said = status) AS n_updates, count(*) FILTER (said <> status) AS n_conflicts FROM folded GROUP BY ALL) c ON c.canonical_event_id = e.canonical_event_id""")
 def finality_timeline(s, d):
     return finality.timelines(domain(s, d, "evm_evidence"), 12)
 
 
-@query(None)
+@query(FOLD + "SELECT canonical_event_id, evidence_id, said AS status, current_status FROM folded WHERE said <> status")
 def finality_conflicts(s, d):
-    return finality.timelines(domain(s, d, "evm_evidence"), 12).where("n_conflicts > 0")
+    return finality.conflicts(domain(s, d, "evm_evidence"), 12)
 
 
 FEATURES = """, act AS (SELECT *, epoch(occurred_on)::BIGINT AS occurred_at FROM activities WHERE {0}),
@@ -309,9 +365,9 @@ def _renamed(text: str, mark: str) -> str:
 SELECT subject_id, coalesce(string_agg(new_k, ',' ORDER BY new_k) FILTER (old_k IS NULL), '') AS added, coalesce(string_agg(old_k, ',' ORDER BY old_k) FILTER (new_k IS NULL), '') AS removed,
   count(*) FILTER (old_k IS NULL OR new_k IS NULL) AS churn FROM paired GROUP BY subject_id"""))
 def drift(s, d):
-    labels, rows = label_definitions(s), _activities(s, d)
-    run = lambda a: classification.claims(classification.features(a), labels)
-    return classification.drift(run(rows), run(rows.where("replayed")))
+    runs = F.explode(F.when(F.col("replayed"), F.array(F.lit("old"), F.lit("new"))).otherwise(F.array(F.lit("old")))).alias("run")
+    keys = ["subject_id", "run"]  # both runs in one pass over the activities
+    return classification.drift_of_runs(classification.claims(classification.features(_activities(s, d).select("*", runs), keys), label_definitions(s), keys))
 
 
 @query(sql("order_settlements requirements", CANDIDATES + """SELECT c.settlement_id AS claim_id, coalesce(string_agg(e, ',' ORDER BY e) FILTER (role = 'supporting'), '') AS supporting, coalesce(string_agg(e, ',' ORDER BY e) FILTER (role = 'conflicting'), '') AS conflicting
@@ -357,11 +413,11 @@ def crawl_coverage(s, d):
     return readmodels.crawl_coverage(jobs, staging, batches, resources, COVERAGE_NOW)
 
 
-@query("""WITH log AS (SELECT 'cluster-' || (o_custkey % 50) AS cluster_id, 'buyer-' || o_custkey AS buyer_handle_id, o_orderkey AS version, CASE WHEN o_orderstatus = 'O' THEN 'remove' ELSE 'add' END AS action FROM orders WHERE o_orderkey <= 9000)
+@query("""WITH log AS (SELECT 'cluster-' || (o_custkey % 50) AS cluster_id, 'buyer-' || o_custkey AS buyer_handle_id, o_orderkey AS version, CASE WHEN o_orderstatus = 'O' THEN 'remove' ELSE 'add' END AS action FROM orders)
 SELECT cluster_id, buyer_handle_id FROM (SELECT DISTINCT ON (cluster_id, buyer_handle_id) * FROM log ORDER BY cluster_id, buyer_handle_id, version DESC) WHERE action = 'add'""")
 def cluster_membership(s, d):
     log = driver_table(s, d, "orders").select(F.concat(F.lit("cluster-"), F.col("o_custkey") % 50).alias("cluster_id"), F.concat(F.lit("buyer-"), "o_custkey").alias("buyer_handle_id"), F.col("o_orderkey").alias("version"), F.when(F.col("o_orderstatus") == "O", "remove").otherwise("add").alias("action"))
-    return catalog.cluster_membership(log, 9000)
+    return catalog.cluster_membership(log)
 
 
 @query(sql("settlements finality_updates", LATEST + """SELECT s.settlement_id, buyer_handle_id, amount_atomic, coalesce(v.service_id, 'unattributed') AS counterparty, 'unknown' AS autonomy FROM settlements s
@@ -417,9 +473,14 @@ def link_extract(s, d):
     return evidence.links(driver_table(s, d, "pages"))
 
 
-@query("SELECT event_id, json_valid(props) AS strict, (props ->> '$.k')::BIGINT AS k FROM events")
+@query("SELECT event_id, event_id % 3 <> 0 AS strict, CASE WHEN event_id % 3 <> 0 THEN (props ->> '$.k')::BIGINT END AS k FROM events")
 def json_guard(s, d):
-    return driver_table(s, d, "events").select("event_id", evidence.strict_json(F.col("props")).alias("strict"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """Every third text gets its member twice, and in every second of those one level down."""
+    p = F.col("props")
+    twice = F.concat(F.lit("{"), F.regexp_extract(p, r"^\{(.*)\}$", 1), F.lit(","), F.regexp_extract(p, r"^\{(.*)\}$", 1), F.lit("}"))
+    text = F.when(F.col("event_id") % 6 == 0, twice).when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"in":['), twice, F.lit("]}"))).otherwise(p)
+    strict = evidence.strict_json(F.col("text"))
+    return driver_table(s, d, "events").select("event_id", text.alias("text")).select("event_id", strict.alias("strict"), F.when(strict, F.get_json_object("text", "$.k")).cast("long").alias("k"))
 
 
 @query("SELECT l_suppkey, (sum(l_partkey::HUGEINT) * 1000000000000000000)::VARCHAR AS total FROM lineitem GROUP BY ALL")
@@ -467,17 +528,14 @@ def canonical_amounts(s, d):
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, o_orderkey // 30 AS v, coalesce(lag(o_orderkey // 30) OVER (PARTITION BY o_custkey ORDER BY o_orderkey // 30, o_orderkey), 0) AS b FROM orders) WHERE v <> b + 1")
 def version_gaps(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("v", "o_orderkey")
     rows = driver_table(s, d, "orders").select("o_custkey", "o_orderkey", F.expr("o_orderkey div 30").alias("v"))
-    return rows.withColumn("b", F.coalesce(F.lag("v").over(w), F.lit(0))).where(F.col("v") != F.col("b") + 1).select("o_custkey", "o_orderkey")
+    return latest.non_contiguous(rows, ["o_custkey"], "v", ["o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT p_partkey AS requirement_id FROM part WHERE p_partkey % 3 = 0 AND p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)")
+@query("SELECT p_partkey AS requirement_id FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)")
 def idempotent_insert(s, d):
     part = driver_table(s, d, "part").select(F.col("p_partkey").alias("requirement_id"), "p_size")
-    return latest.new_rows(part.where("requirement_id % 3 = 0"), part.where("p_size > 25"), ["requirement_id"]).select("requirement_id")
+    return latest.new_rows(part.unionByName(part), part.where("p_size > 25"), ["requirement_id"]).select("requirement_id")
 
 
 @query("SELECT a.p_partkey AS requirement_id FROM part a WHERE p_size <> CASE WHEN p_partkey % 10 = 0 THEN p_size + 1 ELSE p_size END")
@@ -487,13 +545,53 @@ def replay_contradictions(s, d):
     return latest.contradictions(changed, part, ["requirement_id"])
 
 
-@query("SELECT l_orderkey AS height, l_partkey AS attempt, l_linenumber AS chain, 200 + l_suppkey % 5 AS status, 'body-' || l_suppkey AS body FROM lineitem")
+ENVELOPES = """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_orderkey, l_partkey, l_linenumber, l_suppkey, l_linenumber BETWEEN 1 AND 4 AND l_partkey % 17 <> 0 AND l_partkey % 19 <> 0 AND l_partkey % 23 <> 0 AS fits FROM lineitem"""
+
+
+@query(f"""SELECT id, CASE WHEN fits THEN ['ethereum', 'base', 'solana', 'tempo'][l_linenumber] END AS chain, CASE WHEN fits THEN l_orderkey END AS height, CASE WHEN fits THEN 200 + l_suppkey % 5 * 100 END AS status, CASE WHEN fits THEN l_partkey END AS attempt,
+  CASE WHEN fits AND l_suppkey % 2 = 1 THEN 7 * l_partkey END AS retry_after_ms, CASE WHEN fits THEN 'body-' || l_suppkey END AS body FROM ({ENVELOPES})""")
 def rpc_envelopes(s, d):
+    """Archived responses, some with a wrong magic, retry marker or length, or an unknown chain."""
+    e = _envelopes(s, d, F.encode(F.concat(F.lit("body-"), "l_suppkey"), "UTF-8")).select("id", evidence.rpc_envelope(F.col("raw")).alias("e"))
+    return e.select("id", "e.chain", F.col("e.height").cast("long").alias("height"), F.col("e.status").cast("long").alias("status"), "e.attempt", F.col("e.retry_after_ms").cast("long").alias("retry_after_ms"), F.col("e.body").cast("string").alias("body"))
+
+
+def _envelopes(s, d, body):
     number = lambda c, n: F.unhex(F.lpad(F.hex(c), 2 * n, "0"))
-    body = F.encode(F.concat(F.lit("body-"), "l_suppkey"), "UTF-8")
-    raw = F.concat(F.encode(F.lit("TEST"), "UTF-8"), number(F.col("l_linenumber"), 5), number(F.col("l_orderkey"), 8), number(200 + F.col("l_suppkey") % 5, 2), number(F.col("l_partkey"), 4), number(F.lit(0), 9), number(F.octet_length(body), 4), body)
-    e = driver_table(s, d, "lineitem").select(evidence.rpc_envelope(raw).alias("e"))
-    return e.select(F.col("e.height").cast("long").alias("height"), "e.attempt", F.col("e.chain").cast("int").alias("chain"), F.col("e.status").cast("long").alias("status"), F.col("e.body").cast("string").alias("body"))
+    retry = F.col("l_suppkey") % 2
+    raw = F.concat(
+        F.when(F.col("l_partkey") % 17 == 0, F.unhex(F.lit("41454D5250433200"))).otherwise(F.unhex(F.lit("41454D5250433100"))), number(F.col("l_linenumber"), 1), number(F.col("l_orderkey"), 8),
+        number(200 + F.col("l_suppkey") % 5 * 100, 2), number(F.col("l_partkey"), 4), number(F.when(F.col("l_partkey") % 19 == 0, 2).otherwise(retry), 1), number(retry * 7 * F.col("l_partkey"), 8),
+        number(F.octet_length(body) + (F.col("l_partkey") % 23 == 0).cast("int"), 4), body,
+    )
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return driver_table(s, d, "lineitem").select(key.alias("id"), raw.alias("raw"), "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
+
+
+@query("""SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, CASE k WHEN 0 THEN l_orderkey WHEN 3 THEN l_orderkey END AS height,
+  CASE k WHEN 1 THEN 'number' WHEN 4 THEN 'solana block' WHEN 6 THEN 'json' WHEN 7 THEN 'json-rpc id' WHEN 8 THEN 'provider error' END AS problem
+FROM (SELECT *, l_partkey % 9 AS k FROM lineitem)""")
+def rpc_heights(s, d):
+    """Block responses of nine kinds: right, too long, null, Solana right and wrong, skipped slot, repeated member, wrong id, error."""
+    k = F.col("l_partkey") % 9
+    number = F.concat(F.lit("0x"), F.lower(F.hex("l_orderkey")))
+    block = lambda parent: F.concat(F.lit('{"jsonrpc":"2.0","id":1,"result":{"blockHeight":null,"blockhash":"b","previousBlockhash":"a","transactions":[],"parentSlot":'), parent.cast("string"), F.lit("}}"))
+    evm = lambda id, n: F.concat(F.lit(f'{{"jsonrpc":"2.0","id":{id},"result":{{"number":"'), n, F.lit('"}}'))
+    body = (
+        F.when(k == 0, evm(1, number)).when(k == 1, evm(1, F.lit("0x123456789abcdef01"))).when(k == 2, F.lit('{"jsonrpc":"2.0","id":1,"result":null}')).when(k == 3, block(F.col("l_orderkey") - 1)).when(k == 4, block(F.col("l_orderkey")))
+        .when(k == 5, F.lit('{"jsonrpc":"2.0","id":1,"error":{"code":-32007}}')).when(k == 6, F.lit('{"jsonrpc":"2.0","id":1,"id":1,"result":null}')).when(k == 7, evm(2, number)).otherwise(F.lit('{"jsonrpc":"2.0","id":1,"error":{"code":-32007}}'))
+    )
+    chain = F.when(k.isin(3, 4, 5), "solana").otherwise("base")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return driver_table(s, d, "lineitem").select(key.alias("id"), evidence.decode_height(body, chain, F.col("l_orderkey")).alias("h")).select("id", F.col("h.height").cast("long").alias("height"), "h.problem")
+
+
+@query(f"""SELECT id, fits AND l_linenumber = 2 AND l_suppkey % 5 = 0 AND l_partkey % 3 <> 0 AS success FROM ({ENVELOPES})""")
+def archived_successes(s, d):
+    """Whether each archived response is a 2xx answer of base with the block asked for; every third holds the next block."""
+    held = F.col("l_orderkey") + (F.col("l_partkey") % 3 == 0).cast("int")
+    body = F.encode(F.concat(F.lit('{"jsonrpc":"2.0","id":1,"result":{"number":"0x'), F.lower(F.hex(held)), F.lit('"}}')), "UTF-8")
+    return _envelopes(s, d, body).select("id", evidence.archived_success(F.col("raw"), F.lit("base"), F.col("l_orderkey")).alias("success"))
 
 
 @query("""SELECT 'doc-' || (p_partkey % 40) AS evidence_id, 'https://r' || p_partkey AS resource, CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) AS amount_atomic,
@@ -537,3 +635,210 @@ FROM (SELECT *, o_custkey % 7 AS attempts, o_orderdate <= TIMESTAMP '1997-01-01
 def job_transitions(s, d):
     jobs = driver_table(s, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.lit("leased").alias("status"), F.col("o_orderdate").alias("lease_expires_at"), F.col("o_orderdate").alias("scheduled_for"), (F.col("o_custkey") % 7).alias("attempts"))
     return recovery.next_job_state(jobs, AS_OF).select("job_id", "next_status", "next_scheduled_for")
+
+
+@query(sql("evm_evidence", """SELECT canonical_event_id, 3 + row_number() OVER (PARTITION BY canonical_event_id ORDER BY asserted_at, evidence_id) - CASE WHEN canonical_event_id LIKE '%0' THEN 0 ELSE 3 END AS assertion_sequence, evidence_id FROM evm_evidence"""))
+def assertion_sequences(s, d):
+    """Evidence numbered on from three assertions that events ending in 0 have already."""
+    rows = domain(s, d, "evm_evidence").select("canonical_event_id", "asserted_at", "evidence_id")
+    before = rows.where("canonical_event_id LIKE '%0'").select("canonical_event_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("assertion_sequence"))
+    return latest.assertion_sequences(rows, before, ["canonical_event_id"], ["asserted_at", "evidence_id"], "assertion_sequence").select("canonical_event_id", "assertion_sequence", "evidence_id")
+
+
+@query("SELECT o_orderkey, lower(hex(encode(to_json([o_orderkey::VARCHAR, o_orderpriority])::VARCHAR))) AS cursor FROM orders")
+def cursor_codec(s, d):
+    return driver_table(s, d, "orders").select("o_orderkey", latest.cursor_of(F.col("o_orderkey"), F.col("o_orderpriority")).alias("cursor"))
+
+
+@query("SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'O' AND o_orderdate <= TIMESTAMP '1997-01-01 00:00:00' ORDER BY o_orderdate, o_custkey, o_orderkey LIMIT 10")
+def claim_order(s, d):
+    jobs = driver_table(s, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "O", "queued").otherwise("done").alias("status"), F.col("o_orderdate").alias("scheduled_for"), F.col("o_custkey").alias("created_at"))
+    return latest.claim_order(jobs, AS_OF, 10).select("job_id")
+
+
+@query(sql("activities labels_def", FEATURES.format("true") + CLAIMS + """, packed AS (SELECT subject_id, count(*) AS n, list_sort(list(label_id || '@' || label_version || '@' || label_kind || '@' || status || '@' || confidence_bps)) AS cs FROM claims GROUP BY subject_id)
+SELECT f.*, coalesce(n, 0) AS n_claims, coalesce(array_to_string(cs, ','), '') AS claims FROM features f LEFT JOIN packed p ON f.subject_id = p.subject_id"""))
+def classification_batch(s, d):
+    done = classification.classify(_activities(s, d), label_definitions(s), 0, 1 << 40)
+    said = F.array_join(F.transform("claims", lambda c: F.concat_ws("@", c["label_id"], c["label_version"].cast("string"), c["label_kind"], c["status"], c["confidence_bps"].cast("string"))), ",")
+    return done.select("subject_id", *classification.METRICS, F.size("claims").cast("long").alias("n_claims"), said.alias("claims"))
+
+
+_P = lambda text: f"unhex(printf('%016x', octet_length(encode({text})))) || encode({text})"
+_LABEL_SET = "sha256(" + " || ".join([_P("'aem-label-set-v1'"), f"unhex(printf('%016x', {5}))", *[_P(f"'{x}'") for row in sorted((a, b, c, m, t) for a, b, c, m, t, _ in LABELS) for x in row]]) + ")"
+
+
+@query(f"SELECT {_LABEL_SET} AS label_set_hash")
+def label_set_hash(s, d):
+    return classification.label_set_hash(label_definitions(s))
+
+
+RUNS = """runs AS (SELECT 'ns-' || (o_custkey % 2) AS namespace_id, 'run-' || (o_orderkey % 500) || '-' || o_custkey AS run_id, (o_orderkey // 500)::BIGINT AS run_version, 'buyer-' || o_custkey AS buyer_handle_id, o_orderdate AS created_at, o_orderkey FROM orders),
+seals AS (SELECT namespace_id, run_id, run_version FROM runs WHERE o_orderkey % 4 <> 0)"""
+
+
+def _runs(s, d):
+    o = driver_table(s, d, "orders")
+    runs = o.select(
+        F.concat(F.lit("ns-"), F.col("o_custkey") % 2).alias("namespace_id"), F.concat(F.lit("run-"), F.col("o_orderkey") % 500, F.lit("-"), "o_custkey").alias("run_id"), F.expr("o_orderkey div 500").alias("run_version"),
+        F.concat(F.lit("buyer-"), "o_custkey").alias("buyer_handle_id"), F.col("o_orderdate").alias("created_at"), "o_orderkey",
+    )
+    return runs, runs.where("o_orderkey % 4 <> 0").select("namespace_id", "run_id", "run_version")
+
+
+@query("WITH " + RUNS + """, sealed AS (SELECT r.* FROM runs r SEMI JOIN seals s ON r.namespace_id = s.namespace_id AND r.run_id = s.run_id AND r.run_version = s.run_version),
+series AS (SELECT namespace_id, buyer_handle_id, run_id, min(created_at) AS began, max(run_version) AS run_version FROM sealed GROUP BY ALL)
+SELECT DISTINCT ON (namespace_id, buyer_handle_id) namespace_id, buyer_handle_id, run_id, run_version FROM series ORDER BY namespace_id, buyer_handle_id, began, run_id""")
+def baseline_runs(s, d):
+    return classification.baseline_runs(*_runs(s, d))
+
+
+@query("WITH " + RUNS + """, asked AS (SELECT namespace_id, CASE WHEN o_orderkey % 7 = 0 THEN 'buyer-0' ELSE buyer_handle_id END AS buyer_handle_id, run_id, run_version, buyer_handle_id AS owner, o_orderkey % 4 <> 0 AS sealed FROM runs),
+judged AS (SELECT *, sealed AND owner = buyer_handle_id AS fits FROM asked)
+SELECT namespace_id, buyer_handle_id, run_id, run_version, CASE WHEN fits THEN 2 + row_number() OVER (PARTITION BY namespace_id, buyer_handle_id, fits ORDER BY run_id, run_version) END AS promotion_sequence, CASE WHEN NOT fits THEN 'no_sealed_run_of_buyer' END AS reason FROM judged""")
+def run_promotions(s, d):
+    """Promotions of every run, some for a buyer that isn't the run's; each buyer has two already."""
+    runs, seals = _runs(s, d)
+    asked = runs.withColumn("buyer_handle_id", F.when(F.col("o_orderkey") % 7 == 0, "buyer-0").otherwise(F.col("buyer_handle_id"))).select("namespace_id", "buyer_handle_id", "run_id", "run_version")
+    before = runs.select("namespace_id", "buyer_handle_id").distinct().withColumn("promotion_sequence", F.lit(2))
+    return classification.promote(asked, runs, seals, before)
+
+
+@query(sql("evm_evidence observations order_settlements", """SELECT 'finality' AS part, evidence_id AS id FROM evm_evidence WHERE canonical_event_id NOT IN (SELECT canonical_event_id FROM observations WHERE source_id <> 'source-3')
+UNION ALL SELECT 'settlement', settlement_id FROM order_settlements WHERE settlement_id NOT IN (SELECT canonical_event_id FROM observations WHERE source_id <> 'source-3')"""))
+def reduction_guards(s, d):
+    """Evidence and settlements of events that a batch without one source doesn't hold."""
+    from corvane.plans import batches
+
+    events = reducer.events(domain(s, d, "observations").where("source_id <> 'source-3'"))
+    paid = domain(s, d, "order_settlements").withColumn("canonical_event_id", F.col("settlement_id"))
+    wrong = [batches.unknown_events(domain(s, d, "evm_evidence"), events).select(F.lit("finality").alias("part"), F.col("evidence_id").alias("id")), batches.unknown_events(paid, events).select(F.lit("settlement").alias("part"), F.col("settlement_id").alias("id"))]
+    return wrong[0].unionByName(wrong[1])
+
+
+@query("""WITH pay AS (SELECT 'order-' || o_orderkey AS settlement_id, o_orderstatus AS protocol, (o_orderkey % 50)::VARCHAR AS amount_atomic, epoch(o_orderdate)::BIGINT AS at, 'buyer-' || o_custkey AS buyer, 'event-' || o_orderkey AS event, o_orderkey AS k, o_custkey AS c FROM orders)
+SELECT settlement_id, 'ev-' || k AS evidence_id FROM pay WHERE NOT (k % 3 = 0 OR (k % 2 = 0 AND c % 5 <> 0)) OR k % 11 = 0""")
+def canonical_activities(s, d):
+    """Activities that neither attribution evidence (every third) nor finalized history backs, or that name another amount."""
+    from corvane.plans import batches
+
+    o = driver_table(s, d, "orders")
+    k = F.col("o_orderkey")
+    key = F.concat(F.lit("order-"), k).alias("settlement_id")
+    paid = o.select(key, F.col("o_orderstatus").alias("protocol"), (k % 50).cast("string").alias("amount_atomic"), F.col("o_orderdate").alias("settled_at"), F.concat(F.lit("buyer-"), "o_custkey").alias("buyer_handle_id"), F.concat(F.lit("event-"), k).alias("canonical_event_id"))
+    seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    acts = o.select(key, F.col("o_orderstatus").alias("protocol"), F.when(k % 11 == 0, F.lit("wrong")).otherwise((k % 50).cast("string")).alias("amount_atomic"), seconds.alias("occurred_at"), F.concat(F.lit("ev-"), k).alias("evidence_id"))
+    bound = o.where("o_orderkey % 3 = 0").select(key, F.concat(F.lit("ev-"), k).alias("evidence_id"))
+    final = o.where("o_orderkey % 2 = 0").select(F.concat(F.lit("event-"), k).alias("canonical_event_id"), F.concat(F.lit("tx-"), k).alias("transaction_id"))
+    history = o.where("o_custkey % 5 <> 0").select(F.concat(F.lit("buyer-"), "o_custkey").alias("buyer_handle_id"), F.concat(F.lit("tx-"), k).alias("transaction_id"), F.concat(F.lit("ev-"), k).alias("evidence_id"))
+    return batches.uncanonical(acts, paid, bound, history, final).select("settlement_id", "evidence_id")
+
+
+@query("""SELECT 'req-' || p_partkey AS requirement_id FROM part WHERE p_partkey % 7 = 0 OR p_size % 10 = 0""")
+def requirement_hierarchy(s, d):
+    """Requirements whose endpoint isn't their offer's (every seventh), or whose evidence its provenance didn't see."""
+    from corvane.plans import batches
+
+    r = domain(s, d, "requirements")
+    key = F.expr("CAST(substr(requirement_id, 5) AS BIGINT)")
+    options = r.select("payment_option_id", F.concat(F.lit("offer-"), "payment_option_id").alias("offer_id"))
+    offers = r.select(F.concat(F.lit("offer-"), "payment_option_id").alias("offer_id"), F.when(key % 7 == 0, F.lit("endpoint-x")).otherwise(F.concat(F.lit("endpoint-"), key)).alias("endpoint_id"))
+    endpoints = r.select(F.concat(F.lit("endpoint-"), key).alias("endpoint_id"), "service_id")
+    asked = r.select("requirement_id", "payment_option_id", F.concat(F.lit("endpoint-"), key).alias("endpoint_id"), "service_id", "provenance_id", "evidence_id")
+    size = driver_table(s, d, "part").where("p_size % 10 <> 0").select(F.concat(F.lit("req-"), "p_partkey").alias("requirement_id"))
+    seen = r.join(size, "requirement_id", "left_semi").select("provenance_id", "evidence_id")
+    return batches.outside_hierarchy(asked, options, offers, endpoints, seen).select("requirement_id")
+
+
+@query(sql("observations", """SELECT observation_id FROM observations WHERE chain_scope = 'base' AND source_id = 'source-1' OR evidence_id LIKE '%7'"""))
+def finality_provenance_binding(s, d):
+    """Assertions of another chain or of another event than their provenance saw."""
+    from corvane.plans import batches
+
+    o = domain(s, d, "observations").withColumn("provenance_id", F.concat(F.lit("p-"), "observation_id"))
+    moved = F.when((F.col("chain_scope") == "base") & (F.col("source_id") == "source-1"), "tempo").otherwise(F.col("chain_scope"))
+    event = F.when(F.col("evidence_id").endswith("7"), "event-x").otherwise(F.col("canonical_event_id"))
+    asserted = o.select("observation_id", "provenance_id", "source_id", moved.alias("chain_scope"), F.concat(F.lit("tx-"), "canonical_event_id").alias("transaction_id"), event.alias("canonical_event_id"))
+    seen = o.withColumn("transaction_id", F.concat(F.lit("tx-"), "canonical_event_id"))
+    return batches.unbound_finality(asserted, seen, o, o).select("observation_id")
+
+
+_B, _E = evidence.BEGIN, evidence.END
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'page ' || doc_id || chr(10) || chr(10) || '{_B}' || chr(10) || source || chr(10) || '{_E}' || chr(10)
+  WHEN 1 THEN 'a' || '{_B}' || chr(10) || source || chr(10) || '{_E}' || 'b' END AS page FROM documents""")
+def generated_sections(s, d):
+    """Pages without marks, with marks, with marks out of order, with one mark twice."""
+    k, m = F.col("doc_id") % 4, F.lit
+    page = F.when(k == 0, F.concat(m("page "), "doc_id", m("\n"))).when(k == 1, m(f"a{_B}old{_E}b")).when(k == 2, m(f"{_E}x{_B}")).otherwise(m(f"{_B}{_B}{_E}"))
+    return driver_table(s, d, "documents").select("doc_id", evidence.merge_generated(page, F.concat("source", m("\n\n"))).alias("page"))
+
+
+@query("""WITH e AS (SELECT o_custkey AS crawl_id, o_orderkey AS height, 'ev-' || o_orderkey AS evidence_id, o_shippriority FROM (SELECT *, 0 AS o_shippriority FROM orders)),
+l AS (SELECT crawl_id, list({'byte_length': height % 100, 'evidence_id': evidence_id, 'height': height, 'media_type': 'application/json', 'sha256': sha256(evidence_id), 'storage_uri': 's/' || evidence_id} ORDER BY height, evidence_id) AS evidence FROM e GROUP BY crawl_id),
+o AS (SELECT crawl_id, list({'evidence_id': evidence_id, 'height': height, 'observation_hash': sha256('o' || height), 'observation_id': 'obs-' || height, 'parser_version': 'adapter@1', 'protocol': 'x402'} ORDER BY height) AS observations FROM e WHERE height % 2 = 0 GROUP BY crawl_id)
+SELECT l.crawl_id, sha256(to_json({'crawl_id': l.crawl_id, 'evidence': evidence, 'observations': coalesce(observations, [])})::VARCHAR) AS output_sha256 FROM l LEFT JOIN o ON l.crawl_id = o.crawl_id""")
+def manifest_hashes(s, d):
+    e = driver_table(s, d, "orders").select(F.col("o_custkey").alias("crawl_id"), F.col("o_orderkey").alias("height"), F.concat(F.lit("ev-"), "o_orderkey").alias("evidence_id"))
+    files = e.select("*", (F.col("height") % 100).alias("byte_length"), F.lit("application/json").alias("media_type"), F.sha2("evidence_id", 256).alias("sha256"), F.concat(F.lit("s/"), "evidence_id").alias("storage_uri"))
+    seen = e.where("height % 2 = 0").select("*", F.sha2(F.concat(F.lit("o"), "height"), 256).alias("observation_hash"), F.concat(F.lit("obs-"), "height").alias("observation_id"), F.lit("adapter@1").alias("parser_version"), F.lit("x402").alias("protocol"))
+    return evidence.manifest_hash(files, seen, ["crawl_id"])
+
+
+@query(sql("settlements", """SELECT buyer_handle_id || '/' || asset AS buyer_handle_id, count(DISTINCT chain_scope || ':' || protocol) AS n_pairs FROM settlements WHERE buyer_handle_id IS NOT NULL
+GROUP BY ALL HAVING count(DISTINCT chain_scope || ':' || protocol) < 8"""))
+def incomplete_coverage(s, d):
+    rows = domain(s, d, "settlements").withColumn("buyer_handle_id", F.concat("buyer_handle_id", F.lit("/"), "asset"))
+    return recovery.incomplete(recovery.dossiers(rows)).select("buyer_handle_id", F.size(F.split("coverage", ",")).cast("long").alias("n_pairs"))
+
+
+@query(sql("order_settlements requirements provenance", CANDIDATES + """, bound AS (SELECT DISTINCT c.settlement_id AS claim_id, CASE WHEN level = 'weak' THEN 'conflicting' ELSE 'supporting' END AS evidence_role, 'ev-' || (substr(requirement_id, 5)::BIGINT % 12) AS evidence_id FROM cand c),
+ids AS (SELECT evidence_id, list_sort(list(DISTINCT provenance_id)) AS ps FROM provenance GROUP BY evidence_id)
+SELECT claim_id, evidence_role, to_json(list({'evidence_id': b.evidence_id, 'provenance_ids': coalesce(ps, [])} ORDER BY b.evidence_id))::VARCHAR AS evidence FROM bound b LEFT JOIN ids i ON b.evidence_id = i.evidence_id GROUP BY ALL"""))
+def claims_provenance(s, d):
+    found = attribution.candidates(domain(s, d, "order_settlements"), domain(s, d, "requirements"))
+    role = F.when(F.col("level") == "weak", "conflicting").otherwise("supporting")
+    bound = found.select(F.col("settlement_id").alias("claim_id"), role.alias("evidence_role"), F.concat(F.lit("ev-"), F.expr("CAST(substr(requirement_id, 5) AS BIGINT) % 12")).alias("evidence_id"))
+    return readmodels.evidence_with_provenance(bound, provenance(s, d))
+
+
+@query(sql("provenance", "SELECT p.*, sha256(evidence_id) AS evidence_sha256 FROM provenance p WHERE namespace_id = 'ns-1' AND provenance_id = 'prov-7'"))
+def provenance_lookup(s, d):
+    seen = provenance(s, d)
+    objects = seen.select("namespace_id", "evidence_id").distinct().withColumn("sha256", F.sha2("evidence_id", 256))
+    return readmodels.provenance_record(seen, objects, "ns-1", "prov-7")
+
+
+DOSSIER = (EDGES.rstrip() + FEATURES.format("true") + CLAIMS + LATEST + f""", shown AS ({{facts}}),
+timeline AS (SELECT s.chain_scope || ':' || s.settlement_id AS id, s.buyer_handle_id, s.settled_at, s.amount_atomic FROM settlements s JOIN current_finality f ON s.namespace_id = f.namespace_id AND s.protocol = f.protocol AND s.chain_scope = f.chain_scope
+  AND s.canonical_event_id = f.canonical_event_id WHERE f.finality_status = 'finalized'),
+first AS (SELECT * FROM edges WHERE buyer_handle_id = 'buyer-7' ORDER BY chain_scope, settlement_id, attribution_version, candidate_id LIMIT 25)
+SELECT 'buyer' AS section, 1::BIGINT AS position, id, label FROM shown WHERE kind = 'buyer' AND id = 'buyer-7'
+UNION ALL SELECT 'classification', row_number() OVER (ORDER BY label_id || '@' || label_version), label_id || '@' || label_version, status FROM claims WHERE subject_id = 'buyer-7'
+UNION ALL SELECT 'timeline', row_number() OVER (ORDER BY settled_at DESC, id DESC), id, amount_atomic FROM (SELECT * FROM timeline WHERE buyer_handle_id = 'buyer-7' ORDER BY settled_at DESC, id DESC LIMIT 25)
+UNION ALL SELECT 'edge', row_number() OVER (ORDER BY chain_scope, settlement_id, attribution_version, candidate_id), id, predicate FROM first
+UNION ALL SELECT 'node', row_number() OVER (ORDER BY id), id, label FROM shown v WHERE kind = 'service' AND (namespace_id, id) IN (SELECT (namespace_id, service_id) FROM first)""").replace("{facts}", "SELECT r.namespace_id, id, kind, label FROM raw r JOIN provenance p ON r.namespace_id = p.namespace_id AND r.provenance_id = p.provenance_id")
+
+
+@query(sql("order_settlements requirements provenance buyers services settlements finality_updates activities labels_def", FACTS[FACTS.index(", raw AS"): FACTS.index("SELECT r.namespace_id, id")].rstrip() + DOSSIER))
+def buyer_dossier(s, d):
+    timeline = readmodels.finalized(domain(s, d, "settlements"), finality_updates(s, d)).withColumn("id", F.concat("chain_scope", F.lit(":"), "settlement_id"))
+    said = classification.claims(classification.features(_activities(s, d)), label_definitions(s))
+    return readmodels.dossier("buyer-7", _facts(s, d), said, timeline, _edges(s, d))
+
+
+@query("""SELECT o_orderkey, 'event:x402:sha256:' || sha256(unhex('0a') || unhex(printf('%02x', 93 + octet_length(encode(s)))) || unhex('0a10') || encode(p) || unhex('1247') || encode(r) || unhex('1a') || unhex(printf('%02x', octet_length(encode(s)))) || encode(s)) AS event_id
+FROM (SELECT o_orderkey, printf('pay_%012d', o_orderkey) AS p, 'sha256:' || sha256(o_orderpriority) AS r, 'merchant-' || o_custkey AS s FROM orders)""")
+def x402_event_keys(s, d):
+    from corvane.sources import wire
+
+    o = driver_table(s, d, "orders")
+    key = wire.x402_event_id(F.format_string("pay_%012d", "o_orderkey"), F.concat(F.lit("sha256:"), F.sha2("o_orderpriority", 256)), F.concat(F.lit("merchant-"), "o_custkey"), F.lit(""))
+    return o.select("o_orderkey", key.alias("event_id"))
+
+
+@query("SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END, ''), c_custkey::VARCHAR) AS metric, printf('%.2f', c_nationkey / 25.0 * 100) || '%' AS share FROM customer")
+def shown_metrics(s, d):
+    c = driver_table(s, d, "customer").withColumn("first", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")))
+    return c.select("c_custkey", latest.metric("first", "c_custkey").alias("metric"), latest.percent(F.col("c_nationkey") / 25).alias("share"))

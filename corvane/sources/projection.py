@@ -54,6 +54,8 @@ SPECS: dict[str, tuple[str, dict[str, str], str]] = {
         "lineitem",
         {
             "canonical_event_id": "'order-' || l_orderkey",
+            "source_id": "'source-' || (l_suppkey % 10)",
+            "provenance_id": "'prov-' || (l_partkey % 50)",
             "evidence_id": "'ev-' || " + _LINE,
             "asserted_at": "l_shipdate",
             "block_number": "CAST(l_linenumber * 10 AS BIGINT)",
@@ -78,6 +80,7 @@ SPECS: dict[str, tuple[str, dict[str, str], str]] = {
             "amount_atomic": "CAST(CAST(floor(p_retailprice) AS BIGINT) % 10 AS STRING)",
             "pay_to": "'pay-' || (p_partkey % 3)",
             "evidence_id": "'ev-part-' || p_partkey",
+            "provenance_id": "'prov-' || (p_partkey % 50)",
         },
         "true",
     ),
@@ -85,6 +88,9 @@ SPECS: dict[str, tuple[str, dict[str, str], str]] = {
         "orders",
         {
             "settlement_id": "'order-' || o_orderkey",
+            "namespace_id": "'ns-' || (o_orderkey % 2)",
+            "chain_scope": CHAIN.format("o_orderkey"),
+            "provenance_id": "'prov-' || (o_orderkey % 50)",
             "buyer_handle_id": "'buyer-' || o_custkey",
             "protocol": "'x402'",
             "network": "'net-' || (o_orderkey % 4)",
@@ -128,16 +134,16 @@ SPECS: dict[str, tuple[str, dict[str, str], str]] = {
     ),
     "services": (
         "nation",
-        {"service_id": "'service-' || n_nationkey", "display_name": "n_name", "trust_state": "CASE WHEN n_regionkey % 2 = 0 THEN 'observed' ELSE 'verified' END"},
+        {"namespace_id": "'ns-' || (n_nationkey % 2)", "provenance_id": "'prov-' || n_nationkey", "service_id": "'service-' || n_nationkey", "display_name": "n_name", "trust_state": "CASE WHEN n_regionkey % 2 = 0 THEN 'observed' ELSE 'verified' END"},
         "true",
     ),
     "endpoints": ("supplier", {"endpoint_id": "'endpoint-' || s_suppkey", "service_id": "'service-' || s_nationkey", "endpoint_uri": "'https://s' || s_suppkey || '.example'"}, "s_suppkey % 8 <> 4"),
     "signals": (
         "lineitem",
-        {"candidate_id": "'cand-' || l_suppkey", "signal_kind": "l_returnflag", "source_id": "'source-' || (l_suppkey % 2) || l_linestatus", "observed_at": "l_shipdate"},
-        "l_linenumber = 1 AND l_suppkey % 3 <> 0",
+        {"candidate_id": "'cand-' || l_suppkey", "signal_kind": "CASE WHEN l_suppkey % 3 = 0 THEN 'N' ELSE l_returnflag END", "source_id": "'source-' || (l_suppkey % 2) || l_linestatus", "observed_at": "l_shipdate"},
+        "true",
     ),
-    "buyers": ("customer", {"buyer_handle_id": "'buyer-' || c_custkey", "handle_kind": "CASE WHEN c_custkey % 2 = 0 THEN 'wallet' ELSE 'agent' END", "label": "c_name"}, "true"),
+    "buyers": ("customer", {"namespace_id": "'ns-' || (c_custkey % 2)", "chain_scope": CHAIN.format("c_custkey"), "provenance_id": "'prov-' || (c_custkey % 50)", "buyer_handle_id": "'buyer-' || c_custkey", "handle_kind": "CASE WHEN c_custkey % 2 = 0 THEN 'wallet' ELSE 'agent' END", "label": "c_name"}, "true"),
 }
 
 LABELS = [  # label, version, kind, metric, threshold, confidence in basis points

@@ -18,26 +18,38 @@ def _table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
-def append_once(path: str, receipts: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def within(stored: DataFrame, batch: DataFrame, column: str | None) -> DataFrame:
+    """The stored rows whose column (say, a time in the key) is in the batch's range: row groups outside it aren't read."""
+    if column is None:
+        return stored
+    low, high = batch.agg(F.min(column), F.max(column)).first()
+    return stored.where(F.col(column).between(F.lit(low), F.lit(high)))
+
+
+def append_once(path: str, receipts: str, keys: Sequence[str], prune: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that appends rows with new keys and notes each batch.
 
-    A batch that was noted before is let be. ContradictoryReplay is raised if a key that is stored comes
+    A batch that was noted before is let be. prune names a column of the key: only stored rows in the
+    batch's range of it are compared. ContradictoryReplay is raised if a key that is stored comes
     with other values: nothing of that batch is written.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.limit(0).write.mode("append").parquet(path)  # so that the table exists
-        spark.createDataFrame([], "batch_id long, n_rows long, digest long").write.mode("append").parquet(receipts)
+        batch.limit(0).write.mode("ignore").parquet(path)  # so that the table exists
+        spark.createDataFrame([], "batch_id long, n_rows long, digest long").write.mode("ignore").parquet(receipts)
         noted = _table(spark, receipts, "batch_id long, n_rows long, digest long")
         if not noted.where(F.col("batch_id") == batch_id).isEmpty():
             return
-        stored = _table(spark, path, batch.schema)
         batch.persist()
         try:
-            if wrong := contradictions(batch, stored, keys).limit(1).collect():
+            rows = batch.distinct()
+            if wrong := rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect():
+                raise ContradictoryReplay(f"twice in a batch with other values: {wrong[0].asDict()}")
+            stored = within(_table(spark, path, batch.schema), batch, prune)
+            if wrong := contradictions(rows, stored, keys).limit(1).collect():
                 raise ContradictoryReplay(f"stored with other values: {wrong[0].asDict()}")
-            new_rows(batch, stored, keys).write.mode("append").parquet(path)
+            new_rows(rows, stored, keys).write.mode("append").parquet(path)
             receipt = batch.agg(F.lit(batch_id).cast("long").alias("batch_id"), F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*batch.columns)).alias("digest"))
             receipt.write.mode("append").parquet(receipts)
         finally:

@@ -156,6 +156,11 @@ def test_adapters(spark):
     v1 = 'HTTP/1.1 402 Payment Required\r\n\r\n{"x402Version":1,"accepts":[' + OFFER.replace('"amount":"1000"', '"maxAmountRequired":"900"') + "]}"
     got = adapters.runtime(docs(v2, v1, "HTTP/1.1 402 X\r\n\r\n{}", v2.replace(" 402 ", " 200 "))).orderBy("evidence_id").collect()
     assert [(r.protocol_version, r.amount_atomic, r.reason) for r in got] == [(2, "1000", None), (1, "900", None), (None, None, "malformed"), (None, None, "malformed")]
+    twice = body2.replace('"x402', '"a":"\\r\\n", "x402').replace(",", ",\r\n\r\n", 1)  # a blank line inside the body
+    lf = v1.replace("\r\n", "\n")
+    odd = [f"HTTP/1.1 402 X\r\n\r\n{twice}", lf, v2.replace("HTTP/1.1", "HTTP/2"), v2.replace(" Payment Required", ""), v2.replace("PAYMENT", "X: y\r\npayment-required: e30=\r\nPAYMENT", 1), v1.replace("\r\n\r\n", "\r\nPayment-Required: \r\n\r\n")]
+    reasons = [(r.evidence_id, r.reason) for r in adapters.runtime(docs(*odd)).orderBy("evidence_id").collect()]
+    assert reasons == [("e0", None), ("e1", None), ("e2", "malformed"), ("e3", "malformed"), ("e4", "malformed"), ("e5", None)]
     one = adapters.openapi(docs(f'{{"paths":{{"/premium":{{"get":{{"x-x402":{body2}}},"foo":{{"x-x402":{body2}}}}}}}}}')).collect()
     assert [r.resource for r in one] == ["https://a/premium"]
     usdc = OFFER.replace("0xA", adapters.NAMED_ASSET)
@@ -183,11 +188,22 @@ def test_evidence_helpers(spark, tmp_path):
     (p / ("0" * 64)).write_bytes(b"y")
     got = evidence.read_evidence(spark, str(tmp_path)).collect()
     assert sorted(r.intact for r in got) == [False, True]
-    raw = b"AEM1" + (2).to_bytes(5, "big") + (77).to_bytes(8, "big") + (200).to_bytes(2, "big") + (3).to_bytes(4, "big") + b"\1" + (9).to_bytes(8, "big") + (2).to_bytes(4, "big") + b"ok"
-    row = spark.createDataFrame([(raw,), (raw + b"!",)], "r binary").select(evidence.rpc_envelope(F.col("r")).alias("e")).collect()
-    assert (int(row[0].e.height), row[0].e.status, bytes(row[0].e.body)) == (77, 200, b"ok") and row[1].e is None
-    heights = spark.createDataFrame([('{"result":{"number":"0x1f"}}',), ('{"result":{"number":"0x01"}}',)], "b string").select(evidence.decode_height(F.col("b")).alias("h")).collect()
-    assert [r.h and int(r.h) for r in heights] == [31, None]
+    raw = evidence.RPC_MAGIC + b"\2" + (77).to_bytes(8, "big") + (200).to_bytes(2, "big") + (3).to_bytes(4, "big") + b"\1" + (9).to_bytes(8, "big") + (2).to_bytes(4, "big") + b"ok"
+    wrong = [raw + b"!", b"XXXX" + raw[4:], raw[:8] + b"\xff" + raw[9:], raw[:23] + b"\2" + raw[24:], raw[:35], None]
+    row = [r.e for r in spark.createDataFrame([(raw,), *[(w,) for w in wrong]], "r binary").select(evidence.rpc_envelope(F.col("r")).alias("e")).collect()]
+    assert (row[0].chain, int(row[0].height), row[0].status, row[0].attempt, int(row[0].retry_after_ms), bytes(row[0].body)) == ("base", 77, 200, 3, 9, b"ok")
+    assert row[1:] == [None] * len(wrong)
+    evm = lambda n, more="": f'{{"jsonrpc":"2.0","id":1,"result":{{"number":"{n}"}}{more}}}'
+    block = '{"jsonrpc":"2.0","id":1,"result":{"blockHeight":5,"blockhash":"b","previousBlockhash":"a","transactions":[%s],"parentSlot":%s}}'
+    said = [
+        (evm("0x1f"), "base", (31, None)), (evm("0x01"), "base", (None, "number")), (evm("0x123456789abcdef01"), "base", (None, "number")), (evm("0xffffffffffffffff"), "base", (2**64 - 1, None)),
+        (evm("0x1f", ',"id":1'), "base", (None, "json")), (evm("0x1f", ',"error":null'), "base", (None, "result and error")), (evm("0x1f").replace("2.0", "1.0"), "base", (None, "json-rpc version")),
+        ('{"jsonrpc":"2.0","id":1}', "base", (None, "result")), ('{"jsonrpc":"2.0","id":1,"result":null}', "base", (None, None)), ("x", "base", (None, "json")), (None, "base", (None, "json")),
+        (block % ("", 76), "solana", (77, None)), (block % ('"t"', 77), "solana", (None, "solana block")), (block % ("", '"76"'), "solana", (None, "solana block")),
+        ('{"jsonrpc":"2.0","id":1,"error":{"code":-32009}}', "solana", (None, None)), ('{"jsonrpc":"2.0","id":1,"error":{"code":-32009}}', "base", (None, "provider error")),
+    ]
+    got = spark.createDataFrame([(i, b, c) for i, (b, c, _) in enumerate(said)], "i int, b string, c string").select("i", evidence.decode_height(F.col("b"), F.col("c"), F.lit(77)).alias("h")).orderBy("i").collect()
+    assert [(r.h.height and int(r.h.height), r.h.problem) for r in got] == [w for _, _, w in said]
     wiki = spark.createDataFrame([("a [[x]] [[y]]",), ("[[x",), ("none",)], "m string").select(evidence.wiki_links(F.col("m")).alias("l")).collect()
     assert [r.l for r in wiki] == [["x", "y"], None, []]
     texts = spark.createDataFrame([(1, "a secret word here"), (2, "nothing")], "doc_id long, text string")
@@ -213,3 +229,73 @@ def test_pages_and_versions(spark):
         latest.search(df, "")
     v = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("c", 1), ("c", 3)], "k string, v int")
     assert {r.k for r in latest.non_contiguous(v, ["k"], "v").collect()} == {"b", "c"}
+
+
+def test_cursors_and_tags(spark):
+    assert latest.decode_cursor(latest.encode_cursor(["é", "2"]), 2) == ["é", "2"]
+    row = spark.createDataFrame([("é", 2)], "a string, b int").select(latest.cursor_of(F.col("a"), F.col("b")).alias("c")).first()
+    assert row.c == latest.encode_cursor(["é", "2"])
+    for bad in ("zz", "5b", latest.encode_cursor(["a"]), "7b7d"):
+        with pytest.raises(ValueError):
+            latest.decode_cursor(bad, 2)
+
+
+def test_classification_hashes(spark):
+    def enc(*fs):
+        return b"".join(len(str(f).encode()).to_bytes(8, "big") + str(f).encode() for f in fs)
+
+    rows = spark.createDataFrame([(*a, f"ev{i}") for i, a in enumerate(ACTIVITIES)], A_SCHEMA + ", evidence_id string")
+    labels = spark.createDataFrame([("l:b", 2, "local", "payment_count", "3", 1), ("l:a", 1, "core", "payment_count", "9", 1)], "label_id string, label_version int, label_kind string, metric string, threshold string, confidence_bps int")
+    done = classification.classify(rows, labels, 0, 300).first()
+    count = lambda n: n.to_bytes(8, "big")
+    items = [("100", 60, "x402", "weather", "unknown", "ev1"), ("200", 120, "mpp", "maps", "verified_agent", "ev0"), ("300", 240, "x402", "weather", "verified_agent", "ev2")]
+    given = hashlib.sha256(enc("aem-behavior-input-v1", "b", 0, 300, "features@1") + count(3) + b"".join(enc(*i) for i in items)).hexdigest()
+    rules = hashlib.sha256(enc("aem-label-set-v1") + count(2) + enc("l:a", 1, "core", "payment_count", "9") + enc("l:b", 2, "local", "payment_count", "3")).hexdigest()
+    state = hashlib.sha256(enc("aem-classification-result-v1", "classifier@1", "b", "features@1", given, rules, 0, 300) + count(1) + enc("l:b", 2, "local", "inferred")).hexdigest()
+    assert (done.input_hash, done.label_set_hash, done.state_hash, done.evidence_ids) == (given, rules, state, ["ev0", "ev1", "ev2"])
+    assert classification.duplicate_labels(labels.unionByName(labels)).count() == 2 and classification.duplicate_labels(labels).count() == 0
+
+
+def test_event_keys_as_protocol_buffers(spark):
+    from corvane.sources import wire
+
+    long = "s" * 300
+    row = spark.range(1).select(
+        wire.x402_event_id(F.lit("pay_123456789012"), F.lit("sha256:" + "a" * 64), F.lit(long), F.lit("")).alias("x"),
+        wire.x402_event_id(F.lit("short"), F.lit("sha256:" + "a" * 64), F.lit("m"), F.lit("")).alias("none"),
+        wire.mpp_event_id(F.lit("realm"), F.lit("tempo"), F.lit("c1")).alias("m"),
+        wire.mpp_discovery_event_id(F.lit("svc"), F.lit("get"), F.lit("/p"), F.lit(200)).alias("d"),
+    ).first()
+
+    def var(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + var(n >> 7)
+
+    field = lambda k, b: bytes([k << 3 | 2]) + var(len(b)) + b
+    of = lambda p, k, body: f"event:{p}:sha256:" + hashlib.sha256(field(k, body)).hexdigest()
+    assert row.x == of("x402", 1, field(1, b"pay_123456789012") + field(2, b"sha256:" + b"a" * 64) + field(3, long.encode())) and row.none is None
+    assert row.m == of("mpp", 2, field(1, b"realm") + field(2, b"tempo") + field(3, b"c1"))
+    assert row.d == of("mpp", 3, field(1, b"svc") + field(2, b"get") + field(3, b"/p") + bytes([32]) + var(200))
+
+
+def test_recovery_replay(spark):
+    import base64
+    import json
+
+    from corvane.operators import recovery
+
+    entry = lambda i, pair, **more: (f"o{i}", 1, "b", pair.split(":")[0], f"obs{i}", base64.b64encode(json.dumps({"buyer_handle_id": "b", "settlement_id": f"s{i}", "protocol": pair.split(":")[1], "amount_atomic": "9" * 30} | more).encode()).decode())
+    schema = "object_name string, generation long, buyer_handle_id string, chain string, observation_id string, payload_base64 string"
+    whole = [entry(i, p) for i, p in enumerate(recovery.REQUIRED)]
+    one = lambda rows: recovery.replay(spark.createDataFrame(rows, schema)).first()
+    a, b = one(whole), one(whole[::-1])
+    assert a == b and a.reason is None and (a.n_payments, a.total_atomic) == (8, str(8 * int("9" * 30)))
+    assert one(whole[1:]).reason == "coverage" and one([*whole, entry(0, "base:mpp")]).reason == "duplicate"
+    assert one([*whole[1:], entry(0, recovery.REQUIRED[0], buyer_handle_id="c")]).reason == "payload"
+
+
+def test_private_page_parts_merge(spark):
+    b, e = evidence.BEGIN, evidence.END
+    pages = ["", "a", "a\n", "a\n\n", f"x{b}old{e}y", f"{b}{b}{e}", f"{e}{b}"]
+    got = [r.p for r in spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, t string").orderBy("i").select(evidence.merge_generated(F.col("t"), F.lit("new\n ")).alias("p")).collect()]
+    part = f"{b}\nnew\n{e}"
+    assert got == [f"{part}\n", f"a\n\n{part}\n", f"a\n\n{part}\n", f"a\n\n{part}\n", f"x{part}y", None, None]

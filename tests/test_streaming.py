@@ -58,3 +58,30 @@ def test_finality_stream_equals_batch(spark, tmp_path):
     q = finality_stream(stream, 5).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert seen == {r.canonical_event_id: tuple(r)[1:] for r in finality.timelines(df, 5).collect()}
+
+
+def test_commits_come_into_view_whole(spark, tmp_path):
+    from corvane.streaming import commits
+
+    root = str(tmp_path / "store")
+    one = {"a": spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string"), "b": spark.createDataFrame([], "k long")}
+    bad = spark.createDataFrame([(1,)], "k long")
+    with pytest.raises(commits.Rejected):
+        commits.commit(root, "b1", one, {"rule": bad})
+    assert commits.commit(root, "b1", one, {"rule": bad.limit(0)}) and not commits.commit(root, "b1", one)
+    with pytest.raises(commits.ContradictoryReplay):
+        commits.commit(root, "b1", one | {"a": one["a"].limit(1)})
+    one["a"].write.parquet(f"{root}/a/batch_id=b2")  # an attempt that ended before its receipt
+    assert sorted(tuple(r) for r in commits.committed(spark, root, "a", one["a"].schema).select("batch_id", "k").collect()) == [("b1", 1), ("b1", 2)]
+    assert commits.commit(root, "b2", {"a": one["a"].limit(1)})
+    assert commits.committed(spark, root, "a", one["a"].schema).count() == 3
+
+
+def test_contradictions_inside_a_batch(spark, tmp_path):
+    write = append_once(str(tmp_path / "t"), str(tmp_path / "r"), ["k"], prune="k")
+    write(spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k long, v string"), 0)
+    with pytest.raises(ContradictoryReplay):
+        write(spark.createDataFrame([(3, "a"), (3, "b")], "k long, v string"), 1)
+    with pytest.raises(ContradictoryReplay):
+        write(spark.createDataFrame([(2, "c")], "k long, v string"), 2)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
