@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.amounts import exact_sum
-from corvane.operators.latest import EVENT_KEYS, current_event_finality, joined_set, pick, small
+from corvane.operators.latest import EVENT_KEYS, joined_set, pick, small
 
 
 def finalized(settlements: DataFrame, updates: DataFrame) -> DataFrame:
-    now = current_event_finality(updates).where("finality_status = 'finalized'").select(*EVENT_KEYS)
-    return settlements.join(now, EVENT_KEYS, "left_semi")
+    """Settlements whose event's newest update says finalized. A flag of fixed width is aggregated, by hash."""
+    now = updates.groupBy(*EVENT_KEYS).agg(F.max_by(F.col("finality_status") == "finalized", "finality_sequence").alias("final"))
+    return settlements.join(now.where("final").select(*EVENT_KEYS), EVENT_KEYS, "left_semi")
 
 
 def pulse(settlements: DataFrame, updates: DataFrame, provenance: DataFrame) -> DataFrame:
@@ -103,7 +104,8 @@ def graph_edges(latest: DataFrame, candidates: DataFrame, settlements: DataFrame
     key = ["namespace_id", "chain_scope", "settlement_id"]
     paid = settlements.select(*key, "buyer_handle_id", F.col("provenance_id").alias("settlement_provenance"))
     asked = requirements.select("requirement_id", F.col("provenance_id").alias("requirement_provenance"))
-    seen = lambda name: small(provenance.select("namespace_id", F.col("provenance_id").alias(f"{name}_provenance"), F.col("observed_at").alias(f"{name}_at")))
+    seen_at = small(provenance.select("namespace_id", "provenance_id", "observed_at"))
+    seen = lambda name: seen_at.withColumnsRenamed({"provenance_id": f"{name}_provenance", "observed_at": f"{name}_at"})
     rows = latest.join(candidates, [*key, "attribution_version"]).join(paid, key).join(asked, "requirement_id")
     rows = rows.join(seen("settlement"), ["namespace_id", "settlement_provenance"]).join(seen("requirement"), ["namespace_id", "requirement_provenance"])
     known = F.col("buyer_handle_id").isNotNull() & F.col("service_id").isNotNull()

@@ -44,10 +44,10 @@ def winners(observations: DataFrame, payload: str = "payload") -> DataFrame:
     return best.select(*EVENT, F.col("w.fingerprint").alias("winner"), (-F.col("w.less")).alias("n_supporting"), "n_cohorts")
 
 
-def roles(observations: DataFrame, payload: str = "payload") -> DataFrame:
-    """All columns of observations with fingerprint and support_role.
+def roles(observations: DataFrame, payload: str = "payload", of: DataFrame | None = None) -> DataFrame:
+    """All columns of observations (or of `of`, some of them) with fingerprint and support_role.
 
-    Cohorts are ranked by themselves - there are few in an event - and observations look their cohort up.
+    Cohorts of all observations are ranked by themselves - there are few in an event - and those asked for look theirs up.
     """
     sizes = observations.groupBy(*EVENT, payload).agg(F.count(F.lit(1)).alias("n")).withColumn("fingerprint", fingerprint(payload))
     best = F.row_number().over(Window.partitionBy(*EVENT).orderBy(F.desc("n"), "fingerprint")) == 1
@@ -56,7 +56,8 @@ def roles(observations: DataFrame, payload: str = "payload") -> DataFrame:
     same = F.col(payload).eqNullSafe(F.col(f"__{payload}"))
     for c in EVENT:
         same &= F.col(c) == F.col(f"__{c}")
-    return observations.join(ranked, same).select(*observations.columns, "fingerprint", "support_role")
+    asked = observations if of is None else of
+    return asked.join(ranked, same).select(*asked.columns, "fingerprint", "support_role")
 
 
 def links(observations: DataFrame, payload: str = "payload") -> DataFrame:

@@ -77,7 +77,9 @@ SELECT namespace_id, source_id, chain_scope, protocol, parser_version, max(obser
 FROM ranked WHERE n <= 100 GROUP BY ALL"""))
 def discovery_lineage(s, d):
     registry = s.createDataFrame([("source-1", "adapter@1"), ("source-2", "adapter@0"), ("source-3", "adapter@1")], "source_id string, parser_version string")
-    supported = reducer.roles(domain(s, d, "observations")).where("support_role = 'supporting'")
+    observed = domain(s, d, "observations")
+    registered = observed.join(latest.small(registry), ["source_id", "parser_version"], "left_semi")
+    supported = reducer.roles(observed, of=registered).where("support_role = 'supporting'")
     return readmodels.discovery(supported, None, registry)
 
 
@@ -216,7 +218,7 @@ def attribution_seal_violations(s, d):
 
 EDGES = CANDIDATES + """, found AS (SELECT settlement_id, count(*) AS n, min(level) AS level FROM cand GROUP BY settlement_id),
 runs AS (SELECT s.namespace_id, s.chain_scope, s.settlement_id, v AS attribution_version, coalesce(f.level, 'unknown') AS level, CASE f.level WHEN 'verified' THEN 'explicit_requirement' WHEN 'strong' THEN 'unique_exact' WHEN 'weak' THEN 'shared_exact' ELSE 'none' END AS match_method
-  FROM order_settlements s LEFT JOIN found f ON s.settlement_id = f.settlement_id CROSS JOIN (VALUES (1), (2)) t(v)),
+  FROM order_settlements s LEFT JOIN found f ON s.settlement_id = f.settlement_id CROSS JOIN (VALUES (1), (2)) t(v) WHERE v = 1 OR right(s.settlement_id, 1) IN ('3', '4')),
 latest AS (SELECT DISTINCT ON (namespace_id, chain_scope, settlement_id) * FROM runs WHERE attribution_version = 1 OR NOT ends_with(settlement_id, '3') ORDER BY namespace_id, chain_scope, settlement_id, attribution_version DESC),
 edges AS (SELECT s.namespace_id, concat_ws(':', s.chain_scope, c.settlement_id, l.attribution_version, c.candidate_id) AS id, 'attribution' AS kind, l.match_method AS label, s.chain_scope, c.settlement_id, l.attribution_version, c.candidate_id, s.buyer_handle_id, c.service_id,
     c.endpoint_id, c.payment_option_id, c.confidence_bps, l.level, CASE WHEN l.level IN ('verified', 'strong') THEN 'paid_for' ELSE 'candidate_for' END AS predicate, 'outbound' AS direction,
@@ -228,9 +230,10 @@ _GRAPH = "order_settlements requirements provenance"
 
 
 def _edges(s, d):
-    """Two attribution runs of each settlement, of which the second isn't always sealed."""
+    """Attribution runs of each settlement; some have a second one, which isn't always sealed."""
     a, r = domain(s, d, "order_settlements"), domain(s, d, "requirements")
-    versions = F.explode(F.array(F.lit(1), F.lit(2))).alias("attribution_version")
+    again = F.col("settlement_id").endswith("3") | F.col("settlement_id").endswith("4")
+    versions = F.explode(F.when(again, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("attribution_version")
     key = a.select("namespace_id", "chain_scope", "settlement_id")
     runs = key.join(attribution.levels(a, r), "settlement_id").select("*", F.col("method").alias("match_method"), versions)
     seals = runs.where("attribution_version = 1 OR NOT endswith(settlement_id, '3')")
