@@ -32,13 +32,13 @@ from corvane.llm.base import Prefixes, Scratch, mix, sized, slices, stored, tabl
 from corvane.llm.graph import components
 
 #: Classes and shingles of a neighbourhood searched in one task; classes dealt to one task where neighbourhoods are small.
-BLOCK, BLOCK_SHINGLES, TOGETHER = 2000, 1 << 20, 300
+BLOCK, BLOCK_SHINGLES, TOGETHER = 600, 1 << 20, 300
 #: Entries of inverted lists read and merged at once.
 MERGED = 1 << 18
 #: Pieces, a power of two, in which the ties of a task are made.
 PIECES = 8
 #: Shingles of classes handled in one task, and dealt out or counted at once.
-IN_TASK, AT_ONCE = 1 << 21, 1 << 22
+IN_TASK, AT_ONCE = 1 << 20, 1 << 20
 #: Shingles of at least so many classes aren't shuffled; at most so many of them, the most frequent (any choice
 #: finds all links; it only keeps lists short), seen so often in one task.
 FREQUENT, FREQUENT_KEPT, SEEN_IN_TASK = 64, 100_000, 3
@@ -51,10 +51,13 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
     Fewer words make one shingle, no words none.
     """
-    data, offsets = utf8(column)
-    data = LOWER[data]
+    for begin in range(0, len(column), 1000):
+        yield from _shingles(*utf8(column.slice(begin, 1000)), size)
+
+
+def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
     for i, j in slices(offsets):
-        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        part, at = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         starts, ends, row = words(part, at)
         hashes = Prefixes(part).of(starts, ends)
         cuts = np.searchsorted(row, np.arange(j - i + 1))
@@ -377,9 +380,10 @@ def ties(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, parts:
         if not got:
             return
         t, c = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
+        got.clear()
         order = np.lexsort((c, t))
         t, c = t[order], c[order]
+        del order
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])  # the same class from several tasks
         t, c = t[new], c[new]
