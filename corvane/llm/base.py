@@ -66,7 +66,7 @@ class Scratch:
 
     def spent(self, after: int, upto: int) -> None:
         """Deletes the tables stored after one mark, up to another."""
-        for k in range(after + 1, upto + 1):
+        for k in range(max(0, after) + 1, upto + 1):
             self._delete(f"{self.root}/{k}")
 
 

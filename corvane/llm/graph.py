@@ -21,18 +21,19 @@ def components(links: DataFrame, store: Callable[[DataFrame], DataFrame] = store
     """
     with Scratch(links.sparkSession) as scratch:
         links = scratch.stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        before = None
-        while True:
+        seen = lambda rows: rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("b")), F.bit_xor(F.xxhash64("a", "b"))).first()
+        before = seen(links)  # stars are done with the first round
+        while before[0]:
             done = scratch.mark()
             both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))
             moved = both.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
             links = scratch.stored(moved.where("a <> b").distinct())
             scratch.spent(done - 1, done)
-            state = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("b")), F.bit_xor(F.xxhash64("a", "b"))).first()
-            if state == before or not state[0]:
+            now = seen(links)
+            if now == before:
                 break
-            before = state
+            before = now
         # each node but the smallest now has one link, to the smallest
         roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
         return store(links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))

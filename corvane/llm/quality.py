@@ -84,15 +84,16 @@ def measure(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> di
     return out
 
 
-def measure_texts(docs: DataFrame, text: str = "text", sizes: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> DataFrame:
-    """docs without text, with MEASURES and chars_<n>; columns of docs with these names are replaced.
+def measure_texts(docs: DataFrame, text: str = "text", sizes: tuple[int, ...] = tuple(NGRAM_LIMITS), keep: bool = False) -> DataFrame:
+    """docs without text (keep: with it), with MEASURES and chars_<n>; columns of docs with these names are replaced.
 
     Null and empty texts measure 0; repeated rows are measured each; an empty table gives an empty result.
     """
     sizes = tuple(sorted({3, *sizes}))
     added = [*MEASURES, *(f"chars_{n}" for n in sizes)]
     kept = [c for c in docs.columns if c != text and c not in added]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{m} bigint" for m in added)])
+    names = [*kept, text] if keep else kept
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), *(f"{m} bigint" for m in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,9 +102,9 @@ def measure_texts(docs: DataFrame, text: str = "text", sizes: tuple[int, ...] =
             data, offsets = utf8(batch.column(batch.num_columns - 1))
             parts = [measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sizes) for i, j in slices(offsets)]
             found = [pa.array(np.concatenate([p[m] for p in parts])) for m in added]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*kept, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *found], [*names, *added])
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias(names[-1] if keep else "__text")).mapInArrow(run, schema)
 
 
 def judge(
@@ -130,7 +131,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     inner = [f"__c{i}" for i in range(len(docs.columns))]  # names that can't clash with the measures
     named = docs.toDF(*inner)
     text = inner[docs.columns.index("text")]
-    measured = judge(measure_texts(named.withColumn("__measured", F.col(text)), "__measured"))
+    measured = judge(measure_texts(named, text, keep=True))
     return measured.where("kept").select(*[F.col(a).alias(b) for a, b in zip(inner, docs.columns, strict=True)])
 
 

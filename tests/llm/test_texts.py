@@ -164,6 +164,21 @@ def test_html_attributes_that_drop(attributes):
     assert html_text.main_text(f"<article><p>{text}</p><div {attributes}><p>Gone, gone.</p></div></article>") == text
 
 
+def test_quality_covers_all_lengths_of_repeats(spark):
+    texts = [r[1] for r in sample_docs(4)] + ["a b c d e f g h " * 9, "p q r s t u v w x y z p q r s t u v w x", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = tuple(range(5, 11))
+    got = {r.doc_id: [r[f"chars_{n}"] for n in sizes] for r in quality.measure_texts(df, sizes=sizes).collect()}
+    for i, t in enumerate(texts):
+        w = words(t)
+        for n, chars in zip(sizes, got[i], strict=True):
+            at: dict = {}
+            for j in range(len(w) - n + 1):
+                at.setdefault(tuple(w[j : j + n]), []).append(j)
+            inside = {k for js in at.values() if len(js) > 1 for j in js for k in range(j, j + n)}
+            assert chars == sum(len(w[k]) for k in inside), (i, n)
+
+
 def test_html_lists_of_links_in_an_article_are_text():
     items = "".join(f"<li><a href='{i}'>Report {i}</a></li>" for i in range(5))
     assert html_text.main_text(f"<article><p>Rails were laid, late, by autumn.</p><ul>{items}</ul></article>").endswith("Report 0 Report 1 Report 2 Report 3 Report 4")
