@@ -2,6 +2,10 @@
 
 Every stage takes and returns documents (doc_id, text, lang, source, n_chars); the last returns
 each mixed document's token ids. n_chars follows the text where a stage changes it.
+
+Documents with null, empty or blank text fail the quality rules and go with the first stage. Rows that repeat
+whole stay one row after the join of near duplicates; rows that share only a doc_id are documents of their own.
+Columns besides the five are let be, whatever their names. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, jaccard, line_dedup, mixing, quality
-from corvane.llm.base import n_words, stored, table
+from corvane.llm.base import Scratch, n_words, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,6 +61,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    between = Scratch(spark)  # what a stage kept is deleted when the next one has written its own
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        done = between.mark()
+        docs = between.stored(stage(spark, docs, sf_dir))
+        between.spent(done - 1, done)
     return STAGES[-1][1](spark, docs, sf_dir)
