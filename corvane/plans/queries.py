@@ -845,3 +845,72 @@ def x402_event_keys(s, d):
 def shown_metrics(s, d):
     c = driver_table(s, d, "customer").withColumn("first", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")))
     return c.select("c_custkey", latest.metric("first", "c_custkey").alias("metric"), latest.percent(F.col("c_nationkey") / 25).alias("share"))
+
+
+@query("""SELECT 'doc-' || s_suppkey AS evidence_id, CASE WHEN s_suppkey % 5 <> 0 THEN 'https://s/' || s_suppkey END AS resource, CASE WHEN s_suppkey % 5 <> 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 2 END END AS protocol_version,
+  CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey::VARCHAR END AS amount_atomic, CASE WHEN s_suppkey % 5 = 0 THEN 'malformed' WHEN s_suppkey % 7 = 0 THEN 'unsupported_scheme' END AS reason FROM supplier""")
+def well_known_offers(s, d):
+    """Documents of both versions; every fifth repeats a member."""
+    from corvane.operators import adapters
+
+    k = F.col("s_suppkey")
+    text = F.format_string(
+        '{"x402Version":%d,%s"accepts":[{"scheme":"%s","network":"base","%s":"%d","asset":"0xa","payTo":"0xp","resource":"https://s/%d"}]}',
+        F.when(k % 2 == 0, 1).otherwise(2), F.when(k % 5 == 0, '"x402Version":2,').otherwise(""), F.when(k % 7 == 0, "upto").otherwise("exact"), F.when(k % 2 == 0, "maxAmountRequired").otherwise("amount"), k, k,
+    )
+    docs = driver_table(s, d, "supplier").select(F.concat(F.lit("doc-"), k).alias("evidence_id"), text.alias("content"))
+    return adapters.well_known(docs).select("evidence_id", "resource", "protocol_version", "amount_atomic", "reason")
+
+
+@query("""SELECT 'doc-' || s_suppkey AS evidence_id, CASE WHEN s_suppkey % 6 IN (0, 1, 4) THEN s_suppkey::VARCHAR END AS amount_atomic, CASE WHEN s_suppkey % 6 NOT IN (0, 1, 4) THEN 'malformed' END AS reason FROM supplier""")
+def runtime_responses(s, d):
+    """Raw responses: by header, by body with a blank line in it, another status, two headers, parted by LF, without a reason."""
+    from corvane.operators import adapters
+
+    k, m = F.col("s_suppkey"), F.lit
+    body = F.format_string('{"x402Version":2,\r\n\r\n"accepts":[{"scheme":"exact","network":"base","amount":"%d","asset":"0xa","payTo":"0xp"}]}', k)
+    header = F.concat(m("Payment-Required: "), F.replace(F.base64(F.encode(body, "UTF-8")), m("\r\n"), m("")), m("\r\n"))
+    status = F.when(k % 6 == 2, "HTTP/1.1 200 OK").when(k % 6 == 5, "HTTP/1.1 402").otherwise("HTTP/1.1 402 Payment Required")
+    crlf = F.concat(status, m("\r\nX: y\r\n"), F.when(k % 6 == 0, header).when(k % 6 == 3, F.concat(header, header)).otherwise(""), m("\r\n"), F.when(k % 6 == 0, "{}").otherwise(body))
+    lf = F.concat(m("HTTP/1.0 402 Pay\nX: y\n\n"), F.replace(body, m("\r\n"), m("\n")))
+    docs = driver_table(s, d, "supplier").select(F.concat(m("doc-"), k).alias("evidence_id"), m("https://s").alias("endpoint"), F.when(k % 6 == 4, lf).otherwise(crlf).alias("content"))
+    return adapters.runtime(docs).select("evidence_id", "amount_atomic", "reason")
+
+
+MPP_FP = lambda *texts: "sha256(" + " || ".join(_P(t) for t in texts)
+
+
+@query(f"""WITH o AS (SELECT s_suppkey AS k, 'doc-' || s_suppkey AS evidence_id, '/p' || s_suppkey AS path, s_suppkey::VARCHAR AS amount, '{{"intent":"charge","method":"m","amount":"' || s_suppkey || '"}}' AS raw FROM supplier WHERE s_suppkey % 4 <> 0)
+SELECT evidence_id, path, 'post' AS http_method, amount, {MPP_FP("'mpp-discovery'", "'3.1.0'", "'t'", "'1'", "'charge'", "'m'")} || unhex('01') || {_P("amount")} || unhex('0000') || {_P("raw")}) AS fingerprint FROM o""")
+def mpp_declared_offers(s, d):
+    """Declared offers with their payload fingerprints; a document with a bad offer (every fourth) gives none."""
+    from corvane.operators import adapters
+
+    k = F.col("s_suppkey")
+    offer = F.format_string('{"intent":"%s","method":"m","amount":"%d"}', F.when(k % 4 == 0, "gift").otherwise("charge"), k)
+    text = F.concat(F.format_string('{"openapi":"3.1.0","info":{"title":"t","version":"1"},"paths":{"/p%d":{"post":{"x-payment-info":', k), offer, F.lit(',"responses":{"402":{}}}}}}'))
+    docs = driver_table(s, d, "supplier").select(F.concat(F.lit("doc-"), k).alias("evidence_id"), text.alias("content"))
+    return adapters.mpp_offers(docs).select("evidence_id", "path", "http_method", "amount", reducer.payload_fingerprint_mpp_discovery().alias("fingerprint"))
+
+
+@query("""SELECT status, count(*) AS n_evidence FROM (SELECT CASE WHEN l_partkey % 13 = 0 THEN 'orphaned' WHEN l_quantity <= 5 THEN 'reverted' WHEN l_returnflag = 'A' THEN 'finalized' WHEN l_returnflag = 'N' THEN 'confirmed' ELSE 'observed' END AS status FROM lineitem) GROUP BY ALL""")
+def finality_solana_status(s, d):
+    commitment = F.when(F.col("l_returnflag") == "A", "finalized").when(F.col("l_returnflag") == "N", "confirmed").otherwise("processed")
+    rows = driver_table(s, d, "lineitem").select(
+        F.lit("h").alias("block_hash"), F.when(F.col("l_partkey") % 13 == 0, "x").otherwise("h").alias("canonical_block_hash"), (F.col("l_quantity") <= 5).alias("reverted"), commitment.alias("commitment")
+    )
+    return rows.groupBy(finality.solana_status().alias("status")).agg(F.count(F.lit(1)).alias("n_evidence"))
+
+
+@query("""SELECT 'p/' || doc_id AS page_path, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'citation' END, CASE WHEN doc_id % 4 = 0 THEN 'links' END, CASE WHEN doc_id % 5 = 0 THEN 'private' END) AS reasons
+FROM documents WHERE doc_id % 3 = 0 OR doc_id % 4 = 0 OR doc_id % 5 = 0""")
+def projection_rules(s, d):
+    """Pages that cite what isn't in the snapshot, whose links aren't their text's, or that hold a private fragment."""
+    k = F.col("doc_id")
+    path = F.concat(F.lit("p/"), k)
+    pages = driver_table(s, d, "documents").select(
+        path.alias("page_path"), F.lit("snap").alias("snapshot_id"), F.concat(F.lit("see [["), path, F.lit("]] and "), F.when(k % 5 == 0, 'the "inner" name').otherwise("nothing")).alias("markdown"),
+        F.array(F.when(k % 3 == 0, "prov-x").otherwise("prov-1")).alias("citations"), F.when(k % 4 == 0, F.array(path, F.lit("p/none"))).otherwise(F.array(path)).alias("links"),
+    )
+    snapshots = s.range(1).select(F.lit("snap").alias("snapshot_id"), F.array(F.lit("prov-1")).alias("provenance_ids"))
+    return evidence.projection_violations(pages, snapshots, ['the "inner" name']).withColumn("reasons", F.array_join("reasons", ","))
