@@ -83,7 +83,7 @@ def facts(buyers: DataFrame, services: DataFrame, settlements: DataFrame, proven
         value("protocol", "chain_scope", "settlement_id", "buyer_handle_id", "asset", "amount_atomic", settled), "provenance_id",
     )
     seen = provenance.select("namespace_id", "provenance_id", "observed_at")
-    rows = b.unionByName(v).unionByName(s).join(small(seen), ["namespace_id", "provenance_id"])
+    rows = b.unionByName(v).unionByName(s).join(seen, ["namespace_id", "provenance_id"])
     return rows.withColumn("provenance_ids", F.array("provenance_id")).select(*FACT)
 
 
@@ -104,7 +104,7 @@ def graph_edges(latest: DataFrame, candidates: DataFrame, settlements: DataFrame
     key = ["namespace_id", "chain_scope", "settlement_id"]
     paid = settlements.select(*key, "buyer_handle_id", F.col("provenance_id").alias("settlement_provenance"))
     asked = requirements.select("requirement_id", F.col("provenance_id").alias("requirement_provenance"))
-    seen_at = small(provenance.select("namespace_id", "provenance_id", "observed_at"))
+    seen_at = provenance.select("namespace_id", "provenance_id", "observed_at")
     seen = lambda name: seen_at.withColumnsRenamed({"provenance_id": f"{name}_provenance", "observed_at": f"{name}_at"})
     rows = latest.join(candidates, [*key, "attribution_version"]).join(paid, key).join(asked, "requirement_id")
     rows = rows.join(seen("settlement"), ["namespace_id", "settlement_provenance"]).join(seen("requirement"), ["namespace_id", "requirement_provenance"])
