@@ -106,8 +106,10 @@ def graph_edges(latest: DataFrame, candidates: DataFrame, settlements: DataFrame
     asked = requirements.select("requirement_id", F.col("provenance_id").alias("requirement_provenance"))
     seen_at = provenance.select("namespace_id", "provenance_id", "observed_at")
     seen = lambda name: seen_at.withColumnsRenamed({"provenance_id": f"{name}_provenance", "observed_at": f"{name}_at"})
-    rows = latest.join(candidates, [*key, "attribution_version"]).join(paid, key).join(asked, "requirement_id")
-    rows = rows.join(seen("settlement"), ["namespace_id", "settlement_provenance"]).join(seen("requirement"), ["namespace_id", "requirement_provenance"])
+    # what belongs to a settlement or to a requirement is joined before the candidates, which are many for each
+    of_settlement = latest.join(paid, key).join(seen("settlement"), ["namespace_id", "settlement_provenance"])
+    of_requirement = asked.join(seen("requirement"), "requirement_provenance")
+    rows = candidates.join(of_settlement, [*key, "attribution_version"]).join(of_requirement, ["requirement_id", "namespace_id"])
     known = F.col("buyer_handle_id").isNotNull() & F.col("service_id").isNotNull()
     end = lambda kind, column: F.when(known, F.struct(F.lit(kind).alias("kind"), F.col(column).alias("id")))
     predicate = F.when(known, F.when(F.col("level").isin("verified", "strong"), F.lit("paid_for")).otherwise(F.lit("candidate_for")))
