@@ -34,7 +34,7 @@ LENGTH, GRAM = 100, 32
 #: Bytes handled at once (positions take the low 20 bits of a key), contexts and their bytes merged together, shards of them.
 CHUNK, TOGETHER, TOGETHER_BYTES, SHARDS = 1 << 19, 3000, 1 << 20, 4
 #: Records held at once in a task; bytes of texts whose records make a task.
-HELD, IN_TASK = 1 << 20, 16 << 20
+HELD, IN_TASK = 1 << 19, 16 << 20
 #: Contexts from which an anchor is split, counted in tasks where it has so many; at most so many anchors
 #: (the most frequent; which are split changes only how the work is dealt).
 SPLIT, SEEN_IN_TASK, SPLIT_KEPT = 2000, 4, 100_000
@@ -267,7 +267,7 @@ def merge_transforms(transforms: list[np.ndarray], tracked: np.ndarray, rounds:
 def transform_of(contexts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Burrows-Wheeler transform of a shard of contexts, and the context and offset of each of its rows.
 
-    Symbols are byte values plus one, two bytes each; 0 ends a context.
+    Symbols are byte values plus one, in one byte each unless the byte 255 occurs; 0 ends a context.
     """
     mine = sorted(range(len(contexts)), key=contexts.__getitem__)
     sizes = np.array([len(contexts[i]) + 1 for i in mine])
@@ -276,7 +276,17 @@ def transform_of(contexts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     symbols[starts + sizes - 1] = 0
     order, transform = shard_transform(symbols, starts, sizes)
     owner = np.repeat(np.arange(len(mine)), sizes)[order]
-    return transform.astype("<u2").tobytes(), np.array(mine, np.int32)[owner], (order - starts[owner]).astype(np.int32)
+    narrow = "<u1" if not len(transform) or transform.max() < 256 else "<u2"
+    return transform.astype(narrow).tobytes(), np.array(mine, np.int32)[owner], (order - starts[owner]).astype(np.int32)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    return x.astype("<u2" if not len(x) or x.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    """n numbers of one, two or four bytes each."""
+    return np.frombuffer(raw, f"<u{max(1, len(raw) // max(1, n))}").astype(np.int64)
 
 
 def repeated_starts(shards: list[tuple[bytes, np.ndarray, np.ndarray]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +296,7 @@ def repeated_starts(shards: list[tuple[bytes, np.ndarray, np.ndarray]], length:
     """
     if not shards:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    transforms = [np.frombuffer(t, "<u2") for t, _, _ in shards]
+    transforms = [_wide(t, len(o)).astype(np.uint16) for t, o, _ in shards]
     owner, offset = np.concatenate([o for _, o, _ in shards]), np.concatenate([x for _, _, x in shards])
     # the ends of whole windows: `length` symbols before them the windows start
     place, block = merge_transforms(transforms, np.flatnonzero(offset >= length), length)
@@ -313,7 +323,7 @@ def repeated_intervals(contexts: list[bytes], length: int = LENGTH, shards: int
     offset = np.concatenate([x for _, _, x in made])
     ends = np.flatnonzero(offset >= length)
     common = np.zeros(len(ends), np.int64)
-    for n, (_, block, which) in enumerate(refine([np.frombuffer(t, "<u2") for t, _, _ in made], ends), 1):
+    for n, (_, block, which) in enumerate(refine([_wide(t, len(o)).astype(np.uint16) for t, o, _ in made], ends), 1):
         same = block[1:] == block[:-1]
         company = np.append(same, False) | np.insert(same, 0, False) if len(block) else same
         common[which[company]] = n
@@ -447,7 +457,7 @@ def _key(doc_id) -> F.Column:
     return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
 
 
-SHARD = "bucket int, shard int, doc array<long>, version array<long>, at array<long>, start array<long>, transform binary, owner binary, offset binary"
+SHARD = "bucket int, shard int, doc array<long>, version array<long>, at array<long>, start array<long>, transform binary, owner binary, offset binary, rows long"
 
 
 def _compared(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
@@ -479,7 +489,7 @@ def _compared(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
         said, owner, offset = transform_of(t.column("context").to_pylist())
         lists = {c: pa.array([t.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("doc", "version", "at", "start")}
         head = {"bucket": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32())}
-        return pa.table(head | lists | {"transform": pa.array([said], pa.binary()), "owner": pa.array([owner.tobytes()], pa.binary()), "offset": pa.array([offset.tobytes()], pa.binary())})
+        return pa.table(head | lists | {"transform": pa.array([said], pa.binary()), "owner": pa.array([_narrow(owner)], pa.binary()), "offset": pa.array([_narrow(offset)], pa.binary()), "rows": pa.array([len(owner)], pa.int64())})
 
     def merge(t: pa.Table) -> pa.Table:
         own = [np.array([x for one in t.column(c).to_pylist() for x in one], np.int64) for c in ("doc", "version", "at", "start")]
@@ -487,8 +497,8 @@ def _compared(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
         order = np.lexsort((own[2], own[1], own[0]))
         rank[order] = np.arange(len(order))
         first, shards = 0, []
-        for docs, said, owner, offset in zip(*(t.column(c).to_pylist() for c in ("doc", "transform", "owner", "offset")), strict=True):
-            shards.append((said, rank[first + np.frombuffer(owner, np.int32)], np.frombuffer(offset, np.int32)))
+        for docs, said, owner, offset, n in zip(*(t.column(c).to_pylist() for c in ("doc", "transform", "owner", "offset", "rows")), strict=True):
+            shards.append((said, rank[first + _wide(owner, n)], _wide(offset, n)))
             first += len(docs)
         context, offset = repeated_starts(shards, length)
         row = order[context]
