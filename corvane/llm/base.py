@@ -31,10 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/corvane-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes df to shared storage and reads it back: cuts lineage and survives lost executors."""
+def on_exit(spark: SparkSession, path: str) -> str:
+    """Has a folder deleted when the session's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def stored(df: DataFrame, path: str | None = None, compression: str = "snappy") -> DataFrame:
+    """Writes df to shared storage and reads it back: cuts lineage and survives lost executors.
+
+    Without a path the table is kept for as long as the session's JVM lives.
+    """
+    kept = path is None
     path = path or shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    if kept:
+        on_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -57,9 +70,9 @@ class Scratch:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    def stored(self, df: DataFrame) -> DataFrame:
+    def stored(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.count += 1
-        return stored(df, f"{self.root}/{self.count}")
+        return stored(df, f"{self.root}/{self.count}", compression)
 
     def mark(self) -> int:
         return self.count
