@@ -20,6 +20,12 @@ def fits_u128(amount: Column) -> Column:
     return is_canonical(amount) & ((F.length(amount) < len(U128_MAX)) | ((F.length(amount) == len(U128_MAX)) & (amount <= most)))
 
 
+def parses_u128(amount: Column) -> Column:
+    """Whether a text is an unsigned number of at most 128 bits, perhaps with a plus or leading zeros."""
+    digits = F.regexp_replace(amount, r"^\+?0*(?=[0-9])", "")
+    return F.coalesce(amount.rlike(r"^\+?[0-9]+$"), F.lit(False)) & F.coalesce(fits_u128(digits), F.lit(False))
+
+
 def is_less(a: Column, b: Column) -> Column:
     """Whether canonical amount a is less than b."""
     return F.struct(F.length(a), a) < F.struct(F.length(b), b)

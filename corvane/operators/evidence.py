@@ -65,7 +65,7 @@ def quantity(hexadecimal: Column) -> Column:
 SKIPPED = [-32007, -32009]
 
 
-def _kind(value: Column, path: str) -> Column:
+def kind_at(value: Column, path: str) -> Column:
     """Type of what stands at a path of a JSON value: null where there is nothing, VOID for a JSON null."""
     return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
 
@@ -81,20 +81,20 @@ def decode_height(body: Column, chain: Column, requested: Column) -> Column:
 
 def _block_said(v: Column, chain: Column, requested: Column) -> Column:
     text = lambda path: F.try_variant_get(v, path, "string")
-    number = lambda path: F.when(_kind(v, path) == "BIGINT", F.try_variant_get(v, path, "decimal(20,0)"))
-    result, error = _kind(v, "$.result"), _kind(v, "$.error")
+    number = lambda path: F.when(kind_at(v, path) == "BIGINT", F.try_variant_get(v, path, "decimal(20,0)"))
+    result, error = kind_at(v, "$.result"), kind_at(v, "$.error")
     solana = chain == "solana"
-    height = quantity(F.when(_kind(v, "$.result.number") == "STRING", text("$.result.number")))
+    height = quantity(F.when(kind_at(v, "$.result.number") == "STRING", text("$.result.number")))
     hashes = F.lit(True)
     for name in ("blockhash", "previousBlockhash"):
-        hashes &= (_kind(v, f"$.result.{name}") == "STRING") & (text(f"$.result.{name}") != "")
+        hashes &= (kind_at(v, f"$.result.{name}") == "STRING") & (text(f"$.result.{name}") != "")
     parent = number("$.result.parentSlot")
-    block = _kind(v, "$.result.blockHeight")
-    fits = ((block == "VOID") | (number("$.result.blockHeight") >= 0)) & (parent >= 0) & ((requested == 0) | (parent < requested)) & hashes & _kind(v, "$.result.transactions").startswith("ARRAY")
+    block = kind_at(v, "$.result.blockHeight")
+    fits = ((block == "VOID") | (number("$.result.blockHeight") >= 0)) & (parent >= 0) & ((requested == 0) | (parent < requested)) & hashes & kind_at(v, "$.result.transactions").startswith("ARRAY")
     skipped = solana & number("$.error.code").isin(*SKIPPED)
     problem = (
         F.when(v.isNull(), "json")
-        .when(~F.coalesce((_kind(v, "$.jsonrpc") == "STRING") & (text("$.jsonrpc") == "2.0"), F.lit(False)), "json-rpc version")
+        .when(~F.coalesce((kind_at(v, "$.jsonrpc") == "STRING") & (text("$.jsonrpc") == "2.0"), F.lit(False)), "json-rpc version")
         .when(~F.coalesce(number("$.id") == 1, F.lit(False)), "json-rpc id")
         .when(result.isNotNull() & error.isNotNull(), "result and error")
         .when(error.isNotNull(), F.when(~F.coalesce(skipped, F.lit(False)), "provider error"))

@@ -571,17 +571,17 @@ def _envelopes(s, d, body):
     return driver_table(s, d, "lineitem").select(key.alias("id"), raw.alias("raw"), "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
 
 
-@query("""SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, CASE k WHEN 0 THEN l_orderkey WHEN 3 THEN l_orderkey END AS height,
-  CASE k WHEN 1 THEN 'number' WHEN 4 THEN 'solana block' WHEN 6 THEN 'json' WHEN 7 THEN 'json-rpc id' WHEN 8 THEN 'provider error' END AS problem
+@query("""SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, CASE WHEN k IN (0, 3) OR k = 4 AND l_orderkey = 0 THEN l_orderkey END AS height,
+  CASE k WHEN 1 THEN 'number' WHEN 4 THEN CASE WHEN l_orderkey <> 0 THEN 'solana block' END WHEN 6 THEN 'json' WHEN 7 THEN 'json-rpc id' WHEN 8 THEN 'provider error' END AS problem
 FROM (SELECT *, l_partkey % 9 AS k FROM lineitem)""")
 def rpc_heights(s, d):
-    """Block responses of nine kinds: right, too long, null, Solana right and wrong, skipped slot, repeated member, wrong id, error."""
+    """Block responses of nine kinds: right, too long, null, Solana right and wrong (but for slot 0), skipped slot, repeated member, wrong id, error."""
     k = F.col("l_partkey") % 9
     number = F.concat(F.lit("0x"), F.lower(F.hex("l_orderkey")))
     block = lambda parent: F.concat(F.lit('{"jsonrpc":"2.0","id":1,"result":{"blockHeight":null,"blockhash":"b","previousBlockhash":"a","transactions":[],"parentSlot":'), parent.cast("string"), F.lit("}}"))
     evm = lambda id, n: F.concat(F.lit(f'{{"jsonrpc":"2.0","id":{id},"result":{{"number":"'), n, F.lit('"}}'))
     body = (
-        F.when(k == 0, evm(1, number)).when(k == 1, evm(1, F.lit("0x123456789abcdef01"))).when(k == 2, F.lit('{"jsonrpc":"2.0","id":1,"result":null}')).when(k == 3, block(F.col("l_orderkey") - 1)).when(k == 4, block(F.col("l_orderkey")))
+        F.when(k == 0, evm(1, number)).when(k == 1, evm(1, F.lit("0x123456789abcdef01"))).when(k == 2, F.lit('{"jsonrpc":"2.0","id":1,"result":null}')).when(k == 3, block(F.greatest(F.col("l_orderkey") - 1, F.lit(0)))).when(k == 4, block(F.col("l_orderkey")))
         .when(k == 5, F.lit('{"jsonrpc":"2.0","id":1,"error":{"code":-32007}}')).when(k == 6, F.lit('{"jsonrpc":"2.0","id":1,"id":1,"result":null}')).when(k == 7, evm(2, number)).otherwise(F.lit('{"jsonrpc":"2.0","id":1,"error":{"code":-32007}}'))
     )
     chain = F.when(k.isin(3, 4, 5), "solana").otherwise("base")
@@ -597,28 +597,45 @@ def archived_successes(s, d):
     return _envelopes(s, d, body).select("id", evidence.archived_success(F.col("raw"), F.lit("base"), F.col("l_orderkey")).alias("success"))
 
 
-@query("""SELECT 'doc-' || (p_partkey % 40) AS evidence_id, 'https://r' || p_partkey AS resource, CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) AS amount_atomic,
-  CASE WHEN p_size % 7 = 0 THEN 'unsupported_scheme' WHEN p_partkey % 11 = 0 THEN 'invalid_token_metadata' END AS reason FROM part""")
+@query("""WITH p AS (SELECT *, 'doc-' || (p_partkey % 40) AS evidence_id, p_partkey AS k, CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) AS price FROM part),
+refused AS (SELECT DISTINCT evidence_id FROM p WHERE k % 97 = 0 OR k % 89 = 0)
+SELECT evidence_id, CASE WHEN k % 5 = 0 THEN 'https://own/' ELSE 'https://r' END || k AS resource, CASE WHEN k % 4 = 0 THEN 1 ELSE 2 END AS protocol_version, price AS amount_atomic,
+  CASE WHEN k % 11 = 0 THEN 'invalid_token_metadata' END AS reason FROM p WHERE evidence_id NOT IN (SELECT * FROM refused) AND p_size % 7 <> 0
+UNION ALL SELECT evidence_id, NULL, NULL, NULL, 'malformed' FROM refused""")
 def catalog_offers(s, d):
+    """Snapshots of items of both versions; one with a nameless item (every 97th part) or two amounts that differ (every 89th) is refused."""
     from corvane.operators import adapters
 
+    k, price = F.col("p_partkey"), F.floor("p_retailprice").cast("string")
     scheme = F.when(F.col("p_size") % 7 == 0, "upto").otherwise("exact")
-    asset = F.when(F.col("p_partkey") % 11 == 0, adapters.NAMED_ASSET.upper().replace("0X", "0x")).otherwise("0xother")
-    offer = F.struct(scheme.alias("scheme"), F.lit(adapters.NAMED_NETWORK).alias("network"), F.floor("p_retailprice").cast("string").alias("amount"), asset.alias("asset"), F.lit("0xpay").alias("payTo"))
-    item = F.struct(F.concat(F.lit("https://r"), "p_partkey").alias("resource"), F.lit(2).alias("x402Version"), F.array(offer).alias("accepts"))
-    docs = driver_table(s, d, "part").groupBy(F.concat(F.lit("doc-"), F.col("p_partkey") % 40).alias("evidence_id")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("content"))
-    return adapters.catalog(docs).select("evidence_id", "resource", "amount_atomic", "reason")
-
-
-@query("""SELECT 'doc-' || s_nationkey AS evidence_id, 'https://api.example/s/' || s_suppkey AS resource, CAST(s_suppkey AS VARCHAR) AS amount_atomic FROM supplier""")
+    asset = F.when(k % 11 == 0, adapters.NAMED_ASSET.upper().replace("0X", "0x")).otherwise("0xother")
+    most = F.when(k % 4 == 0, price).when(k % 89 == 0, F.concat(price, F.lit("0"))).when(k % 3 == 0, price)
+    amount = F.when((k % 4 != 0) | (k % 89 == 0), price)
+    own = F.when(k % 5 == 0, F.concat(F.lit("https://own/"), k))
+    offer = F.struct(scheme.alias("scheme"), F.lit(adapters.NAMED_NETWORK).alias("network"), amount.alias("amount"), most.alias("maxAmountRequired"), asset.alias("asset"), F.lit("0xpay").alias("payTo"), own.alias("resource"))
+    item = F.struct(F.when(k % 97 == 0, " ").otherwise(F.concat(F.lit("https://r"), k)).alias("resource"), F.when(k % 4 == 0, 1).otherwise(2).alias("x402Version"), F.array(offer).alias("accepts"))
+    docs = driver_table(s, d, "part").groupBy(F.concat(F.lit("doc-"), k % 40).alias("evidence_id")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("content"))
+    return adapters.catalog(docs).select("evidence_id", "resource", "protocol_version", "amount_atomic", "reason")
+
+
+@query("""WITH d AS (SELECT *, 'doc-' || s_nationkey AS evidence_id, s_nationkey % 6 AS v, s_suppkey AS k FROM supplier),
+said AS (SELECT evidence_id, any_value(v) AS v, bool_or(k % 4 <> 0) AS any_method, bool_or(k % 4 <> 0 AND k % 9 = 0) AS bad FROM d GROUP BY evidence_id),
+judged AS (SELECT evidence_id, CASE WHEN v IN (1, 2, 3) THEN 'malformed' WHEN NOT any_method THEN 'missing_accepts' WHEN v = 4 AND bad THEN 'unsupported_version' END AS reason FROM said)
+SELECT d.evidence_id, CASE WHEN k % 5 = 0 THEN 'https://own/' ELSE 'https://api.example/s/' END || k AS resource, k::VARCHAR AS amount_atomic, reason FROM d JOIN judged j ON d.evidence_id = j.evidence_id WHERE reason IS NULL AND k % 4 <> 0
+UNION ALL SELECT evidence_id, NULL, NULL, reason FROM judged WHERE reason IS NOT NULL""")
 def openapi_offers(s, d):
+    """Documents of versions 3.0 and 3.1, of 2.0, of 3.0.07 and of none, with methods in capitals, and with extensions of a version 3."""
     from corvane.operators import adapters
 
-    offer = F.struct(F.lit("exact").alias("scheme"), F.lit("base").alias("network"), F.col("s_suppkey").cast("string").alias("amount"), F.lit("USDC").alias("asset"), F.lit("0xpay").alias("payTo"))
-    extension = F.create_map(F.lit("x-x402"), F.struct(F.lit(2).alias("x402Version"), F.array(offer).alias("accepts")))
-    entry = F.struct(F.concat(F.lit("/s/"), "s_suppkey").alias("key"), F.create_map(F.lit("get"), extension).alias("value"))
-    docs = driver_table(s, d, "supplier").groupBy(F.concat(F.lit("doc-"), "s_nationkey").alias("evidence_id")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("paths"))).alias("content"))
-    return adapters.accepted(adapters.openapi(docs.withColumn("endpoint", F.lit("https://api.example/")))).select("evidence_id", "resource", "amount_atomic")
+    k, v = F.col("s_suppkey"), F.col("s_nationkey") % 6
+    own = F.when(k % 5 == 0, F.concat(F.lit("https://own/"), k))
+    offer = F.struct(F.lit("exact").alias("scheme"), F.lit("base").alias("network"), k.cast("string").alias("amount"), F.lit("USDC").alias("asset"), F.lit("0xpay").alias("payTo"), own.alias("resource"))
+    payment = F.struct(F.when((v == 4) & (k % 9 == 0), 3).otherwise(2).alias("x402Version"), F.array(offer).alias("accepts"))
+    entry = F.struct(F.concat(F.lit("/s/"), k).alias("key"), F.create_map(F.when(k % 4 == 0, "GET").otherwise("get"), F.create_map(F.lit("x-x402"), payment)).alias("value"))
+    version = F.when(v == 0, "3.0.3").when(v == 1, "2.0.0").when(v == 2, "3.0.07").when(v > 3, "3.1.10")
+    docs = driver_table(s, d, "supplier").groupBy(F.concat(F.lit("doc-"), "s_nationkey").alias("evidence_id"), version.alias("openapi")).agg(F.map_from_entries(F.collect_list(entry)).alias("paths"))
+    docs = docs.select("evidence_id", F.lit("https://api.example/").alias("endpoint"), F.to_json(F.struct("openapi", "paths")).alias("content"))
+    return adapters.openapi(docs).select("evidence_id", "resource", "amount_atomic", "reason")
 
 
 @query("""SELECT o_custkey AS page_id, 'base' AS chain_scope, '0xAB' || o_custkey AS handle, count(*) OVER (PARTITION BY o_custkey) > 0 AS valid, CAST(o_custkey AS VARCHAR) AS next_cursor, '0x' || sha256(CAST(o_orderkey AS VARCHAR)) AS transaction_id, o_orderkey AS height
@@ -847,34 +864,45 @@ def shown_metrics(s, d):
     return c.select("c_custkey", latest.metric("first", "c_custkey").alias("metric"), latest.percent(F.col("c_nationkey") / 25).alias("share"))
 
 
-@query("""SELECT 'doc-' || s_suppkey AS evidence_id, CASE WHEN s_suppkey % 5 <> 0 THEN 'https://s/' || s_suppkey END AS resource, CASE WHEN s_suppkey % 5 <> 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 2 END END AS protocol_version,
-  CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey::VARCHAR END AS amount_atomic, CASE WHEN s_suppkey % 5 = 0 THEN 'malformed' WHEN s_suppkey % 7 = 0 THEN 'unsupported_scheme' END AS reason FROM supplier""")
+@query("""WITH d AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'malformed' WHEN s_suppkey % 11 = 0 THEN 'unsupported_version' WHEN s_suppkey % 13 = 0 THEN 'missing_accepts' WHEN s_suppkey % 17 = 0 THEN 'malformed'
+  WHEN s_suppkey % 7 = 0 THEN 'unsupported_scheme' WHEN s_suppkey % 19 = 0 THEN 'invalid_amount' END AS reason FROM supplier)
+SELECT 'doc-' || k AS evidence_id, CASE WHEN reason IS NULL THEN CASE WHEN k % 3 = 0 THEN 'https://own/' ELSE 'https://s/' END || k END AS resource, CASE WHEN reason IS NULL THEN 2 - (k % 2 = 0)::INTEGER END AS protocol_version,
+  CASE WHEN reason IS NULL THEN k::VARCHAR END AS amount_atomic, reason FROM d""")
 def well_known_offers(s, d):
-    """Documents of both versions; every fifth repeats a member."""
+    """Documents of both versions, with and without a resource of their own; some repeat a member, are of version 3, have no offers, both amounts, no exact offer, or a wrong amount."""
     from corvane.operators import adapters
 
-    k = F.col("s_suppkey")
-    text = F.format_string(
-        '{"x402Version":%d,%s"accepts":[{"scheme":"%s","network":"base","%s":"%d","asset":"0xa","payTo":"0xp","resource":"https://s/%d"}]}',
-        F.when(k % 2 == 0, 1).otherwise(2), F.when(k % 5 == 0, '"x402Version":2,').otherwise(""), F.when(k % 7 == 0, "upto").otherwise("exact"), F.when(k % 2 == 0, "maxAmountRequired").otherwise("amount"), k, k,
-    )
-    docs = driver_table(s, d, "supplier").select(F.concat(F.lit("doc-"), k).alias("evidence_id"), text.alias("content"))
+    k, m = F.col("s_suppkey"), F.lit
+    own = F.when(k % 3 == 0, F.concat(m(',"resource":"https://own/'), k, m('"'))).otherwise("")
+    both = F.when(k % 17 == 0, m(',"amount":"1","maxAmountRequired":"1"')).otherwise("")
+    amount = F.concat(m('"'), F.when(k % 17 == 0, "x").when(k % 2 == 0, "maxAmountRequired").otherwise("amount"), m('":"'), k, F.when(k % 19 == 0, ".5").otherwise(""), m('"'))
+    offer = F.concat(m('{"scheme":"'), F.when(k % 7 == 0, "upto").otherwise("exact"), m('","network":"base",'), amount, m(',"asset":"0xa","payTo":"0xp"'), own, both, m("}"))
+    version = F.when(k % 11 == 0, 3).when(k % 2 == 0, 1).otherwise(2).cast("string")
+    text = F.concat(m('{"x402Version":'), version, F.when(k % 5 == 0, ',"x402Version":2').otherwise(""), m(',"accepts":['), F.when(k % 13 == 0, "").otherwise(offer), m("]}"))
+    docs = driver_table(s, d, "supplier").select(F.concat(m("doc-"), k).alias("evidence_id"), F.concat(m("https://s/"), k).alias("endpoint"), text.alias("content"))
     return adapters.well_known(docs).select("evidence_id", "resource", "protocol_version", "amount_atomic", "reason")
 
 
-@query("""SELECT 'doc-' || s_suppkey AS evidence_id, CASE WHEN s_suppkey % 6 IN (0, 1, 4) THEN s_suppkey::VARCHAR END AS amount_atomic, CASE WHEN s_suppkey % 6 NOT IN (0, 1, 4) THEN 'malformed' END AS reason FROM supplier""")
+@query("""WITH d AS (SELECT s_suppkey AS k, CASE s_suppkey % 9 WHEN 1 THEN 'missing_payment_required' WHEN 2 THEN 'invalid_runtime_response' WHEN 3 THEN 'missing_payment_required' WHEN 5 THEN 'invalid_runtime_response'
+  WHEN 6 THEN 'unsupported_version' WHEN 8 THEN 'missing_payment_required' END AS reason FROM supplier)
+SELECT 'doc-' || k AS evidence_id, CASE WHEN reason IS NULL THEN CASE WHEN k % 9 = 7 THEN 'https://own/' || k ELSE 'https://s' END END AS resource, CASE WHEN reason IS NULL THEN CASE WHEN k % 9 = 0 THEN 2 ELSE 1 END END AS protocol_version,
+  CASE WHEN reason IS NULL THEN k::VARCHAR END AS amount_atomic, reason FROM d""")
 def runtime_responses(s, d):
-    """Raw responses: by header, by body with a blank line in it, another status, two headers, parted by LF, without a reason."""
+    """Raw responses: version 2 by header, by body alone, another status, two headers, version 1 parted by LF, without a reason, version 1 by header, with a resource of its own, a header that isn't base64."""
     from corvane.operators import adapters
 
     k, m = F.col("s_suppkey"), F.lit
-    body = F.format_string('{"x402Version":2,\r\n\r\n"accepts":[{"scheme":"exact","network":"base","amount":"%d","asset":"0xa","payTo":"0xp"}]}', k)
-    header = F.concat(m("Payment-Required: "), F.replace(F.base64(F.encode(body, "UTF-8")), m("\r\n"), m("")), m("\r\n"))
-    status = F.when(k % 6 == 2, "HTTP/1.1 200 OK").when(k % 6 == 5, "HTTP/1.1 402").otherwise("HTTP/1.1 402 Payment Required")
-    crlf = F.concat(status, m("\r\nX: y\r\n"), F.when(k % 6 == 0, header).when(k % 6 == 3, F.concat(header, header)).otherwise(""), m("\r\n"), F.when(k % 6 == 0, "{}").otherwise(body))
-    lf = F.concat(m("HTTP/1.0 402 Pay\nX: y\n\n"), F.replace(body, m("\r\n"), m("\n")))
-    docs = driver_table(s, d, "supplier").select(F.concat(m("doc-"), k).alias("evidence_id"), m("https://s").alias("endpoint"), F.when(k % 6 == 4, lf).otherwise(crlf).alias("content"))
-    return adapters.runtime(docs).select("evidence_id", "amount_atomic", "reason")
+    own = F.when(k % 9 == 7, F.concat(m(',"resource":"https://own/'), k, m('"'))).otherwise("")
+    document = lambda version, name, gap: F.concat(m(f'{{"x402Version":{version},{gap}"accepts":[{{"scheme":"exact","network":"base","{name}":"'), k, m('","asset":"0xa","payTo":"0xp"'), own, m("}]}"))
+    one, two = document(1, "maxAmountRequired", "\r\n\r\n"), document(2, "amount", "\r\n\r\n")
+    coded = F.when(k % 9 == 8, m("%%%")).otherwise(F.replace(F.base64(F.encode(F.when(k % 9 == 6, one).otherwise(two), "UTF-8")), m("\r\n"), m("")))
+    header = F.concat(m("Payment-Required: "), coded, m("\r\n"))
+    status = F.when(k % 9 == 2, "HTTP/1.1 200 OK").when(k % 9 == 5, "HTTP/1.1 402").otherwise("HTTP/1.1 402 Payment Required")
+    headers = F.when((k % 9).isin(0, 6, 8), header).when(k % 9 == 3, F.concat(header, header)).otherwise("")
+    crlf = F.concat(status, m("\r\nX: y\r\n"), headers, m("\r\n"), F.when((k % 9).isin(0, 6), m("{}")).when(k % 9 == 1, two).otherwise(one))
+    lf = F.concat(m("HTTP/1.0 402 Pay\nX: y\n\n"), document(1, "maxAmountRequired", "\n\n"))
+    docs = driver_table(s, d, "supplier").select(F.concat(m("doc-"), k).alias("evidence_id"), m("https://s").alias("endpoint"), F.when(k % 9 == 4, lf).otherwise(crlf).alias("content"))
+    return adapters.runtime(docs).select("evidence_id", "resource", "protocol_version", "amount_atomic", "reason")
 
 
 MPP_FP = lambda *texts: "sha256(" + " || ".join(_P(t) for t in texts)

@@ -149,27 +149,40 @@ OFFER = '{"scheme":"exact","network":"eip155:8453","amount":"1000","asset":"0xA"
 
 def test_adapters(spark):
     docs = lambda *texts: spark.createDataFrame([(f"e{i}", "https://a/", t) for i, t in enumerate(texts)], "evidence_id string, endpoint string, content string")
+    said = lambda rows: [(r.evidence_id, r.reason) for r in rows.orderBy("evidence_id").collect()]
     import base64
 
     body2 = f'{{"x402Version":2,"accepts":[{OFFER}]}}'
-    v2 = "HTTP/1.1 402 Payment Required\r\nPAYMENT-REQUIRED: " + base64.b64encode(body2.encode()).decode() + "\r\n\r\n{}"
-    v1 = 'HTTP/1.1 402 Payment Required\r\n\r\n{"x402Version":1,"accepts":[' + OFFER.replace('"amount":"1000"', '"maxAmountRequired":"900"') + "]}"
+    header = lambda body: "HTTP/1.1 402 Payment Required\r\nPAYMENT-REQUIRED: " + base64.b64encode(body.encode()).decode() + "\r\n\r\n{}"
+    v2 = header(body2)
+    body1 = '{"x402Version":1,"accepts":[' + OFFER.replace('"amount":"1000"', '"maxAmountRequired":"0900"') + "]}"
+    v1 = f"HTTP/1.1 402 Payment Required\r\n\r\n{body1}"
     got = adapters.runtime(docs(v2, v1, "HTTP/1.1 402 X\r\n\r\n{}", v2.replace(" 402 ", " 200 "))).orderBy("evidence_id").collect()
-    assert [(r.protocol_version, r.amount_atomic, r.reason) for r in got] == [(2, "1000", None), (1, "900", None), (None, None, "malformed"), (None, None, "malformed")]
-    twice = body2.replace('"x402', '"a":"\\r\\n", "x402').replace(",", ",\r\n\r\n", 1)  # a blank line inside the body
-    lf = v1.replace("\r\n", "\n")
-    odd = [f"HTTP/1.1 402 X\r\n\r\n{twice}", lf, v2.replace("HTTP/1.1", "HTTP/2"), v2.replace(" Payment Required", ""), v2.replace("PAYMENT", "X: y\r\npayment-required: e30=\r\nPAYMENT", 1), v1.replace("\r\n\r\n", "\r\nPayment-Required: \r\n\r\n")]
-    reasons = [(r.evidence_id, r.reason) for r in adapters.runtime(docs(*odd)).orderBy("evidence_id").collect()]
-    assert reasons == [("e0", None), ("e1", None), ("e2", "malformed"), ("e3", "malformed"), ("e4", "malformed"), ("e5", None)]
-    one = adapters.openapi(docs(f'{{"paths":{{"/premium":{{"get":{{"x-x402":{body2}}},"foo":{{"x-x402":{body2}}}}}}}}}')).collect()
-    assert [r.resource for r in one] == ["https://a/premium"]
+    assert [(r.protocol_version, r.amount_atomic, r.reason) for r in got] == [(2, "1000", None), (1, "0900", None), (None, None, "malformed"), (None, None, "invalid_runtime_response")]
+    gap = body1.replace(",", ",\r\n\r\n", 1)  # a blank line inside the body
+    odd = [
+        f"HTTP/1.1 402 X\r\n\r\n{gap}", v1.replace("\r\n", "\n"), v2.replace("HTTP/1.1", "HTTP/2"), v2.replace(" Payment Required", ""), v2.replace("PAYMENT", "X: y\r\npayment-required: e30=\r\nPAYMENT", 1),
+        v1.replace("\r\n\r\n", "\r\nPayment-Required: \r\n\r\n"), f"HTTP/1.1 402 X\r\n\r\n{body2}", header(body1), "no blank line", None,
+    ]
+    wrong = ["invalid_runtime_response", "invalid_runtime_response", "missing_payment_required", None, "missing_payment_required", "unsupported_version", "invalid_runtime_response", "invalid_runtime_response"]
+    assert said(adapters.runtime(docs(*odd))) == [(f"e{i}", r) for i, r in enumerate([None, None, *wrong])]
+    api = lambda more, version='"openapi":"3.0.1",': f'{{{version}"paths":{{"/premium":{{"get":{{"x-x402":{body2}}},"GET":{{"x-x402":{{}}}},"foo":{{"x-x402":{{}}}}{more}}}}}}}'
+    own = body2.replace('"payTo"', '"resource":"https://own","payTo"')
+    texts = [api(""), api(f',"put":{{"x-x402":{own}}}'), api(',"put":{"x-x402":{}}'), api("", ""), api("", '"openapi":"3.0.evil",'), api("", '"openapi":"3.2.0",'), api("", '"openapi":3.0,'), '{"openapi":"3.1.0","paths":{}}', '{"openapi":"3.1.0","paths":{"/a":1}}']
+    one = adapters.openapi(docs(*texts)).orderBy("evidence_id", "resource").collect()
+    assert [(r.evidence_id, r.resource) for r in one[:3]] == [("e0", "https://a/premium"), ("e1", "https://a/premium"), ("e1", "https://own")]
+    assert [r.reason for r in one[3:]] == ["malformed", "malformed", "malformed", "malformed", "malformed", "missing_accepts", "malformed"]
     usdc = OFFER.replace("0xA", adapters.NAMED_ASSET)
-    items = ",".join([OFFER, OFFER.replace("1000", "1.5"), OFFER.replace("exact", "siwx"), usdc, usdc[:-1] + ',"extra":{"name":"USD Coin"}}', OFFER[:-1] + ',"maxAmountRequired":"1000"}', OFFER[:-1] + ',"maxAmountRequired":"9"}'])
-    snapshot = f'{{"items":[{{"resource":"r","x402Version":2,"accepts":[{items}]}}]}}'
-    reasons = sorted(str(r.reason) for r in adapters.catalog(docs(snapshot)).collect())
-    assert reasons == ["None", "None", "None", "invalid_amount", "invalid_token_metadata", "malformed", "unsupported_scheme"]
-    assert adapters.accepted(adapters.catalog(docs(snapshot))).count() == 3 and adapters.quarantined(adapters.catalog(docs(snapshot))).count() == 4
-    assert adapters.well_known(docs('{"x402Version":2,"x402Version":2,"accepts":[]}')).first().reason == "malformed"
+    fine = [OFFER, OFFER.replace("1000", "1.5"), OFFER.replace("exact", "siwx"), usdc, usdc[:-1] + ',"extra":{"name":"USD Coin"}}', OFFER[:-1] + ',"maxAmountRequired":"1000"}']
+    snapshot = lambda *offers: f'{{"items":[{{"resource":"r","x402Version":2,"accepts":[{",".join(offers)}]}}]}}'
+    seen = adapters.catalog(docs(snapshot(*fine)))
+    assert sorted(str(r.reason) for r in seen.collect()) == ["None", "None", "None", "invalid_amount", "invalid_token_metadata"]
+    assert adapters.accepted(seen).count() == 3 and adapters.quarantined(seen).count() == 2
+    bad = [OFFER[:-1] + ',"maxAmountRequired":"9"}', OFFER[:-1] + ',"maxAmountRequired":null}', OFFER.replace('"1000"', "1000"), OFFER[:-1] + ',"extra":[]}', OFFER.replace('"asset":"0xA",', "")]
+    assert said(adapters.catalog(docs(*[snapshot(OFFER, b) for b in bad], snapshot(OFFER).replace('"r"', '" "'), '{"items":[]}'))) == [(f"e{i}", "malformed") for i in range(6)]
+    texts = ['{"x402Version":2,"x402Version":2,"accepts":[]}', body2.replace("exact", "upto"), body2.replace("2,", "7,"), '{"x402Version":1,"accepts":[]}', body2.replace(OFFER, f"{OFFER},{usdc}"), own, body2.replace(OFFER, f'{OFFER},{OFFER.replace("exact", "upto")}')]
+    assert said(adapters.well_known(docs(*texts))) == [("e0", "malformed"), ("e1", "unsupported_scheme"), ("e2", "unsupported_version"), ("e3", "missing_accepts"), ("e4", "invalid_token_metadata"), ("e5", None), ("e6", None)]
+    assert adapters.well_known(docs(own, body2)).orderBy("evidence_id").first().resource == "https://own"
 
 
 def test_mpp_adapter_rejects_whole_documents(spark):
