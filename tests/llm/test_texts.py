@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 from collections import Counter
 
@@ -68,15 +69,67 @@ def test_bpe_forgets_words_when_full(monkeypatch):
     assert np.frombuffer(whole, "<u4").max() < 49_408
 
 
-def test_units_keep_the_earliest(spark):
-    said = "one two three four five six seven eight nine."
-    rows = [(2, f"intro words that nobody else has here ok. {said}\nsome other line of text"), (1, said.upper() + "\n\nshort"), (3, f"some  OTHER line of text\nshort\n{said} {said}"), (4, None), (5, ""), (6, " \n "), (3, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("unit", F.lit("clash"))
-    got = {(r.doc_id, r.start, r.length, r.first_doc_id) for r in unit_dedup.repeated_units(df, 5, 8).collect()}
-    at = rows[0][1].index(said)
-    assert got == {(2, at, len(said), 1), (3, 0, 24, 2), (3, 31, len(said), 1), (3, 32 + len(said), len(said), 1)}
-    cut = {r.doc_id: r.text for r in unit_dedup.without_units(df.where("text <> 'x'"), unit_dedup.repeated_units(df.where("text <> 'x'"), 5, 8)).collect()}
-    assert cut[1] == rows[1][1] and cut[3] == "\nshort\n "
+def brute_units(rows, run_words=1):
+    """(doc_id, text, start, length, first doc_id, words of its run) of each repeated unit; rows that repeat count once."""
+    units, first = {}, {}
+    for d, t in {(d, t) for d, t in rows if t}:
+        at, mine = 0, []
+        for line in t.split("\n"):
+            pieces, begins = unit_dedup._sentences(line), at
+            for p in pieces:
+                if words(p):
+                    mine.append((begins, len(line) if len(pieces) == 1 else len(p.rstrip(" \t")), len(words(p)), " ".join(words(p.lower()))))
+                begins += len(p)
+            at += len(line) + 1
+        units[d, t] = mine
+    rank = lambda d, v, i: (d is not None, d or 0, v, i)
+    for (d, t), mine in units.items():
+        for i, u in enumerate(mine):
+            first[u[3]] = min(first.get(u[3], (9,)), (*rank(d, 0, i)[:2], t, i), key=lambda r: r if len(r) > 1 else (True, 1 << 60))
+    out = set()
+    for (d, t), mine in units.items():
+        later = [first[u[3]] != (*rank(d, 0, i)[:2], t, i) for i, u in enumerate(mine)]
+        for i, u in enumerate(mine):
+            if later[i]:
+                a = b = i
+                while a and later[a - 1]:
+                    a -= 1
+                while b + 1 < len(mine) and later[b + 1]:
+                    b += 1
+                run = sum(x[2] for x in mine[a : b + 1])
+                if run >= run_words:
+                    out.add((d, t, u[0], u[1], run))
+    return out
+
+
+@pytest.mark.parametrize("run_words", [1, 6, 15])
+def test_units_equal_brute_force(spark, run_words):
+    rng = random.Random(4)
+    said = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 9))) + rng.choice([". ", "!  ", "? ", ".” "]) for _ in range(60)]
+    rows = [(i, "".join(rng.choice(said) if rng.random() < 0.5 else f"own {i} {rng.random()}. " + rng.choice(["", "\n", "\n\n"]) for _ in range(rng.randint(0, 12)))) for i in range(80)]
+    rows += [(None, "A b c. D e f."), (200, None), (201, ""), (202, " \n "), (203, rows[3][1].upper()), rows[7], rows[7], rows[7]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"unit": F.lit("clash"), "version": F.lit("clash")})
+    found = unit_dedup.repeated_units(df, run_words)
+    texts = df.select("doc_id", F.xxhash64("text").alias("version"), "text").distinct()
+    got = {(r.doc_id, r.text, r.start, r.length, r.run_words) for r in found.join(texts.withColumnRenamed("doc_id", "d"), (F.col("doc_id").eqNullSafe(F.col("d"))) & (found["version"] == texts["version"])).collect()}
+    assert got == brute_units(rows, run_words) and got
+    assert found.count() == len(got)
+
+
+def test_short_repeated_lines_count(spark):
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    df = spark.createDataFrame([(i, f"own text number {i}\n{line}\nmore {i}") for i in range(5)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in unit_dedup.repeated_units(df).collect()) == [1, 2, 3, 4]
+    assert unit_dedup.repeated_units(df, 14).count() == 0
+
+
+def test_units_are_cut_by_document_and_text(spark):
+    said = "One two three four."
+    rows = [(1, said), (2, f"{said} mine alone"), (2, "another text with this number"), (None, said), (None, "else"), (3, None), (4, ""), (2, f"{said} mine alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("clash"))
+    cut = unit_dedup.without_units(df, unit_dedup.repeated_units(df))
+    assert cut.columns == ["doc_id", "text", "start"]
+    assert sorted((r.doc_id or 0, r.text or "") for r in cut.collect()) == [(0, said), (0, "else"), (1, ""), (2, " mine alone"), (2, " mine alone"), (2, "another text with this number"), (3, ""), (4, "")]
     assert unit_dedup.repeated_units(df.limit(0)).count() == 0
 
 
