@@ -30,7 +30,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 _UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner|comments?|commentlist|disqus|respond|replies|sidebar|side|rail|nav\w*|menu\w*|breadcrumbs?|"
-    r"pagination|pager|footer|foot|masthead|site-?header|page-?header|topbar|toolbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
+    r"discussions?|talkback|guestbook|pagination|pager|footer|foot|masthead|site-?header|page-?header|topbar|toolbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
     r"signup|login|share|sharing|social|related|recommend\w*|trending|widget|skip-?link|hidden|legal|copyright)(?:$|[\s_-])"
 )
 _WANTED = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|post|story|text|blog)(?:$|[\s_-])")
@@ -42,8 +42,22 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))?)?""")
 
 
+#: What a start tag ends if it is open: names of one kind, and the elements beyond which it isn't looked for.
+_EDGES = frozenset("ul ol dl table tbody thead tfoot div article section body".split())
+ENDED = {
+    "p": (frozenset(["p"]), frozenset("td th li div section article main body blockquote".split())),
+    "li": (frozenset(["li"]), _EDGES | DROPPED | {"header"}),
+    "dt": (frozenset(["dt", "dd"]), _EDGES | DROPPED | {"header"}),
+    "tr": (frozenset(["tr"]), _EDGES),
+    "td": (frozenset(["td", "th"]), _EDGES | {"tr"}),
+}
+ENDS = {"li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td"}
+#: Levels up to which a paragraph's points are passed on.
+LEVELS = 32
+
+
 class Element:
-    __slots__ = ("name", "parent", "parts", "children", "score", "chars", "link_chars", "bonus", "at", "inline", "skip")
+    __slots__ = ("name", "parent", "parts", "children", "score", "chars", "link_chars", "bonus", "at", "inline", "skip", "open", "in_article", "of_article")
 
     def __init__(self, name: str, parent: Element | None, bonus: float, at: int):
         self.name, self.parent, self.bonus, self.at = name, parent, bonus, at
@@ -52,6 +66,10 @@ class Element:
         self.score, self.chars, self.link_chars = 0.0, 0, 0
         self.inline: dict[str, int] = {}  # inline elements open in it
         self.skip: Element | None = parent and parent.skip  # the outermost dropped element it is or stands in
+        self.of_article: bool = name == "article" or bool(parent and parent.of_article)
+        self.in_article: bool = name in ("article", "main") or bool(parent and parent.in_article)
+        # of each kind the open element that a start tag in this one would end
+        self.open: dict[str, Element | None] = {k: self if name in names else None if name in edges or parent is None else parent.open[k] for k, (names, edges) in ENDED.items()}
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -98,10 +116,25 @@ def parse(html: str) -> Element:
     element around them, or a start tag that implies it.
     """
     root = at = Element("#root", None, 1.0, 0)
+    opened: dict[str, int] = {}  # open elements by name
+    unclosed: set[str] = set()  # raw elements without an end tag from here on
     pos, count = 0, 1
     in_link = False
     low = None
     end, tags_end = len(html), html.rfind(">") + 1
+
+    def leave(to: Element) -> Element:
+        """Closes the open elements inside `to`; each is closed once."""
+        x = at
+        while x is not to:
+            opened[x.name] -= 1
+            x = x.parent
+        return to
+
+    def enter(e: Element) -> Element:
+        opened[e.name] = opened.get(e.name, 0) + 1
+        return e
+
     while pos < end:
         m = _TAG.search(html, pos, tags_end)
         text = html[pos : m.start() if m else end]
@@ -116,17 +149,18 @@ def parse(html: str) -> Element:
         top = at.skip
         if m[1]:
             if name in ("body", "html"):
-                at = top.parent if top else at
+                at = leave(top.parent) if top else at
             elif name in BLOCKS:
-                x = at
-                while x is not root and x.name != name:
-                    x = x.parent
-                if x is not root:
-                    at, in_link = x.parent, in_link and x.skip is not None
+                if opened.get(name):
+                    x = at
+                    while x.name != name:
+                        x = x.parent
+                    in_link = in_link and x.skip is not None
+                    at = leave(x.parent)
             elif at.inline.get(name):
                 at.inline[name] -= 1
             elif top and top.name not in BLOCKS and (name == top.name or top.parent.inline.get(name)):
-                at = top.parent
+                at = leave(top.parent)
                 if name != top.name:
                     at.inline[name] -= 1
                     in_link = in_link and name != "a"
@@ -136,60 +170,44 @@ def parse(html: str) -> Element:
         closed = m[3].rstrip().endswith("/")
         if name in RAW and not closed:
             low = low if low is not None else html.lower()
-            stop = low.find(f"</{name}", pos)
+            stop = -1 if name in unclosed else low.find(f"</{name}", pos)
             if stop < 0:
                 # unclosed: nothing that follows is text of the page
                 if name in ("script", "style", "textarea", "title", "iframe", "xmp"):
                     break
+                unclosed.add(name)
                 continue
             close = html.find(">", stop)
             pos = close + 1 if close >= 0 else end
             continue
         if at.name == "head" and name not in HEAD:
-            at = at.parent
+            at = leave(at.parent)
         if name in VOID and not (name == "hr" and at.skip):
             if name in SPACED and at.skip is None:
                 at.parts.append((" ", False))
             continue
         if name not in BLOCKS and name not in VOID:
             if at.skip is None and name != "a" and m[3] and _hidden(_attributes(m[3])):
-                at = Element(name, at, 1.0, 0)
+                at = enter(Element(name, at, 1.0, 0))
                 at.skip = at
             elif not (at.skip and closed):
                 at.inline[name] = at.inline.get(name, 0) + 1
                 in_link = in_link or name == "a" and at.skip is None
             continue
-        if name in ENDS_P:
-            x = at
-            while x is not root and x.name not in ("p", "td", "th", "li", "div", "section", "article", "main", "body", "blockquote"):
-                x = x.parent
-            if x.name == "p":
-                at = x.parent
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            like = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",)}.get(name, ("td", "th"))
-            x = at
-            while (
-                x is not root
-                and x.name not in (*like, "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "div", "article", "section", "body")
-                and not (name in ("td", "th") and x.name == "tr")
-                and not (name in ("li", "dt", "dd") and (x.name in DROPPED or x.name == "header"))
-            ):
-                x = x.parent
-            if x.name in like:
-                at = x.parent
+        if name in ENDS_P and at.open["p"]:
+            at = leave(at.open["p"].parent)
+        if name in ENDS and (x := at.open[ENDS[name]]):
+            at = leave(x.parent)
         if name in VOID:
             if at.skip is None:
                 at.parts.append((" ", False))
             continue
         if at.skip:
             if not closed:
-                at = Element(name, at, 1.0, 0)
+                at = enter(Element(name, at, 1.0, 0))
             continue
-        x, in_article = at, False
-        while x is not root and not in_article:
-            in_article, x = x.name in ("article", "main"), x.parent
-        dropped, bonus = _kind(name, m[3], in_article)
-        e = Element(name, at, bonus, count)
+        dropped, bonus = _kind(name, m[3], at.in_article)
+        e = enter(Element(name, at, bonus, count))
         if dropped:
             e.skip = e
             if name != "head":
@@ -227,7 +245,7 @@ def _weigh(root: Element) -> list[Element]:
             points = (1 + commas + own / 100) * (1 - linked)
             x, share = (e.parent, 1.0) if e.name in ("p", "pre", "td", "blockquote", "dd", "li") else (e, 1.0)
             level = 0
-            while x is not None:
+            while x is not None and level <= LEVELS:
                 x.score += points * share
                 level += 1
                 share = 0.5 if level == 1 else 1 / (3 * level)
@@ -242,14 +260,17 @@ def _is_menu(e: Element) -> bool:
     return e.name in ("ul", "ol", "div", "section", "table", "dl") and e.link_chars > 0.6 * e.chars and len(e.children) >= 3 and e.chars < 30 * len(e.children)
 
 
+def _between_text(e: Element) -> set[Element]:
+    """The children of e that have paragraphs both before and after them: what stands there belongs to the text."""
+    text = [i for i, c in enumerate(e.children) if c.name in ("p", "pre", "blockquote") and c.chars and c.link_chars <= 0.5 * c.chars]
+    return set(e.children[text[0] + 1 : text[-1]]) if len(text) > 1 else set()
+
+
 def _collect(e: Element, out: list[str]) -> None:
     """Texts of e in page order: blocks are parted by white space, inline pieces aren't.
 
-    Inside an article element nothing more is dropped; elsewhere blocks of short links are menus.
+    Inside an article element nothing more is dropped; elsewhere blocks of short links are menus unless they stand between paragraphs.
     """
-    x, in_article = e, False
-    while x is not None and not in_article:
-        in_article, x = x.name == "article", x.parent
     stack: list = [e]
     while stack:
         x = stack.pop()
@@ -258,10 +279,12 @@ def _collect(e: Element, out: list[str]) -> None:
         elif type(x) is tuple:
             out.append(unescape(x[0]) if "&" in x[0] else x[0])
         else:
-            if x is not e and not in_article and _is_menu(x):
-                continue
             stack.append(" ")
-            stack.extend(reversed(x.parts))
+            if e.of_article or not any(_is_menu(c) for c in x.children):
+                stack.extend(reversed(x.parts))
+            else:
+                kept = _between_text(x)
+                stack.extend(p for p in reversed(x.parts) if not (type(p) is Element and p not in kept and _is_menu(p)))
             stack.append(" ")
 
 

@@ -260,6 +260,34 @@ def test_html_sample_pages_without_article_tags(spark, sf_dir):
     assert both >= 0.95 * wanted and both >= 0.95 * found, (both / wanted, both / found)
 
 
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    text = "Rails were laid, and the line was opened, late, by autumn. "
+    pages = [
+        "<div>" * n + text, "<div>" * n + "<p>" + text + "</div>" * n, "".join(f"<div><p>{i}" for i in range(n)), "<ul><li>" * n + text, "<ol>" * n + "<p>x" * n, "<section>" * n + "</div>" * n + text, "<table><tr>" * n + "<td>x" * n,
+        "<svg>" * n + text, "<dl><dt>a<dd>b" * n, "<b>" * n + "</i>" * n + text, "<nav>" * n + "</nav>" * n + text, "<article><blockquote>" * n + text,
+    ]
+    for page in pages:
+        began = time.process_time()
+        got = html_text.main_text(page)
+        assert time.process_time() - began < 15, page[:40]
+        assert got
+
+
+def test_html_lists_of_links_between_paragraphs_are_text():
+    body = "<p>" + "Rails were laid, and the line was opened, late, by autumn. " * 6 + "</p>"
+    items = "".join(f"<li><a href='#'>{x}</a></li>" for x in ("Smith 2001", "Jones 2003", "Lee 2004"))
+    assert "Smith 2001 Jones 2003 Lee 2004" in html_text.main_text(f"<div class='content'>{body}<ul>{items}</ul>{body}</div>")
+    assert "Smith" not in html_text.main_text(f"<div class='content'><ul>{items}</ul>{body}{body}</div>")
+
+
+def test_html_discussions_of_readers_go():
+    body = "<p>" + "Rails were laid, and the line was opened, late, by autumn. " * 6 + "</p>"
+    assert "Nice" not in html_text.main_text(f"<article>{body}<section class='reader-discussion'><p>Nice, I like it, a lot, really.</p></section></article>")
+
+
 def test_html_odd_pages(spark):
     rows = [None, "", "no tags, just text", "<p>x", "<script>never closed", "<<<<" * 5000, "<a <a " * 20_000, "<p a='" * 2000, "<div>" * 20_000 + "deep, text", "<nav>only menu</nav>", "<p>" + "word, " * 100_000, "&nbsp;&#x41;&bogus;"]
     df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(rows)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
