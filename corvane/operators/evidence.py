@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.fragments import leaks
+
 PATH = r"^evidence/([^/]+)/(\d{4}-\d{2}-\d{2})/sha256/([0-9a-f]{2})/([0-9a-f]{64})$"
 #: Identifier grammars.
 GRAMMARS = {"evm_hash": "^0x[0-9a-f]{64}$", "quantity": "^0x(0|[1-9a-f][0-9a-f]*)$", "solana_signature": "^[1-9A-HJ-NP-Za-km-z]{64,88}$"}
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def object_path(name: Column) -> Column:
@@ -134,41 +135,6 @@ def create_only(objects: DataFrame, existing: DataFrame | None = None) -> DataFr
     return once if existing is None else once.join(existing.select("digest"), "digest", "left_anti")
 
 
-def _inner_word(fragment: str) -> Column:
-    """The longest word that isn't a fragment's first or last; null if there is none."""
-    words = F.regexp_extract_all(fragment, F.lit(WORD), F.lit(0))
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    return F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-
-
-def fragments_in(texts: DataFrame, fragments: DataFrame) -> DataFrame:
-    """(doc_id, fragment_id) of texts that contain a fragment.
-
-    Texts and fragments meet by one word of the fragment that stands whole in it, the longest, so only
-    texts with that word are scanned for it; nothing is compared with everything. Fragments without an
-    inner word aren't found by a word and must be given to fragments_by_scan or wordless_in.
-    """
-    keyed = fragments.select("fragment_id", "fragment", _inner_word("fragment").alias("word")).where("word IS NOT NULL")
-    words = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word"))
-    pairs = words.join(keyed, "word").select("doc_id", "fragment_id", "fragment").distinct()
-    return pairs.join(texts, "doc_id").where(F.contains("text", "fragment")).select("doc_id", "fragment_id")
-
-
-def wordless_in(texts: DataFrame, fragments: DataFrame) -> DataFrame:
-    """The same for the fragments without an inner word, each tested on each text; broadcast if they are few."""
-    rest = fragments.select("fragment_id", "fragment").where(_inner_word("fragment").isNull() & F.col("fragment").isNotNull())
-    n = rest.count()
-    if not n:
-        return texts.select("doc_id").crossJoin(rest.select("fragment_id")).limit(0)
-    return texts.join(F.broadcast(rest) if n <= 10_000 else rest, F.contains("text", "fragment")).select("doc_id", "fragment_id")
-
-
-def fragments_by_scan(texts: DataFrame, fragments: list[tuple[int, str]]) -> DataFrame:
-    """The same for a short list of fragments given by the caller, tested on each text."""
-    found = F.filter(F.array(*[F.when(F.contains("text", F.lit(f)), F.lit(i)) for i, f in fragments]), lambda x: x.isNotNull())
-    return texts.select("doc_id", F.explode(found).alias("fragment_id"))
-
-
 def links(pages: DataFrame, text: str = "html", pattern: str = r'href="([^"]*)"') -> DataFrame:
     """Each link of each page with the number of times it stands there."""
     return pages.select("page_id", F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("target")).groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n_links"))
@@ -232,17 +198,14 @@ def projection_violations(pages: DataFrame, snapshots: DataFrame, private: list[
     """Pages (page_path, snapshot_id, markdown, citations, links) that may not be published, with the reasons.
 
     Citations must be in the snapshot (snapshot_id, provenance_ids), links must be those of the text and name
-    the page, and no private fragment (a short list) may stand in the text, plain or escaped as in JSON.
+    the page, and no private fragment (a short list) may stand in the text, plain or escaped as in JSON; an empty one stands in each.
     """
     rows = pages.join(snapshots, "snapshot_id", "left")
     shown = wiki_links(F.col("markdown"))
     cited = F.size(F.array_except("citations", F.coalesce("provenance_ids", F.array().cast("array<string>")))) > 0
     linked = ~F.coalesce(F.array_sort(F.array_distinct(shown)) == F.array_sort(F.array_distinct("links")), F.lit(False)) | ~F.array_contains("links", F.col("page_path"))
-    leaks = F.lit(False)
-    for p in private:
-        leaks |= F.contains("markdown", F.lit(p)) | F.contains("markdown", F.substring(F.to_json(F.array(F.lit(p))), 3, len(p) + 1000).substr(F.lit(1), F.length(F.to_json(F.array(F.lit(p)))) - 4))
     path = ~F.col("page_path").rlike(r"^[a-z0-9][a-z0-9/_-]*$") | F.contains("page_path", F.lit("//"))
-    reasons = F.filter(F.array(F.when(cited, "citation"), F.when(linked, "links"), F.when(leaks, "private"), F.when(path, "path")), lambda r: r.isNotNull())
+    reasons = F.filter(F.array(F.when(cited, "citation"), F.when(linked, "links"), F.when(leaks(F.col("markdown"), private), "private"), F.when(path, "path")), lambda r: r.isNotNull())
     return rows.select("page_path", reasons.alias("reasons")).where(F.size("reasons") > 0)
 
 

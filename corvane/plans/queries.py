@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import amounts, codec
-from corvane.operators import attribution, catalog, classification, evidence, finality, latest, readmodels, recovery, reducer
+from corvane.operators import attribution, catalog, classification, evidence, finality, fragments, latest, readmodels, recovery, reducer
 from corvane.sources.projection import LABELS, domain, driver_table, finality_updates, label_definitions, provenance, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -465,10 +465,25 @@ def evidence_dedup(s, d):
     return evidence.create_only(driver_table(s, d, "documents").select(F.sha2("text", 256).alias("digest"), F.col("doc_id").alias("object_id"), F.octet_length("text").alias("byte_length")))
 
 
-@query("SELECT doc_id, item_id AS fragment_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+_ESCAPED = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+
+
+@query(f"""WITH pages AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '"' || {_ESCAPED.format("coalesce(text, '')")} || '"' ELSE coalesce(text, '') END AS page FROM documents),
+fragments AS (SELECT item_id AS fragment_id, text AS fragment FROM benchmark UNION ALL SELECT 1000000 + doc_id, substr(text, 1 + doc_id % 40, 30) FROM documents WHERE doc_id % 20 = 7
+  UNION ALL SELECT 2000000 + doc_id, substr(text, 5, 3) FROM documents WHERE doc_id % 100 = 9)
+SELECT DISTINCT doc_id, fragment_id FROM pages JOIN fragments ON fragment = '' OR contains(page, fragment) OR contains(page, trim({_ESCAPED.format("fragment")}, '"'))""")
 def private_fragment_scan(s, d):
-    texts, fragments = driver_table(s, d, "documents").select("doc_id", "text"), driver_table(s, d, "benchmark").select(F.col("item_id").alias("fragment_id"), F.col("text").alias("fragment"))
-    return evidence.fragments_in(texts, fragments).unionByName(evidence.wordless_in(texts, fragments))
+    """Benchmark items, pieces of documents (some short, some with line breaks) and empty pieces, looked for in documents of which every third is a JSON string."""
+    docs = driver_table(s, d, "documents")
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    said = text
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        said = F.replace(said, F.lit(a), F.lit(b))
+    pages = docs.select("doc_id", F.when(k % 3 == 0, F.concat(F.lit('"'), said, F.lit('"'))).otherwise(text).alias("text"))
+    items = driver_table(s, d, "benchmark").select(F.col("item_id").cast("long").alias("fragment_id"), F.col("text").alias("fragment"))
+    pieces = docs.where("doc_id % 20 = 7").select((k + 1_000_000).cast("long"), F.substr("text", (1 + k % 40).cast("int"), F.lit(30)))
+    short = docs.where("doc_id % 100 = 9").select((k + 2_000_000).cast("long"), F.substring("text", 5, 3))
+    return fragments.fragments_in(pages, items.union(pieces).union(short))
 
 
 @query("""SELECT page_id, target, count(*) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) GROUP BY ALL""")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import amounts, codec
-from corvane.operators import adapters, attribution, catalog, classification, evidence, finality, latest, reducer
+from corvane.operators import adapters, attribution, catalog, classification, evidence, finality, fragments, latest, reducer
 from corvane.plans import queries
 from corvane.streaming.finality import fold
 
@@ -219,17 +219,30 @@ def test_evidence_helpers(spark, tmp_path):
     assert [(r.h.height and int(r.h.height), r.h.problem) for r in got] == [w for _, _, w in said]
     wiki = spark.createDataFrame([("a [[x]] [[y]]",), ("[[x",), ("none",)], "m string").select(evidence.wiki_links(F.col("m")).alias("l")).collect()
     assert [r.l for r in wiki] == [["x", "y"], None, []]
-    texts = spark.createDataFrame([(1, "a secret word here"), (2, "nothing")], "doc_id long, text string")
-    assert [tuple(r) for r in evidence.fragments_by_scan(texts, [(7, "secret w"), (8, "zzz")]).collect()] == [(1, 7)]
 
 
-def test_fragments_without_an_inner_word_are_found(spark, tmp_path):
-    texts = [(1, "a secret word here"), (2, "nothing"), (3, None), (4, "the secret worded")]
-    items = [(1, "secret"), (2, "cret wor"), (3, None), (4, "a secret word"), (5, "zz"), (6, "")]
-    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = sorted(tuple(r) for r in queries.private_fragment_scan(spark, str(tmp_path)).collect())
-    assert got == sorted((d, i) for d, t in texts for i, f in items if t is not None and f is not None and f in t)
+@pytest.mark.parametrize("limit", [1 << 20, 40, 5])
+def test_fragments_equal_brute_force(spark, limit):
+    import json
+
+    texts = [(1, "a secret word here"), (2, "nothing"), (3, None), (4, "the secret worded"), (5, 'say \\"hi\\" to\\nall of them'), (6, 'say "hi" to\nall of them'), (None, "a secret word"), (1, "a secret word here"), (7, "é 😀\\u0001x")]
+    items = [(1, "secret"), (2, "cret wor"), (3, None), (4, "a secret word"), (5, "zz"), (7, '"hi"'), (8, "to\nall of"), (9, "secret"), (10, "é 😀\x01x"), (11, 'say "hi" to\nall of them'), (12, '"')]
+    for more in ([], [(6, "")]):
+        t, f = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items + more, "fragment_id long, fragment string").withColumn("pattern", F.lit("clash"))
+        got = {tuple(r) for r in fragments.fragments_in(t, f, limit).collect()}
+        want = {(d, i) for d, x in texts for i, p in items + more if p is not None and (p in (x or "") or json.dumps(p, ensure_ascii=False).strip('"') in (x or ""))}
+        assert got == want
+    assert fragments.fragments_in(t, f.limit(0)).count() == 0 and fragments.fragments_in(t.limit(0), f).count() == 0
+
+
+def test_fragments_meet_no_text_by_nested_loops(spark, sf_dir):
+    found = queries.private_fragment_scan(spark, sf_dir)
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    texts = spark.createDataFrame([(1, "a secret word here")], "doc_id long, text string")
+    many = spark.createDataFrame([(7, "secret w"), (8, "zzz"), (9, "a secret word")], "fragment_id long, fragment string")
+    plan = fragments.fragments_in(texts, many, 4)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_pages_and_versions(spark):
