@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -22,19 +23,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.base import Scratch, shared_dir, sized, table
-from corvane.llm.bpe import LONGEST, REMEMBERED, Bpe, default_vocabulary
+from corvane.llm.bpe import Bpe, default_vocabulary
 
 #: The id after each document, longest code word in bits, ids between checkpoints, ids of a block (a longer document is one block).
 END_ID, LIMIT, STRIDE, BLOCK_IDS = 1, 20, 64, 1 << 16
 #: What a block begins with; then ids, documents, checkpoints and bytes of code (32 bits each), and the place of its first id in its part (64).
 MAGIC = b"CVTOK1\0\0"
 HEADER = struct.Struct("<8sIIIIQ")
+#: Words that the library gets at a time, and pieces that a worker remembers before it starts anew.
+JOINED, HELD = 100, 1_000_000
 #: Ids of a piece, which begins at a byte; ids that are coded and decoded together; bytes of code meant for a task.
 PIECE_IDS, TOGETHER, TASK_BYTES = 1 << 18, 1 << 20, 16 << 20
 
 
 class LibraryBpe(Bpe):
-    """Words as the vocabulary file splits them; the library gives the ids of each word that a worker hasn't met yet."""
+    """Texts parted at white space; the library gives the ids of each piece that a worker hasn't met yet, many at a time.
+
+    The vocabulary's words end in tokens of their own, by which the ids of joined words are parted again.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,14 +49,49 @@ class LibraryBpe(Bpe):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def word(self, word: str) -> bytes:
-        ids = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
+        self.ends = np.zeros(max(self.strings) + 1, bool)
+        self.ends[[i for i, s in self.strings.items() if s.endswith(self.suffix)]] = True
+
+    def learn(self, words: list[str]) -> None:
+        """Has the ids of new words remembered."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, said in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(said.ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(group) and len(ids) == last[-1]:
+                raw, starts = ids.tobytes(), np.append(0, last[:-1])
+                self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(group, starts.tolist(), last.tolist(), strict=True))
+            else:
+                self.known.update((w, np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in group)
+
+    def normal(self, text: str) -> list[str]:
+        """The pieces between white space of a text, which is written as the vocabulary has it."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if "Σ" in text:  # lower case letter by letter, without the rule for a word's last sigma
+                text = text.replace("Σ", "σ")
+        text = text.lower()
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split alone
+            return self.split(text)
+        return text.split()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        known = self.known
+        if len(known) >= HELD:
+            known.clear()
+        parts = [[(p, None) if p in self.specials else (None, self.normal(p)) for p in self.special_split(t)] if any(s in t for s in self.specials) else [(None, self.normal(t))] for t in texts]
+        met: set[str] = set()
+        for part in parts:
+            for _, pieces in part:
+                met.update(pieces or ())
+        new = {p: [p] if p.isalpha() else self.split(p) for p in met.difference(known)}
+        self.learn(list({w: None for words in new.values() for w in words if w not in known}))
+        for p, words in new.items():
+            if len(words) != 1:
+                known[p] = b"".join([known[w] for w in words])
+        ids = known.__getitem__
+        return [b"".join([self.specials[s].to_bytes(4, "little") if pieces is None else b"".join(map(ids, pieces)) for s, pieces in part]) for part in parts]
 
 
 @cache
@@ -73,7 +114,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [np.append(np.frombuffer(model.encode(t) if (t := text.as_py()) else b"", "<u4"), end_id).astype(kind) for text in part.column(1)]
+                ids = [np.append(np.frombuffer(i, "<u4"), end_id).astype(kind) for i in model.encode_all([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "n_ids", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_ids bigint, ids binary")
