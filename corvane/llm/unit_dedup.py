@@ -57,8 +57,8 @@ def text_units(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 of, rows = [], []
                 for i, t in enumerate(part.column(2).to_pylist()):
                     found = list(units_of(t)) if t else []
@@ -85,13 +85,14 @@ def repeated_units(docs: DataFrame, run_words: int = 1) -> DataFrame:
         firsts = units.groupBy("digest").agg(F.min(F.struct(*rank)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("__digest"), "first")
         firsts = scratch.stored(firsts)
         maybe, _ = sieved(units, "digest", firsts.select("__digest"), firsts.count())
+        place = ["line", "whole_line", "start", "length", "words", "digest"]
         later = maybe.join(firsts, F.col("digest") == F.col("__digest")).where(~F.struct(*rank).eqNullSafe(F.col("first")))
-        once = later.groupBy(*rank).agg(F.first(F.struct("line", "whole_line", "start", "length", "words", "digest", "first")).alias("u")).select(*rank, "u.*")
+        once = later.select(*rank, *place, F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit")).distinct()  # rows that repeat are alike in all
         document = Window.partitionBy("doc_id", "version")
         island = once.withColumn("__run", F.col("unit") - F.row_number().over(document.orderBy("unit")))
         runs = island.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "version", "__run"))).where(F.col("run_words") >= run_words)
         return stored(
-            runs.select("doc_id", "version", "unit", "line", "whole_line", "start", "length", F.hex("digest").alias("digest"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"), "run_words")
+            runs.select("doc_id", "version", "unit", "line", "whole_line", "start", "length", F.hex("digest").alias("digest"), "first_doc_id", "first_unit", "run_words")
         )
 
 
