@@ -920,6 +920,71 @@ def runtime_responses(s, d):
     return adapters.runtime(docs).select("evidence_id", "resource", "protocol_version", "amount_atomic", "reason")
 
 
+_SEEN = lambda amount: "sha256(" + " || ".join([_P("'x402'"), _P("'0xa'"), _P(amount), "unhex('000000000000000400000002')", _P("'exact'"), _P("'base'"), _P("'0xp'"), _P("'https://s/' || k")]) + ")"
+
+
+@query(f"""WITH k AS (SELECT o_orderkey AS k, 'run-' || (o_orderkey % 8) AS run_id, o_orderkey // 8 AS height FROM orders),
+runs AS (SELECT run_id, 0 AS start_height, max(height) + CASE run_id WHEN 'run-7' THEN 5 ELSE 0 END AS end_height FROM k GROUP BY run_id UNION ALL SELECT 'run-8', 0, 9),
+o AS (SELECT *, 'ev-' || k AS evidence_id FROM k WHERE k % 499 <> 7 UNION ALL SELECT *, 'again-' || k FROM k WHERE k % 353 = 3 AND k % 499 <> 7),
+j AS (SELECT *, CASE WHEN k % 211 = 5 THEN 'digest' WHEN k % 223 = 9 THEN 'envelope' WHEN k % 227 = 11 THEN 'body' WHEN k % 3 = 0 AND k % 229 = 13 THEN 'inputs' END AS problem FROM o),
+seen AS (SELECT run_id, evidence_id, {_SEEN("k::VARCHAR")} AS h FROM j WHERE k % 3 = 0 AND problem IS NULL AND k % 241 <> 23),
+recorded AS (SELECT run_id, evidence_id, {_SEEN("k::VARCHAR")} AS h FROM o WHERE k % 3 = 0 AND k % 233 <> 17 UNION ALL SELECT run_id, evidence_id, {_SEEN("k || '0'")} FROM o WHERE k % 239 = 19),
+steps AS (SELECT run_id, height, lag(height) OVER (PARTITION BY run_id ORDER BY height) AS before FROM o),
+ends AS (SELECT r.run_id, start_height, end_height, min(height) AS first, max(height) AS last FROM runs r LEFT JOIN o ON r.run_id = o.run_id GROUP BY ALL)
+SELECT run_id, evidence_id, problem, height AS low, height AS high FROM j WHERE problem IS NOT NULL
+UNION ALL SELECT run_id, evidence_id, 'input: unsupported_version', height, height FROM j WHERE k % 3 = 0 AND problem IS NULL AND k % 241 = 23
+UNION ALL SELECT run_id, evidence_id, 'observation not recorded', NULL, NULL FROM (SELECT * FROM seen EXCEPT SELECT * FROM recorded)
+UNION ALL SELECT run_id, evidence_id, 'observation not seen', NULL, NULL FROM (SELECT * FROM recorded EXCEPT SELECT * FROM seen)
+UNION ALL SELECT run_id, NULL, CASE WHEN height = before THEN 'repeated' ELSE 'gap' END, before, height FROM steps WHERE height <> before + 1
+UNION ALL SELECT run_id, NULL, 'empty', start_height, end_height FROM ends WHERE first IS NULL
+UNION ALL SELECT run_id, NULL, 'start', start_height, first FROM ends WHERE first <> start_height
+UNION ALL SELECT run_id, NULL, 'end', last, end_height FROM ends WHERE last <> end_height""")
+def evidence_verification(s, d):
+    """Eight runs of archived responses: heights that are missing or repeated, other bytes than their digest, unknown envelopes, bodies that repeat a member, inputs of another height, refused inputs, and observations that differ from the recorded."""
+    from corvane.operators import verification
+
+    k, m = F.col("k"), F.lit
+    number = lambda c, n: F.unhex(F.lpad(F.hex(c), 2 * n, "0"))
+    every = driver_table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(m("run-"), F.col("o_orderkey") % 8).alias("run_id"), F.expr("o_orderkey div 8").alias("height"))
+    ends = every.groupBy("run_id").agg(m(0).alias("start_height"), (F.max("height") + F.when(F.col("run_id") == "run-7", 5).otherwise(0)).alias("end_height"))
+    kept = every.where("k % 499 <> 7")
+    rows = kept.select("*", F.concat(m("ev-"), k).alias("evidence_id")).unionByName(kept.where("k % 353 = 3").select("*", F.concat(m("again-"), k).alias("evidence_id")))
+    said = F.concat(m('{"x402Version":'), F.when(k % 241 == 23, 3).otherwise(2), m(',"accepts":[{"scheme":"exact","network":"base","amount":"'), k, m('","asset":"0xa","payTo":"0xp"}]}'))
+    coded = F.replace(F.base64(F.encode(said, "UTF-8")), m("\r\n"), m(""))
+    inputs = F.concat(m(',"agentEconomyProtocolEvidence":[{"height":'), F.col("height") + (k % 229 == 13).cast("int"), m(',"kind":"x402_well_known","context":"https://s/'), k, m('","evidence_base64":"'), coded, m('"}]'))
+    body = F.encode(F.concat(m('{"jsonrpc":"2.0",'), F.when(k % 227 == 11, m('"jsonrpc":"2.0",')).otherwise(m("")), m('"id":1,"result":{"number":"0x0"'), F.when(k % 3 == 0, inputs).otherwise(m("")), m("}}")), "UTF-8")
+    chain = number(F.when(k % 223 == 9, 9).otherwise(2), 1)
+    raw = F.concat(m(evidence.RPC_MAGIC), chain, number(F.col("height"), 8), number(m(200), 2), number(m(0), 4), number(m(0), 1), number(m(0), 8), number(F.octet_length(body), 4), body)
+    digest = F.when(k % 211 == 5, F.sha2(k.cast("string"), 256)).otherwise(F.sha2("content", 256))
+    objects = rows.select("run_id", m("base").alias("chain"), "evidence_id", "height", m(verification.RPC).alias("media_type"), "k", F.explode(F.array(raw)).alias("content")).withColumn("sha256", digest)
+    runs = ends.unionByName(s.createDataFrame([("run-8", 0, 9)], "run_id string, start_height int, end_height long"))
+    seen = rows.select("run_id", "evidence_id", "k", m("0xa").alias("asset"), k.cast("string").alias("amount_atomic"), m(2).alias("protocol_version"), m("exact").alias("scheme"), m("base").alias("network"), m("0xp").alias("pay_to"), F.concat(m("https://s/"), k).alias("resource"))
+    hashed = lambda r: r.select("run_id", "evidence_id", reducer.payload_fingerprint_x402().alias("observation_hash"))
+    recorded = hashed(seen.where("k % 3 = 0 AND k % 233 <> 17")).unionByName(hashed(seen.where("k % 239 = 19").withColumn("amount_atomic", F.concat("amount_atomic", m("0")))))
+    return verification.verify(objects, runs, recorded)
+
+
+_CHAIN_OF = "CASE o_orderkey % 4 WHEN 0 THEN 'base' WHEN 1 THEN 'ethereum' WHEN 2 THEN 'solana' ELSE 'tempo' END"
+PLANS = [("base", 2, 1_000_000, 1_000_000), ("ethereum", 0, 501, 1_000_000), ("solana", 10, 1_000_000, 250), ("tempo", 0, 1_000_000, 1_000_000), ("none", 7, 10, 10)]
+
+
+@query(f"""WITH plans AS (SELECT * FROM (VALUES {", ".join(map(str, PLANS))}) t(chain, start_height, request_budget, max_blocks)),
+h AS (SELECT {_CHAIN_OF} AS chain, o_orderkey // 4 AS height, 1 + o_custkey % 3 AS requests, ({_CHAIN_OF} = 'base' AND o_orderkey // 4 % 400 = 300)::INTEGER AS bad FROM orders WHERE NOT ({_CHAIN_OF} = 'tempo' AND o_orderkey // 4 = 200)),
+r AS (SELECT h.*, p.* EXCLUDE (chain), sum(requests) OVER w AS asked, sum(bad) OVER w AS n_bad, row_number() OVER w AS n FROM h JOIN plans p ON h.chain = p.chain WHERE height >= start_height WINDOW w AS (PARTITION BY h.chain ORDER BY height)),
+a AS (SELECT chain, count(*) FILTER (bad = 0 AND asked <= request_budget) AS blocks, max(asked) AS asked, coalesce(bool_or(bad = 1 AND asked <= request_budget), false) AS failed FROM r
+  WHERE height = start_height + n - 1 AND n <= max_blocks AND n_bad = bad AND asked - requests < request_budget GROUP BY chain)
+SELECT p.chain, start_height + coalesce(blocks, 0) AS next_height, coalesce(blocks, 0) AS n_blocks, least(coalesce(asked, 0), request_budget)::BIGINT AS requests_used,
+  CASE WHEN coalesce(blocks, 0) = max_blocks THEN 'blocks' WHEN failed THEN 'failed' WHEN coalesce(asked, 0) >= request_budget THEN 'budget' ELSE 'end' END AS reason FROM plans p LEFT JOIN a ON p.chain = a.chain""")
+def collection_reach(s, d):
+    """How far collections of four chains come that end at a failed height, at their budget, at their limit of blocks and at a missing height."""
+    from corvane.operators import verification
+
+    chain = F.expr(_CHAIN_OF)
+    o = driver_table(s, d, "orders").select(chain.alias("chain"), F.expr("o_orderkey div 4").alias("height"), F.explode(F.sequence(F.lit(0), (F.col("o_custkey") % 3).cast("int"))).alias("attempt"))
+    archive = o.where("NOT (chain = 'tempo' AND height = 200)").withColumn("ok", ~((F.col("chain") == "base") & (F.col("height") % 400 == 300)))
+    return verification.collected(archive, s.createDataFrame(PLANS, "chain string, start_height long, request_budget long, max_blocks long"))
+
+
 MPP_FP = lambda *texts: "sha256(" + " || ".join(_P(t) for t in texts)
 
 
