@@ -10,6 +10,7 @@ be read from any store.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import unicodedata
 import zlib
@@ -18,11 +19,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.base import Scratch, shared_dir, sized, table
+from corvane.llm.base import Scratch, shared_dir, sized, slices, table, utf8
 from corvane.llm.bpe import Bpe, default_vocabulary
 
 #: The id after each document, longest code word in bits, ids between checkpoints, ids of a block (a longer document is one block).
@@ -30,8 +32,10 @@ END_ID, LIMIT, STRIDE, BLOCK_IDS = 1, 20, 64, 1 << 16
 #: What a block begins with; then ids, documents, checkpoints and bytes of code (32 bits each), and the place of its first id in its part (64).
 MAGIC = b"CVTOK1\0\0"
 HEADER = struct.Struct("<8sIIIIQ")
-#: Words that the library gets at a time, and pieces that a worker remembers before it starts anew.
-JOINED, HELD = 100, 1_000_000
+#: Words that the library gets at a time, pieces that a worker remembers before it starts anew, bytes of text coded at a time (or one text).
+JOINED, HELD, SLICE = 100, 1_000_000, 2 << 20
+#: Marks that end a piece and are a word of their own after letters.
+MARKS = frozenset(".,;:!?")
 #: Ids of a piece, which begins at a byte; ids that are coded and decoded together; bytes of code meant for a task.
 PIECE_IDS, TOGETHER, TASK_BYTES = 1 << 18, 1 << 20, 16 << 20
 
@@ -43,6 +47,7 @@ class LibraryBpe(Bpe):
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each worker its core
         from tokenizers import Tokenizer
 
         super().__init__(path)
@@ -64,34 +69,48 @@ class LibraryBpe(Bpe):
             else:
                 self.known.update((w, np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in group)
 
-    def normal(self, text: str) -> list[str]:
-        """The pieces between white space of a text, which is written as the vocabulary has it."""
+    def normal(self, text: str) -> str:
+        """A text as the vocabulary has it."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case letter by letter, without the rule for a word's last sigma
                 text = text.replace("Σ", "σ")
-        text = text.lower()
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split alone
-            return self.split(text)
-        return text.split()
+        return text.lower()
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def plain(self, text: str) -> bool:
+        """Whether white space parts a text's pieces and nothing else: no special token, no control character that is space to Arrow alone."""
+        return not any(s in text for s in self.specials) and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has. Pieces are told apart by Arrow, so each is looked up once."""
+        if len(self.known) >= HELD:
+            self.known.clear()
         known = self.known
-        if len(known) >= HELD:
-            known.clear()
-        parts = [[(p, None) if p in self.specials else (None, self.normal(p)) for p in self.special_split(t)] if any(s in t for s in self.specials) else [(None, self.normal(t))] for t in texts]
-        met: set[str] = set()
-        for part in parts:
-            for _, pieces in part:
-                met.update(pieces or ())
-        new = {p: [p] if p.isalpha() else self.split(p) for p in met.difference(known)}
+        odd = {i: np.frombuffer(self.encode(t), "<u4") for i, t in enumerate(texts) if not self.plain(t)}
+        pieces = pc.utf8_split_whitespace(pa.array(["" if i in odd else self.normal(t) for i, t in enumerate(texts)], pa.large_string()))
+        at = pieces.offsets.to_numpy()
+        told = pieces.flatten().dictionary_encode()
+        codes, names = told.indices.to_numpy(zero_copy_only=False), told.dictionary.to_pylist()
+        known[""] = b""
+        new = {p: [p] if p.isalpha() else [p[:-1], p[-1]] if p[-1] in MARKS and p[:-1].isalpha() else self.split(p) for p in names if p not in known}
         self.learn(list({w: None for words in new.values() for w in words if w not in known}))
         for p, words in new.items():
             if len(words) != 1:
                 known[p] = b"".join([known[w] for w in words])
-        ids = known.__getitem__
-        return [b"".join([self.specials[s].to_bytes(4, "little") if pieces is None else b"".join(map(ids, pieces)) for s, pieces in part]) for part in parts]
+        said = [known[p] for p in names]
+        sizes = np.fromiter(map(len, said), np.int64, len(said)) // 4
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(said), "<u4")
+        per = sizes[codes]
+        ends = np.append(0, np.cumsum(per))
+        found = ids[np.repeat(starts[codes] - ends[:-1], per) + np.arange(ends[-1])] if len(codes) else np.zeros(0, np.uint32)
+        counts = np.diff(ends[at])
+        if odd:
+            parts, to = [], ends[at]
+            for i in range(len(texts)):
+                parts.append(odd.get(i, found[to[i] : to[i + 1]]))
+            counts = np.array([len(x) for x in parts], np.int64)
+            found = np.concatenate(parts)
+        return found, counts
 
 
 @cache
@@ -112,10 +131,14 @@ def encode(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = library(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [np.append(np.frombuffer(i, "<u4"), end_id).astype(kind) for i in model.encode_all([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "n_ids", "ids"])
+            _, offsets = utf8(batch.column(1))
+            for at, to in slices(offsets, SLICE):
+                ids, n = model.encode_all([t or "" for t in batch.column(1).slice(at, to - at).to_pylist()])
+                out = np.full(len(ids) + len(n), end_id, kind)
+                out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+                ends = (out.itemsize * np.append(0, np.cumsum(n + 1))).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n + 1, pa.int64()), packed], ["doc_id", "n_ids", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_ids bigint, ids binary")
 
@@ -126,9 +149,9 @@ def counts(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = ids.as_py()
-                found = np.bincount(np.frombuffer(raw, f"<u{len(raw) // n}"))
+            for at in range(0, batch.num_rows, 500):
+                n, raw = batch.column(0).slice(at, 500).to_pylist(), b"".join(batch.column(1).slice(at, 500).to_pylist())
+                found = np.bincount(np.frombuffer(raw, f"<u{len(raw) // sum(n)}"))
                 if len(found) > len(total):
                     total, found = found.astype(np.int64), total
                 total[: len(found)] += found
