@@ -19,14 +19,15 @@ def reduction(observations: DataFrame, evidence: DataFrame, settlements: DataFra
     """Tables of a reduction batch of one chain, and its violations, which must be empty.
 
     Events take the time of the newest of all their observations, winning or not. Evidence and settlements must be of
-    events of the batch, and settlements of the batch's chain and network.
+    events of the batch, and settlements finalized and of the batch's chain and network.
     """
     events = reducer.events(observations)
+    timelines = finality.timelines(evidence, confirmations)
     tables = {
         "events": events,
         "links": reducer.links(observations),
         "conflicts": reducer.conflicts(observations),
-        "finality": finality.timelines(evidence, confirmations),
+        "finality": timelines,
         "finality_conflicts": finality.conflicts(evidence, confirmations),
         "attributions": attribution.levels(settlements, requirements).withColumn("attribution_version", F.lit(version)),
         "candidates": attribution.candidates(settlements, requirements),
@@ -34,6 +35,7 @@ def reduction(observations: DataFrame, evidence: DataFrame, settlements: DataFra
     wrong = {
         "finality of an unknown event": unknown_events(evidence, events),
         "settlement of an unknown event": unknown_events(settlements, events),
+        "settlement that isn't finalized": attribution.unfinalized(settlements, timelines),
         "settlement of another chain": settlements.where((F.col("chain_scope") != chain) | (F.col("network") != chain)),
         "observation that repeats": observations.groupBy("observation_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
     }
@@ -101,10 +103,31 @@ def unbound_finality(assertions: DataFrame, provenance: DataFrame, observations:
     return assertions.join(bound.select(*key), key, "left_anti")
 
 
+def committed_batch(spark, batch_id: str, tables: dict[str, DataFrame], wrong: dict[str, DataFrame], root: str | None = None) -> tuple[str, DataFrame]:
+    """Commits a batch, moving its cursor from where it is; the store's root, and the batch's receipt: name and n of each table."""
+    from corvane.sources.storage import shared_dir
+    from corvane.streaming import commits
+
+    root = root or shared_dir(spark)
+    commits.commit(root, batch_id, tables, wrong, move=("batch", commits.cursor(spark, root, "batch"), batch_id))
+    rows = commits.receipts(spark, root).where(F.col("batch_id") == batch_id).select(F.explode("tables").alias("name", "t"))
+    return root, rows.select("name", F.col("t.n_rows").alias("n"))
+
+
+def counted(wrong: dict[str, DataFrame]) -> DataFrame:
+    """name and n of the rows that break each rule."""
+    out = None
+    for name, rows in wrong.items():
+        one = rows.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def enrichment(history: DataFrame, buyers: DataFrame) -> dict[str, DataFrame]:
     """Tables of an enrichment batch from decoded history pages: finalized transactions of known handles, and each handle's cursor."""
     rows = history.where("valid AND transaction_id IS NOT NULL")
-    known = rows.join(buyers.select("chain_scope", F.lower("buyer_handle_id").alias("__h")), (F.lower("handle") == F.col("__h")) & (rows["chain_scope"] == buyers["chain_scope"]), "left_semi")
+    handles = buyers.select(F.col("chain_scope").alias("__c"), F.lower("buyer_handle_id").alias("__h"))
+    known = rows.join(handles, (F.lower("handle") == F.col("__h")) & (F.col("chain_scope") == F.col("__c")), "left_semi")
     finalized = known.where("finality = 'finalized'").select("chain_scope", "handle", "transaction_id", "height").distinct()
     window = known.groupBy("chain_scope", "handle").agg(F.min("height").alias("first_height"), F.max("height").alias("last_height"), F.max_by("next_cursor", "page_id").alias("cursor"), F.count(F.lit(1)).alias("n_seen"))
     return {"history": finalized, "cursors": window}

@@ -985,6 +985,92 @@ def collection_reach(s, d):
     return verification.collected(archive, s.createDataFrame(PLANS, "chain string, start_height long, request_budget long, max_blocks long"))
 
 
+@query(PULSE)
+def pulse_by_deltas(s, d):
+    """The pulse after three batches: half the settlements with the last and first finality, the others with the second, then all again with the first."""
+    from corvane.sources.storage import shared_dir
+    from corvane.streaming import pulse
+
+    root = shared_dir(s)
+    paid, half = domain(s, d, "settlements"), F.pmod(F.xxhash64("canonical_event_id"), F.lit(2)) == 0
+    said = {k: domain(s, d, f"finality_{k}") for k in (1, 2, 3)}
+    pulse.apply_batch(root, "a", paid.where(half), said[3].unionByName(said[1].where(half)))
+    pulse.apply_batch(root, "b", paid.where(~half), said[2])
+    pulse.apply_batch(root, "c", paid, said[1])
+    return pulse.pulse(s, root, provenance(s, d))
+
+
+_BASE = "CAST(substr(canonical_event_id, 7) AS BIGINT) % 4 = 0"
+
+
+@query(FOLD + ", " + sql("observations order_settlements requirements", COHORTS)[5:] + f""", obs AS (SELECT * FROM links WHERE chain_scope = 'base'),
+status AS (SELECT DISTINCT ON (canonical_event_id) canonical_event_id, status FROM ends WHERE {_BASE} ORDER BY canonical_event_id, first DESC, block_number DESC, length(block_hash) DESC, block_hash DESC),
+pay AS (SELECT s.*, t.status AS finality FROM order_settlements s LEFT JOIN status t ON t.canonical_event_id = s.settlement_id WHERE chain_scope = 'base'),
+cand AS (SELECT s.settlement_id, s.finality FROM pay s JOIN requirements r ON s.protocol = r.protocol AND s.network = r.network AND s.asset = r.asset AND s.amount_atomic = r.amount_atomic AND s.pay_to = r.pay_to WHERE s.requirement_id IS NULL OR s.requirement_id = r.requirement_id)
+SELECT 'events' AS name, count(DISTINCT canonical_event_id) AS n FROM obs UNION ALL SELECT 'links', count(*) FROM obs
+UNION ALL SELECT 'conflicts', count(*) FROM (SELECT DISTINCT canonical_event_id, fingerprint FROM obs WHERE support_role = 'conflicting')
+UNION ALL SELECT 'finality', count(*) FROM status UNION ALL SELECT 'finality_conflicts', count(*) FROM folded WHERE said <> status AND {_BASE}
+UNION ALL SELECT 'attributions', count(*) FROM pay WHERE finality = 'finalized' UNION ALL SELECT 'candidates', count(*) FROM cand WHERE finality = 'finalized'
+UNION ALL SELECT 'refused: finality of an unknown event', count(*) FROM evm_evidence WHERE {_BASE} AND canonical_event_id NOT IN (SELECT canonical_event_id FROM obs)
+UNION ALL SELECT 'refused: settlement of an unknown event', count(*) FROM order_settlements WHERE settlement_id NOT IN (SELECT canonical_event_id FROM obs)
+UNION ALL SELECT 'refused: settlement that isn''t finalized', count(*) FROM order_settlements WHERE settlement_id NOT IN (SELECT canonical_event_id FROM status WHERE status = 'finalized')
+UNION ALL SELECT 'refused: settlement of another chain', count(*) FROM order_settlements WHERE chain_scope <> 'base' UNION ALL SELECT 'refused: observation that repeats', 0""")
+def reduction_batch(s, d):
+    """Sizes of the tables of a committed reduction of base, and what would be refused with the settlements of all chains, finalized or not."""
+    from corvane.plans import batches
+
+    observed = domain(s, d, "observations").where("chain_scope = 'base'")
+    evidence_of = domain(s, d, "evm_evidence").where(_BASE)
+    paid = domain(s, d, "order_settlements").withColumns({"canonical_event_id": F.col("settlement_id"), "network": F.when(F.col("network") == "net-0", "base").otherwise(F.col("network"))})
+    asked = domain(s, d, "requirements").withColumn("network", F.when(F.col("network") == "net-0", "base").otherwise(F.col("network")))
+    final = finality.timelines(evidence_of, 12).where("current_status = 'finalized'").select("canonical_event_id")
+    tables, wrong = batches.reduction(observed, evidence_of, paid.where("chain_scope = 'base'").join(final, "canonical_event_id", "left_semi"), asked, "base")
+    _, sizes = batches.committed_batch(s, "reduction-1", tables, wrong)
+    _, refused = batches.reduction(observed, evidence_of, paid, asked, "base")
+    return sizes.unionByName(batches.counted({f"refused: {rule}": rows for rule, rows in refused.items()}))
+
+
+@query(sql("activities labels_def", FEATURES.format("replayed") + CLAIMS + """, k AS (SELECT *, CAST(substr(evidence_id, 10) AS BIGINT) AS k FROM activities WHERE replayed)
+SELECT 'runs' AS name, count(*) AS n FROM features UNION ALL SELECT 'features', count(*) FROM features UNION ALL SELECT 'claims', count(*) FROM claims UNION ALL SELECT 'evidence', count(DISTINCT (subject_id, evidence_id)) FROM k
+UNION ALL SELECT 'refused: activity outside the window', count(*) FROM k WHERE occurred_on >= TIMESTAMP '1996-01-01 00:00:00' UNION ALL SELECT 'refused: label defined twice', 1 UNION ALL SELECT 'refused: features that contradict', 0
+UNION ALL SELECT 'refused: activity that isn''t canonical', count(*) FROM k WHERE k % 20 = 10"""))
+def classification_commit(s, d):
+    """Sizes of the tables of a committed classification, and what would be refused in a shorter window, with a label defined twice, and of activities (every twentieth) without a settlement behind them."""
+    from corvane.plans import batches
+
+    k = F.expr("CAST(substr(evidence_id, 10) AS BIGINT)")
+    acts = _activities(s, d).where("replayed").withColumns({"settlement_id": F.concat(F.lit("order-"), k), "k": k})
+    paid = acts.select("settlement_id", "protocol", "amount_atomic", F.col("occurred_on").alias("settled_at"), F.col("subject_id").alias("buyer_handle_id"), F.concat(F.lit("event-"), k).alias("canonical_event_id"))
+    bound = acts.where("k % 10 <> 0").select("settlement_id", "evidence_id")
+    history = acts.select(F.col("subject_id").alias("buyer_handle_id"), F.concat(F.lit("tx-"), k).alias("transaction_id"), "evidence_id")
+    backed = lambda every: acts.where(every).select(F.concat(F.lit("event-"), k).alias("canonical_event_id"), F.concat(F.lit("tx-"), k).alias("transaction_id"))
+    labels = label_definitions(s)
+    _, sizes = batches.committed_batch(s, "classification-1", *batches.classification_batch(acts, labels, 0, 1 << 40, paid, bound, history, backed("true")))
+    _, refused = batches.classification_batch(acts, labels.unionByName(labels.limit(1)), 0, 820_454_400, paid, bound, history, backed("k % 20 <> 10"))
+    return sizes.unionByName(batches.counted({f"refused: {rule}": rows for rule, rows in refused.items()}))
+
+
+@query("""WITH h AS (SELECT o_custkey AS c, o_orderkey // 1000 AS page, o_orderkey AS height FROM orders WHERE o_custkey % 3 <> 0 AND o_custkey % 7 <> 0),
+p AS (SELECT c, max(page) AS page FROM h GROUP BY c)
+SELECT 'base' AS chain_scope, '0xAB' || h.c AS handle, min(height)::BIGINT AS first_height, max(height)::BIGINT AS last_height, 'after-' || any_value(p.page) AS cursor, count(*) AS n_seen FROM h JOIN p ON h.c = p.c GROUP BY h.c""")
+def enrichment_batch(s, d):
+    """Cursors of known handles as a committed enrichment has them; pages of every third handle are of another sender, every seventh handle isn't known."""
+    from corvane.plans import batches
+    from corvane.streaming import commits
+
+    c, m = F.col("o_custkey"), F.lit
+    sender = F.when(c % 3 == 0, m("0xother")).otherwise(F.concat(m("0xab"), c))
+    move = F.struct(sender.alias("from"), F.concat(m("0x"), F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("hash"), F.concat(m("0x"), F.lower(F.hex("o_orderkey"))).alias("blockNum"))
+    pages = driver_table(s, d, "orders").groupBy("o_custkey", F.expr("o_orderkey div 1000").alias("page")).agg(F.collect_list(move).alias("transfers"))
+    body = F.to_json(F.struct(m("2.0").alias("jsonrpc"), m(1).alias("id"), F.struct("transfers", F.concat(m("after-"), "page").alias("pageKey")).alias("result")))
+    history = evidence.history_pages(pages.select(F.col("page").alias("page_id"), m("base").alias("chain_scope"), F.concat(m("0xAB"), c).alias("handle"), body.alias("body")))
+    buyers = driver_table(s, d, "orders").where("o_custkey % 7 <> 0").select(m("base").alias("chain_scope"), F.concat(m("0xab"), c).alias("buyer_handle_id")).distinct()
+    tables = batches.enrichment(history, buyers)
+    root, _ = batches.committed_batch(s, "enrichment-1", tables, {})
+    rows = commits.committed(s, root, "cursors", tables["cursors"].schema).drop("batch_id")
+    return rows.withColumns({h: F.col(h).cast("long") for h in ("first_height", "last_height")})
+
+
 MPP_FP = lambda *texts: "sha256(" + " || ".join(_P(t) for t in texts)
 
 
