@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.codec import count, field
@@ -57,29 +57,46 @@ def inclusion() -> Column:
 
 
 def _by_inclusion(evidence: DataFrame, confirmations: int, subject: list[str]) -> DataFrame:
-    """Each inclusion (block) of a subject, its evidence folded in one total order: state, first time, accepted, rejected.
+    """Each inclusion (block) of a subject, its evidence in one total order: state, first time, accepted, rejected.
 
-    A status that may not follow the inclusion's is rejected. Rows that repeat count once.
+    A status that may not follow the inclusion's is rejected. Rows that repeat count once. Where each status may follow the one before,
+    counting is enough; only the evidence of other inclusions is gathered and folded.
     """
-    status = evm_status(confirmations)
-    rank = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), status)
     names = [c for c in ("source_id", "provenance_id", "evidence_id") if c in evidence.columns]
-    item = F.struct("asserted_at", rank.alias("rank"), "canonical_block_hash", "latest_block", "finalized_block", "reverted", *names, status.alias("status"))
-    grouped = evidence.groupBy(*subject, inclusion().alias("inclusion")).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    rank = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), evm_status(confirmations)).cast("int")
+    order = ["asserted_at", "rank", "canonical_block_hash", "latest_block", "finalized_block", "reverted", *names]
+    block = [*subject, "block_number", "block_hash"]
+    rows = evidence.withColumn("rank", rank).select(*block, *order)
+    in_order = Window.partitionBy(*block).orderBy(*order)
+    before = F.lag(F.struct(*order)).over(in_order)
+    allowed = F.lit(False)  # as ranks, from 1
+    for status, targets in TRANSITIONS.items():
+        if targets:
+            allowed |= (F.col("before.rank") == STATUSES.index(status) + 1) & F.col("rank").isin(*[STATUSES.index(t) + 1 for t in targets])
+    again = F.col("before").eqNullSafe(F.struct(*order))
+    seen = rows.select("*", before.alias("before"), F.lead("rank").over(in_order).isNull().alias("last"))
+    seen = seen.select(*block, *order, "last", again.alias("again"), (F.col("before").isNull() | (F.col("before.rank") == F.col("rank")) | allowed).alias("fits"))
+    seen = seen.withColumn("plain", F.min("fits").over(Window.partitionBy(*block)))
+    status = F.get(F.array(*[F.lit(s) for s in STATUSES]), F.col("rank") - 1)
+    item = F.struct(*order, status.alias("status"))
+    grouped = seen.groupBy(*block).agg(
+        F.min("asserted_at").alias("first"), F.max(F.when(F.col("last"), F.col("rank"))).alias("rank"), F.count_if(~F.col("again")).alias("n"), F.collect_list(F.when(~F.col("plain") & ~F.col("again"), item)).alias("items")
+    )
     rejected = F.array().cast("array<struct<evidence_id:string,status:string,current_status:string>>")
-    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("accepted"), rejected.alias("rejected"))
+    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("accepted"), rejected.alias("rejected"))
 
     def step(acc: Column, x: Column) -> Column:
         fits = acc["status"].isNull() | may_change(acc["status"], x["status"])
         lost = F.struct(x["evidence_id"].alias("evidence_id"), x["status"].alias("status"), acc["status"].alias("current_status"))
         return F.struct(
             F.when(fits, x["status"]).otherwise(acc["status"]).alias("status"),
-            (acc["accepted"] + fits.cast("int")).alias("accepted"),
+            (acc["accepted"] + fits.cast("long")).alias("accepted"),
             F.when(fits, acc["rejected"]).otherwise(F.concat(acc["rejected"], F.array(lost))).alias("rejected"),
         )
 
-    folded = grouped.select(*subject, "inclusion", F.col("items")[0]["asserted_at"].alias("first"), F.aggregate("items", start, step).alias("f"))
-    return folded.select(*subject, "inclusion", "first", "f.*")
+    counted = F.struct(status.alias("status"), F.col("n").cast("long").alias("accepted"), rejected.alias("rejected"))
+    folded = F.when(F.size("items") == 0, counted).otherwise(F.aggregate(F.array_sort("items"), start, step))
+    return grouped.select(*subject, inclusion().alias("inclusion"), "first", folded.alias("f")).select(*subject, "inclusion", "first", "f.*")
 
 
 def timelines(evidence: DataFrame, confirmations: int, subject: list[str] = SUBJECT) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.amounts import exact_sum
+from corvane.operators.attribution import EXACT, TARGET, candidate_id
 from corvane.operators.latest import EVENT_KEYS, joined_set, pick, small
 
 
@@ -110,6 +111,11 @@ def graph_edges(latest: DataFrame, candidates: DataFrame, settlements: DataFrame
     of_settlement = latest.join(paid, key).join(seen("settlement"), ["namespace_id", "settlement_provenance"])
     of_requirement = asked.join(seen("requirement"), "requirement_provenance")
     rows = candidates.join(of_settlement, [*key, "attribution_version"]).join(of_requirement, ["requirement_id", "namespace_id"])
+    return _edges(rows)
+
+
+def _edges(rows: DataFrame) -> DataFrame:
+    """Edges as facts with typed ends, of candidates with all that belongs to their settlement and requirement."""
     known = F.col("buyer_handle_id").isNotNull() & F.col("service_id").isNotNull()
     end = lambda kind, column: F.when(known, F.struct(F.lit(kind).alias("kind"), F.col(column).alias("id")))
     predicate = F.when(known, F.when(F.col("level").isin("verified", "strong"), F.lit("paid_for")).otherwise(F.lit("candidate_for")))
@@ -126,6 +132,23 @@ def graph_edges(latest: DataFrame, candidates: DataFrame, settlements: DataFrame
     )
 
 
+def attribution_edges(latest: DataFrame, settlements: DataFrame, requirements: DataFrame, provenance: DataFrame) -> DataFrame:
+    """The same edges where candidates aren't stored but follow from settlements and requirements.
+
+    What belongs to a settlement or to a requirement - run, level, provenance - is joined to each first; the candidates, which are many,
+    come out of the last join and aren't shuffled again.
+    """
+    key = ["namespace_id", "chain_scope", "settlement_id"]
+    seen_at = provenance.select("namespace_id", "provenance_id", "observed_at")
+    seen = lambda name: seen_at.withColumnsRenamed({"provenance_id": f"{name}_provenance", "observed_at": f"{name}_at"})
+    paid = settlements.select(*key, *EXACT, F.col("requirement_id").alias("explicit_id"), "buyer_handle_id", F.col("provenance_id").alias("settlement_provenance"))
+    paid = paid.join(latest.select(*key, "attribution_version", "match_method", "level").where("level <> 'unknown'"), key).join(seen("settlement"), ["namespace_id", "settlement_provenance"])
+    asked = requirements.select(*TARGET, *EXACT, F.col("provenance_id").alias("requirement_provenance")).join(seen("requirement"), "requirement_provenance")
+    rows = paid.join(asked, [*EXACT, "namespace_id"]).where(F.col("explicit_id").isNull() | (F.col("explicit_id") == F.col("requirement_id")))
+    bps = F.when(F.col("level") == "verified", 10_000).when(F.col("level") == "strong", 8_500).otherwise(5_000)
+    return _edges(rows.select("*", candidate_id().alias("candidate_id"), bps.alias("confidence_bps")))
+
+
 EDGE_ORDER = ["chain_scope", "settlement_id", "attribution_version", "candidate_id"]
 
 

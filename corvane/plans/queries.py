@@ -234,11 +234,10 @@ def _edges(s, d):
     a, r = domain(s, d, "order_settlements"), domain(s, d, "requirements")
     again = F.col("settlement_id").endswith("3") | F.col("settlement_id").endswith("4")
     versions = F.explode(F.when(again, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("attribution_version")
-    key = a.select("namespace_id", "chain_scope", "settlement_id")
-    runs = key.join(attribution.levels(a, r), "settlement_id").select("*", F.col("method").alias("match_method"), versions)
-    seals = runs.where("attribution_version = 1 OR NOT endswith(settlement_id, '3')")
-    found = attribution.candidates(a, r).join(key, "settlement_id").select("*", versions).drop("level")
-    return readmodels.graph_edges(readmodels.latest_sealed(runs, seals), found, a, r, provenance(s, d))
+    key = ["namespace_id", "chain_scope", "settlement_id"]
+    runs = a.select(*key).join(attribution.levels(a, r), "settlement_id").select("*", F.col("method").alias("match_method"), versions)
+    seals = a.select(*key, versions).where("attribution_version = 1 OR NOT endswith(settlement_id, '3')")
+    return readmodels.attribution_edges(readmodels.latest_sealed(runs, seals), a, r, provenance(s, d))
 
 
 def _flat(edges):
