@@ -60,6 +60,31 @@ def test_finality_stream_equals_batch(spark, tmp_path):
     assert seen == {r.canonical_event_id: tuple(r)[1:] for r in finality.timelines(df, 5).collect()}
 
 
+def test_state_by_inclusion_equals_batch_and_reads_its_own_block(spark, tmp_path):
+    from corvane.streaming.finality import ROCKSDB, finality_by_inclusion
+
+    rng = random.Random(6)
+    rows = []
+    for e in range(12):
+        for i in range(rng.randint(1, 8)):
+            b, h = rng.choice([10, 12]), rng.choice(["0xa", "0xb"])
+            rows.append((f"e{e}", f"v{i}", rng.randint(1, 4), b, h, rng.choice([h, "0xz"]), b + rng.randint(0, 9), b - rng.randint(0, 5), rng.random() < 0.2))
+    rng.shuffle(rows)
+    source, seen = str(tmp_path / "in"), {}
+    for part in (rows[::3], rows[1::3], rows[2::3] + rows[:5]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    before = spark.conf.get(ROCKSDB[0], None)
+    spark.conf.set(*ROCKSDB)
+    try:
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        keep = lambda batch, _: seen.update({r.canonical_event_id: tuple(r)[1:] for r in batch.collect()})
+        finality_by_inclusion(stream, 5).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(ROCKSDB[0], before) if before else spark.conf.unset(ROCKSDB[0])
+    want = {r.canonical_event_id: tuple(r)[1:] for r in finality.timelines(spark.createDataFrame(rows, SCHEMA), 5).collect()}
+    assert seen == want and any(r[2] for r in want.values())
+
+
 def test_commits_come_into_view_whole(spark, tmp_path):
     from corvane.streaming import commits
 
