@@ -17,6 +17,11 @@ def field(text: Column) -> Column:
     return F.concat(count(F.octet_length(raw)), raw)
 
 
+def field_of(raw: Column) -> Column:
+    """The length of bytes and the bytes."""
+    return F.concat(count(F.octet_length(raw)), raw)
+
+
 def fields(*texts: Column) -> Column:
     return F.concat(*[field(t) for t in texts])
 

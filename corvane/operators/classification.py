@@ -102,6 +102,14 @@ def label_set_hash(labels: DataFrame) -> DataFrame:
     return rules.select(sha256(F.concat(field(F.lit(LABELS_TAG)), each(F.col("rules"), one))).alias("label_set_hash"))
 
 
+def label_set_hashes(labels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and label_set_hash of each of many rule sets. A rule set is small (1,000 rules at most): it is one array."""
+    rule = F.struct("label_id", F.col("label_version").cast("int").alias("label_version"), "label_kind", "metric", "threshold")
+    one = lambda r: fields(r["label_id"], r["label_version"].cast("string"), r["label_kind"], r["metric"], r["threshold"])
+    sets = labels.groupBy(*keys).agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+    return sets.select(*keys, sha256(F.concat(field(F.lit(LABELS_TAG)), each(F.col("rules"), one))).alias("label_set_hash"))
+
+
 def duplicate_labels(labels: DataFrame) -> DataFrame:
     """Rules that are defined more than once: a label set must have none."""
     return labels.groupBy("label_id", "label_version").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

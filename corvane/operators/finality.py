@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.codec import count, field
+from corvane.functions.codec import count, field, field_of, fields
 
 #: Order of statuses, and to which each may change.
 STATUSES = ["observed", "confirmed", "finalized", "orphaned", "reverted"]
@@ -113,3 +117,75 @@ def timelines(evidence: DataFrame, confirmations: int, subject: list[str] = SUBJ
 def conflicts(evidence: DataFrame, confirmations: int, subject: list[str] = SUBJECT) -> DataFrame:
     """Rejected evidence with its status, and the status that it can't follow."""
     return _by_inclusion(evidence, confirmations, subject).where(F.size("rejected") > 0).select(*subject, F.inline("rejected"))
+
+
+#: Fixed value: what a timeline's bytes begin with.
+TIMELINE_TAG = "agent-economy-finality-v1"
+
+
+def state_hashes(evidence: DataFrame, confirmations: int) -> DataFrame:
+    """canonical_event_id, current_status, n_updates, n_conflicts and state_hash of each event's timeline.
+
+    evidence has the subject (canonical_event_id, chain_scope, transaction_id), source_id, provenance_id, evidence_id, asserted_at (a number) and the
+    columns of evm_status. Rows are sorted within their task and hashed as they pass, so no timeline is gathered; only the bytes of an event's
+    refused evidence, which come last, are held. Rows that repeat count once.
+    """
+    rank = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), evm_status(confirmations)).cast("int")
+    basis = F.concat(inclusion(), field(F.col("canonical_block_hash")), count(F.col("latest_block")), count(F.col("finalized_block")), F.when(F.col("reverted"), F.lit(bytes([1]))).otherwise(F.lit(bytes([0]))))
+    subject, names = ["canonical_event_id", "chain_scope", "transaction_id"], ["source_id", "provenance_id", "evidence_id"]
+    at = F.col("asserted_at").cast("long")
+    said = F.concat(fields(*[F.col(c) for c in (*subject, *names)]), count(at), F.unhex(F.lpad(F.hex(F.col("rank") - 1), 2, "0")), field_of(F.col("basis")))
+    rows = evidence.select(*subject, *names, at.alias("asserted_at"), rank.alias("rank"), inclusion().alias("inclusion"), basis.alias("basis"))
+    key = ["canonical_event_id", "asserted_at", "rank", "basis", *names]
+    ordered = rows.select("*", said.alias("said")).repartition("canonical_event_id").sortWithinPartitions(*key)
+    head = len(TIMELINE_TAG).to_bytes(8, "big") + TIMELINE_TAG.encode() + b"\0" + confirmations.to_bytes(8, "big")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        event, fold, out = None, None, []
+        for batch in batches:
+            for e, a, r, i, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if event is None or e != event:
+                    if fold:
+                        out.append((event, *fold.done()))
+                    event, fold = e, _Timeline(head)
+                fold.take(a, STATUSES[r - 1], i, s)
+            if len(out) >= 5000:
+                yield packed(out)
+                out = []
+        if fold:
+            out.append((event, *fold.done()))
+        if out:
+            yield packed(out)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["canonical_event_id", "current_status", "n_updates", "n_conflicts", "state_hash"])
+
+    return ordered.select("canonical_event_id", "asserted_at", "rank", "inclusion", "said").mapInArrow(run, "canonical_event_id string, current_status string, n_updates bigint, n_conflicts bigint, state_hash string")
+
+
+class _Timeline:
+    """Folds one event's evidence in order while its bytes are hashed."""
+
+    def __init__(self, head: bytes):
+        self.hash, self.refused, self.before = hashlib.sha256(head), [], None
+        self.states: dict[bytes, tuple[str, int]] = {}  # status and first time of each inclusion
+        self.active, self.index, self.status, self.n = None, -1, None, 0
+
+    def take(self, at: int, status: str, inclusion: bytes, said: bytes) -> None:
+        if said == self.before:
+            return
+        self.before = said
+        now, first = self.states.get(inclusion, (None, at))
+        if now is not None and now != status and status not in TRANSITIONS[now]:
+            self.refused.append(b"\0" + said + bytes([STATUSES.index(now)]))
+            return
+        self.hash.update(b"\1" + said)
+        self.states[inclusion] = (status, first)
+        if self.active is None or self.active[1] == inclusion or self.active < (first, inclusion):
+            self.active, self.index, self.status = (first, inclusion), self.n, status
+        self.n += 1
+
+    def done(self) -> tuple[str, int, int, str]:
+        self.hash.update(b"".join(self.refused) + b"\1" + self.index.to_bytes(8, "big"))
+        return self.status, self.n, len(self.refused), self.hash.hexdigest()

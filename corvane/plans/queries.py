@@ -319,6 +319,28 @@ def finality_conflicts(s, d):
     return finality.conflicts(domain(s, d, "evm_evidence"), 12)
 
 
+_H = lambda x: f"printf('%016x', octet_length(encode({x}))) || lower(hex(encode({x})))"
+_N = lambda x: f"printf('%016x', ({x})::BIGINT)"
+_INCL = "'00' || " + _N("block_number") + " || " + _H("block_hash")
+_BASIS = f"{_INCL} || {_H('canonical_block_hash')} || {_N('latest_block')} || {_N('finalized_block')} || CASE WHEN reverted THEN '01' ELSE '00' END"
+_RANK = lambda c: f"list_position(['observed', 'confirmed', 'finalized', 'orphaned', 'reverted'], {c}) - 1"
+
+
+@query(FOLD + f""", b AS (SELECT n.*, f.status AS now, f.said, epoch_ms(n.asserted_at) AS ms, f.status = f.said AS ok FROM (SELECT *, {_BASIS} AS basis FROM numbered) n JOIN folded f ON n.canonical_event_id = f.canonical_event_id AND n.block_number = f.block_number AND n.block_hash = f.block_hash AND n.i = f.i),
+h AS (SELECT *, {_H("canonical_event_id")} || {_H("'base'")} || {_H("'tx-' || canonical_event_id")} || {_H("source_id")} || {_H("provenance_id")} || {_H("evidence_id")} || {_N("ms")} || printf('%02x', {_RANK("said")}) || printf('%016x', length(basis) // 2) || basis AS x,
+  CASE WHEN ok THEN row_number() OVER (PARTITION BY canonical_event_id, ok ORDER BY ms, {_RANK("said")}, basis, source_id, provenance_id, evidence_id) - 1 END AS idx FROM b),
+active AS (SELECT DISTINCT ON (canonical_event_id) canonical_event_id, block_number, block_hash, status FROM ends ORDER BY canonical_event_id, first DESC, block_number DESC, length(block_hash) DESC, block_hash DESC),
+last AS (SELECT h.canonical_event_id, any_value(a.status) AS current_status, max(idx) AS idx FROM h JOIN active a ON h.canonical_event_id = a.canonical_event_id AND h.block_number = a.block_number AND h.block_hash = a.block_hash GROUP BY h.canonical_event_id),
+whole AS (SELECT canonical_event_id, count(*) FILTER (ok) AS n_updates, count(*) FILTER (NOT ok) AS n_conflicts, coalesce(string_agg('01' || x, '' ORDER BY ms, {_RANK("said")}, basis, source_id, provenance_id, evidence_id) FILTER (ok), '') AS u,
+  coalesce(string_agg('00' || x || printf('%02x', {_RANK("now")}), '' ORDER BY ms, {_RANK("said")}, basis, source_id, provenance_id, evidence_id) FILTER (NOT ok), '') AS c FROM h GROUP BY canonical_event_id)
+SELECT w.canonical_event_id, current_status, n_updates, n_conflicts, sha256(unhex({_H(f"'{finality.TIMELINE_TAG}'")} || '00' || {_N("12")} || u || c || '01' || {_N("idx")})) AS state_hash FROM whole w JOIN last l ON w.canonical_event_id = l.canonical_event_id""")
+def timeline_hashes(s, d):
+    """Finality timelines with the hash of their state: updates in order, refused evidence, and which update is current."""
+    ms = F.unix_millis(F.col("asserted_at").cast("timestamp"))
+    rows = domain(s, d, "evm_evidence").withColumns({"chain_scope": F.lit("base"), "transaction_id": F.concat(F.lit("tx-"), "canonical_event_id"), "asserted_at": ms})
+    return finality.state_hashes(rows, 12)
+
+
 FEATURES = """, act AS (SELECT *, epoch(occurred_on)::BIGINT AS occurred_at FROM activities WHERE {0}),
 gaps AS (SELECT subject_id, occurred_at - lag(occurred_at) OVER (PARTITION BY subject_id ORDER BY occurred_at) AS gap FROM act),
 meds AS (SELECT subject_id, list_sort(list(gap)) AS g FROM gaps WHERE gap IS NOT NULL GROUP BY subject_id),
@@ -699,7 +721,7 @@ def classification_batch(s, d):
 
 
 _P = lambda text: f"unhex(printf('%016x', octet_length(encode({text})))) || encode({text})"
-_LABEL_SET = "sha256(" + " || ".join([_P("'aem-label-set-v1'"), f"unhex(printf('%016x', {5}))", *[_P(f"'{x}'") for row in sorted((a, b, c, m, t) for a, b, c, m, t, _ in LABELS) for x in row]]) + ")"
+_LABEL_SET = "sha256(" + " || ".join([_P(f"'{classification.LABELS_TAG}'"), f"unhex(printf('%016x', {5}))", *[_P(f"'{x}'") for row in sorted((a, b, c, m, t) for a, b, c, m, t, _ in LABELS) for x in row]]) + ")"
 
 
 @query(f"SELECT {_LABEL_SET} AS label_set_hash")
@@ -707,6 +729,19 @@ def label_set_hash(s, d):
     return classification.label_set_hash(label_definitions(s))
 
 
+_LABEL = " || ".join(f"hex({_P(x)})" for x in ("label_id", "label_version::VARCHAR", "'core'", "metric", "threshold"))
+
+
+@query(f"""WITH l AS (SELECT o_custkey % 200 AS set_id, 'core:' || o_orderkey % 50 AS label_id, 1 + o_orderkey % 12 AS label_version, o_orderpriority AS metric, o_custkey::VARCHAR AS threshold FROM orders),
+s AS (SELECT set_id, count(*) AS n, string_agg({_LABEL}, '' ORDER BY label_id, label_version, metric, threshold) AS h FROM l GROUP BY set_id)
+SELECT set_id, sha256({_P("'" + classification.LABELS_TAG + "'")} || unhex(printf('%016x', n)) || unhex(h)) AS label_set_hash FROM s""")
+def label_set_versions(s, d):
+    """Hashes of two hundred rule sets made of orders."""
+    o, k = driver_table(s, d, "orders"), F.col("o_orderkey")
+    rules = o.select((F.col("o_custkey") % 200).alias("set_id"), F.concat(F.lit("core:"), k % 50).alias("label_id"), (1 + k % 12).alias("label_version"), F.lit("core").alias("label_kind"), F.col("o_orderpriority").alias("metric"), F.col("o_custkey").cast("string").alias("threshold"))
+    return classification.label_set_hashes(rules, ["set_id"])
+
+
 RUNS = """runs AS (SELECT 'ns-' || (o_custkey % 2) AS namespace_id, 'run-' || (o_orderkey % 500) || '-' || o_custkey AS run_id, (o_orderkey // 500)::BIGINT AS run_version, 'buyer-' || o_custkey AS buyer_handle_id, o_orderdate AS created_at, o_orderkey FROM orders),
 seals AS (SELECT namespace_id, run_id, run_version FROM runs WHERE o_orderkey % 4 <> 0)"""
 

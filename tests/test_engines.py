@@ -325,3 +325,27 @@ def test_private_page_parts_merge(spark):
     got = [r.p for r in spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, t string").orderBy("i").select(evidence.merge_generated(F.col("t"), F.lit("new\n ")).alias("p")).collect()]
     part = f"{b}\nnew\n{e}"
     assert got == [f"{part}\n", f"a\n\n{part}\n", f"a\n\n{part}\n", f"a\n\n{part}\n", f"x{part}y", None, None]
+
+
+def test_timeline_hashes_commit_to_evidence_in_any_order(spark):
+    rng = random.Random(7)
+    columns = "canonical_event_id string, chain_scope string, transaction_id string, source_id string, provenance_id string, evidence_id string, asserted_at long, block_number long, block_hash string, canonical_block_hash string, latest_block long, finalized_block long, reverted boolean"
+    rows = [(f"e{i % 5}", "base", f"t{i % 5}", "s", "p", f"v{i}", rng.randint(1, 4), rng.choice([10, 12]), "0xa", rng.choice(["0xa", "0xa", "0xzz"]), 10 + rng.randint(2, 30), rng.randint(1, 14), rng.random() < 0.2) for i in range(60)]
+    hashes = lambda r, n=5: {x.canonical_event_id: tuple(x)[1:] for x in finality.state_hashes(spark.createDataFrame(r, columns), n).collect()}
+    want = hashes(rows)
+    turned = rows[::-1] + rows[:7]
+    rng.shuffle(turned)
+    assert hashes(turned) == want and any(w[2] for w in want.values())
+    assert {e: w[:3] for e, w in want.items()} == {r.canonical_event_id: tuple(r)[1:] for r in finality.timelines(spark.createDataFrame(rows, columns), 5).collect()}
+    assert hashes(rows, 6)["e0"][3] != want["e0"][3], "the policy counts"
+    other = hashes([(*rows[0][:5], "other", *rows[0][6:]), *rows[1:]])
+    assert other["e0"][3] != want["e0"][3] and {e: w for e, w in other.items() if e != "e0"} == {e: w for e, w in want.items() if e != "e0"}
+    one = rows[0]
+    text = lambda t: len(t.encode()).to_bytes(8, "big") + t.encode()
+    number = lambda n: n.to_bytes(8, "big")
+    basis = b"\0" + number(one[7]) + text(one[8]) + text(one[9]) + number(one[10]) + number(one[11]) + bytes([one[12]])
+    status = spark.createDataFrame([one], columns).select(finality.evm_status(5).alias("s")).first().s
+    said = b"".join(text(c) for c in one[:6]) + number(one[6]) + bytes([finality.STATUSES.index(status)]) + number(len(basis)) + basis
+    raw = text(finality.TIMELINE_TAG) + b"\0" + number(5) + b"\1" + said + b"\1" + number(0)
+    assert hashes([one]) == {"e0": (status, 1, 0, hashlib.sha256(raw).hexdigest())}
+    assert hashes([]) == {}
