@@ -167,6 +167,17 @@ def search_ilike(s, d):
     return _joined(latest.page(latest.search(readmodels.scoped(_facts(s, d), "ns-1"), "a%1"), ["kind", "id"], None, 100))
 
 
+@query(f"SELECT * FROM ({FACTS}) WHERE namespace_id = 'ns-1' AND kind IN ('buyer', 'service') AND (id ILIKE '%YER-1%5%' OR label ILIKE '%YER-1%5%')")
+def search_indexed(s, d):
+    """The facts of a namespace that hold a needle, by a trigram index made of all facts."""
+    from corvane.operators import search
+    from corvane.sources.storage import shared_dir
+
+    path = shared_dir(s)
+    search.build(_facts(s, d), path)
+    return _joined(search.find(s, path, "YER-1%5", "ns-1"))
+
+
 @query(f"SELECT id, sha256(to_json({{'id': id, 'kind': kind, 'label': label, 'value': value}})::VARCHAR) AS etag FROM ({FACTS}) WHERE kind = 'service'")
 def fact_etags(s, d):
     return _facts(s, d).where("kind = 'service'").select("id", latest.etag("id", "kind", "label", "value").alias("etag"))
