@@ -143,6 +143,19 @@ def classify(activities: DataFrame, labels: DataFrame, start: int, end: int, ver
     return rows.withColumn("state_hash", sha256(F.concat(head, each(F.col("claims"), one))))
 
 
+def drift_of_batches(baseline: DataFrame, replay: DataFrame) -> DataFrame:
+    """What changed between two results of `classify` over one window, for subjects that are in both.
+
+    subject_id, input_changed (whether other activities were seen), labels that came and went, how many, and both state hashes.
+    """
+    names = lambda claims: F.transform(claims, lambda c: F.concat(c["label_id"], F.lit("@"), c["label_version"].cast("string")))
+    side = lambda run, mark: run.select("subject_id", F.col("input_hash").alias(f"{mark}_input"), F.col("state_hash").alias(f"{mark}_state_hash"), names(F.col("claims")).alias(mark))
+    both = side(baseline, "old").join(side(replay, "new"), "subject_id")
+    hashes = both.select("subject_id", (F.col("old_input") != F.col("new_input")).alias("input_changed"), F.col("old_state_hash").alias("baseline_state_hash"), F.col("new_state_hash").alias("replay_state_hash"), "old", "new")
+    added, removed = F.array_sort(F.array_except("new", "old")), F.array_sort(F.array_except("old", "new"))
+    return hashes.select("subject_id", "input_changed", F.array_join(added, ",").alias("added"), F.array_join(removed, ",").alias("removed"), (F.size(added) + F.size(removed)).cast("long").alias("churn"), "baseline_state_hash", "replay_state_hash")
+
+
 def baseline_runs(runs: DataFrame, seals: DataFrame) -> DataFrame:
     """The run each buyer starts with: of sealed runs the earliest series, in its newest version."""
     key = ["namespace_id", "run_id", "run_version"]

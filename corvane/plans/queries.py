@@ -405,6 +405,20 @@ def drift(s, d):
     return classification.drift_of_runs(classification.claims(classification.features(_activities(s, d).select("*", runs), keys), label_definitions(s), keys))
 
 
+@query(sql("activities labels_def", _renamed(FEATURES.format("true") + CLAIMS, "_b") + _renamed(FEATURES.format("replayed") + CLAIMS, "_r") + """
+, twice AS (SELECT subject_id, bool_or(NOT replayed) AS input_changed FROM activities GROUP BY subject_id HAVING bool_or(replayed)),
+paired AS (SELECT coalesce(b.subject_id, r.subject_id) AS subject_id, b.k AS old_k, r.k AS new_k FROM (SELECT subject_id, label_id || '@' || label_version AS k FROM claims_b) b
+  FULL JOIN (SELECT subject_id, label_id || '@' || label_version AS k FROM claims_r) r ON b.subject_id = r.subject_id AND b.k = r.k)
+SELECT s.subject_id, any_value(input_changed) AS input_changed, coalesce(string_agg(new_k, ',' ORDER BY new_k) FILTER (old_k IS NULL), '') AS added, coalesce(string_agg(old_k, ',' ORDER BY old_k) FILTER (new_k IS NULL), '') AS removed,
+  count(*) FILTER ((old_k IS NULL) <> (new_k IS NULL)) AS churn, any_value(input_changed) AS state_changed FROM twice s LEFT JOIN paired p ON p.subject_id = s.subject_id GROUP BY s.subject_id"""))
+def drift_hashes(s, d):
+    """Drift between classifications of all activities and of the replayed ones: other input or labels give another state."""
+    acts, labels = _activities(s, d), label_definitions(s)
+    run = lambda rows: classification.classify(rows, labels, 0, 1 << 40)
+    found = classification.drift_of_batches(run(acts), run(acts.where("replayed")))
+    return found.select("subject_id", "input_changed", "added", "removed", "churn", (F.col("baseline_state_hash") != F.col("replay_state_hash")).alias("state_changed"))
+
+
 @query(sql("order_settlements requirements", CANDIDATES + """SELECT c.settlement_id AS claim_id, coalesce(string_agg(e, ',' ORDER BY e) FILTER (role = 'supporting'), '') AS supporting, coalesce(string_agg(e, ',' ORDER BY e) FILTER (role = 'conflicting'), '') AS conflicting
 FROM order_settlements c LEFT JOIN (SELECT settlement_id, requirement_evidence AS e, CASE WHEN level = 'weak' THEN 'conflicting' ELSE 'supporting' END AS role FROM cand) x ON c.settlement_id = x.settlement_id GROUP BY c.settlement_id"""))
 def claims_evidence(s, d):
