@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.base import Scratch, shared_dir, sized, slices, table, utf8
+from corvane.llm.base import Scratch, on_exit, shared_dir, sized, slices, table, utf8
 from corvane.llm.bpe import Bpe, default_vocabulary
 
 #: The id after each document, longest code word in bits, ids between checkpoints, ids of a block (a longer document is one block).
@@ -411,7 +411,7 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
 
 def op12_token_files(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path = shared_dir(spark)
+    path = on_exit(spark, shared_dir(spark))
     write(docs, path)
     rows = read(spark, path, docs.schema["doc_id"].dataType.simpleString())
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
