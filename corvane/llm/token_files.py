@@ -33,7 +33,7 @@ END_ID, LIMIT, STRIDE, BLOCK_IDS = 1, 20, 64, 1 << 16
 MAGIC = b"CVTOK1\0\0"
 HEADER = struct.Struct("<8sIIIIQ")
 #: Words that the library gets at a time, pieces that a worker remembers before it starts anew, bytes of text coded at a time (or one text).
-JOINED, HELD, SLICE = 100, 1_000_000, 2 << 20
+JOINED, HELD, SLICE = 100, 1_000_000, 8 << 20
 #: Marks that end a piece and are a word of their own after letters.
 MARKS = frozenset(".,;:!?")
 #: Ids of a piece, which begins at a byte; ids that are coded and decoded together; bytes of code meant for a task.
@@ -90,14 +90,15 @@ class LibraryBpe(Bpe):
         pieces = pc.utf8_split_whitespace(pa.array(["" if i in odd else self.normal(t) for i, t in enumerate(texts)], pa.large_string()))
         at = pieces.offsets.to_numpy()
         told = pieces.flatten().dictionary_encode()
-        codes, names = told.indices.to_numpy(zero_copy_only=False), told.dictionary.to_pylist()
-        known[""] = b""
-        new = {p: [p] if p.isalpha() else [p[:-1], p[-1]] if p[-1] in MARKS and p[:-1].isalpha() else self.split(p) for p in names if p not in known}
-        self.learn(list({w: None for words in new.values() for w in words if w not in known}))
-        for p, words in new.items():
-            if len(words) != 1:
-                known[p] = b"".join([known[w] for w in words])
-        said = [known[p] for p in names]
+        codes, names = told.indices.to_numpy(zero_copy_only=False), _listed(told.dictionary)
+        said = list(map(known.get, names))
+        new = {p: _parts(p, self.split) for p, ids in zip(names, said, strict=True) if ids is None}
+        if new:
+            self.learn(list({w: None for words in new.values() for w in words if w not in known}))
+            for p, words in new.items():
+                if len(words) != 1:
+                    known[p] = b"".join([known[w] for w in words])
+            said = list(map(known.__getitem__, names))
         sizes = np.fromiter(map(len, said), np.int64, len(said)) // 4
         starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(said), "<u4")
         per = sizes[codes]
@@ -113,6 +114,20 @@ class LibraryBpe(Bpe):
         return found, counts
 
 
+def _listed(pieces: pa.Array) -> list[str]:
+    """Pieces without white space as a list, made in one go."""
+    if not len(pieces):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces.cast(pa.string())), " ")[0].as_py().split(" ")
+
+
+def _parts(piece: str, split) -> list[str]:
+    """The words of a piece; letters, and letters before a mark, need no pattern."""
+    if piece.isalpha() or not piece:
+        return [piece]
+    return [piece[:-1], piece[-1]] if piece[-1] in MARKS and piece[:-1].isalpha() else split(piece)
+
+
 @cache
 def library(path: str) -> LibraryBpe:
     return LibraryBpe(path)
