@@ -1010,7 +1010,7 @@ def evidence_verification(s, d):
     rows = kept.select("*", F.concat(m("ev-"), k).alias("evidence_id")).unionByName(kept.where("k % 353 = 3").select("*", F.concat(m("again-"), k).alias("evidence_id")))
     said = F.concat(m('{"x402Version":'), F.when(k % 241 == 23, 3).otherwise(2), m(',"accepts":[{"scheme":"exact","network":"base","amount":"'), k, m('","asset":"0xa","payTo":"0xp"}]}'))
     coded = F.replace(F.base64(F.encode(said, "UTF-8")), m("\r\n"), m(""))
-    inputs = F.concat(m(',"agentEconomyProtocolEvidence":[{"height":'), F.col("height") + (k % 229 == 13).cast("int"), m(',"kind":"x402_well_known","context":"https://s/'), k, m('","evidence_base64":"'), coded, m('"}]'))
+    inputs = F.concat(m(f',"{verification.INPUTS}":[{{"height":'), F.col("height") + (k % 229 == 13).cast("int"), m(',"kind":"x402_well_known","context":"https://s/'), k, m('","evidence_base64":"'), coded, m('"}]'))
     body = F.encode(F.concat(m('{"jsonrpc":"2.0",'), F.when(k % 227 == 11, m('"jsonrpc":"2.0",')).otherwise(m("")), m('"id":1,"result":{"number":"0x0"'), F.when(k % 3 == 0, inputs).otherwise(m("")), m("}}")), "UTF-8")
     chain = number(F.when(k % 223 == 9, 9).otherwise(2), 1)
     raw = F.concat(m(evidence.RPC_MAGIC), chain, number(F.col("height"), 8), number(m(200), 2), number(m(0), 4), number(m(0), 1), number(m(0), 8), number(F.octet_length(body), 4), body)
