@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.storage import stored
+
 #: Ranges that rows are dealt to for each shuffle partition of the session.
 RANGES = 1
 
@@ -61,7 +63,7 @@ def prefix_sums(rows: DataFrame, key: str, order: str, values: Sequence[str]) ->
 
     key is a text that isn't null, order and values are whole numbers. Of rows with equal key and order any may come first.
     """
-    local = _local(rows, key, order, values)
+    local = stored(_local(rows, key, order, values))  # both uses must see the same ranges, which are cut by a sample
     totals = [f"{c}_sum" for c in values]
     ends = local.groupBy(key, "__part").agg(F.max_by(F.struct(F.col(order).cast("long").alias("__last"), *totals), "__n").alias("e"))
     earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task that the key is in

@@ -73,11 +73,11 @@ def broken_runs(heights: DataFrame, runs: DataFrame) -> DataFrame:
     return steps.unionByName(ends.select("run_id", F.inline(wrong)))
 
 
-def verify(objects: DataFrame, runs: DataFrame, recorded: DataFrame) -> DataFrame:
+def verify(objects: DataFrame, runs: DataFrame, recorded: DataFrame, most: int | None = MOST) -> DataFrame:
     """run_id, evidence_id, problem, low, high: all that is wrong with runs, whose rows must be none for a run to be verified.
 
     objects as in checked, runs as in broken_runs, recorded (run_id, evidence_id, observation_hash): what the collection said it saw. An observation
-    that is seen and not recorded, or the other way round, counts as often as it is.
+    that is seen and not recorded as often, or the other way round, is one row; a refused input is a row each time. most: observations that a run may have, None for any number.
     """
     found = stored(checked(objects))  # without contents: read once, looked at by each adapter
     at = F.col("height").cast("long")
@@ -88,8 +88,9 @@ def verify(objects: DataFrame, runs: DataFrame, recorded: DataFrame) -> DataFram
     sides = said.unionByName(recorded.select(*key[:3], F.lit(None).cast("string").alias("reason"), none.alias("at"), F.lit(-1).alias("n")))
     differ = sides.groupBy(*key).agg(F.sum("n").alias("n"), F.max("at").alias("at")).where("n <> 0")
     name = F.when(F.col("reason").isNotNull(), F.concat(F.lit("input: "), "reason")).when(F.col("n") > 0, "observation not recorded").otherwise("observation not seen")
-    unequal = differ.select("run_id", "evidence_id", name.alias("problem"), F.col("at").alias("low"), F.col("at").alias("high"))
-    many = recorded.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).select("run_id", F.lit(None).cast("string").alias("evidence_id"), F.lit("too many observations").alias("problem"), none.alias("low"), F.col("n").alias("high"))
+    times = F.when(F.col("reason").isNotNull(), F.col("n").cast("int")).otherwise(1)
+    unequal = differ.withColumn("time", F.explode(F.sequence(F.lit(1), times))).select("run_id", "evidence_id", name.alias("problem"), F.col("at").alias("low"), F.col("at").alias("high"))
+    many = recorded.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).where(F.lit(False) if most is None else F.col("n") > most).select("run_id", F.lit(None).cast("string").alias("evidence_id"), F.lit("too many observations").alias("problem"), none.alias("low"), F.col("n").alias("high"))
     steps = broken_runs(objects.select("run_id", "height"), runs).select("run_id", F.lit(None).cast("string").alias("evidence_id"), "problem", "low", "high")
     return bytes_.unionByName(unequal).unionByName(many).unionByName(steps)
 
