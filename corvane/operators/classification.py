@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,11 +105,37 @@ def label_set_hash(labels: DataFrame) -> DataFrame:
 
 
 def label_set_hashes(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and label_set_hash of each of many rule sets. A rule set is small (1,000 rules at most): it is one array."""
-    rule = F.struct("label_id", F.col("label_version").cast("int").alias("label_version"), "label_kind", "metric", "threshold")
-    one = lambda r: fields(r["label_id"], r["label_version"].cast("string"), r["label_kind"], r["metric"], r["threshold"])
-    sets = labels.groupBy(*keys).agg(F.array_sort(F.collect_list(rule)).alias("rules"))
-    return sets.select(*keys, sha256(F.concat(field(F.lit(LABELS_TAG)), each(F.col("rules"), one))).alias("label_set_hash"))
+    """keys and label_set_hash of each of many rule sets of any size: rules are sorted within their task and hashed as they pass."""
+    rule = ["label_id", "label_version", "label_kind", "metric", "threshold"]
+    rows = labels.select(*keys, F.col("label_version").cast("int").alias("label_version"), *[c for c in rule if c != "label_version"])
+    rows = rows.select("*", F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("__n"), fields(*[F.col(c) for c in rule]).alias("__said"))
+    ordered = rows.sortWithinPartitions(*keys, *rule).select(*keys, "__n", "__said")
+    head = len(LABELS_TAG).to_bytes(8, "big") + LABELS_TAG.encode()
+    schema = ", ".join(f"`{c}` {labels.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest = None, None
+        for batch in batches:
+            done = []
+            for *mine, n, said in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if mine != key:
+                    if key is not None:
+                        done.append((*key, digest and digest.hexdigest()))
+                    key, digest = mine, hashlib.sha256(head + n.to_bytes(8, "big"))
+                if said is None:  # a rule without a value has no bytes, and its set no hash
+                    digest = None
+                elif digest:
+                    digest.update(said)
+            kinds = [*(c.type for c in batch.columns[:-2]), pa.string()]
+            if done:
+                yield packed(done, kinds)
+        if key is not None:
+            yield packed([(*key, digest and digest.hexdigest())], kinds)
+
+    def packed(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*keys, "label_set_hash"])
+
+    return ordered.mapInArrow(run, f"{schema}, label_set_hash string")
 
 
 def duplicate_labels(labels: DataFrame) -> DataFrame:
