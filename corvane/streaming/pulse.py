@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.amounts import LIMB, LIMBS
 from corvane.operators.latest import EVENT_KEYS, joined_set
+from corvane.sources.storage import stored
 from corvane.streaming.commits import commit, committed
 
 CELL = ["namespace_id", "hour", "protocol", "chain_scope", "asset"]
@@ -26,8 +27,8 @@ SEEN = f"{_CELL}, kind string, id string, n long"
 
 
 def _final(settlements: DataFrame, updates: DataFrame) -> DataFrame:
-    now = updates.groupBy(*EVENT_KEYS).agg(F.max_by("finality_status", "finality_sequence").alias("status"))
-    return settlements.join(now.where("status = 'finalized'").select(*EVENT_KEYS), EVENT_KEYS, "left_semi")
+    now = updates.groupBy(*EVENT_KEYS).agg(F.max_by(F.col("finality_status") == "finalized", "finality_sequence").alias("final"))  # of fixed width: by hash
+    return settlements.join(now.where("final").select(*EVENT_KEYS), EVENT_KEYS, "left_semi")
 
 
 def _contributions(rows: DataFrame, sign: int) -> DataFrame:
@@ -39,7 +40,7 @@ def _contributions(rows: DataFrame, sign: int) -> DataFrame:
 
 def deltas(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     """DELTAS and SEEN of what finalized settlements were and are; cells and ids that come out even aren't listed."""
-    both = _contributions(before, -1).unionByName(_contributions(after, 1))
+    both = stored(_contributions(before, -1).unionByName(_contributions(after, 1)))  # cells and ids both come from it
     cells = both.groupBy(*CELL).agg(F.sum("n").alias("settlement_count"), *[F.sum(c).cast("decimal(38,0)").alias(c) for c in LIMB_NAMES])
     ids = both.select(*CELL, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("id")) for k, c in (("buyer", "buyer_handle_id"), ("provenance", "provenance_id"))])).alias("x"))
     seen = ids.where("x.id IS NOT NULL").groupBy(*CELL, "x.kind", "x.id").agg(F.sum("n").alias("n")).where("n <> 0")
@@ -61,11 +62,12 @@ def apply_batch(root: str, batch_id: str, settlements: DataFrame, updates: DataF
     at = commits.cursor(spark, root, "pulse")
     names = lambda schema: [f.split()[0] for f in schema.split(", ")]
     key = ["namespace_id", "chain_scope", "settlement_id"]
-    stored, known = committed(spark, root, "settlements", SETTLEMENTS).drop("batch_id"), committed(spark, root, "updates", UPDATES).drop("batch_id")
-    mine = settlements.select(*names(SETTLEMENTS)).dropDuplicates(key).join(stored.select(*key), key, "left_anti").select(*names(SETTLEMENTS))
+    kept, known = committed(spark, root, "settlements", SETTLEMENTS).drop("batch_id"), committed(spark, root, "updates", UPDATES).drop("batch_id")
+    mine = settlements.select(*names(SETTLEMENTS)).dropDuplicates(key).join(kept.select(*key), key, "left_anti").select(*names(SETTLEMENTS))
+    mine = stored(mine)  # written and compared
     said = updates.select(*names(UPDATES)).distinct()
     touched = settlements.select(*EVENT_KEYS).union(said.select(*EVENT_KEYS)).distinct()
-    was, had = stored.join(touched, EVENT_KEYS, "left_semi"), known.join(touched, EVENT_KEYS, "left_semi")
+    was, had = kept.join(touched, EVENT_KEYS, "left_semi"), known.join(touched, EVENT_KEYS, "left_semi")
     cells, seen = deltas(_final(was, had), _final(was.unionByName(mine), had.unionByName(said)))
     return commit(root, batch_id, {"settlements": mine, "updates": said, "deltas": cells, "seen": seen}, move=("pulse", at, batch_id))
 
