@@ -9,15 +9,15 @@
    costs a row per task, never pairs. What hangs together is a neighbourhood.
    Shingles of very many classes are counted beforehand and aren't shuffled; they come last in order.
 3. Inside a neighbourhood a T-occurrence search finds the links: the short inverted lists of a
-   query are merged by a heap, the long ones probed by binary search (DivideSkip), and what reaches
-   the required overlap is a link. Classes that already hang together aren't compared again.
+   query are merged by counting, the long ones probed - the longest in bitmaps, the others by binary search -
+   (DivideSkip), and what reaches the required overlap is a link. Classes that already hang together aren't compared again.
    Large neighbourhoods are dealt to blocks by size and a salt, each with a hub of its sizes; only classes
-   outside the neighbourhood's main group are then searched for in the blocks of sizes they can link with.
+   outside the neighbourhood's main group are then searched for in the blocks of sizes they can link with, among the
+   classes at home there: those that ask in a block don't meet each other in every block.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
@@ -35,6 +35,8 @@ from corvane.llm.graph import components
 BLOCK, BLOCK_SHINGLES, TOGETHER = 600, 1 << 20, 300
 #: Entries of inverted lists read and merged at once.
 MERGED = 1 << 18
+#: Sets probed in the long lists at once.
+PROBED = 1 << 10
 #: Pieces, a power of two, in which the ties of a task are made.
 PIECES = 8
 #: Shingles of classes handled in one task, and dealt out or counted at once.
@@ -95,86 +97,87 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
-def overlap_needed(a: int, b: int, percent: int) -> int:
-    """Least intersection of sets of sizes a and b at which 100 * intersection >= percent * union."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
-def _read_lists(posting: np.ndarray, begin: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The wanted entries of the lists, and the number of the list of each; MERGED or so are read at once."""
-    docs, of = [], []
+def _merged(posting: np.ndarray, begin: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """In how many of the lists each of n sets is; MERGED or so entries are merged at once."""
+    times = np.zeros(n, np.int64)
     chunk = np.cumsum(size) // MERGED
     for i in np.split(np.arange(len(size)), np.flatnonzero(np.diff(chunk)) + 1):
-        n = size[i]
-        found = posting[np.repeat(begin[i] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        hit = wanted[found]
-        docs.append(found[hit])
-        of.append(np.repeat(i.astype(np.int32), n)[hit])
-    return np.concatenate(docs), np.concatenate(of)
+        m = size[i]
+        if total := int(m.sum()):
+            times += np.bincount(posting[np.repeat(begin[i] - (np.cumsum(m) - m), m) + np.arange(total)], minlength=n)
+    return times
 
 
-def t_occurrence(tokens: np.ndarray, sizes: np.ndarray, labels: np.ndarray, asks: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def t_occurrence(tokens: np.ndarray, sizes: np.ndarray, labels: np.ndarray, asks: np.ndarray, percent: int, targets: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between sets, enough of them to join what hangs together.
 
     tokens: the sets one after the other, of sizes tokens each. labels: what hangs together already (such sets aren't compared); asks: which sets are queries.
+    targets: which sets are searched for, all if not given; two queries that aren't targets don't meet.
     """
     n = len(sizes)
+    targets = np.ones(n, bool) if targets is None else targets
+    target, place = np.flatnonzero(targets), np.cumsum(targets, dtype=np.int32) - 1
+    n_targets, target_sizes = len(target), sizes[target]
     order = np.argsort(tokens, kind="stable").astype(np.int32)
     new = np.ones(len(tokens), bool)
     new[1:] = tokens[order[1:]] != tokens[order[:-1]]
+    number = np.cumsum(new, dtype=np.int32) - 1
     token_id = np.empty(len(tokens), np.int32)
-    token_id[order] = np.cumsum(new, dtype=np.int32) - 1
-    begin = np.flatnonzero(new)
-    lengths = np.diff(np.append(begin, len(tokens)))
+    token_id[order] = number
     posting = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]  # lists one after the other, each in the order of the sets
-    del order
-    codes = np.cumsum(new) * n - n + posting
+    listed = targets[posting]
+    posting, number = place[posting[listed]], number[listed]
+    lengths = np.bincount(number, minlength=int(new.sum()))
+    begin = np.cumsum(lengths) - lengths
+    del order, new, listed
+    # long lists, of a sixteenth of the targets or more, as bitmaps: at most sixteen bytes for each token
+    row = np.full(len(lengths), -1, np.int32)
+    wide = np.flatnonzero(lengths * 16 >= max(n_targets, 16))
+    row[wide] = np.arange(len(wide), dtype=np.int32)
+    bitmap = np.zeros((len(wide), n_targets), bool)
+    of_wide = row[number] >= 0
+    bitmap[row[number[of_wide]], posting[of_wide]] = True
+    codes = number.astype(np.int64) * n_targets + posting
     at = np.cumsum(sizes) - sizes
     labels = labels.copy()
     members: dict[int, list[int]] = {}
     for i, x in enumerate(labels.tolist()):
         members.setdefault(x, []).append(i)
-    asked = np.zeros(n, bool)
+    open_ = np.ones(n_targets, bool)
     links = []
     for q in np.argsort(-sizes, kind="stable").tolist():
         if not asks[q] or not sizes[q]:
             continue
-        asked[q] = True
+        if targets[q]:
+            open_[place[q]] = False
         mine = token_id[at[q] : at[q] + sizes[q]]
-        mine = mine[lengths[mine] > 1]
+        mine = mine[lengths[mine] > int(targets[q])]  # its own entry ties nothing
         least = -(-percent * int(sizes[q]) // 100)
         if len(mine) < least:
             continue
+        # a target that asked has met the other targets already
+        wanted = (open_ if targets[q] else True) & (labels[target] != labels[q]) & (target_sizes * 100 >= percent * sizes[q]) & (target_sizes * percent <= 100 * sizes[q])
+        if not wanted.any():
+            continue
         mine = mine[np.argsort(lengths[mine], kind="stable")]
         n_long = min(least - 1, int(least / (0.01 * math.log2(max(2, int(lengths[mine[-1]]))) + 1)))
         short, long = mine[: len(mine) - n_long], mine[len(mine) - n_long :]
-        wanted = (labels != labels[q]) & ~asked & (sizes * 100 >= percent * sizes[q]) & (sizes * percent <= 100 * sizes[q])
-        if not wanted.any():
+        seen = _merged(posting, begin[short], lengths[short], n_targets)
+        near = np.flatnonzero(wanted & (seen >= least - n_long))
+        if not len(near):
             continue
-        docs, of = _read_lists(posting, begin[short], lengths[short], wanted)
-        enough, found = least - n_long, []
-        often = np.bincount(docs, minlength=n) >= enough  # sets in fewer short lists needn't enter the heap
-        docs, of = docs[often[docs]], of[often[docs]]
-        window = np.cumsum(np.bincount(docs, minlength=n)) // MERGED  # sets merged at once
-        for w in range(int(window[-1]) + 1) if len(docs) else ():
-            mine_now = window[docs] == w
-            d_now, l_now = docs[mine_now], of[mine_now]
-            run, last = 0, -1
-            for d in heapq.merge(*[p.tolist() for p in np.split(d_now, np.flatnonzero(np.diff(l_now)) + 1)]):
-                if d != last:
-                    if run >= enough:
-                        found.append((last, run))
-                    last, run = d, 0
-                run += 1
-            if run >= enough:
-                found.append((last, run))
-        for d, seen in found:
-            if labels[d] == labels[q]:
-                continue
-            probe = long.astype(np.int64) * n + d  # in 32 bits, as token_id is, it would wrap
-            hits = np.searchsorted(codes, probe)
-            both = seen + int((codes[np.minimum(hits, len(codes) - 1)] == probe).sum())
-            if both >= overlap_needed(int(sizes[q]), int(sizes[d]), percent):
+        in_bitmap, others = row[long[row[long] >= 0]], long[row[long] < 0].astype(np.int64)
+        for d_now in np.split(near, range(PROBED, len(near), PROBED)):
+            both = seen[d_now]
+            if len(in_bitmap):
+                both = both + bitmap[np.ix_(in_bitmap, d_now)].sum(axis=0)
+            if len(others) and len(codes):
+                probe = others[:, None] * n_targets + d_now
+                both = both + (codes[np.minimum(np.searchsorted(codes, probe), len(codes) - 1)] == probe).sum(axis=0)
+            enough = 100 * both >= percent * (int(sizes[q]) + target_sizes[d_now] - both)
+            for d in target[d_now[enough]].tolist():
+                if labels[d] == labels[q]:
+                    continue
                 links.append((q, d))
                 x, y = int(labels[q]), int(labels[d])
                 if len(members[x]) < len(members[y]):
@@ -449,13 +452,14 @@ LINK = "a binary, b binary"
 
 
 def _search(rows: DataFrame, percent: int) -> DataFrame:
-    """Links found in each group (columns g1, g2) of rows (node, label, asks, shingles)."""
+    """Links found in each group (columns g1, g2) of rows (node, label, asks, home, shingles): of each that asks with those at home there."""
 
     def run(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy(zero_copy_only=False)
+        asks, home = (t.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "home"))
         nodes = np.array(t.column("node").to_pylist(), dtype=object)
         labels = np.array(t.column("label").to_pylist(), dtype=object)
         kept: dict[bytes, int] = {}
+        at_home = set(nodes[home])
         for i, node in enumerate(nodes):  # a class that asks stands for itself
             if node not in kept or asks[i] and not asks[kept[node]]:
                 kept[node] = i
@@ -466,9 +470,10 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
         data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
         ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] // 8
         tokens = np.frombuffer(data.buffers()[2], np.uint64, int(ends[-1]))[int(ends[0]) :]
+        home = np.array([node in at_home for node in nodes], bool)
         number: dict[bytes, int] = {}
         small = np.array([number.setdefault(x, len(number)) for x in labels], np.int64)
-        links = t_occurrence(tokens, np.diff(ends), small, asks, percent)
+        links = t_occurrence(tokens, np.diff(ends), small, asks, percent, home)
         return pa.table({"a": pa.array([nodes[a] for a, _ in links], pa.binary()), "b": pa.array([nodes[b] for _, b in links], pa.binary())})
 
     return rows.groupBy("g1", "g2").applyInArrow(run, LINK)
@@ -492,7 +497,7 @@ def _placed(docs: DataFrame, wanted: DataFrame, n_wanted: int, size: int) -> Dat
 
 def _links(placed: DataFrame, large: DataFrame, n_large: int, buckets: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) inside the neighbourhoods of placed, enough of them to join what hangs together."""
-    row = [F.col("node").alias("label"), F.lit(True).alias("asks"), "shingles"]
+    row = [F.col("node").alias("label"), F.lit(True).alias("asks"), F.lit(True).alias("home"), "shingles"]
     few = F.pmod(F.xxhash64("area"), F.lit(buckets)).alias("g2")
     if not n_large:
         return scratch.stored(_search(placed.select(F.lit(0).cast("long").alias("g1"), few, "node", *row), percent))
@@ -518,8 +523,8 @@ def _links(placed: DataFrame, large: DataFrame, n_large: int, buckets: int, perc
     # who isn't in the main group asks in every block of sizes it can link with
     asked = outside.join(blocks, (F.col("area") == F.col("large_area")) & F.abs(F.col("large_kind") - F.col("own_kind")).between(0, 1))
     asked = asked.select("node", "area", "shingles", "label", F.col("large_kind").alias("kind"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    asking = asked.select(*group, "label", F.lit(True).alias("asks"), "shingles")
-    members = labelled.withColumn("salt", salt).select(*group, "label", F.lit(False).alias("asks"), "shingles")
+    asking = asked.select(*group, "label", F.lit(True).alias("asks"), F.lit(False).alias("home"), "shingles")
+    members = labelled.withColumn("salt", salt).select(*group, "label", F.lit(False).alias("asks"), F.lit(True).alias("home"), "shingles")
     wanted = asking.select("g1", "g2").distinct()
     second = _search(members.join(wanted, ["g1", "g2"], "left_semi").unionByName(asking), percent)
     return scratch.stored(first.unionByName(second))
