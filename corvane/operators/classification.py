@@ -21,26 +21,28 @@ def median_gaps(activities: DataFrame, keys: Sequence[str] = ("subject_id",)) ->
     return features(activities, keys).select(*keys, "median_cadence_seconds").where("median_cadence_seconds IS NOT NULL")
 
 
-def features(activities: DataFrame, keys: Sequence[str] = ("subject_id",)) -> DataFrame:
-    """METRICS of each subject (each value of keys), in one shuffle.
+def features(activities: DataFrame, keys: Sequence[str] = ("subject_id",), tasks: int | None = None) -> DataFrame:
+    """METRICS of each subject (each value of keys), in one shuffle to `tasks` tasks: the session's number, or one of latest.dealt_tasks.
 
     Gaps between payments and their ranks come from windows over the subject's payments, which share its shuffle
     and spill; of an even number of gaps the two middle ones count, half way down.
     """
-    x402, seen = F.col("protocol") == "x402", F.col("autonomy") != "unknown"
+    said = {"x402": F.col("protocol") == "x402", "agent": F.col("autonomy") == "verified_agent", "seen": F.col("autonomy") != "unknown"}
+    rows = activities.select(*keys, "occurred_at", "amount_atomic", "counterparty", *[c.alias(name) for name, c in said.items()])
+    rows = rows.repartition(tasks or int(activities.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     at = F.col("occurred_at").cast("decimal(20,0)")
     mine = Window.partitionBy(*keys)
-    rows = activities.withColumn("gap", (at - F.lag(at).over(mine.orderBy("occurred_at"))).cast("decimal(20,0)"))
+    rows = rows.withColumn("gap", (at - F.lag(at).over(mine.orderBy("occurred_at"))).cast("decimal(20,0)"))
     rows = rows.withColumn("rank", F.row_number().over(mine.orderBy(F.col("gap").asc_nulls_last()))).withColumn("gaps", F.count("gap").over(mine))
     middle = lambda k: F.max(F.when((F.col("rank") == k) & (F.col("gaps") > 0), F.col("gap")))
     sums = rows.groupBy(*keys).agg(
         exact_sum(F.col("amount_atomic")).alias("total_spend_atomic"),
         F.count(F.lit(1)).alias("payment_count"),
-        F.count_if(x402).alias("x402_count"),
-        F.count_if(~x402).alias("mpp_count"),
+        F.count_if("x402").alias("x402_count"),
+        F.count_if(~F.col("x402")).alias("mpp_count"),
         F.countDistinct("counterparty").alias("unique_counterparties"),
-        F.count_if(F.col("autonomy") == "verified_agent").alias("autonomous_count"),
-        F.count_if(seen).alias("autonomy_observed_count"),
+        F.count_if("agent").alias("autonomous_count"),
+        F.count_if("seen").alias("autonomy_observed_count"),
         middle(F.floor((F.col("gaps") + 1) / 2)).alias("low"),
         middle(F.floor(F.col("gaps") / 2) + 1).alias("high"),
     )
