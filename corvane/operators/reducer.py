@@ -60,6 +60,21 @@ def roles(observations: DataFrame, payload: str = "payload", of: DataFrame | Non
     return asked.join(ranked, same).select(*asked.columns, "fingerprint", "support_role")
 
 
+def supported(observations: DataFrame, tasks: int, payload: str = "payload", of: DataFrame | None = None) -> DataFrame:
+    """Observations (or those of `of`, some of them) that say what the winner of their event says, dealt by event to `tasks` tasks.
+
+    An event has one winner, so both sides meet by event alone; what they say is compared afterwards, and each side is shuffled once.
+    """
+    dealt = observations.select(*EVENT, payload).repartition(tasks, *EVENT)
+    sizes = dealt.groupBy(*EVENT, payload).agg(F.count(F.lit(1)).alias("n")).withColumn("fingerprint", fingerprint(payload))
+    best = F.row_number().over(Window.partitionBy(*EVENT).orderBy(F.desc("n"), "fingerprint"))
+    won = sizes.withColumn("__best", best).where("__best = 1").select(*EVENT, F.array(payload).alias("__won"))
+    asked = (observations if of is None else of).repartition(tasks, *EVENT)
+    # as sets, in which nulls are equal: an equality would become part of the join's key, and all rows be dealt once more
+    same = F.size(F.array_intersect(F.array(payload), F.col("__won"))) > 0
+    return asked.join(won, EVENT).where(same).select(*asked.columns)
+
+
 def links(observations: DataFrame, payload: str = "payload") -> DataFrame:
     """The role of each observation in its event."""
     return roles(observations.select(*EVENT, "observation_id", payload), payload).drop(payload)
