@@ -25,6 +25,12 @@ def dealt_tasks(df: DataFrame, rows: int | None = None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // (rows or TASK_ROWS)))
 
 
+def many(df: DataFrame, keys: Sequence[str], name: str, rows: int | None = None) -> DataFrame:
+    """Keys of more than `rows` (TASK_ROWS) rows of df, which are few, with a column `name`: the parts of at most about so many rows to cut each to."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > (rows or TASK_ROWS))
+    return F.broadcast(n.select(*keys, F.ceil(F.col("__n") / (rows or TASK_ROWS)).cast("int").alias(name)))
+
+
 EVENT_KEYS = ["namespace_id", "protocol", "chain_scope", "canonical_event_id"]
 #: Most rows of a table that is broadcast after they were counted.
 BROADCAST_ROWS = 10_000
